@@ -26,8 +26,10 @@ from .common import text_of
 
 TABLE_SIZE = 20_000
 SUMMARY_SIZE = 4_096
-CACHE_SIZE = 1_000_000
+CACHE_SIZE = 300_000
 LIMIT = 2048
+_ROWS = 256
+_MISSES = 4_096
 
 _tokenizers: dict[str, object] = {}
 _caches: dict[str, dict[str, int]] = {}
@@ -77,7 +79,7 @@ def _summaries(size: int):
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 counts.update(pre_tokens(text))
-                if len(counts) > 50 * size:
+                if len(counts) > 16 * size:
                     counts = pruned(counts, 4 * size)
         counts = pruned(counts, size)
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
@@ -102,17 +104,19 @@ def frequent_lengths(texts: DataFrame, path: str, table_size: int = TABLE_SIZE,
 def _counts(path: str, frequent: Broadcast, cache_size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, cache = frequent.value, _caches.setdefault(path, {})
-        for batch in batches:
-            split = [pre_tokens(x) for x in batch.column(1).to_pylist()]
-            if len(cache) > cache_size:
-                cache.clear()
-            misses = {w for words in split for w in words if w not in first and w not in cache}
-            if misses:
-                words = list(misses)
-                cache.update(zip(words, _encoded_lengths(path, words)))
-            # one lookup each: what a word lacks in the first table is in the second
-            n_tokens = [sum([first[w] if w in first else cache[w] for w in words]) for words in split]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n_tokens, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+        for big in batches:
+            for start in range(0, big.num_rows, _ROWS):
+                batch = big.slice(start, _ROWS)
+                split = [pre_tokens(x) for x in batch.column(1).to_pylist()]
+                if len(cache) > cache_size:
+                    cache.clear()
+                misses = list({w for words in split for w in words if w not in first and w not in cache})
+                for at in range(0, len(misses), _MISSES):
+                    words = misses[at : at + _MISSES]
+                    cache.update(zip(words, _encoded_lengths(path, words)))
+                # what a word lacks in the first table is in the second
+                n_tokens = [sum([first[w] if w in first else cache[w] for w in words]) for words in split]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n_tokens, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     return run
 

@@ -32,7 +32,7 @@ from .common import shuffles_released, text_of
 WINDOW = 16
 MEAN_CHUNK = 1024
 MAX_CHUNK = 8192
-CACHE_SIZE = 700_000
+CACHE_SIZE = 350_000
 END_ID = 0
 _DIGEST = 16
 _MULTIPLIER = 0x9E3779B97F4A7C15
@@ -80,7 +80,8 @@ class _Encoder:
                 split.append(pieces)
         if missing := list({p for pieces in split if pieces for p in pieces if p not in cache}):
             asked = [p if p[:1] == "\n" else p[1:] if p[:1] == "\r" else " " + p for p in missing]
-            cache.update(zip(missing, self._plain(asked)))
+            for at in range(0, len(missing), 4096):
+                cache.update(zip(missing[at : at + 4096], self._plain(asked[at : at + 4096])))
         whole = iter(self._plain([t for t, pieces in zip(texts, split) if pieces is None]))
         return [b"".join([cache[p] for p in pieces]) if pieces is not None else next(whole) for pieces in split]
 
@@ -161,8 +162,8 @@ def _objects(path: str, mean: int, most: int, cache_size: int, end_id: int):
         kind, end = f"<u{encoder.width}", end_id.to_bytes(encoder.width, "little")
         pack = zstandard.ZstdCompressor(3)
         for big in batches:
-            for at in range(0, big.num_rows, 1024):
-                batch = big.slice(at, 1024)
+            for at in range(0, big.num_rows, 512):
+                batch = big.slice(at, 512)
                 encoded = [x + end for x in encoder(batch.column(1).to_pylist())]
                 whole = b"".join(encoded)
                 ids = np.frombuffer(whole, kind)
