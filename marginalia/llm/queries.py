@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, langid, line_dedup, nbest, quality, token_counts, token_store
+from . import decontaminate, exact_dedup, langid, line_dedup, nbest, quality, suffix_dedup, token_counts, token_store
 from .common import new_path, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -53,6 +53,11 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece_nbest": op1_sentencepiece_nbest,
     "op2_language_id": op2_language_id,
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_decontamination": op7_decontamination,
     "op8_line_dedup": op8_line_dedup,
     "op9_token_counts": op9_token_counts,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -90,4 +96,31 @@ ORACLE_SQL: dict[str, str] = {
         SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
         FROM m GROUP BY row_no""",
+    "op10_suffix_dedup": """
+        WITH d AS (
+            SELECT row_number() OVER () AS row_no, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+        ), i AS (
+            SELECT row_no, doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS pos FROM d
+        ), w AS (
+            SELECT row_no, doc_id, pos, substr(h, 2 * pos + 1, 100) AS s FROM i
+        ), f AS (
+            SELECT s, min(doc_id) AS first_id FROM w GROUP BY s
+        ), g AS (
+            SELECT DISTINCT row_no, pos FROM w JOIN f USING (s) WHERE first_id < coalesce(doc_id, 9223372036854775807)
+        ), b AS (
+            SELECT *, coalesce(pos > lag(pos) OVER (PARTITION BY row_no ORDER BY pos) + 50, true) AS begins FROM g
+        ), n AS (
+            SELECT *, sum(begins::INT) OVER (PARTITION BY row_no ORDER BY pos) AS span FROM b
+        ), r AS (
+            SELECT row_no, span, min(pos) AS a, max(pos) + 50 AS z FROM n GROUP BY row_no, span
+        ), k AS (
+            SELECT r.*, coalesce(lag(z) OVER (PARTITION BY row_no ORDER BY a), 0) AS before FROM r
+        ), t AS (
+            SELECT row_no, count(*) AS n_spans, sum(z - a) AS n_removed, max(z) AS last,
+                   string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept
+            FROM k JOIN d USING (row_no) GROUP BY row_no
+        )
+        SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+               sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+        FROM d LEFT JOIN t USING (row_no)""",
 }
