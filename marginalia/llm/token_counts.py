@@ -2,8 +2,8 @@
 
 A pre-token here is what stands between spaces and line feeds. The first tier is a compact
 table of the most frequent pre-tokens of the whole corpus with their token counts; its
-size has a fixed bound, so it is broadcast. The second tier is each worker's own cache:
-what it lacks is encoded by the tokenizers library and kept. Pre-tokens are never
+size has a fixed bound, so it is broadcast, and workers never drop it. The second tier is
+each worker's own bounded cache: what both lack is encoded by the tokenizers library and kept. Pre-tokens are never
 shuffled; the frequent ones are found by Misra-Gries summaries of the tasks, of bounded
 size, which are all that moves.
 
@@ -22,6 +22,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bytelevel import WORD_AND_SIGNS, written
 from .common import text_of
 
 TABLE_SIZE = 20_000
@@ -45,11 +46,13 @@ def checked_tokenizer(path: str):
             special = [x["content"] for x in json.load(f)["added_tokens"]]
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        probe = ["a b", "a\nb", " a", "b\n", "a  \n b"]
-        alone = {x: len(tokenizer.encode(x, add_special_tokens=False).ids) for x in ("a", "b")}
-        for text in probe:
-            if len(tokenizer.encode(text, add_special_tokens=False).ids) != sum(alone[x] for x in text.split()):
-                raise ValueError(f"{path}: this tokenizer keeps white space")
+        def length(text: str) -> int:
+            return len(tokenizer.encode(text, add_special_tokens=False).ids)
+
+        if any(length(x) != sum(map(length, x.split())) for x in ("a b", "a\nb", " a", "b\n", "a  \n b")):
+            raise ValueError(f"{path}: this tokenizer keeps white space")
+        if any(length(x) != len(tokenizer.model.tokenize(written(x.lower()))) for x in ("Word", "Fenêtre", "?!")):
+            raise ValueError(f"{path}: this tokenizer isn't byte-level, or cuts words otherwise")
         if any(" " in x or "\n" in x for x in special):
             raise ValueError(f"{path}: a special string holds white space")
         _tokenizers[path] = tokenizer
@@ -61,7 +64,22 @@ def pre_tokens(text: str) -> list[str]:
 
 
 def _encoded_lengths(path: str, words: list[str]) -> list[int]:
-    return [len(x.ids) for x in checked_tokenizer(path).encode_batch_fast(words, add_special_tokens=False)]
+    """Token counts of pre-tokens; plain words and signs go straight to the tokenizer's model."""
+    tokenizer = checked_tokenizer(path)
+    merged = tokenizer.model.tokenize
+    out, others = [0] * len(words), []
+    for at, word in enumerate(words):
+        found = WORD_AND_SIGNS.fullmatch(word)
+        if found is None:
+            others.append(at)
+        else:
+            # the normalizer changes nothing in Latin-1 letters but their case
+            out[at] = len(merged(written(found[1].lower()))) + (len(merged(written(found[2]))) if found[2] else 0)
+    for at in range(0, len(others), _MISSES):
+        part = others[at : at + _MISSES]
+        for i, x in zip(part, tokenizer.encode_batch_fast([words[i] for i in part], add_special_tokens=False)):
+            out[i] = len(x.ids)
+    return out
 
 
 def pruned(counts: Counter, size: int) -> Counter:
@@ -104,18 +122,18 @@ def frequent_lengths(texts: DataFrame, path: str, table_size: int = TABLE_SIZE,
 def _counts(path: str, frequent: Broadcast, cache_size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, cache = frequent.value, _caches.setdefault(path, {})
+        cache.update(first)
+        get = cache.__getitem__
         for big in batches:
             for start in range(0, big.num_rows, _ROWS):
                 batch = big.slice(start, _ROWS)
                 split = [pre_tokens(x) for x in batch.column(1).to_pylist()]
                 if len(cache) > cache_size:
                     cache.clear()
-                misses = list({w for words in split for w in words if w not in first and w not in cache})
-                for at in range(0, len(misses), _MISSES):
-                    words = misses[at : at + _MISSES]
-                    cache.update(zip(words, _encoded_lengths(path, words)))
-                # what a word lacks in the first table is in the second
-                n_tokens = [sum([first[w] if w in first else cache[w] for w in words]) for words in split]
+                    cache.update(first)
+                misses = list(set().union(*split).difference(cache))
+                cache.update(zip(misses, _encoded_lengths(path, misses)))
+                n_tokens = [sum(map(get, words)) for words in split]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n_tokens, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     return run
