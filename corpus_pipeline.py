@@ -1,13 +1,61 @@
-"""The corpus pipeline: five operators in a row over ``documents``."""
+"""The corpus pipeline: five operators in a row over ``documents``.
+
+Each stage takes (spark, docs, sf_dir); what it returns is written as Parquet and read
+again as the next one's docs. All stages but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marginalia.llm import decontaminate, jaccard, line_dedup, nbest, quality
+from marginalia.llm.common import stored, table
+from marginalia.llm.queries import PIECE_BPE
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    scored = quality.quality(docs, table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"), keep=COLUMNS[1:])
+    return scored.where("kept").select(*COLUMNS)
+
+
+def frequent_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents lose the lines that ten documents or more have; n_chars follows."""
+    cut = line_dedup.line_dedup(docs, keep=("lang", "source"))
+    return cut.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("bigint").alias("n_chars"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of similar documents the one with the least id stays."""
+    return jaccard.one_of_each(docs).select(*COLUMNS)
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return nbest.encoded(docs, PIECE_BPE)
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("line_dedup", frequent_lines),
+    ("ngram_jaccard_join", near_duplicates),
+    ("benchmark_decontamination", benchmark_passages),
+    ("sentencepiece", sentencepiece),
+]
 
-STAGES: list = []
+#: No SQL: the classifier is trained, and segmentation is a search.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), name)
     return docs

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, langid, line_dedup, nbest, quality, suffix_dedup, token_counts, token_store
+from . import decontaminate, exact_dedup, jaccard, langid, line_dedup, nbest, quality, suffix_dedup, token_counts, token_store
 from .common import new_path, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -35,6 +35,10 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_digests(spark, path, BYTE_BPE)
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_token_store": op4_token_store,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_quality": op6_quality,
     "op7_decontamination": op7_decontamination,
     "op8_line_dedup": op8_line_dedup,
@@ -80,8 +85,31 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256
         FROM d JOIN g USING (text_sha256)""",
+    "op5_jaccard_join": r"""
+        WITH RECURSIVE t AS MATERIALIZED (
+            SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+            FROM documents
+        ), s AS MATERIALIZED (
+            SELECT DISTINCT r, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g
+            FROM t
+        ), n AS (
+            SELECT r, count(*) AS n FROM s GROUP BY r
+        ), p AS (
+            SELECT a.r AS x, b.r AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.r < b.r GROUP BY 1, 2
+        ), l AS (
+            SELECT x, y FROM p JOIN n nx ON nx.r = x JOIN n ny ON ny.r = y WHERE 100 * c >= 75 * (nx.n + ny.n - c)
+        ), e AS MATERIALIZED (
+            SELECT x AS a, y AS b FROM l UNION SELECT y, x FROM l
+        ), reach AS (
+            SELECT r, r AS q FROM t UNION SELECT reach.r, e.b FROM reach JOIN e ON reach.q = e.a
+        ), c AS (
+            SELECT reach.r, min(t.doc_id) AS component_id FROM reach JOIN t ON t.r = reach.q GROUP BY reach.r
+        )
+        SELECT t.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM t JOIN c USING (r) LEFT JOIN n USING (r)""",
     "op8_line_dedup": """
-        WITH s AS (
+        WITH s AS MATERIALIZED (
             SELECT doc_id, row_number() OVER () AS row_no, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
         ), l AS (
             SELECT doc_id, row_no, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM s
@@ -97,7 +125,7 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
         FROM m GROUP BY row_no""",
     "op10_suffix_dedup": """
-        WITH d AS (
+        WITH d AS MATERIALIZED (
             SELECT row_number() OVER () AS row_no, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
         ), i AS (
             SELECT row_no, doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS pos FROM d
