@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
@@ -27,14 +28,16 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .bytelevel import WORD_AND_SIGNS, written
 from .common import shuffles_released, text_of
 
 WINDOW = 16
 MEAN_CHUNK = 1024
 MAX_CHUNK = 8192
-CACHE_SIZE = 350_000
+CACHE_SIZE = 600_000
 END_ID = 0
 _DIGEST = 16
+_PACK_LEVEL = 1
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _WORD = 1 << 64
 _ADJACENT_WHITE = re.compile(r"\s\s")
@@ -59,31 +62,56 @@ class _Encoder:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.cache: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.line_feed = self._plain(["\n"])[0]
         self.cache_size = cache_size
 
     def _plain(self, texts: list[str]) -> list[bytes]:
-        kind = f"<u{self.width}"
-        return [np.array(x.ids, dtype=kind).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        code = "H" if self.width == 2 else "I"
+        out = []
+        for at in range(0, len(texts), 4096):
+            out += [array(code, x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False)]
+        return out
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Letters and the signs after them are pre-tokens of their own, so words are merged once, whatever follows them."""
+        code = "H" if self.width == 2 else "I"
+        known, cache, merged = self.words, self.cache, self.tokenizer.model.tokenize
+        others, asked_others = [], []
+        for piece in pieces:
+            begin, asked = ("\n", piece[1:]) if piece[:1] == "\n" else ("", piece[1:] if piece[:1] == "\r" else " " + piece)
+            found = WORD_AND_SIGNS.fullmatch(asked)
+            if found is None:
+                others.append(piece)
+                asked_others.append(begin + asked)
+                continue
+            out = self.line_feed if begin else b""
+            for part in found.groups():
+                if part and part not in known:
+                    known[part] = array(code, [x.id for x in merged(written(part))]).tobytes()
+                if part:
+                    out += known[part]
+            cache[piece] = out
+        cache.update(zip(others, self._plain(asked_others)))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        cache = self.cache
-        if len(cache) > self.cache_size:
-            cache.clear()
+        for kept in (self.cache, self.words):
+            if len(kept) > self.cache_size:
+                kept.clear()
         split: list[list[str] | None] = []
         for text in texts:
-            if _ADJACENT_WHITE.search(text) or any(x in text for x in self.special):
+            if _ADJACENT_WHITE.search(text) or any([x in text for x in self.special]):
                 split.append(None)
             else:
                 # the first piece has nothing before it: \r stands for that in the cache's keys
                 pieces = text.replace("\n", " \n").split(" ")
                 pieces[0] = "\r" + pieces[0]
                 split.append(pieces)
-        if missing := list({p for pieces in split if pieces for p in pieces if p not in cache}):
-            asked = [p if p[:1] == "\n" else p[1:] if p[:1] == "\r" else " " + p for p in missing]
-            for at in range(0, len(missing), 4096):
-                cache.update(zip(missing[at : at + 4096], self._plain(asked[at : at + 4096])))
+        if missing := set().union(*[pieces for pieces in split if pieces]).difference(self.cache):
+            self._learn(list(missing))
         whole = iter(self._plain([t for t, pieces in zip(texts, split) if pieces is None]))
-        return [b"".join([cache[p] for p in pieces]) if pieces is not None else next(whole) for pieces in split]
+        get = self.cache.__getitem__
+        return [b"".join(map(get, pieces)) if pieces is not None else next(whole) for pieces in split]
 
 
 def _encoder(path: str, cache_size: int) -> _Encoder:
@@ -160,7 +188,7 @@ def _objects(path: str, mean: int, most: int, cache_size: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, sent = _encoder(path, cache_size), set()
         kind, end = f"<u{encoder.width}", end_id.to_bytes(encoder.width, "little")
-        pack = zstandard.ZstdCompressor(3)
+        pack = zstandard.ZstdCompressor(_PACK_LEVEL)
         for big in batches:
             for at in range(0, big.num_rows, 512):
                 batch = big.slice(at, 512)
