@@ -197,14 +197,19 @@ def benchmark_matches(
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` without any match, with all their columns."""
-    spark = docs.sparkSession
-    for items in item_blocks(benchmark, options.get("item_id", "item_id"), options.get("item_text", "text"), options.get("error_rate", ERROR_RATE), options.get("min_piece", MIN_PIECE), options.get("block_size", BLOCK_SIZE)):
+    spark, own = docs.sparkSession, "_text"
+    while own in docs.columns:
+        own += "_"
+    blocks = item_blocks(
+        benchmark, options.get("item_id", "item_id"), options.get("item_text", "text"), options.get("error_rate", ERROR_RATE), options.get("min_piece", MIN_PIECE), options.get("block_size", BLOCK_SIZE)
+    )
+    for items in blocks:
         shared = spark.sparkContext.broadcast(((spark.sparkContext.applicationId, id(benchmark), hash(tuple(items))), items))
-        docs = docs.withColumn("_text", text_of(text)).mapInArrow(_clean(shared), docs.schema)
+        docs = docs.withColumn(own, text_of(text)).mapInArrow(_clean(shared, own), docs.schema)
     return docs
 
 
-def _clean(shared):
+def _clean(shared, own: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, items = shared.value
         if key not in _matchers:
@@ -212,8 +217,8 @@ def _clean(shared):
             _matchers[key] = Matcher(items)
         matcher = _matchers[key]
         for batch in batches:
-            keep = [not matcher.matches(normalised(x)) for x in batch.column("_text").to_pylist()]
-            names = [n for n in batch.schema.names if n != "_text"]
+            keep = [not matcher.matches(normalised(x)) for x in batch.column(own).to_pylist()]
+            names = [n for n in batch.schema.names if n != own]
             yield batch.select(names).filter(pa.array(keep, pa.bool_()))
 
     return run
