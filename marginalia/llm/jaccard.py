@@ -12,7 +12,9 @@ Signatures that are one set's alone are dropped where they meet. Of the others e
 then leaves out its ``spare`` most frequent, which are those of passages that many
 documents share, and still keeps one in common with each similar set.
 
-Sets that share a signature are candidates. They are compared in rounds: first each set
+Sets that share a signature are candidates. Signatures with the same sets count once. A
+small parity sketch of each set bounds the symmetric difference of two from below and
+spares most of the comparisons that would fail. Candidates are compared in rounds: first each set
 with one other, then, for signatures whose sets are not yet all connected, with more and
 more of them, so that large families of copies need few comparisons and nothing is missed.
 """
@@ -39,7 +41,7 @@ GROUP_BYTES = 12_000_000
 HELD_BYTES = 8_000_000
 _SLICE = 1_000_000
 #: So many sets of a signature are compared with all others in the second round, and so many times more in each next.
-FIRST_CENTRES = 8
+FIRST_CENTRES = 64
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
@@ -117,7 +119,7 @@ def instances(fineness: int = 1, up_to: int = 1 << 31) -> tuple[list[int], list[
         # |A ^ B| <= (1 - j) / (1 + j) * (|A| + |B|) for sets of Jaccard similarity j
         k = (100 - PERCENT) * 2 * high // (100 + PERCENT)
         finest = high <= 64 * fineness
-        parts = 0 if finest else int((3 if high <= 256 else 1.5) * fineness * (k + 1))
+        parts = 0 if finest else int((3 if high <= 256 else 2 if high <= 700 else 1.5) * fineness * (k + 1))
         spare = min(max(1, (k + 1) // 8), low - k - 1)
         bounds.append(low)
         out.append(Instance(len(out), k, parts, spare))
@@ -251,15 +253,37 @@ def _rarest(fineness: int):
 
 # -- comparison --------------------------------------------------------------------------
 
-_ELEMENTS = "set struct<high:bigint,low:bigint>, features array<bigint>"
+_ELEMENTS = "set struct<high:bigint,low:bigint>, n int, sketch array<bigint>, features array<bigint>"
+
+
+def sketch(features: np.ndarray) -> np.ndarray:
+    """Parities of how many features fall on each of about twice as many bits; a power of two of them."""
+    bits = max(64, 1 << int(2 * len(features) - 1).bit_length())
+    odd = np.bincount((features >> np.uint64(17)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for big in batches:
         for at in range(0, big.num_rows, 512):
             batch = big.slice(at, 512)
-            found = [shingles(x.encode()).view(np.int64) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["set", "features"])
+            found = [shingles(x.encode()) for x in batch.column(1).to_pylist()]
+            values = [pa.array([len(x) for x in found], pa.int32()), pa.array([sketch(x) for x in found], pa.list_(pa.int64())), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *values], ["set", "n", "sketch", "features"])
+
+
+def _folded(x: Column, size: Column) -> Column:
+    """A sketch as one of half as many bits, where it has more words than ``size``."""
+    half = (F.size(x) / 2).cast("int")
+    return F.when(F.size(x) > size, F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda a, b: a.bitwiseXOR(b))).otherwise(x)
+
+
+def _may_be_similar(na: Column, nb: Column, a: Column, b: Column) -> Column:
+    """Never false for similar sets: their sizes are near, and odd bits of the joint sketch are no more than their difference."""
+    words = F.least(F.size(a), F.size(b))
+    odd = F.aggregate(F.zip_with(_folded(a, words), _folded(b, words), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    near = F.least(na, nb) * 100 >= F.greatest(na, nb) * PERCENT
+    return near & ((100 + PERCENT) * odd <= (100 - PERCENT) * (na + nb))
 
 
 def _similar(a: Column, b: Column) -> Column:
@@ -269,9 +293,21 @@ def _similar(a: Column, b: Column) -> Column:
 
 def _links(pairs: DataFrame, elements: DataFrame) -> DataFrame:
     """pairs: a, b. Those whose sets are similar."""
-    left = elements.select(F.col("set").alias("a"), F.col("features").alias("fa"))
-    right = elements.select(F.col("set").alias("b"), F.col("features").alias("fb"))
-    return pairs.join(left, "a").join(right, "b").where(_similar(F.col("fa"), F.col("fb"))).select("a", "b")
+
+    def side(name: str, *columns: str) -> DataFrame:
+        return elements.select(F.col("set").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in columns))
+
+    near = pairs.join(side("a", "n", "sketch"), "a").join(side("b", "n", "sketch"), "b")
+    near = stored(near.where(_may_be_similar(F.col("n_a"), F.col("n_b"), F.col("sketch_a"), F.col("sketch_b"))).select("a", "b"), "near")
+    return near.join(side("a", "features"), "a").join(side("b", "features"), "b").where(_similar(F.col("features_a"), F.col("features_b"))).select("a", "b")
+
+
+def _distinct_groups(shared: DataFrame) -> DataFrame:
+    """Of signatures (key, set) with the same sets, one; sets are told by three sums of hashes and their number."""
+    sums = [F.sum(F.shiftright(F.xxhash64("set", F.lit(i)), 20)).alias(f"h{i}") for i in range(3)]
+    members = shared.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *sums)
+    keys = members.groupBy("n", "h0", "h1", "h2").agg(F.min("key").alias("key")).where("n > 1").select("key")
+    return shared.join(keys, "key", "left_semi")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -345,7 +381,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
             break
         fineness *= 4  # a set with too few signatures: in the end each feature is a part
     shared = met.where("kind = 0").groupBy("part").applyInArrow(_rarest(fineness), "key bigint, high bigint, low bigint").select("key", F.struct("high", "low").alias("set"))
-    shared = stored(shared, "shared")
+    shared = stored(_distinct_groups(stored(shared, "shared")), "groups")
     wanted = shared.select("set").distinct()
     first_rows = found.join(wanted, "set").groupBy("set").agg(F.min(F.struct("ids", "rows")).alias("row"))
     first_rows = first_rows.select("set", F.col("row.ids").alias("_id"), F.col("row.rows").alias("_hash"))
