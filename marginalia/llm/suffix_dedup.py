@@ -39,7 +39,8 @@ HOT_SHARE = 1e-4
 #: Bytes of text for each of the groups in which triggers and phrases meet.
 GROUP_BYTES = 32_000_000
 #: Bytes that a task holds before it sends what it has found.
-HELD_BYTES = 12_000_000
+HELD_BYTES = 8_000_000
+PHRASE_BYTES = 2_000_000
 _SLICE = 1_000_000
 _NULL_ID = np.iinfo(np.int64).max
 
@@ -48,18 +49,19 @@ _PHRASES = "part int, kind int, keys array<bigint>, at array<int>, size array<in
 _PLACES = "part int, kind int, ids array<bigint>, rows array<bigint>, at array<int>, size array<int>"
 
 
-def _documents(batches: Iterator[pa.RecordBatch], *more: str) -> Iterator[list[tuple]]:
-    """Lists of (id, row hash, bytes, ...) with ``HELD_BYTES`` of text or one document more."""
+def _documents(batches: Iterator[pa.RecordBatch], most: int, *more: str) -> Iterator[list[tuple]]:
+    """Lists of (id, row hash, bytes, ...) with ``most`` bytes of text or one document more."""
     held, size = [], 0
-    for batch in batches:
-        columns = [batch.column(n).to_pylist() for n in more]
-        for doc, row, text, *rest in zip(batch.column("doc_id").to_pylist(), batch.column("row_hash").to_pylist(), batch.column("text").to_pylist(), *columns):
-            data = text.encode()
-            held.append((_NULL_ID if doc is None else doc, row, data, *rest))
-            size += len(data)
-            if size >= HELD_BYTES:
-                yield held
-                held, size = [], 0
+    for big in batches:
+        for begin in range(0, big.num_rows, 512):
+            batch = big.slice(begin, 512)
+            for doc, row, text, *rest in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "row_hash", "text", *more))):
+                data = text.encode()
+                held.append((_NULL_ID if doc is None else doc, row, data, *rest))
+                size += len(data)
+                if size >= most:
+                    yield held
+                    held, size = [], 0
     if held:
         yield held
 
@@ -103,7 +105,7 @@ def _seen(groups: int):
     """kind 0: triggers for the group of their hash. kind 1: places of triggers that two documents of this task share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for docs in _documents(batches):
+        for docs in _documents(batches, HELD_BYTES):
             found = list(_pieces([d[2] for d in docs]))
             if not found:
                 continue
@@ -226,7 +228,7 @@ def _phrases(groups: int, hot):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot_keys = hot.value
-        for docs in _documents(batches, "at"):
+        for docs in _documents(batches, PHRASE_BYTES, "at"):
             lengths = np.array([len(d[2]) for d in docs], np.int64)
             starts = np.cumsum(lengths) - lengths
             data = np.frombuffer(b"".join(d[2] for d in docs), np.uint8)
@@ -234,8 +236,7 @@ def _phrases(groups: int, hot):
             at = np.array([x for d in docs for x in d[3]], np.int64)
             if not len(at):
                 continue
-            grams = data[(starts[doc] + at)[:, None] + np.arange(GRAM)]
-            keys = gram_hashes(grams.ravel(), GRAM)[::GRAM]
+            keys = gram_hashes(data, GRAM)[starts[doc] + at]
             low, high = owned(at, keys, doc, lengths[doc])
             some = low <= high
             doc, keys, low, high = doc[some], keys[some], low[some], high[some]
@@ -244,11 +245,10 @@ def _phrases(groups: int, hot):
             out = []
             if is_hot.any():
                 single, owner = _spread(low[is_hot], (high - low + 1)[is_hot]), np.repeat(doc[is_hot], (high - low + 1)[is_hot])
-                strings = data[(starts[owner] + single)[:, None] + np.arange(LENGTH)]
-                own = gram_hashes(strings.ravel(), LENGTH)[::LENGTH]
-                content = np.ascontiguousarray(strings).view(f"V{LENGTH}").ravel()
+                begin = starts[owner] + single
+                own = gram_hashes(data, LENGTH)[begin]
                 order = np.lexsort((ids[owner], own))
-                sorted_content = content[order]
+                sorted_content = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, LENGTH)[begin[order]]).view(f"V{LENGTH}").ravel()
                 first = np.concatenate([[True], sorted_content[1:] != sorted_content[:-1]])
                 begins = np.flatnonzero(first)
                 least = np.repeat(ids[owner[order]][begins], np.diff([*begins, len(order)]))
