@@ -15,7 +15,7 @@ phrases of each document.
    this back to all occurrences.
 3. The removed spans join their documents.
 
-A trigger that holds more than ``HOT_SHARE`` of all trigger occurrences is hot. Its phrases
+A trigger with ``HOT_LEAST`` occurrences that holds ``HOT_SHARE`` of all is hot. Its phrases
 are split into single 50-byte strings that meet by their own hash, and of equal ones a task
 sends the first document's alone.
 """
@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +36,9 @@ from .rolling import gram_hashes, triggers
 
 LENGTH = 50
 GRAM = 16
-HOT_SHARE = 1e-4
+HOT_SHARE = 1e-5
+#: And no trigger with less occurrences than this is hot: a task can well hold so many.
+HOT_LEAST = 50_000
 #: Bytes of text for each of the groups in which triggers and phrases meet.
 GROUP_BYTES = 32_000_000
 #: Bytes that a task holds before it sends what it has found.
@@ -170,7 +173,7 @@ def _shared(groups: int):
             shared = (least != most) | (np.maximum.reduceat(count, begins) > 1)
             chosen = np.repeat(shared, np.diff([*begins, len(keys)]))
             out += _places(groups, ids[chosen], rows[chosen], at[chosen], np.zeros(chosen.sum()))
-            large = total >= max(2, HOT_SHARE * count.sum())
+            large = total >= HOT_LEAST
             out.append({"part": -1, "kind": 2, "ids": keys[begins[large]], "rows": total[large]})
         return pa.Table.from_batches([list_batch(_PLACES, out)])
 
@@ -227,7 +230,7 @@ def _phrases(groups: int, hot):
     """kind 0: phrases for the group of their trigger, or of themselves if it is hot. kind 1: spans already decided."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot_keys = hot.value
+        hot_keys, pack = hot.value, zstandard.ZstdCompressor(1)
         for docs in _documents(batches, PHRASE_BYTES, "at"):
             lengths = np.array([len(d[2]) for d in docs], np.int64)
             starts = np.cumsum(lengths) - lengths
@@ -260,7 +263,7 @@ def _phrases(groups: int, hot):
             for part, i in by_value((keys % np.uint64(groups)).astype(np.int64)):
                 used, local = np.unique(doc[i], return_inverse=True)
                 text = data[_spread(starts[doc[i]] + low[i], size[i])].tobytes()
-                out.append({"part": part, "kind": 0, "keys": keys[i].view(np.int64), "at": low[i], "size": size[i], "doc": local, "ids": ids[used], "rows": rows[used], "data": text})
+                out.append({"part": part, "kind": 0, "keys": keys[i].view(np.int64), "at": low[i], "size": size[i], "doc": local, "ids": ids[used], "rows": rows[used], "data": pack.compress(text)})
             spans = [o for o in out if o["kind"] == 1]
             for o in spans:  # the same form as phrases
                 o |= {"doc": np.arange(len(o["ids"]))}
@@ -311,7 +314,8 @@ def _decided(groups: int):
         table = table.filter(pa.array(kinds == 0))
         if table.num_rows:
             ids, rows, keys, at, size = _whole(table, "keys", "at", "size")
-            text = b"".join(table.column("data").to_pylist())
+            unpack = zstandard.ZstdDecompressor()
+            text = b"".join([unpack.decompress(x) for x in table.column("data").to_pylist()])
             begin = np.cumsum(size) - size
             order = np.argsort(keys, kind="stable")
             begins = run_starts(keys[order])
@@ -388,7 +392,7 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     counts = places.where("kind = 2").select(F.explode(F.arrays_zip("ids", "rows")).alias("x")).select("x.ids", "x.rows")
     # at most 1 / HOT_SHARE triggers can hold that share
     n_triggers = stored_total(places)
-    hot = counts.where(F.col("rows") >= max(2.0, HOT_SHARE * n_triggers)).orderBy(F.desc("rows")).limit(int(1 / HOT_SHARE) + 1).collect()
+    hot = counts.where(F.col("rows") >= max(float(HOT_LEAST), HOT_SHARE * n_triggers)).orderBy(F.desc("rows")).limit(int(1 / HOT_SHARE) + 1).collect()
     shared_hot = spark.sparkContext.broadcast(np.array([x.ids for x in hot], np.int64).view(np.uint64))
     by_row = places.where("kind = 1").groupBy("part").applyInArrow(_by_row, _ROW_PLACES).drop("size").withColumnsRenamed({"doc_id": "_id", "row_hash": "_hash"})
     with_places = rows.join(by_row, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row_hash") == F.col("_hash"))).select("doc_id", "row_hash", "text", "at")

@@ -131,6 +131,7 @@ def test_suffix_dedup(documents, dice, monkeypatch):
     rows = passages(dice)
     for share, held in ((1e-4, 1 << 20), (1e-2, 2000), (1, 1500)):
         monkeypatch.setattr(suffix_dedup, "HOT_SHARE", share)
+        monkeypatch.setattr(suffix_dedup, "HOT_LEAST", 2)
         monkeypatch.setattr(suffix_dedup, "HELD_BYTES", held)
         found = suffix_dedup.suffix_dedup(documents(rows)).collect()
         assert by_id((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in found) == brute_removed(rows)
