@@ -26,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored, text_of
@@ -41,7 +41,7 @@ GROUP_BYTES = 12_000_000
 HELD_BYTES = 8_000_000
 _SLICE = 1_000_000
 #: So many sets of a signature are compared with all others in the second round, and so many times more in each next.
-FIRST_CENTRES = 64
+FIRST_CENTRES = 16
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
@@ -307,7 +307,9 @@ def _distinct_groups(shared: DataFrame) -> DataFrame:
     sums = [F.sum(F.shiftright(F.xxhash64("set", F.lit(i)), 20)).alias(f"h{i}") for i in range(3)]
     members = shared.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *sums)
     keys = members.groupBy("n", "h0", "h1", "h2").agg(F.min("key").alias("key")).where("n > 1").select("key")
-    return shared.join(keys, "key", "left_semi")
+    # sets by how many signatures they share: an original before its edited copies
+    degree = shared.groupBy("set").agg((-F.count(F.lit(1))).alias("d")).select("set", F.struct("d", "set").alias("by"))
+    return shared.join(keys, "key", "left_semi").join(degree, "set").select("key", "set", "by")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -331,20 +333,21 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _connected(shared: DataFrame, elements: DataFrame) -> DataFrame:
     """set, root: the components of all sets that share signatures (key, set) and have a link."""
-    least = shared.groupBy("key").agg(F.min("set").alias("b"))
-    first = shared.join(least, "key").where(F.col("set") != F.col("b")).groupBy(F.col("set").alias("a")).agg(F.min("b").alias("b"))
-    compared = stored(first, "pairs")
+    least = shared.groupBy("key").agg(F.min("by").alias("first"))
+    first = shared.join(least, "key").where(F.col("by") > F.col("first")).groupBy(F.col("set").alias("x")).agg(F.min("first").alias("first"))
+    first = first.select("x", F.col("first.set").alias("y"))
+    compared = stored(first.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "pairs")
     links = stored(_links(compared, elements), "links")
     centres = FIRST_CENTRES
     while True:
         roots = components(links).withColumnsRenamed({"node": "set"})
-        labelled = shared.join(roots, "set", "left").select("key", "set", F.coalesce("root", "set").alias("root"))
+        labelled = shared.join(roots, "set", "left").select("key", "set", "by", F.coalesce("root", "set").alias("root"))
         open_keys = labelled.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y").select("key", "n")
         left = stored(labelled.join(open_keys, "key"), "open")
         most = left.agg(F.max("n")).first()[0]
         if most is None:
             return roots
-        ranked = left.select("key", "set", "root", F.expr("row_number() OVER (PARTITION BY key ORDER BY set)").alias("at")).where(F.col("at") <= centres)
+        ranked = left.select("key", "set", "root", F.row_number().over(Window.partitionBy("key").orderBy("by")).alias("at")).where(F.col("at") <= centres)
         chosen = ranked.select("key", F.col("set").alias("b"), F.col("root").alias("root_b"))
         asked = left.join(chosen, "key").where((F.col("root") != F.col("root_b")) & (F.col("set") != F.col("b")))
         pairs = asked.select(F.greatest("set", "b").alias("a"), F.least("set", "b").alias("b")).distinct().join(compared, ["a", "b"], "left_anti")
