@@ -182,17 +182,18 @@ class Pieces:
         """The n parts that lose least: (loss, chunk, part of the chunk, text)."""
         if n < 1:
             return []
-        limit = sorted(losses)[: n][-1]
+        limit = heapq.nsmallest(n, losses)[-1]
+        # the n chunks up to the limit hold n parts, so no more than n that lose just as much as it can matter
+        near = [at for at, loss in enumerate(losses) if loss < limit]
+        if limit < float("inf"):
+            near += [at for at, loss in enumerate(losses) if loss == limit][:n]
         parts = []
-        for at, loss in enumerate(losses):
-            if loss <= limit:
-                for i, part in enumerate(_SMALLEST.findall(_text(keys[at]))):
-                    if part not in self.parts:
-                        self.parts[part] = self._known(part)
-                    if self.parts[part][1] < float("inf"):
-                        parts.append((self.parts[part][1], at, i, part))
-                if limit == losses[at] and len(parts) > 64 * n:
-                    break  # of equal losses the first will do
+        for at in near:
+            for i, part in enumerate(_SMALLEST.findall(_text(keys[at]))):
+                if part not in self.parts:
+                    self.parts[part] = self._known(part)
+                if self.parts[part][1] <= limit:
+                    parts.append((self.parts[part][1], at, i, part))
         return sorted(parts)[:n]
 
     def n_best(self, text: str, n: int) -> list[Path]:

@@ -104,6 +104,29 @@ def test_n_best_against_all_segmentations(text):
     assert model.best_paths(" " + text, 6)[0][0] == wanted[0]
 
 
+@pytest.mark.parametrize("filler", ["{} " * 250, "{}." * 250 + " I "])
+def test_n_best_when_the_part_that_loses_least_comes_last(filler):
+    """Before it come more parts of equal loss than any N best need, in words of their own or in a single chunk."""
+    model = nbest.loaded(PIECE_BPE)
+    words = sorted(["hello", "world", "language", "segment", "morning", "nothing"], key=lambda w: model._known(" " + w)[1])
+    text = filler.format(*[words[-1]] * 250) + words[0]
+    wanted = [s for s, _ in model.best_paths(" " + text, 4)]
+    for n in (2, 4):
+        assert model.encode(text, n)[1] == pytest.approx(wanted[:n], abs=1e-6)
+        assert [s for s, _ in model.n_best(text, n)] == pytest.approx(wanted[:n], abs=1e-6)
+
+
+def test_the_parts_that_lose_least(dice):
+    model = nbest.Pieces(PIECE_BPE)
+    losses = dict(zip([f" {w}" for w in "abcdefgh"], [1.0, 2.0, 2.0, 3.0, 4.0, 5.0, 5.0, float("inf")]))
+    model.parts = {part: (0.0, loss, b"") for part, loss in losses.items()}
+    for _ in range(200):
+        keys = dice.choices("eh", k=dice.choice([0, 5, 600])) + dice.choices("abcdefgh", k=dice.choice([1, 2, 5]))
+        found = [losses[f" {key}"] for key in keys]
+        wanted = sorted((loss, at, 0, f" {key}") for at, (key, loss) in enumerate(zip(keys, found)) if loss < float("inf"))
+        assert model._near(found, keys, 3) == wanted[:3]
+
+
 def test_pieces_are_those_of_the_library():
     library = sentencepiece.SentencePieceProcessor(model_file=PIECE_BPE)
     model = nbest.loaded(PIECE_BPE)
