@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from conftest_helpers import by_id
@@ -139,6 +140,29 @@ def test_matches_against_brute_force(spark, documents, dice):
     assert "set" in left.columns and len(wanted) > 10
 
 
+@pytest.mark.parametrize("letters", ["abcdefgh", "ab"])
+def test_items_match_up_to_a_tenth_of_their_length(dice, letters):
+    words = ["".join(dice.choices(letters, k=dice.randint(2, 8))) for _ in range(200)]
+    body = lambda n: " ".join(dice.choices(words, k=n))[: n - 2].strip().ljust(n - 2, "a")
+    items = [(at, f" {body(n)} ") for at, n in enumerate((9, 10, 20, 31, 47, 97, 200, 396))]
+    matcher = decontaminate.Matcher([(at, text, decontaminate.error_budget(len(text))) for at, text in items])
+    reached = set()
+    for _ in range(12):
+        for at, text in items:
+            k = len(text) // 10
+            whole = decontaminate.normalised(f"{body(40)} {edited(dice, text, dice.choice([k // 2, k, k, k + 1, k + 3]))} {body(40)}")
+            near = {i: d for i, t in items if (d := levenshtein_inside(t, whole)) <= len(t) // 10}
+            assert {m[0]: m[1] for m in matcher.matches(whole)} == near
+            reached |= {at} if near.get(at, 0) > len(text) // 16 - 1 else set()
+    assert reached >= {3, 4, 5, 6, 7}
+
+
+def test_the_error_rate_is_what_is_allowed():
+    assert [decontaminate.error_budget(n) for n in (9, 10, 20, 31, 97, 200, 396)] == [0, 1, 2, 3, 9, 20, 39]
+    with pytest.raises(ValueError, match="error_rate"):
+        decontaminate.error_budget(10, 1.0)
+
+
 def test_matches_of_empty_tables(spark, documents):
     bench = spark.createDataFrame([(1, "a b c")], "item_id bigint, text string")
     assert decontaminate.benchmark_matches(documents([]), bench).count() == 0
