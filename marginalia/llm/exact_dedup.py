@@ -22,6 +22,21 @@ def digest_of(text: str = "text"):
     return F.sha2(F.regexp_replace(text_of(text), r"[\x20\x09-\x0D]+", " ").cast("binary"), 256)
 
 
+def heavy_hitters(digests: DataFrame, support: float = SUPPORT) -> DataFrame:
+    """digest, keep_id, group_size of the digests that more than ``support`` of the rows have."""
+    # freqItems tells byte arrays apart by identity, so it gets strings
+    named = digests.select(F.hex("digest").alias("digest"))
+    candidates = named.freqItems(["digest"], support).select(F.explode(F.col("digest_freqItems")).alias("name")).select(F.unhex("name").alias("digest"))
+    heavy_rows = support * digests.count()
+    # freqItems returns at most 1 / support digests, so both broadcasts have that bound
+    return (
+        digests.join(F.broadcast(candidates), "digest", "left_semi")
+        .groupBy("digest")
+        .agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        .where(F.col("group_size") > heavy_rows)
+    )
+
+
 def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", support: float = SUPPORT) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -34,16 +49,7 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sup
     * An empty table gives an empty result. Other columns are not read.
     """
     digests = stored(docs.select(F.col(doc_id).alias("doc_id"), F.unhex(digest_of(text)).alias("digest")), "digests")
-    candidates = digests.freqItems(["digest"], support).select(F.explode(F.col("digest_freqItems")).alias("digest"))
-    heavy_rows = support * digests.count()
-    # freqItems returns at most 1 / support digests, so both broadcasts have that bound
-    winners = (
-        digests.join(F.broadcast(candidates), "digest", "left_semi")
-        .groupBy("digest")
-        .agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .where(F.col("group_size") > heavy_rows)
-    )
-    winners = stored(winners, "winners")
+    winners = stored(heavy_hitters(digests, support), "winners")
     heavy = digests.join(F.broadcast(winners), "digest")
     group = Window.partitionBy("digest")
     rest = digests.join(F.broadcast(winners.select("digest")), "digest", "left_anti").select(

@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+import pytest
+
 from conftest_helpers import by_id
 
 from marginalia.llm import exact_dedup, line_dedup
@@ -37,6 +39,16 @@ def test_exact_dedup_empty_and_survivors(documents):
     assert sorted(r.doc_id for r in left.collect()) == [1, 2, 4, 5, 5, 8, 9, 20]
 
 
+@pytest.mark.parametrize("first", [True, False])
+def test_a_hot_digest_is_a_heavy_hitter(spark, first):
+    """A third of each partition's rows has it, all before the others or spread among them."""
+    hot = "id % 20000 < 6666" if first else "id % 3 = 0"
+    rows = spark.range(0, 60_000, 1, 3).selectExpr("id AS doc_id", f"unhex(sha2(IF({hot}, 'hot', CAST(id AS STRING)), 256)) AS digest")
+    found = exact_dedup.heavy_hitters(rows).collect()
+    count = 3 * 6666 if first else 20_000
+    assert [(bytes(r.digest), r.keep_id, r.group_size) for r in found] == [(hashlib.sha256(b"hot").digest(), 0, count)]
+
+
 def brute_lines(rows, min_docs):
     seen = {}
     for doc, text in rows:
