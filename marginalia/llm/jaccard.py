@@ -1,4 +1,4 @@
-"""N-gram Jaccard join by PartEnum signatures.
+"""N-gram Jaccard join by prefix-filtered part signatures.
 
 Documents are sets of hashed word shingles; equal sets are one. Sets fall into bands of
 size, so that similar sets lie in one band or in neighbours. Each band has an instance with
