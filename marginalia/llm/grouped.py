@@ -37,7 +37,7 @@ def flat(table: pa.Table, name: str) -> np.ndarray:
 
 
 def sizes_of(table: pa.Table, name: str) -> np.ndarray:
-    return np.array([n or 0 for c in table.column(name).chunks for n in c.value_lengths().to_pylist()], np.int64)
+    return np.concatenate([np.zeros(0, np.int64), *(c.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) for c in table.column(name).chunks)])
 
 
 def run_starts(x: np.ndarray) -> np.ndarray:

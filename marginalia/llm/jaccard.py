@@ -1,28 +1,38 @@
-"""N-gram Jaccard join by prefix-filtered part signatures.
+"""N-gram Jaccard join by PartEnum signatures.
 
 Documents are sets of hashed word shingles; equal sets are one. Sets fall into bands of
-size, so that similar sets lie in one band or in neighbours. Each band has an instance with
-its own bound ``k`` on the symmetric difference of similar sets whose larger lies in it,
-and with its own partition of the feature domain. A set's signature in a part is the hash
-of its features there; two similar sets differ in ``k`` parts at most, so of a set's
-signatures in hash order the first ``k + 1 + spare`` hold ``spare + 1`` that a similar set
-has too. Every set signs in the instances of its band and of the next.
+size, so that similar sets lie in one band or in neighbours; each set signs in its own band
+and in the next, and a pair meets in the band of the larger. A band cuts the feature domain
+into first-level parts and each part into ``cells``. A signature is the hash of a set's
+features in all but ``off`` cells of one part; all such subsets of cells are enumerated.
+
+Why no pair is lost. Let A and B be similar and differ in d features; d is at most a third
+of either's size. No more than d // (off + 1) parts hold more than ``off`` differences. In
+every other part some subset of cells is free of them, so A and B share its signature. A
+signature without features isn't sent; that can cost a part only where all features of the
+set lie in ``off`` cells. Each set signs in the first parts up to the one with which
+d // (off + 1) + 1 + spare parts have features in more cells than that, with the set's own
+bound of d. Of the parts in which both sign, then, ``spare`` + 1 give a common signature. A set with too few such parts
+in all signs in every one of them, and also by single features (the first of them in hash
+order, as many as it may lose and ``spare`` + 1 more), by which two such sets meet.
 
 Signatures that are one set's alone are dropped where they meet. Of the others each set
-then leaves out its ``spare`` most frequent, which are those of passages that many
-documents share, and still keeps one in common with each similar set.
+leaves out its ``spare`` most frequent, which are those of passages that many documents
+share; of the spare + 1 that a pair has in common, the rarest is left out by neither.
 
 Sets that share a signature are candidates. Signatures with the same sets count once. A
 small parity sketch of each set bounds the symmetric difference of two from below and
-spares most of the comparisons that would fail. Candidates are compared in rounds: first each set
-with one other, then, for signatures whose sets are not yet all connected, with more and
-more of them, so that large families of copies need few comparisons and nothing is missed.
+spares most of the comparisons that would fail. First each set is compared with one other,
+by which large families of copies are connected. Then, of signatures whose sets are not yet
+all connected, every two that aren't are compared by sketches, in blocks of bounded size,
+and what the sketches leave by the sets themselves.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -37,15 +47,27 @@ WORDS = 5
 #: Sets are similar where 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: Bytes of text for each of the groups in which signatures meet.
-GROUP_BYTES = 12_000_000
+GROUP_BYTES = 6_000_000
 HELD_BYTES = 8_000_000
+#: So many signatures are held while they meet; those of more than ``FREQUENT`` sets pass at once.
+HELD_SIGNATURES = 2_000_000
+FREQUENT = 4096
+#: Bytes of a set's name in signatures; names that two sets have are told apart before the comparison.
+NAME_BYTES = 5
 _SLICE = 1_000_000
-#: So many sets of a signature are compared with all others in the second round, and so many times more in each next.
-FIRST_CENTRES = 16
+#: Sets of one signature that a task compares with each other or with as many more.
+BLOCK = 2048
+#: Sets that a task holds to compare; those of many signatures.
+HELD_SETS = 20_000
+#: Of what the sketches leave, a set is first compared with so many of a signature, then with all.
+NEAREST = 64
+#: Words of the sketches that go with each signature.
+BLOCK_WORDS = 16
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
-_SEEN = "part int, kind int, keys array<bigint>, level array<int>, doc array<int>, high array<bigint>, low array<bigint>, ids array<bigint>, rows array<bigint>, size array<int>"
+_SENT = "part int, kind int, data binary, ids array<bigint>, rows array<bigint>, high array<bigint>, low array<bigint>, size array<int>, level array<int>"
+_MET = "kind int, key bigint, level int, count int, name bigint, id bigint, row bigint, high bigint, low bigint, size int"
 
 
 # -- sets of shingles --------------------------------------------------------------------
@@ -104,49 +126,111 @@ def set_id(features: np.ndarray) -> tuple[int, int]:
 
 
 @dataclass(frozen=True)
-class Instance:
+class Band:
     level: int
-    k: int  #: bound on the symmetric difference
-    parts: int  #: of the feature domain; 0: each feature is a part of its own
+    k: int  #: bound on the symmetric difference of similar sets whose larger lies in the band
+    parts: int  #: of the first level
+    cells: int  #: of each part
+    off: int  #: a signature leaves out so many cells
     spare: int
 
+    @property
+    def salt(self) -> np.uint64:
+        return np.uint64((self.level + 1) * 0x9FB21C651E98DF25 % (1 << 64))
 
-def instances(fineness: int = 1, up_to: int = 1 << 31) -> tuple[list[int], list[Instance]]:
-    """Least sizes of the bands, and their instances. ``fineness`` multiplies the number of parts."""
+
+def bands(up_to: int = 1 << 31) -> tuple[list[int], list[Band]]:
+    """Least sizes of the bands, and the bands."""
     bounds, out, low = [], [], 1
     while low <= up_to:
         high = low * 100 // PERCENT
         # |A ^ B| <= (1 - j) / (1 + j) * (|A| + |B|) for sets of Jaccard similarity j
         k = (100 - PERCENT) * 2 * high // (100 + PERCENT)
-        finest = high <= 64 * fineness
-        parts = 0 if finest else int((3 if high <= 256 else 2 if high <= 700 else 1.5) * fineness * (k + 1))
-        spare = min(max(1, (k + 1) // 8), low - k - 1)
         bounds.append(low)
-        out.append(Instance(len(out), k, parts, spare))
+        if k <= 3:
+            out.append(Band(len(out), k, 1, k + 3 if k else 1, k, 0))
+        else:
+            least = k // 2 + 1
+            spare = max(1, least // 10)
+            out.append(Band(len(out), k, (least + spare) * 5 // 4 + 1, 3, 1, spare))
         low = high + 1
     return bounds, out
 
 
-def signatures(features: np.ndarray, of: Instance) -> tuple[np.ndarray, bool]:
-    """The first ``k + 1 + spare`` signatures in hash order, and whether there are so many."""
-    salt = np.uint64((of.level + 1) * 0x9FB21C651E98DF25 % (1 << 64))
-    if of.parts == 0:
-        keys = mixed(features ^ salt)
-    else:
-        part = (features >> np.uint64(33)) % np.uint64(of.parts)
-        order = np.argsort(part, kind="stable")
-        part = part[order]
-        begins = run_starts(part)
-        keys = mixed(np.add.reduceat(mixed(features[order] ^ salt), begins) + part[begins] * np.uint64(0xD1342543DE82EF95))
-    wanted = of.k + 1 + of.spare
-    enough = len(keys) >= wanted
-    return (np.partition(keys, wanted - 1)[:wanted] if len(keys) > wanted else keys), enough
+BOUNDS, BANDS = bands()
+#: Stands for the signatures of single features.
+SINGLE = Band(len(BANDS), 0, 0, 1, 0, 1)
+
+
+def may_lose(size: int) -> int:
+    """The most features by which a similar set can differ."""
+    return size * (100 - PERCENT) // PERCENT
+
+
+def signatures(features: np.ndarray, band: Band) -> tuple[np.ndarray, bool]:
+    """Of a set in a band, and whether they are enough to meet every similar set."""
+    hashes = mixed(features ^ band.salt)
+    cell = (((hashes >> np.uint64(32)) * np.uint64(band.parts * band.cells)) >> np.uint64(32)).astype(np.int64)
+    shape = (band.parts, band.cells)
+    filled = np.bincount(cell, minlength=band.parts * band.cells).reshape(shape) > 0
+    sums = np.zeros(band.parts * band.cells, np.uint64)
+    np.add.at(sums, cell, mixed(hashes))
+    sums = sums.reshape(shape)
+    most = min(band.k, may_lose(len(features)))
+    good = np.cumsum(np.count_nonzero(filled, axis=1) > min(band.off, most))
+    wanted = most // (band.off + 1) + 1 + band.spare
+    enough = bool(good[-1] >= wanted)
+    if enough:
+        used = int(np.searchsorted(good, wanted)) + 1
+        filled, sums = filled[:used], sums[:used]
+    numbers = (np.arange(len(sums), dtype=np.uint64) << np.uint64(8)) * np.uint64(0xD1342543DE82EF95)
+    out = []
+    for number, cells in enumerate(combinations(range(band.cells), band.cells - band.off)):
+        kept = filled[:, cells].any(axis=1)
+        out.append(mixed(sums[:, cells].sum(axis=1) ^ numbers ^ np.uint64(number) ^ band.salt)[kept])
+    return np.concatenate(out), enough
+
+
+def single_signatures(features: np.ndarray) -> np.ndarray:
+    keys, wanted = mixed(features ^ SINGLE.salt), may_lose(len(features)) + 1 + SINGLE.spare
+    return np.partition(keys, wanted - 1)[:wanted] if len(keys) > wanted else keys
+
+
+def all_signatures(features: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(level, signatures) of a set that has features."""
+    own = int(np.searchsorted(BOUNDS, len(features), "right")) - 1
+    out, all_enough = [], True
+    for band in BANDS[own : own + 2]:
+        found, enough = signatures(features, band)
+        out.append((band.level, found))
+        all_enough &= enough
+    if not all_enough:
+        out.append((SINGLE.level, single_signatures(features)))
+    return out
+
+
+def _packed(keys: np.ndarray, levels: np.ndarray, names: np.ndarray) -> bytes:
+    """Signatures of one group: the number of them, then the upper halves of their hashes, levels and names."""
+    upper = (keys >> np.uint64(32)).astype("<u4")
+    cut = names.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :NAME_BYTES]
+    return len(keys).to_bytes(4, "little") + upper.tobytes() + levels.astype(np.uint8).tobytes() + cut.tobytes()
+
 
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = int.from_bytes(data[:4], "little")
+    names = np.zeros((n, 8), np.uint8)
+    names[:, :NAME_BYTES] = np.frombuffer(data, np.uint8, offset=4 + 5 * n).reshape(n, NAME_BYTES)
+    return np.frombuffer(data, "<u4", n, 4), np.frombuffer(data, np.uint8, n, 4 + 4 * n), names.view("<u8").ravel()
 
-def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int, bytes]]]:
+
+def name_of(high: Column) -> Column:
+    return high.bitwiseAND(F.lit((1 << 8 * NAME_BYTES) - 1))
+
+
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int | None, int, bytes]]]:
     held, size = [], 0
     for batch in batches:
-        for doc, row, text in zip(*(batch.column(n).to_pylist() for n in ("row_id", "row_hash", "text"))):
+        for doc, row, text in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "row_hash", "text"))):
             data = text.encode()
             held.append((doc, row, data))
             size += len(data)
@@ -157,103 +241,106 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, in
         yield held
 
 
-def _signed(groups: int, fineness: int):
-    """kind 0: signatures (keys, level, set) for their group. kind 1: documents with their set, and whether it signs enough."""
+def _signed(groups: int):
+    """kind 0: packed signatures for their group. kind 1: documents with their sets; level is 1 for those without an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bounds, all_instances = instances(fineness)
         for docs in _documents(batches):
-            numbers: dict[tuple[int, int], int] = {}
-            sets, keys, levels, owners, enough = [], [], [], [], []
+            signed: set[tuple[int, int]] = set()
+            sets, keys, levels, names = [], [], [], []
             for _, _, data in docs:
                 features = shingles(data)
                 name = set_id(features)
-                sets.append((name, len(features)))
-                if name in numbers or not len(features):
+                sets.append((*name, len(features)))
+                if name in signed or not len(features):
                     continue
-                number = numbers[name] = len(numbers)
-                own = int(np.searchsorted(bounds, len(features), "right")) - 1
-                for instance in all_instances[own : own + 2]:
-                    found, ok = signatures(features, instance)
+                signed.add(name)
+                for level, found in all_signatures(features):
                     keys.append(found)
-                    levels.append(np.full(len(found), instance.level))
-                    owners.append(np.full(len(found), number))
-                    if instance.level == own:
-                        enough.append(ok)
+                    levels.append(np.full(len(found), level, np.uint8))
+                    names.append(np.full(len(found), name[0], np.int64))
             out = []
             if keys:
-                key, level, owner = np.concatenate(keys), np.concatenate(levels), np.concatenate(owners)
-                names = np.array(list(numbers), np.int64).reshape(-1, 2)
+                key, level, name = np.concatenate(keys), np.concatenate(levels), np.concatenate(names)
                 for part, i in by_value((key % np.uint64(groups)).astype(np.int64)):
-                    used, local = np.unique(owner[i], return_inverse=True)
-                    out.append({"part": part, "kind": 0, "keys": key[i].view(np.int64), "level": level[i], "doc": local, "high": names[used, 0], "low": names[used, 1]})
-            high, low = np.array([x[0][0] for x in sets]), np.array([x[0][1] for x in sets])
-            few = np.array([size > 0 and not enough[numbers[name]] for name, size in sets])
-            ids, rows, size = np.array([d[0] for d in docs]), np.array([d[1] for d in docs]), np.array([x[1] for x in sets])
-            for part, i in by_value((rows.astype(np.uint64) % np.uint64(groups)).astype(np.int64)):
-                out.append({"part": part, "kind": 1, "ids": ids[i], "rows": rows[i], "high": high[i], "low": low[i], "size": size[i], "level": few[i]})
-            yield list_batch(_SEEN, out)
+                    out.append({"part": part, "kind": 0, "data": _packed(key[i], level[i], name[i])})
+            high, low, size = (np.array([x[i] for x in sets], np.int64) for i in range(3))
+            ids, rows = np.array([d[0] or 0 for d in docs], np.int64), np.array([d[1] for d in docs], np.int64)
+            without = np.array([d[0] is None for d in docs])
+            for part, i in by_value((mixed((ids ^ rows).view(np.uint64)) % np.uint64(groups)).astype(np.int64)):
+                out.append({"part": part, "kind": 1, "ids": ids[i], "rows": rows[i], "high": high[i], "low": low[i], "size": size[i], "level": without[i]})
+            yield list_batch(_SENT, out)
 
     return run
 
 
-_MET = "part int, kind int, keys array<bigint>, level array<int>, count array<int>, high array<bigint>, low array<bigint>, ids array<bigint>, rows array<bigint>, size array<int>"
+def _met_batch(**columns: np.ndarray) -> pa.RecordBatch:
+    n = len(next(iter(columns.values())))
+    types = {"kind": pa.int32(), "level": pa.int32(), "count": pa.int32(), "size": pa.int32()}
+    names = [x.split()[0] for x in _MET.split(", ")]
+    values = [pa.array(columns[x], types.get(x, pa.int64())) if x in columns else pa.nulls(n, types.get(x, pa.int64())) for x in names]
+    return pa.RecordBatch.from_arrays(values, names)
 
 
-def _met(groups: int):
-    """Signatures that two sets share: (key, level, number of sets, set), dealt by set; documents pass."""
+def _met(group: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """kind 0: signatures that two sets share, with the number of sets, ``FREQUENT`` at most. kind 1: documents pass.
 
-    def run(table: pa.Table) -> pa.Table:
-        kinds = table.column("kind").to_numpy()
-        out: list[dict] = []
-        passed = table.filter(pa.array(kinds == 1))
-        if passed.num_rows:
-            out.append({"part": -1, "kind": 1} | {n: flat(passed, n) for n in ("level", "high", "low", "ids", "rows", "size")})
-        table = table.filter(pa.array(kinds == 0))
-        if table.num_rows:
-            per_row, sets = sizes_of(table, "doc"), sizes_of(table, "high")
-            owner = flat(table, "doc") + np.repeat(np.cumsum(sets) - sets, per_row)
-            keys, level = flat(table, "keys"), flat(table, "level")
-            _, number = np.unique(np.stack([flat(table, "high"), flat(table, "low")], axis=1), axis=0, return_inverse=True)
-            number = number.ravel()[owner]
-            order = np.lexsort((number, keys))
-            keys, level, number, owner = keys[order], level[order], number[order], owner[order]
-            new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (number[1:] != number[:-1])])
-            keys, level, owner = keys[new], level[new], owner[new]
-            begins = run_starts(keys)
-            count = np.repeat(np.diff([*begins, len(keys)]), np.diff([*begins, len(keys)]))
-            shared = count > 1
-            keys, level, owner, count = keys[shared], level[shared], owner[shared], count[shared]
-            high, low = flat(table, "high")[owner], flat(table, "low")[owner]
-            for part, i in by_value((high.astype(np.uint64) % np.uint64(groups)).astype(np.int64)):
-                out.append({"part": part, "kind": 0, "keys": keys[i], "level": level[i], "count": count[i], "high": high[i], "low": low[i]})
-        return pa.Table.from_batches([list_batch(_MET, out)])
-
-    return run
-
-
-def _rarest(fineness: int):
-    """Of each set and level, the shared signatures less the ``spare`` most frequent."""
-
-    def run(table: pa.Table) -> pa.Table:
-        spare = np.array([x.spare for x in instances(fineness)[1]])
-        keys, level, count, high, low = (flat(table, n) for n in ("keys", "level", "count", "high", "low"))
-        order = np.lexsort((keys, -count, level, low, high))
-        keys, level, high, low = keys[order], level[order], high[order], low[order]
-        new = np.ones(len(keys), bool)
-        new[1:] = (level[1:] != level[:-1]) | (high[1:] != high[:-1]) | (low[1:] != low[:-1])
-        begins = np.flatnonzero(new)
-        rank = np.arange(len(keys)) - np.repeat(begins, np.diff([*begins, len(keys)]))
-        kept = rank >= spare[level] if len(keys) else rank > 0
-        values = [pa.array(x[kept].astype(np.int64), pa.int64()) for x in (keys, high, low)]
-        return pa.table([*values], ["key", "high", "low"])
+    A signature's sets are let go as soon as it is known to be frequent, so what is held does not grow with a hot one.
+    """
+    upper_half = int(group[0].as_py()) << 32
+    frequent = np.zeros(0, np.uint32)
+    waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def shared(keys: np.ndarray, levels: np.ndarray, names: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        return _met_batch(kind=np.zeros(len(keys), np.int32), key=keys.astype(np.int64) | upper_half, level=levels, count=counts, name=names.view(np.int64))
+
+    def settled(last: bool) -> pa.RecordBatch:
+        nonlocal frequent
+        keys, levels, names = (np.concatenate(x) for x in zip(*waiting))
+        order = np.lexsort((names, keys))
+        keys, levels, names = keys[order], levels[order], names[order]
+        new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (names[1:] != names[:-1])])
+        keys, levels, names = keys[new], levels[new], names[new]
+        begins = run_starts(keys)
+        sizes = np.diff([*begins, len(keys)])
+        count = np.minimum(np.repeat(sizes, sizes), FREQUENT)
+        frequent = np.union1d(frequent, keys[begins[sizes >= FREQUENT]])
+        known = (count > 1) if last else (count == FREQUENT)
+        waiting[:] = [(keys[~known], levels[~known], names[~known])]
+        return shared(keys[known], levels[known], names[known], count[known])
 
-    return run
+    for batch in batches:
+        kinds = batch.column(1).to_numpy()
+        for kind in (0, 1):
+            rows = batch.filter(pa.array(kinds == kind))
+            if kind == 1 and rows.num_rows:
+                table = pa.Table.from_batches([rows])
+                ids, without = flat(table, "ids"), flat(table, "level") == 1
+                high = flat(table, "high")
+                own = {"row": flat(table, "rows"), "high": high, "low": flat(table, "low"), "size": flat(table, "size")}
+                yield _met_batch(kind=np.ones(len(ids), np.int32), id=pa.array(ids, mask=without), name=high & ((1 << 8 * NAME_BYTES) - 1), **own)
+            elif rows.num_rows:
+                keys, levels, names = (np.concatenate(x) for x in zip(*map(_unpacked, rows.column(2).to_pylist())))
+                if len(frequent) and (hot := np.isin(keys, frequent)).any():
+                    yield shared(keys[hot], levels[hot], names[hot], np.full(hot.sum(), FREQUENT))
+                    keys, levels, names = keys[~hot], levels[~hot], names[~hot]
+                waiting.append((keys, levels, names))
+                if sum(len(x[0]) for x in waiting) >= HELD_SIGNATURES:
+                    yield settled(False)
+    if waiting:
+        yield settled(True)
+
+
+def _rarest(shared: DataFrame) -> DataFrame:
+    """key, name: of each set and level, the shared signatures less the ``spare`` most frequent."""
+    spare = F.element_at(F.array(*[F.lit(x.spare) for x in (*BANDS, SINGLE)]), F.col("level") + 1)
+    by_frequency = Window.partitionBy("name", "level").orderBy(F.desc("count"), "key")
+    return shared.select("key", "name", "level", F.dense_rank().over(by_frequency).alias("at")).where(F.col("at") > spare).select("key", "name")
 
 
 # -- comparison --------------------------------------------------------------------------
 
-_ELEMENTS = "set struct<high:bigint,low:bigint>, n int, sketch array<bigint>, features array<bigint>"
+_ELEMENTS = "name bigint, set struct<high:bigint,low:bigint>, n int, words array<bigint>, sketch array<bigint>, features array<bigint>"
 
 
 def sketch(features: np.ndarray) -> np.ndarray:
@@ -263,13 +350,19 @@ def sketch(features: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
+def shortened(words: np.ndarray) -> np.ndarray:
+    """A sketch of ``BLOCK_WORDS`` words at most."""
+    return np.bitwise_xor.reduce(words.reshape(-1, BLOCK_WORDS), axis=0) if len(words) > BLOCK_WORDS else words
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for big in batches:
         for at in range(0, big.num_rows, 512):
             batch = big.slice(at, 512)
-            found = [shingles(x.encode()) for x in batch.column(1).to_pylist()]
-            values = [pa.array([len(x) for x in found], pa.int32()), pa.array([sketch(x) for x in found], pa.list_(pa.int64())), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *values], ["set", "n", "sketch", "features"])
+            found = [shingles(x.encode()) for x in batch.column(2).to_pylist()]
+            sketches = [sketch(x) for x in found]
+            lists = (pa.array(x, pa.list_(pa.int64())) for x in ([shortened(x) for x in sketches], sketches, [x.view(np.int64) for x in found]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in found], pa.int32()), *lists], ["name", "set", "n", "words", "sketch", "features"])
 
 
 def _folded(x: Column, size: Column) -> Column:
@@ -303,13 +396,13 @@ def _links(pairs: DataFrame, elements: DataFrame) -> DataFrame:
 
 
 def _distinct_groups(shared: DataFrame) -> DataFrame:
-    """Of signatures (key, set) with the same sets, one; sets are told by three sums of hashes and their number."""
-    sums = [F.sum(F.shiftright(F.xxhash64("set", F.lit(i)), 20)).alias(f"h{i}") for i in range(3)]
+    """Of signatures (key, name) with the same sets, one; sets are told by three sums of hashes and their number."""
+    sums = [F.sum(F.shiftright(F.xxhash64("name", F.lit(i)), 20)).alias(f"h{i}") for i in range(3)]
     members = shared.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *sums)
     keys = members.groupBy("n", "h0", "h1", "h2").agg(F.min("key").alias("key")).where("n > 1").select("key")
     # sets by how many signatures they share: an original before its edited copies
-    degree = shared.groupBy("set").agg((-F.count(F.lit(1))).alias("d")).select("set", F.struct("d", "set").alias("by"))
-    return shared.join(keys, "key", "left_semi").join(degree, "set").select("key", "set", "by")
+    degree = shared.groupBy("name").agg((-F.count(F.lit(1))).alias("d"))
+    return shared.join(keys, "key", "left_semi").join(degree, "name").select("key", "name", "d")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -331,6 +424,88 @@ def components(edges: DataFrame) -> DataFrame:
             return roots
 
 
+_BLOCKS = "key", "i", "j", "block", "high", "low", "root_high", "root_low", "n", "words"
+
+
+def _near_in_block(root: np.ndarray, size: np.ndarray, block: np.ndarray, words: np.ndarray, begin: np.ndarray, length: np.ndarray, nearest: int | None) -> tuple[list[tuple[int, int]], bool]:
+    """Pairs of different roots that the sketches leave, and whether ``nearest`` has left some out.
+
+    ``words`` has the sketches, that of a set from its ``begin`` and of its ``length``.
+    """
+    if (root == root[0]).all():
+        return [], False
+    folded: dict[int, np.ndarray] = {}
+    lengths = np.unique(length)
+    for n in lengths:
+        folded[int(n)] = np.zeros((len(root), n), np.uint64)
+        for longer in lengths[lengths >= n]:
+            x = np.flatnonzero(length == longer)
+            folded[int(n)][x] = np.bitwise_xor.reduce(words[begin[x][:, None] + np.arange(longer)].reshape(len(x), -1, n), axis=1)
+    # the sets of the largest component come last and so are never compared with each other
+    count = np.bincount(root)
+    order = np.lexsort((root, count[root]))
+    begins = run_starts(root[order])
+    end = np.repeat([*begins[1:], len(order)], np.diff([*begins, len(order)]))
+    several = (block != block[0]).any()
+    out, cut = [], False
+    for at, x in enumerate(order[: begins[-1]]):
+        later = order[end[at] :]
+        if several:
+            later = later[block[later] != block[x]]
+        near = np.minimum(size[later], size[x]) * 100 >= np.maximum(size[later], size[x]) * PERCENT
+        later = later[near]
+        odd = np.zeros(len(later), np.int64)
+        common = np.minimum(length[later], length[x])
+        for n in np.unique(common):
+            of = common == n
+            odd[of] = np.bitwise_count(folded[int(n)][later[of]] ^ folded[int(n)][x]).sum(axis=1, dtype=np.int64)
+        left = (100 + PERCENT) * odd <= (100 - PERCENT) * (size[later] + size[x])
+        later, odd = later[left], odd[left]
+        if nearest is not None and len(later) > nearest:
+            later, cut = later[np.argpartition(odd, nearest)[:nearest]], True
+        out += [(x, y) for y in later]
+    return out, cut
+
+
+def _compared(nearest: int | None):
+    """Of blocks of signatures, pairs a, b that the sketches leave, and whether a block has more."""
+
+    def run(table: pa.Table) -> pa.Table:
+        key, i, j, block, high, low, root_high, root_low, size = (table.column(n).to_numpy() for n in _BLOCKS[:-1])
+        _, root = np.unique(np.stack([root_high, root_low], axis=1), axis=0, return_inverse=True)
+        length = sizes_of(table, "words")
+        words, begin = flat(table, "words").view(np.uint64), np.cumsum(length) - length
+        order = np.lexsort((j, i, key))
+        new = np.concatenate([[True], (np.diff(key[order]) != 0) | (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0)])
+        begins = np.flatnonzero(new)
+        pairs, cut = set(), False
+        for members in np.split(order, begins[1:]):
+            _, local = np.unique(root.ravel()[members], return_inverse=True)
+            found, more = _near_in_block(local, size[members].astype(np.int64), block[members], words, begin[members], length[members], nearest)
+            cut |= more
+            for x, y in found:
+                a, b = (high[members[x]], low[members[x]]), (high[members[y]], low[members[y]])
+                pairs.add((max(a, b), min(a, b)))
+        ab = np.array(list(pairs), np.int64).reshape(-1, 4)
+        return pa.table([*(pa.array(ab[:, c]) for c in range(4)), pa.array([cut] * len(ab), pa.bool_())], ["a_high", "a_low", "b_high", "b_low", "cut"])
+
+    return run
+
+
+def _left_by_sketches(labelled: DataFrame, elements: DataFrame, nearest: int | None) -> DataFrame:
+    """a, b, cut: pairs to compare of signatures (key, set, root) with several roots."""
+    open_keys = labelled.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("members")).where("x <> y").select("key", "members")
+    left = stored(labelled.join(open_keys, "key").select("key", "set", "root", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "open")
+    parts = max(1, left.agg(F.sum("blocks")).first()[0] or 0) // HELD_SETS + 1
+    blocks = left.join(elements.select("set", "n", "words"), "set").withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
+    blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    blocks = blocks.select("key", "i", "j", "block", "set.high", "set.low", F.col("root.high").alias("root_high"), F.col("root.low").alias("root_low"), "n", "words")
+    blocks = blocks.withColumn("part", F.pmod(F.xxhash64("key", "i", "j"), F.lit(parts)))
+    found = blocks.groupBy("part").applyInArrow(_compared(nearest), "a_high bigint, a_low bigint, b_high bigint, b_low bigint, cut boolean")
+    sides = [F.struct(F.col(f"{x}_high").alias("high"), F.col(f"{x}_low").alias("low")).alias(x) for x in "ab"]
+    return found.select(*sides, "cut").groupBy("a", "b").agg(F.max("cut").alias("cut"))
+
+
 def _connected(shared: DataFrame, elements: DataFrame) -> DataFrame:
     """set, root: the components of all sets that share signatures (key, set) and have a link."""
     least = shared.groupBy("key").agg(F.min("by").alias("first"))
@@ -338,25 +513,17 @@ def _connected(shared: DataFrame, elements: DataFrame) -> DataFrame:
     first = first.select("x", F.col("first.set").alias("y"))
     compared = stored(first.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "pairs")
     links = stored(_links(compared, elements), "links")
-    centres = FIRST_CENTRES
-    while True:
+    for nearest in (NEAREST, None):
         roots = components(links).withColumnsRenamed({"node": "set"})
-        labelled = shared.join(roots, "set", "left").select("key", "set", "by", F.coalesce("root", "set").alias("root"))
-        open_keys = labelled.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y").select("key", "n")
-        left = stored(labelled.join(open_keys, "key"), "open")
-        most = left.agg(F.max("n")).first()[0]
-        if most is None:
-            return roots
-        ranked = left.select("key", "set", "root", F.row_number().over(Window.partitionBy("key").orderBy("by")).alias("at")).where(F.col("at") <= centres)
-        chosen = ranked.select("key", F.col("set").alias("b"), F.col("root").alias("root_b"))
-        asked = left.join(chosen, "key").where((F.col("root") != F.col("root_b")) & (F.col("set") != F.col("b")))
-        pairs = asked.select(F.greatest("set", "b").alias("a"), F.least("set", "b").alias("b")).distinct().join(compared, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
+        labelled = shared.join(roots, "set", "left").select("key", "set", F.coalesce("root", "set").alias("root"))
+        pairs = stored(_left_by_sketches(labelled, elements, nearest), "pairs")
+        cut = pairs.where("cut").limit(1).count()
+        pairs = pairs.select("a", "b").join(compared, ["a", "b"], "left_anti")
         links = stored(links.unionByName(_links(pairs, elements)), "links")
-        compared = stored(compared.unionByName(pairs), "compared")
-        if most <= centres:
-            return components(links).withColumnsRenamed({"node": "set"})
-        centres *= FIRST_CENTRES
+        compared = compared.unionByName(pairs)
+        if not cut:
+            break
+    return components(links).withColumnsRenamed({"node": "set"})
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -371,32 +538,25 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), text_of(text).alias("text")).withColumn("row_hash", F.xxhash64("text"))
-    rows = rows.withColumn("row_id", F.coalesce("doc_id", F.lit(np.iinfo(np.int64).max)))
     total = rows.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
     groups = int(total // GROUP_BYTES) + int(spark.conf.get("spark.sql.shuffle.partitions"))
-    fineness = 1
-    while True:
-        signed = rows.select("row_id", "row_hash", "text").mapInArrow(_signed(groups, fineness), _SEEN)
-        met = stored(signed.groupBy("part").applyInArrow(_met(groups), _MET), "signatures", "kind")
-        zipped = F.explode(F.arrays_zip("ids", "rows", "high", "low", "size", "level")).alias("x")
-        found = met.where("kind = 1").select(zipped).select("x.ids", "x.rows", F.struct("x.high", "x.low").alias("set"), "x.size", "x.level")
-        if not found.where("level > 0").limit(1).count():
-            break
-        fineness *= 4  # a set with too few signatures: in the end each feature is a part
-    shared = met.where("kind = 0").groupBy("part").applyInArrow(_rarest(fineness), "key bigint, high bigint, low bigint").select("key", F.struct("high", "low").alias("set"))
-    shared = stored(_distinct_groups(stored(shared, "shared")), "groups")
-    wanted = shared.select("set").distinct()
-    first_rows = found.join(wanted, "set").groupBy("set").agg(F.min(F.struct("ids", "rows")).alias("row"))
-    first_rows = first_rows.select("set", F.col("row.ids").alias("_id"), F.col("row.rows").alias("_hash"))
-    texts = rows.join(first_rows, (F.col("row_id") == F.col("_id")) & (F.col("row_hash") == F.col("_hash"))).select("set", "text")
+    signed = rows.select("doc_id", "row_hash", "text").mapInArrow(_signed(groups), _SENT)
+    met = stored(signed.groupBy("part").applyInArrow(_met, _MET), "signatures", "kind")
+    found = met.where("kind = 1").select("id", "row", "name", F.struct("high", "low").alias("set"), "size")
+    shared = stored(_rarest(met.where("kind = 0")), "shared")
+    groups_of_names = stored(_distinct_groups(shared), "groups")
+    wanted = groups_of_names.select("name").distinct()
+    first_rows = found.where("size > 0").join(wanted, "name").groupBy("name", "set").agg(F.min(F.struct(F.coalesce("id", F.lit(0)).alias("id"), "row")).alias("first"))
+    first_rows = first_rows.select("name", "set", F.col("first.id").alias("_id"), F.col("first.row").alias("_row"))
+    texts = rows.join(first_rows, (F.coalesce("doc_id", F.lit(0)) == F.col("_id")) & (F.col("row_hash") == F.col("_row"))).select("name", "set", "text")
     elements = stored(texts.mapInArrow(_features, _ELEMENTS).dropDuplicates(["set"]), "elements")
-    roots = _connected(shared, elements)
-    sets = found.groupBy("set").agg(F.min("ids").alias("least")).join(roots, "set", "left").select("set", F.coalesce("root", "set").alias("root"), "least")
+    sets_of_names = groups_of_names.join(elements.select("name", "set"), "name")
+    roots = _connected(stored(sets_of_names.select("key", "set", F.struct("d", "set").alias("by")), "groups"), elements)
+    sets = found.groupBy("set").agg(F.min("id").alias("least")).join(roots, "set", "left").select("set", F.coalesce("root", "set").alias("root"), "least")
     of_root = sets.groupBy("root").agg(F.min("least").alias("component"))
     of_set = sets.join(of_root, "root").select("set", "component")
-    component = F.when(F.col("size") == 0, F.col("ids")).otherwise(F.col("component"))
-    no_id = F.lit(np.iinfo(np.int64).max)
-    out = found.join(of_set, "set").select(F.nullif("ids", no_id).alias("doc_id"), F.col("size").cast("bigint").alias("n_shingles"), F.nullif(component, no_id).alias("component_id"), F.col("rows").alias("row_hash"))
+    component = F.when(F.col("size") == 0, F.col("id")).otherwise(F.col("component"))
+    out = found.join(of_set, "set").select(F.col("id").alias("doc_id"), F.col("size").cast("bigint").alias("n_shingles"), component.alias("component_id"), F.col("row").alias("row_hash"))
     return out.withColumn("representative", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

@@ -53,19 +53,43 @@ def test_components(documents, dice):
     assert by_id((r.doc_id, r.n_shingles, r.component_id) for r in found) == brute_components(rows)
 
 
-def test_families_larger_than_the_first_rounds(documents, dice, monkeypatch):
-    monkeypatch.setattr(jaccard, "FIRST_CENTRES", 2)
+def test_families_larger_than_a_block(documents, dice, monkeypatch):
+    """Blocks, sketches cut short and the limit on near sets of the first comparison change no result."""
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    monkeypatch.setattr(jaccard, "NEAREST", 1)
+    monkeypatch.setattr(jaccard, "BLOCK_WORDS", 1)
     base = [f"w{i}" for i in range(60)]
     rows = []
-    for i in range(30):
+    for i in range(40):
         text = list(base)
-        for at in dice.sample(range(60), 2):
+        for at in dice.sample(range(60), dice.choice([1, 1, 2, 2, 3])):
             text[at] = f"x{i}-{at}"
         rows.append((i, " ".join(text)))
     found = jaccard.jaccard_components(documents(rows)).collect()
     assert by_id((r.doc_id, r.n_shingles, r.component_id) for r in found) == brute_components(rows)
 
 
+def test_near_in_block(dice):
+    """The same pairs as from every two sketches."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, 400).astype(np.uint64)
+    sets = [np.unique(np.concatenate([dice.choice([base, base[:300]])[int(rng.integers(0, 60)) :], rng.integers(0, 1 << 63, int(rng.integers(0, 60))).astype(np.uint64)])) for _ in range(60)]
+    words, size = [jaccard.shortened(jaccard.sketch(x)) for x in sets], np.array([len(x) for x in sets])
+    root, block = rng.integers(0, 8, 60), rng.integers(0, 2, 60)
+    lengths = np.array([len(x) for x in words])
+    found, cut = jaccard._near_in_block(np.unique(root, return_inverse=True)[1], size, block, np.concatenate(words).view(np.uint64), np.cumsum([0, *lengths[:-1]]), lengths, None)
+    wanted = set()
+    for i in range(60):
+        for j in range(i):
+            n = min(len(words[i]), len(words[j]))
+            x, y = (np.bitwise_xor.reduce(words[k].reshape(-1, n), axis=0).view(np.uint64) for k in (i, j))
+            odd = sum(int(w).bit_count() for w in x ^ y)
+            near = min(size[i], size[j]) * 100 >= 75 * max(size[i], size[j])
+            if root[i] != root[j] and block[i] != block[j] and near and 175 * odd <= 25 * (size[i] + size[j]):
+                wanted.add((j, i))
+    assert {(min(p), max(p)) for p in found} == wanted and wanted and not cut
+
+
 def test_one_of_each(documents):
     rows = [(4, "a b c"), (2, "A b  c"), (9, "other words"), (None, "a b c"), (None, "alone"), (7, None)]
     left = jaccard.one_of_each(documents(rows))
@@ -75,19 +99,51 @@ def test_one_of_each(documents):
 
 def test_similar_sets_share_signatures():
     """Of every two similar sets, what remains after the spare signatures are left out overlaps."""
-    bounds, every = jaccard.instances()
     rng = np.random.default_rng(1)
-    for size in (1, 3, 4, 5, 7, 12, 30, 65, 100, 210, 270, 500, 900):
-        for _ in range(20):
+    spare = {x.level: x.spare for x in (*jaccard.BANDS, jaccard.SINGLE)}
+    few = 0
+    for size in (1, 2, 3, 4, 5, 6, 7, 9, 10, 12, 13, 14, 18, 19, 25, 30, 46, 47, 65, 84, 100, 210, 270, 500, 900):
+        for _ in range(40):
             a = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
-            most = int(len(a) / 7)
-            b = np.unique(np.concatenate([a[most:], rng.integers(0, 1 << 63, most).astype(np.uint64)])) if most else a
+            gone, new = (int(x) for x in rng.integers(0, size // 7 + 2, 2))
+            b = np.unique(np.concatenate([a[gone:], rng.integers(0, 1 << 63, new).astype(np.uint64)]))
             if 100 * len(np.intersect1d(a, b)) < 75 * len(np.union1d(a, b)):
                 continue
-            larger = max(len(a), len(b))
-            instance = every[int(np.searchsorted(bounds, larger, "right")) - 1]
-            (x, ok), (y, _) = jaccard.signatures(a, instance), jaccard.signatures(b, instance)
-            assert ok and len(np.intersect1d(x, y)) > instance.spare
+            of_a, of_b = dict(jaccard.all_signatures(a)), dict(jaccard.all_signatures(b))
+            few += jaccard.SINGLE.level in of_a
+            assert any(len(np.intersect1d(of_a[x], of_b[x])) > spare[x] for x in of_a.keys() & of_b.keys()), (len(a), len(b))
+    assert few
+
+
+def test_signatures_pack_and_meet():
+    """What is let go early because it is frequent, and what waits to the end, gives each signature's sets."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    upper, level, name = rng.integers(0, 50, 6000), rng.integers(0, 70, 6000), rng.integers(0, 1 << 40, 6000)
+    upper[:3000] = 7
+    keys = upper.astype(np.uint64) << np.uint64(32)
+    found = [x.tolist() for x in jaccard._unpacked(jaccard._packed(keys, level, name))]
+    assert found == [upper.tolist(), level.tolist(), name.tolist()]
+    batches = [jaccard.list_batch(jaccard._SENT, [{"part": 2, "kind": 0, "data": jaccard._packed(keys[i : i + 500], level[i : i + 500], name[i : i + 500])}]) for i in range(0, 6000, 500)]
+    wanted = sorted((2 << 32 | k, n) for k, n in zip(upper.tolist(), name.tolist()))
+    before = jaccard.HELD_SIGNATURES, jaccard.FREQUENT
+    try:
+        for held, frequent in ((10**6, 10**6), (700, 1000)):
+            jaccard.HELD_SIGNATURES, jaccard.FREQUENT = held, frequent
+            rows = [r for out in jaccard._met((pa.scalar(2),), iter(batches)) for r in out.to_pylist()]
+            assert sorted((r["key"], r["name"]) for r in rows) == wanted
+            counts = {r["key"] & 0xFFFFFFFF: r["count"] for r in rows}
+            assert counts == {k: min(int((upper == k).sum()), frequent) for k in set(upper.tolist())}
+    finally:
+        jaccard.HELD_SIGNATURES, jaccard.FREQUENT = before
+
+
+def test_names_that_two_sets_have(documents, dice, monkeypatch):
+    monkeypatch.setattr(jaccard, "set_id", lambda features: (len(features) and int(features[0]) & 3, int(jaccard.mixed(features).sum().view(np.int64))))
+    rows = near_copies(dice, 60)
+    found = jaccard.jaccard_components(documents(rows)).collect()
+    assert by_id((r.doc_id, r.n_shingles, r.component_id) for r in found) == brute_components(rows)
 
 
 def test_sketches_never_exceed_the_difference():
