@@ -17,7 +17,7 @@ _PHONE = re.compile(r"(?:0(?:[789]0)[0-9]{8}|0[0-9]{1,4}[-－][0-9]{1,4}[-－][0
 _STUDENT = re.compile(r"\b[A-Z]?\d{7,10}\b", re.ASCII)
 _STUDENT_CONTEXT = re.compile(r"学籍(?:番号|No\.?|ID)|学生番号|student\s*(?:number|no\.?|id)", re.IGNORECASE)
 _REACH = 16
-#: What every hit holds; texts without it never reach Python.
+#: What every hit holds; texts without it don't travel to Python.
 _POSSIBLE = r"@|0[0-9]{1,4}[-－][0-9]|[0-9]{7}"
 
 SPANS = "array<struct<type:string,start:int,end:int,value:string>>"
@@ -44,7 +44,7 @@ def masked_text(text: str) -> str:
 
 @arrow_function(SPANS)
 def _spans(text: pd.Series) -> pd.Series:
-    return text.map(lambda x: [dict(zip(("type", "start", "end", "value"), s)) for s in spans_of(x)])
+    return text.map(lambda x: [dict(zip(("type", "start", "end", "value"), s)) for s in spans_of(x or "")])
 
 
 @arrow_function("string")
@@ -58,8 +58,9 @@ def possible(text: Column) -> Column:
 
 
 def pii_spans(text: Column) -> Column:
-    return _spans(text)
+    """All hits; none in a null text."""
+    return _spans(F.when(possible(text), text))
 
 
 def masked(text: Column) -> Column:
-    return F.when(possible(text), _masked(text)).otherwise(text)
+    return F.coalesce(_masked(F.when(possible(text), text)), text)

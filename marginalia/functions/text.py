@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -24,8 +25,29 @@ def nfkc(text: pd.Series) -> pd.Series:
 
 
 def composed(text: Column) -> Column:
-    """NFKC, with Python only where a character outside ASCII may need it."""
-    return F.when(text.rlike(r"[^\x00-\x7f]"), nfkc(text)).otherwise(text)
+    """NFKC. Only texts with characters outside ASCII travel to Python; the others are null there."""
+    return F.coalesce(nfkc(F.when(text.rlike(r"[^\x00-\x7f]"), text)), text)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+_UNIT = "\x1f"
+
+
+def composed_each(texts: Column) -> Column:
+    """NFKC of an array's texts, which travel as one; a unit separator inside them counts as a space."""
+    joined = F.array_join(F.transform(texts, lambda x: F.translate(x, _UNIT, " ")), _UNIT)
+    return F.when(F.size(texts) == 0, texts).otherwise(F.split(composed(joined), _UNIT))
+
+
+def sign_spans(parts: Column, opening: str, found: Callable[[Column, Column], Column]) -> Column:
+    """``parts`` of a text cut at closing signs: the first end at which no opening sign is open, or null; ``found`` gets (parts, end)."""
+    opened = F.transform(parts, lambda x: F.length(x) - F.length(F.replace(x, F.lit(opening), F.lit(""))))
+    depths = F.transform(opened, lambda _, i: F.aggregate(F.slice(opened, F.lit(1), i + 1), F.lit(0), lambda n, x: n + x) - i)
+    return let(F.array_position(F.slice(depths, F.lit(1), F.size(parts) - 1), 0), lambda at: F.when(at > 0, found(parts, at.cast("int"))))
 
 
 def or_empty(text: Column) -> Column:
@@ -89,16 +111,40 @@ def entities_decoded(text: Column) -> Column:
     out = or_empty(text)
     for pattern, sign in _ENTITIES.items():
         out = F.regexp_replace(out, f"(?i){pattern}", sign)
-    numbers = F.array_distinct(F.regexp_extract_all(out, F.lit(r"&#(\d{1,7});"), F.lit(1)))
-    decoded = F.aggregate(numbers, out, lambda acc, n: F.replace(acc, F.concat(F.lit("&#"), n, F.lit(";")), _character(n.cast("int"))))
+    tokens = F.regexp_extract_all(out, F.lit(r"&#\d+;|[^&]+|&"), F.lit(0))
+    codes = F.transform(tokens, lambda t: F.when(t.rlike(r"^&#\d+;\z"), F.coalesce(F.regexp_extract(t, r"\d+", 0).try_cast("int"), F.lit(_NO_CHARACTER))))
+    decoded = F.array_join(F.transform(tokens, lambda t, i: F.coalesce(_character(F.get(codes, i), F.get(codes, i - 1), F.get(codes, i + 1)), t)), "")
     return F.when(out.rlike(r"&#\d+;"), decoded).otherwise(out)
 
 
-def _character(code: Column) -> Column:
-    """``chr`` ends at 255: the code point is written as UTF-8 bytes."""
-    two = F.concat(F.hex(F.lit(192) + F.shiftright(code, 6)), F.hex(F.lit(128) + code.bitwiseAND(63)))
-    three = F.concat(F.hex(F.lit(224) + F.shiftright(code, 12)), F.hex(F.lit(128) + F.shiftright(code, 6).bitwiseAND(63)), F.hex(F.lit(128) + code.bitwiseAND(63)))
-    return F.when(code < 128, F.chr(code)).otherwise(F.decode(F.unhex(F.when(code < 2048, two).otherwise(three)), "UTF-8"))
+_NO_CHARACTER = 0xFFFD
+
+
+def _character(code: Column, before: Column, after: Column) -> Column:
+    """The character of a numeric entity, written as UTF-16; null for no entity.
+
+    The two halves of a surrogate pair give one character, the second of them nothing;
+    what no text can hold gives U+FFFD.
+    """
+    def first_half(c: Column) -> Column:
+        return F.coalesce(c.between(0xD800, 0xDBFF), F.lit(False))
+
+    def second_half(c: Column) -> Column:
+        return F.coalesce(c.between(0xDC00, 0xDFFF), F.lit(False))
+
+    def units(first: Column, second: Column) -> Column:
+        return F.decode(F.unhex(F.concat(F.hex(first), F.hex(second))), "UTF-16BE")
+
+    one = F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE")
+    two = units(F.lit(0xD800) + F.shiftright(code - 0x10000, 10), F.lit(0xDC00) + (code - 0x10000).bitwiseAND(1023))
+    return (
+        F.when(code.isNull(), F.lit(None).cast("string"))
+        .when(first_half(code) & second_half(after), units(code, after))
+        .when(second_half(code) & first_half(before), F.lit(""))
+        .when(code.between(0xD800, 0xDFFF) | (code > 0x10FFFF), F.lit(chr(_NO_CHARACTER)))
+        .when(code > 0xFFFF, two)
+        .otherwise(one)
+    )
 
 
 def has_japanese(text: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.references import reference_fields
-from marginalia.functions.text import bigrams, dice_of_sets, distinct_texts, folded, or_empty
+from marginalia.functions.text import LEFT_OUT, LEFT_OUT_ALSO, bigrams, composed, dice_of_sets, distinct_texts, folded, or_empty
 
 # Thresholds and weights of the comparison.
 TITLE_SCORE, TITLE_EQUAL, TITLE_PREFIX = 0.82, 0.86, 12
@@ -35,8 +35,6 @@ def _author_parts(authors: Column) -> Column:
 
 def folded_native(text: Column) -> Column:
     """``folded`` for texts that are composed already; a Python function can't run inside an array."""
-    from marginalia.functions.text import LEFT_OUT, LEFT_OUT_ALSO
-
     return F.regexp_replace(F.lower(text), f"[{LEFT_OUT}{LEFT_OUT_ALSO}]", "")
 
 
@@ -58,8 +56,10 @@ def _keys(title: Column, grams: Column, doi: Column) -> Column:
 def prepared_references(references: DataFrame, text: str = "text") -> DataFrame:
     """Adds the fields f, folded forms and blocking keys. Only the first 1000 code points of a reference count."""
     r = references.withColumn("reference", F.left(F.trim(text), F.lit(MAX_REFERENCE))).where("reference <> ''")
-    r = r.withColumn("f", reference_fields("reference"))
-    r = r.withColumns({"f_title": folded(F.coalesce("f.title", "reference")), "f_author": folded(F.col("f.author_area")), "f_journal": folded(F.col("f.journal")), "f_doi": folded(F.col("f.doi"))})
+    r = r.withColumn("f", reference_fields(F.col("reference")))
+    # the fields are parts of a composed text
+    own = {"title": F.coalesce("f.title", composed(F.col("reference"))), "author": F.col("f.author_area"), "journal": F.col("f.journal"), "doi": F.col("f.doi")}
+    r = r.withColumns({f"f_{name}": folded_native(or_empty(value)) for name, value in own.items()})
     r = r.withColumn("f_grams", bigrams(F.col("f_title")))
     return r.withColumn("f_keys", F.when(F.col("f_doi") != "", F.array(F.concat(F.lit("d:"), F.col("f_doi")))).when(_filled(F.col("f.title")), _title_keys(F.col("f_title"), F.col("f_grams"))))
 
@@ -67,8 +67,6 @@ def prepared_references(references: DataFrame, text: str = "text") -> DataFrame:
 def prepared_candidates(candidates: DataFrame) -> DataFrame:
     """candidates: cand_id, provider, doi, title, authors, journal, year, year_candidates, url."""
     years = F.when(F.size("year_candidates") > 0, F.col("year_candidates")).otherwise(distinct_texts(F.array("year")))
-    from marginalia.functions.text import composed
-
     c = candidates.withColumns({"c_years": years, "c_title": folded(F.col("title")), "c_author": folded(F.col("authors")), "c_journal": folded(F.col("journal")), "c_doi": folded(F.col("doi"))})
     c = c.withColumn("c_grams", bigrams(F.col("c_title"))).withColumn("c_composed", composed(or_empty(F.col("authors"))))
     c = c.withColumn("c_parts", _author_parts(F.col("c_composed")))

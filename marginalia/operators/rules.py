@@ -311,7 +311,7 @@ def no_references(t: DocTables) -> DataFrame:
 
 def undated_references(t: DocTables) -> DataFrame:
     prefix = F.split(composed(F.col("text")), "(?i)[「『“\"]|https?://").getItem(0)
-    found = t.references.where(~prefix.rlike(UNDATED)).withColumn("_d", reference_date("text")).where("_d.date_state = 'missing'")
+    found = t.references.where(~prefix.rlike(UNDATED)).withColumn("_d", reference_date(F.col("text"))).where("_d.date_state = 'missing'")
     order = F.regexp_extract("ref_id", r"(\d+)", 1).cast("bigint")
     return _findings(found, "undated_reference", "citations", "warning", location=F.col("ref_id"), seq=order)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.functions.text import SPACE, clean, composed, dice_of_sets, stripped
+from marginalia.functions.text import SPACE, clean, dice_of_sets, stripped
 
 # What the comparison of names leaves out, and departments that may follow a name.
 _SIGNS = SPACE + r"""「」『』“”"'（）()\[\]{}.,，。、:：;；・\-–—"""
@@ -30,13 +30,14 @@ def _name(folded: Column) -> Column:
 
 
 def _first(values: Column, test) -> Column:
-    return F.get(F.filter(values, test), F.lit(0))
+    """The first value whose composed form passes."""
+    return F.get(F.filter(values, lambda v: test(v["form"])), F.lit(0))["value"]
 
 
 def _nearest(values: Column, text: Column) -> Column:
     """The value most like the text; of equals the first."""
     own = _grams(_folded(text))
-    ranked = F.transform(values, lambda v, i: F.struct((-dice_of_sets(own, _grams(_folded(v)))).alias("d"), i.alias("i"), v.alias("v")))
+    ranked = F.transform(values, lambda v, i: F.struct((-dice_of_sets(own, _grams(_folded(v["form"])))).alias("d"), i.alias("i"), v["value"].alias("v")))
     return F.array_min(ranked)["v"]
 
 
@@ -47,13 +48,14 @@ def compared_sources(cited: DataFrame) -> DataFrame:
     publisher if equal, equal without its legal form, or for PDF texts with a department
     after it; a year if equal. Status: source_verified, source_mismatch or source_partial.
     """
-    joined = cited.withColumns({"_titles": F.transform("metadata.titles", lambda t: t), "_publishers": F.col("metadata.publishers")})
-    title = composed(clean(F.col("f.title")))
+    joined = cited
+    for name in ("title", "publisher"):  # each value with its composed form
+        joined = joined.withColumn(f"_{name}s", F.zip_with(f"metadata.{name}s", f"metadata.{name}_forms", lambda v, f: F.struct(v.alias("value"), f.alias("form"))))
+    title = clean(F.col("f.title"))  # the fields are parts of a composed text
     author = clean(F.col("f.author_area"))
     author = F.regexp_replace(F.regexp_replace(author, r"[（(.,]+\z", ""), rf"(?i)(?:HP|ホームページ|ウェブサイト|website)[{SPACE}]*\z", "")
-    author = composed(stripped(author))
+    author = stripped(author)
     joined = joined.withColumns({"_title": title, "_author": author})
-    # candidates are composed as they come from the readers' NFKC; the sides meet folded
     t, a, pdf = _folded(F.col("_title")), _folded(F.col("_author")), F.col("metadata.format") == "pdf"
     same_title = F.coalesce(_first(F.col("_titles"), lambda v: _folded(v) == t), F.when(pdf & (F.length(t) >= 8), _first(F.col("_titles"), lambda v: F.contains(_folded(v), t))))
     bare = _name(a)

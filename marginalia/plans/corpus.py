@@ -30,9 +30,9 @@ _DOCUMENTS: dict[int, list[tuple]] = {
 
 #: ref_id, text
 REFERENCES: list[tuple[str, str]] = [
-    ("r01", "伴・東山（2020）「小規模農業者による六次産業化の取り組みと顧客への新たな「価値創造」」『北海道大学農経論叢』, 74, 109-117."),
-    ("r02", "別人（2020）「小規模農業者による六次産業化の取り組みと顧客への新たな「価値創造」」『北海道大学農経論叢』, 74, 109-117."),
-    ("r03", "伴・東山（2019）「小規模農業者による六次産業化の取り組みと顧客への新たな「価値創造」」『北海道大学農経論叢』, 74, 109-117."),
+    ("r01", "林・西岡（2020）「山間地域の図書室における学習支援の試みと利用者への新たな「場づくり」」『架空大学教養論叢』, 74, 109-117."),
+    ("r02", "別人（2020）「山間地域の図書室における学習支援の試みと利用者への新たな「場づくり」」『架空大学教養論叢』, 74, 109-117."),
+    ("r03", "林・西岡（2019）「山間地域の図書室における学習支援の試みと利用者への新たな「場づくり」」『架空大学教養論叢』, 74, 109-117."),
     ("r04", "Author (2020) Article of record. https://doi.org/10.1234/test"),
     ("r05", "企業HP（n.d.）「事業紹介」 https://example.com/2016 (2026年1月14日確認)"),
     ("r06", "企業HP（2016b）「事業紹介」 (2026年確認)"),
@@ -44,7 +44,7 @@ REFERENCES: list[tuple[str, str]] = [
 
 #: cand_id, provider, doi, title, authors, journal, year, year_candidates, url
 CANDIDATES: list[tuple] = [
-    (1, "CiNii", None, "小規模農業者による六次産業化の取り組みと顧客への新たな「価値創造」", "伴 秀実, 東山 寛", "北海道大学農經論叢 = The Hokkaido University", "2020", ["2020"], None),
+    (1, "CiNii", None, "山間地域の図書室における学習支援の試みと利用者への新たな「場づくり」", "林 亜紀, 西岡 透", "架空大学教養論叢 = The Imaginary University", "2020", ["2020"], None),
     (2, "Crossref", "10.1234/TEST", "Article of record", "Author Ann", "Records", "2020", ["2020", "2021"], None),
     (3, "Crossref", None, "A study of many things: with a subtitle", "Smith John", "Journal of Things", "2019", ["2019"], None),
     (4, "CiNii", None, "A study of many things", "Smith John", "Journal of Things", "2019", ["2019"], None),

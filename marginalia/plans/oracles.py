@@ -200,16 +200,16 @@ ORACLE_SQL: dict[str, str] = {
         SELECT event_id, key, hit FROM f""",
     "cinii_candidates": _expected(
         "id, doi, title, authors, journal, year, url",
-        [(1, "10.5/x", "価値創造", "伴 秀実, BAN Hidemi", "農經論叢", "2020", "https://cir.nii.ac.jp/1"), (2, "10.6/y", "単独", "山田 太郎", None, None, "https://cir.nii.ac.jp/crid/2")],
+        [(1, "10.5/x", "場づくり", "林 亜紀, HAYASHI Aki", "教養論叢", "2020", "https://cir.nii.ac.jp/1"), (2, "10.6/y", "単独", "山田 太郎", None, None, "https://cir.nii.ac.jp/crid/2")],
     ),
     "crossref_candidates": _expected("id, doi, title, authors, journal, year, years, url", [(1, "10.1/a", "Psychology & Marketing: A view", "Smith Jo, Ltd", "J é T", "2022", "2022,2021", "https://doi.org/10.1/a")]),
     "html_metadata": _expected(
         "url, titles, publishers, year, error",
-        [("https://example.com/a", "市場の報告/市場の報告 | 例示研究所", "例示研究所", "2021", None), ("https://example.com/b", "事業紹介/事業紹介 | 企業", "企業", "2020", None), ("https://example.com/c", "", "", None, "access_restricted"), ("https://example.com/d", "一覧", "", None, None)],
+        [("https://example.com/a", "市場の報告/市場の報告 | 例示研究所", "例示研究所", "2021", None), ("https://example.com/b", "事業紹介/事業紹介 | 企業", "企業", "2020", None), ("https://example.com/c", "", "", None, "access_restricted"), ("https://example.com/d", "一覧", "", None, None), ("https://example.com/e", "ＡＢＣ市場の調査/ＡＢＣ市場の調査 | 例示研究所", "例示研究所", "2021", None)],
     ),
     "source_comparison": _expected(
         "url, status, states",
-        [("https://example.com/a", "source_verified", "題名=match,作成者・発行元=match,公開年=match"), ("https://example.com/b", "source_mismatch", "題名=match,作成者・発行元=match,公開年=different"), ("https://example.com/d", "source_partial", "題名=unknown,作成者・発行元=unknown,公開年=unknown")],
+        [("https://example.com/a", "source_verified", "題名=match,作成者・発行元=match,公開年=match"), ("https://example.com/b", "source_mismatch", "題名=match,作成者・発行元=match,公開年=different"), ("https://example.com/d", "source_partial", "題名=unknown,作成者・発行元=unknown,公開年=unknown"), ("https://example.com/e", "source_verified", "題名=match,作成者・発行元=match,公開年=match")],
     ),
     "pdf_metadata": _expected("doc_id, publishers, year, notes", [(1, "株式会社例示研究所", "2013", ""), (2, "", None, "no_text")]),
     "ai_findings_sanitized": _expected("id, pos, category, severity, title, suggestion", [(1, 0, "AI詳細チェック", "warning", "a", "b"), (1, 3, "図表", "info", "c", "d")]),

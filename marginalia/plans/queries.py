@@ -252,12 +252,12 @@ def all_findings(spark, sf_dir):
 
 @query
 def reference_dates(spark, sf_dir):
-    return corpus.references(spark).select("ref_id", references.reference_date("text").alias("d")).select("ref_id", "d.year", "d.date_state")
+    return corpus.references(spark).select("ref_id", references.reference_date(F.col("text")).alias("d")).select("ref_id", "d.year", "d.date_state")
 
 
 @query
 def reference_fields(spark, sf_dir):
-    found = corpus.references(spark).select("ref_id", references.reference_fields("text").alias("f"))
+    found = corpus.references(spark).select("ref_id", references.reference_fields(F.col("text")).alias("f"))
     return found.select("ref_id", "f.doi", "f.title", "f.journal", "f.is_book", "f.reference_type", "f.source_url")
 
 
@@ -280,7 +280,7 @@ def search_terms(spark, sf_dir):
 
 
 _CINII = (
-    '{"@id":"https://cir.nii.ac.jp/crid/1","title":"価値創造","dc:creator":["BAN Hidemi","伴 秀実"],"prism:publicationName":"農經論叢","prism:publicationDate":"2020-12",'
+    '{"@id":"https://cir.nii.ac.jp/crid/1","title":"場づくり","dc:creator":["HAYASHI Aki","林 亜紀"],"prism:publicationName":"教養論叢","prism:publicationDate":"2020-12",'
     '"dc:identifier":[{"@type":"cir:NAID","@value":"1"},{"@type":"cir:DOI","@value":"10.5/x"}],"link":{"@id":"https://cir.nii.ac.jp/1"}}'
 )
 _CINII_ONE = '{"@id":"https://cir.nii.ac.jp/crid/2","title":"単独","dc:creator":"山田 太郎","prism:publicationDate":"","dc:identifier":{"@type":"DOI","@value":"10.6/y"}}'
@@ -328,11 +328,13 @@ _PAGES = [
     ("https://example.com/b", '<title>事業紹介 | 企業</title><script type="application/ld+json">{"@type":"Article","url":"https://example.com/b","headline":"事業紹介","datePublished":"2020-01-02"}</script><h1>事業紹介</h1>'),
     ("https://example.com/c", "<title>Just a moment...</title>"),
     ("https://example.com/d", "<title>一覧</title><article><time>2020年</time></article><article><time>2021年</time></article>"),
+    ("https://example.com/e", "<title>ＡＢＣ市場の調査 | 例示研究所</title><main><h1>ＡＢＣ市場の調査</h1><time>2021年4月</time></main>"),
 ]
 _CITED = [
     ("例示研究所（2021）「市場の報告」 https://example.com/a 閲覧", "https://example.com/a"),
     ("企業HP（2019）「事業紹介」 https://example.com/b (2026年確認)", "https://example.com/b"),
     ("だれか（n.d.）「一覧」 https://example.com/d", "https://example.com/d"),
+    ("例示研究所（2021）「ＡＢＣ市場の調査」 https://example.com/e 閲覧", "https://example.com/e"),
 ]
 
 
@@ -345,7 +347,7 @@ def html_metadata(spark, sf_dir):
 @query
 def source_comparison(spark, sf_dir):
     pages = page_sources.with_page_metadata(spark.createDataFrame(_PAGES, "url string, html string"))
-    cited = spark.createDataFrame(_CITED, "reference string, url string").withColumn("f", references.reference_fields("reference"))
+    cited = spark.createDataFrame(_CITED, "reference string, url string").withColumn("f", references.reference_fields(F.col("reference")))
     found = source_compare.compared_sources(cited.join(pages.select("url", "metadata"), "url"))
     return found.select("url", "status", F.array_join(F.transform("comparisons", lambda c: F.concat_ws("=", c["field"], c["state"])), ",").alias("states"))
 

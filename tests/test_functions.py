@@ -35,20 +35,23 @@ def test_masking_does_not_depend_on_the_order_of_kinds():
         ("", "missing", None),
     ],
 )
-def test_dates(given, state, year):
-    found = references.date_of(given)
+def test_dates(spark, given, state, year):
+    found = one(spark, references.reference_date(F.lit(given)))
     assert (found["date_state"], found["year"]) == (state, year)
 
 
 @pytest.mark.parametrize(("given", "year"), [("2021-04-01", "2021"), ("平成25年3月", "2013"), ("令和元年", "2019"), ("第12号", None), (None, None)])
-def test_publication_year(given, year):
-    assert references.publication_year(given) == year
+def test_publication_year(spark, given, year):
+    assert one(spark, references.year_of(F.lit(given).cast("string"))) == year
 
 
-def test_urls_keep_their_own_brackets():
-    assert references.source_url("見よ https://example.com/article_(details) を") == "https://example.com/article_(details)"
-    assert references.source_url("(https://example.com/a)。") == "https://example.com/a"
-    assert references.source_url("なし") is None
+def test_urls_keep_their_own_brackets(spark):
+    def source_url(x):
+        return one(spark, references.source_url(F.lit(x)))
+
+    assert source_url("見よ https://example.com/article_(details) を") == "https://example.com/article_(details)"
+    assert source_url("(https://example.com/a)。") == "https://example.com/a"
+    assert source_url("なし") is None
 
 
 @pytest.mark.parametrize(
@@ -60,14 +63,14 @@ def test_urls_keep_their_own_brackets():
         ("Smith, J. (2019). A study of things. Journal of Things, 4(2), 10-20.", "article"),
     ],
 )
-def test_reference_types(given, kind):
-    assert references.fields_of(given)["reference_type"] == kind
+def test_reference_types(spark, given, kind):
+    assert one(spark, references.reference_fields(F.lit(given)))["reference_type"] == kind
 
 
-def test_nested_quotes_are_balanced():
-    found = references.fields_of("伴・東山（2020）「取り組みと新たな「価値創造」」『農経論叢』, 74, 109-117.")
-    assert found["title"] == "取り組みと新たな「価値創造」"
-    assert found["journal"] == "農経論叢"
+def test_nested_quotes_are_balanced(spark):
+    found = one(spark, references.reference_fields(F.lit("林・西岡（2020）「試みと新たな「場づくり」」『教養論叢』, 74, 109-117.")))
+    assert found["title"] == "試みと新たな「場づくり」"
+    assert found["journal"] == "教養論叢"
 
 
 @pytest.mark.parametrize("address", ["0.0.0.0", "10.0.0.1", "100.64.0.1", "127.0.0.1", "169.254.169.254", "192.168.0.1", "224.0.0.1", "240.0.0.1", "::1", "fc00::1", "fe80::1", "::ffff:10.0.0.1", "", "x"])
@@ -102,3 +105,15 @@ def test_sentences_and_entities(spark):
 def test_query_variants(spark):
     assert one(spark, text.query_variants(F.lit("A study (of things): sub"))) == ["A study (of things): sub", "A study  : sub", "A study (of things)"]
     assert one(spark, text.query_variants(F.lit(None).cast("string"))) == []
+
+
+def test_numeric_entities_of_every_plane(spark):
+    given = {"&#128512;": "😀", "&#55357;&#56832;": "😀", "&#9999999;": "\ufffd", "&#55357;x": "\ufffdx", "&#56832;": "\ufffd", "a&b&#;&#65;": "a&b&#;A", "&#99999999999;": "\ufffd"}
+    rows = spark.createDataFrame(list(given.items()), "x string, y string").select("y", text.entities_decoded(F.col("x")).alias("x"))
+    assert [r.x for r in rows.collect()] == list(given.values())
+
+
+def test_only_texts_that_need_it_reach_python(spark):
+    rows = spark.createDataFrame([("plain",), ("Ａ a@b.jp",), (None,), ("学籍番号 20250101",)], "x string")
+    found = rows.select(text.composed(F.col("x")).alias("c"), pii.masked(F.col("x")).alias("m"), F.size(pii.pii_spans(F.col("x"))).alias("n")).collect()
+    assert [tuple(r) for r in found] == [("plain", "plain", 0), ("A a@b.jp", "Ａ [メールアドレス]", 1), (None, None, 0), ("学籍番号 20250101", "学籍番号 [学籍番号候補]", 1)]

@@ -1,13 +1,14 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
-from marginalia.functions.references import fields_of
+from marginalia.functions.references import reference_fields
 from marginalia.operators import matching, source_compare
 from marginalia.sources import pages
 
-TITLE = "小規模農業者による六次産業化の取り組みと顧客への新たな「価値創造」"
-RECORD = (1, "CiNii", None, TITLE, "伴 秀実, 東山 寛", "北海道大学農経論叢", "2020", ["2020"], None)
+TITLE = "山間地域の図書室における学習支援の試みと利用者への新たな「場づくり」"
+RECORD = (1, "CiNii", None, TITLE, "林 亜紀, 西岡 透", "架空大学教養論叢", "2020", ["2020"], None)
 DOI = (2, "Crossref", "10.1234/TEST", "Article", "Author", "Records", "2020", ["2020"], None)
 CANDIDATES = "cand_id bigint, provider string, doi string, title string, authors string, journal string, year string, year_candidates array<string>, url string"
 
@@ -18,10 +19,10 @@ def status(spark, reference, candidates=(RECORD, DOI), **more):
 
 
 @pytest.mark.parametrize(
-    ("author", "year", "wanted"), [("伴・東山", "2020", "verified"), ("別人", "2020", "not_found"), ("伴・東山", "2019", "not_found")]
+    ("author", "year", "wanted"), [("林・西岡", "2020", "verified"), ("別人", "2020", "not_found"), ("林・西岡", "2019", "not_found")]
 )
 def test_golden_references(spark, author, year, wanted):
-    found = status(spark, f"{author}（{year}）「{TITLE}」『北海道大学農経論叢』, 74, 109-117.")
+    found = status(spark, f"{author}（{year}）「{TITLE}」『架空大学教養論叢』, 74, 109-117.")
     assert found.status == wanted
     if wanted == "verified":
         assert {"著者", "発行年"} <= set(found.checked_fields) and found.differences == []
@@ -37,33 +38,53 @@ def test_failed_providers_and_no_candidates(spark):
     assert status(spark, "だれか（2020）「知られない題名の論文」").status == "not_found"
 
 
-def page(body, url="https://example.com/a"):
-    return pages.html_metadata(body, url)
+def page(spark, body, url="https://example.com/a"):
+    return pages.with_page_metadata(spark.createDataFrame([(body, url)], "html string, url string")).first().metadata
 
 
-def test_dates_of_pages():
+def test_dates_of_pages(spark):
     ld = {"@type": "Article", "url": "https://example.com/a", "datePublished": "2021-01-01"}
     script = '<script type="application/ld+json">{}</script>'
-    assert page("<title>t</title>" + script.format(json.dumps(ld)))["year"] == "2021"
-    assert page("<title>t</title>" + script.format(json.dumps(ld | {"url": "https://example.com/other"})))["year"] is None
-    assert page("<h1>題</h1>" + script.format("{broken"))["titles"] == ["題"]
-    assert page('<article><time datetime="2021-02-03">x</time></article>')["year"] == "2021"
-    assert page("<article><time>2020年</time></article><article><time>2021年</time></article>")["year"] is None
-    assert page("<p>創業1950年</p><footer>© 2020</footer>")["year"] is None
-    assert page("<title>Just a moment...</title>")["error"] == "access_restricted"
-
-
-def test_pdf_texts():
-    assert pages.pdf_text_metadata(["平成24年度の調査\n平成25年3月"])["year"] == "2013"
-    empty = pages.pdf_text_metadata([""])
+    assert page(spark, "<title>t</title>" + script.format(json.dumps(ld)))["year"] == "2021"
+    assert page(spark, "<title>t</title>" + script.format(json.dumps(ld | {"url": "https://example.com/other"})))["year"] is None
+    assert page(spark, "<h1>題</h1>" + script.format("{broken"))["titles"] == ["題"]
+    assert page(spark, '<article><time datetime="2021-02-03">x</time></article>')["year"] == "2021"
+    assert page(spark, "<article><time>2020年</time></article><article><time>2021年</time></article>")["year"] is None
+    assert page(spark, "<p>創業1950年</p><footer>© 2020</footer>")["year"] is None
+    assert page(spark, "<title>Just a moment...</title>")["error"] == "access_restricted"
+
+
+def test_titles_and_publishers_in_order(spark):
+    body = (
+        '<title>報告 | 例示の会</title><meta property="og:title" content="共有題"><meta name="citation_title" content="引用題"><meta name="author" content="著者">'
+        '<header><h1>団体<br>\n部署</h1></header><h1>見出し</h1><nav><h1>索引</h1></nav><meta property="og:site_name" content="サイト|別名">'
+    )
+    found = page(spark, body)
+    assert found.titles == ["引用題", "見出し", "共有題", "報告 | 例示の会", "報告"]
+    assert found.publishers == ["著者", "サイト", "別名", "例示の会", "団体", "部署"]
+    assert page(spark, None).titles == []
+
+
+def test_full_width_pages_match(spark):
+    metadata = page(spark, "<title>ＡＢＣ市場の報告 | 例示研究所</title><h1>ＡＢＣ市場の報告</h1><main><time>2021年</time></main>")
+    assert metadata.titles[0] == "ＡＢＣ市場の報告" and metadata.title_forms[0] == "ABC市場の報告"
+    given = spark.createDataFrame([("例示研究所（2021）「ＡＢＣ市場の報告」 https://example.com/a 閲覧", metadata)], f"r string, metadata {pages.METADATA}")
+    assert source_compare.compared_sources(given.withColumn("f", reference_fields(F.col("r")))).first().status == "source_verified"
+
+
+def pdf(spark, texts):
+    rows = [(1, i + 1, len(texts), t, None, None) for i, t in enumerate(texts)]
+    return pages.with_pdf_metadata(spark.createDataFrame(rows, "doc_id bigint, page_no int, n_pages int, text string, title string, author string")).first().metadata
+
+
+def test_pdf_texts(spark):
+    assert pdf(spark, ["平成24年度の調査\n平成25年3月"])["year"] == "2013"
+    empty = pdf(spark, [""])
     assert empty["year"] is None and empty["notes"] == [pages.NO_TEXT]
 
 
 @pytest.mark.parametrize(("year", "wanted"), [("2021", "source_verified"), ("2026", "source_mismatch"), ("n.d.", "source_mismatch")])
 def test_sources(spark, year, wanted):
-    metadata = page('<title>事業紹介 | 例示会社</title><article><h1>事業紹介</h1><time datetime="2021-01-01"></time></article>')
-    fields = fields_of(f"例示会社HP（{year}）「事業紹介」 https://example.com/a (2026年確認)")
-    from marginalia.functions.references import FIELDS
-
-    given = spark.createDataFrame([(fields, metadata)], f"f {FIELDS}, metadata {pages.METADATA}")
-    assert source_compare.compared_sources(given).first().status == wanted
+    metadata = page(spark, '<title>事業紹介 | 例示会社</title><article><h1>事業紹介</h1><time datetime="2021-01-01"></time></article>')
+    given = spark.createDataFrame([(f"例示会社HP（{year}）「事業紹介」 https://example.com/a (2026年確認)", metadata)], f"r string, metadata {pages.METADATA}")
+    assert source_compare.compared_sources(given.withColumn("f", reference_fields(F.col("r")))).first().status == wanted
