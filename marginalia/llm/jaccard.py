@@ -51,16 +51,20 @@ GROUP_BYTES = 6_000_000
 HELD_BYTES = 8_000_000
 #: So many signatures are held while they meet; those of more than ``FREQUENT`` sets pass at once.
 HELD_SIGNATURES = 2_000_000
+SIGNED_AT_ONCE = 200_000
 FREQUENT = 4096
 #: Bytes of a set's name in signatures; names that two sets have are told apart before the comparison.
 NAME_BYTES = 5
-_SLICE = 1_000_000
+_SLICE = 250_000
 #: Sets of one signature that a task compares with each other or with as many more.
 BLOCK = 2048
-#: Sets that a task holds to compare; those of many signatures.
-HELD_SETS = 20_000
-#: Of what the sketches leave, a set is first compared with so many of a signature, then with all.
-NEAREST = 64
+#: Places of sets in signatures that a task holds to compare.
+HELD_SETS = 60_000
+#: Of what the sketches leave, a set is first compared with so many, then with more, then with all.
+NEAREST = (4, 32, None)
+#: Pairs of signatures with so many sets at most are told apart before they are compared.
+SMALL_BUCKET = 64
+PAIRS_AT_ONCE = 2_000_000
 #: Words of the sketches that go with each signature.
 BLOCK_WORDS = 16
 
@@ -73,19 +77,32 @@ _MET = "kind int, key bigint, level int, count int, name bigint, id bigint, row
 # -- sets of shingles --------------------------------------------------------------------
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out)
+
+
+_BASE = 0x9E3779B97F4A7C15
+#: Powers of the base and of its inverse modulo 2 ** 64, for all places of a slice.
+_UP, _DOWN = _powers(_BASE, 2 * _SLICE + 1), _powers(pow(_BASE, -1, 1 << 64), 2 * _SLICE + 1)
+
+
 def word_hashes(data: bytes) -> np.ndarray:
     """A hash of each word, in order: words are runs of bytes that aren't white, A-Z in lower case."""
     x = np.frombuffer(data.lower(), np.uint8)
-    white = _WHITE[x]
-    inside = np.flatnonzero(~white)
-    if not len(inside):
-        return np.zeros(0, np.uint64)
-    begins = np.concatenate([[0], np.flatnonzero(np.diff(inside) > 1) + 1])
-    lengths = np.diff([*begins, len(inside)])
-    place = np.arange(len(inside)) - np.repeat(begins, lengths)
-    powers = np.cumprod(np.full(lengths.max(), 0x9E3779B97F4A7C15, np.uint64))
-    sums = np.add.reduceat((x[inside].astype(np.uint64) + np.uint64(1)) * powers[place], begins)
-    return mixed(sums ^ (lengths.astype(np.uint64) << np.uint64(40)))
+    if len(x) > 2 * _SLICE:  # a single word may be longer than a slice
+        up, down = _powers(_BASE, len(x)), _powers(pow(_BASE, -1, 1 << 64), len(x))
+    else:
+        up, down = _UP, _DOWN
+    inside = np.zeros(len(x) + 2, np.int8)
+    inside[1:-1] = ~_WHITE[x]
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    begins, ends = edges[::2], edges[1::2]
+    # sums of (byte + 1) * base ** place from the text's beginning, carried back to each word's own
+    sums = np.zeros(len(x) + 1, np.uint64)
+    np.cumsum((x.astype(np.uint64) + np.uint64(1)) * up[: len(x)], out=sums[1:])
+    return mixed((sums[ends] - sums[begins]) * down[begins] ^ ((ends - begins).astype(np.uint64) << np.uint64(40)))
 
 
 def _slices(data: bytes) -> Iterator[bytes]:
@@ -162,33 +179,35 @@ BOUNDS, BANDS = bands()
 SINGLE = Band(len(BANDS), 0, 0, 1, 0, 1)
 
 
-def may_lose(size: int) -> int:
+def may_lose(size: np.ndarray) -> np.ndarray:
     """The most features by which a similar set can differ."""
     return size * (100 - PERCENT) // PERCENT
 
 
-def signatures(features: np.ndarray, band: Band) -> tuple[np.ndarray, bool]:
-    """Of a set in a band, and whether they are enough to meet every similar set."""
+def signatures(features: np.ndarray, size: np.ndarray, band: Band) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sets in a band, one after the other: signatures, the set of each, and for each set whether they are enough to meet every similar set."""
+    sets, cells = len(size), band.parts * band.cells
     hashes = mixed(features ^ band.salt)
-    cell = (((hashes >> np.uint64(32)) * np.uint64(band.parts * band.cells)) >> np.uint64(32)).astype(np.int64)
-    shape = (band.parts, band.cells)
-    filled = np.bincount(cell, minlength=band.parts * band.cells).reshape(shape) > 0
-    sums = np.zeros(band.parts * band.cells, np.uint64)
-    np.add.at(sums, cell, mixed(hashes))
+    slot = (((hashes >> np.uint64(32)) * np.uint64(cells)) >> np.uint64(32)).astype(np.int64) + np.repeat(np.arange(sets) * cells, size)
+    shape = (sets, band.parts, band.cells)
+    filled = (np.bincount(slot, minlength=sets * cells) > 0).reshape(shape)
+    sums = np.zeros(sets * cells, np.uint64)
+    np.add.at(sums, slot, mixed(hashes))
     sums = sums.reshape(shape)
-    most = min(band.k, may_lose(len(features)))
-    good = np.cumsum(np.count_nonzero(filled, axis=1) > min(band.off, most))
+    most = np.minimum(band.k, may_lose(size))
+    good = np.cumsum(np.count_nonzero(filled, axis=2) > np.minimum(band.off, most)[:, None], axis=1)
     wanted = most // (band.off + 1) + 1 + band.spare
-    enough = bool(good[-1] >= wanted)
-    if enough:
-        used = int(np.searchsorted(good, wanted)) + 1
-        filled, sums = filled[:used], sums[:used]
-    numbers = (np.arange(len(sums), dtype=np.uint64) << np.uint64(8)) * np.uint64(0xD1342543DE82EF95)
-    out = []
-    for number, cells in enumerate(combinations(range(band.cells), band.cells - band.off)):
-        kept = filled[:, cells].any(axis=1)
-        out.append(mixed(sums[:, cells].sum(axis=1) ^ numbers ^ np.uint64(number) ^ band.salt)[kept])
-    return np.concatenate(out), enough
+    enough = good[:, -1] >= wanted
+    used = np.concatenate([np.ones((sets, 1), bool), good[:, :-1] < wanted[:, None]], axis=1)
+    if band.off == 1 and band.parts > 1:  # the subsets leave out one cell each
+        kept = np.count_nonzero(filled, axis=2)[:, :, None] > filled
+        totals = sums.sum(axis=2)[:, :, None] - sums
+    else:
+        subsets = np.array(list(combinations(range(band.cells), band.cells - band.off)))
+        kept, totals = filled[:, :, subsets].any(axis=3), sums[:, :, subsets].sum(axis=3)
+    kept &= used[:, :, None]
+    numbers = (np.arange(band.parts, dtype=np.uint64) << np.uint64(8))[:, None] + np.arange(kept.shape[2], dtype=np.uint64)
+    return mixed(totals ^ numbers * np.uint64(0xD1342543DE82EF95) ^ band.salt)[kept], np.nonzero(kept)[0], enough
 
 
 def single_signatures(features: np.ndarray) -> np.ndarray:
@@ -196,17 +215,24 @@ def single_signatures(features: np.ndarray) -> np.ndarray:
     return np.partition(keys, wanted - 1)[:wanted] if len(keys) > wanted else keys
 
 
-def all_signatures(features: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """(level, signatures) of a set that has features."""
-    own = int(np.searchsorted(BOUNDS, len(features), "right")) - 1
-    out, all_enough = [], True
-    for band in BANDS[own : own + 2]:
-        found, enough = signatures(features, band)
-        out.append((band.level, found))
-        all_enough &= enough
-    if not all_enough:
-        out.append((SINGLE.level, single_signatures(features)))
-    return out
+def all_signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures, levels and set numbers of sets that have features."""
+    size = np.array([len(x) for x in sets])
+    own = np.searchsorted(BOUNDS, size, "right") - 1
+    few = np.zeros(len(sets), bool)
+    out = []
+    for level in np.unique([own, own + 1]):
+        of = np.flatnonzero((own == level) | (own + 1 == level))
+        # as many sets at a time as have about SIGNED_AT_ONCE features
+        for part in np.split(of, np.flatnonzero(np.diff(np.cumsum(size[of]) // SIGNED_AT_ONCE)) + 1):
+            keys, number, enough = signatures(np.concatenate([sets[i] for i in part]), size[part], BANDS[level])
+            few[part[~enough]] = True
+            out.append((keys, np.full(len(keys), level, np.uint8), part[number]))
+    for i in np.flatnonzero(few):
+        keys = single_signatures(sets[i])
+        out.append((keys, np.full(len(keys), SINGLE.level, np.uint8), np.full(len(keys), i)))
+    keys, levels, numbers = (np.concatenate(x) for x in zip(*out))
+    return keys, levels, numbers
 
 
 def _packed(keys: np.ndarray, levels: np.ndarray, names: np.ndarray) -> bytes:
@@ -246,22 +272,18 @@ def _signed(groups: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for docs in _documents(batches):
-            signed: set[tuple[int, int]] = set()
-            sets, keys, levels, names = [], [], [], []
+            signed: dict[tuple[int, int], np.ndarray] = {}
+            sets = []
             for _, _, data in docs:
                 features = shingles(data)
                 name = set_id(features)
                 sets.append((*name, len(features)))
-                if name in signed or not len(features):
-                    continue
-                signed.add(name)
-                for level, found in all_signatures(features):
-                    keys.append(found)
-                    levels.append(np.full(len(found), level, np.uint8))
-                    names.append(np.full(len(found), name[0], np.int64))
+                if len(features):
+                    signed[name] = features
             out = []
-            if keys:
-                key, level, name = np.concatenate(keys), np.concatenate(levels), np.concatenate(names)
+            if signed:
+                key, level, number = all_signatures(list(signed.values()))
+                name = np.array([x[0] for x in signed], np.int64)[number]
                 for part, i in by_value((key % np.uint64(groups)).astype(np.int64)):
                     out.append({"part": part, "kind": 0, "data": _packed(key[i], level[i], name[i])})
             high, low, size = (np.array([x[i] for x in sets], np.int64) for i in range(3))
@@ -424,83 +446,133 @@ def components(edges: DataFrame) -> DataFrame:
             return roots
 
 
-_BLOCKS = "key", "i", "j", "block", "high", "low", "root_high", "root_low", "n", "words"
-
-
-def _near_in_block(root: np.ndarray, size: np.ndarray, block: np.ndarray, words: np.ndarray, begin: np.ndarray, length: np.ndarray, nearest: int | None) -> tuple[list[tuple[int, int]], bool]:
-    """Pairs of different roots that the sketches leave, and whether ``nearest`` has left some out.
-
-    ``words`` has the sketches, that of a set from its ``begin`` and of its ``length``.
-    """
-    if (root == root[0]).all():
-        return [], False
-    folded: dict[int, np.ndarray] = {}
-    lengths = np.unique(length)
+def _several_roots(buckets: list[np.ndarray], root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of sets of a bucket that have different roots, in pieces of bounded size; those of small buckets once."""
+    n = len(root)
+    sizes = np.array([len(x) for x in buckets])
+    codes = np.zeros(0, np.int64)
+    for size in np.unique(sizes[sizes <= SMALL_BUCKET]):
+        i, j = np.triu_indices(size, 1)
+        rows = np.stack([buckets[x] for x in np.flatnonzero(sizes == size)])
+        step = max(1, PAIRS_AT_ONCE // len(i)) if len(i) else len(rows)
+        for at in range(0, len(rows), step):
+            a, b = rows[at : at + step, i].ravel(), rows[at : at + step, j].ravel()
+            differ = root[a] != root[b]
+            a, b = a[differ], b[differ]
+            codes = np.union1d(codes, np.minimum(a, b) * n + np.maximum(a, b))
+            if len(codes) > PAIRS_AT_ONCE:
+                yield codes // n, codes % n
+                codes = codes[:0]
+    yield codes // n, codes % n
+    done: set[bytes] = set()
+    for x in np.flatnonzero(sizes > SMALL_BUCKET):
+        members = buckets[x]
+        if (name := members.tobytes()) in done:
+            continue
+        done.add(name)
+        # the sets of the largest root come last and so are never compared with each other
+        _, own, count = np.unique(root[members], return_inverse=True, return_counts=True)
+        order = np.lexsort((own, count[own]))
+        members, own = members[order], own[order]
+        begins = run_starts(own)
+        end = np.repeat([*begins[1:], len(own)], np.diff([*begins, len(own)]))
+        at = 0
+        while at < begins[-1]:
+            upto = at + 1
+            while upto < begins[-1] and (upto + 1 - at) * (len(own) - at) <= PAIRS_AT_ONCE:
+                upto += 1
+            left = len(own) - end[at:upto]
+            a = np.repeat(np.arange(at, upto), left)
+            b = np.arange(len(a)) - np.repeat(np.cumsum(left) - left, left) + np.repeat(end[at:upto], left)
+            yield members[a], members[b]
+            at = upto
+
+
+def _left(a: np.ndarray, b: np.ndarray, size: np.ndarray, folded: dict[int, np.ndarray], length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pairs those that the sketches leave, with the odd bits of the two."""
+    near = np.minimum(size[a], size[b]) * 100 >= np.maximum(size[a], size[b]) * PERCENT
+    a, b = a[near], b[near]
+    odd = np.zeros(len(a), np.int64)
+    common = np.minimum(length[a], length[b])
+    for n, words in folded.items():
+        of = np.flatnonzero(common == n)
+        for at in range(0, len(of), PAIRS_AT_ONCE // 16):
+            i = of[at : at + PAIRS_AT_ONCE // 16]
+            odd[i] = np.bitwise_count(words[a[i]] ^ words[b[i]]).sum(axis=1, dtype=np.int64)
+    left = (100 + PERCENT) * odd <= (100 - PERCENT) * (size[a] + size[b])
+    return a[left], b[left], odd[left]
+
+
+def _folded_words(words: np.ndarray, length: np.ndarray) -> dict[int, np.ndarray]:
+    """For each length of a sketch, all sketches as long or longer, folded to it."""
+    begin, lengths = np.cumsum(length) - length, np.unique(length)
+    out = {}
     for n in lengths:
-        folded[int(n)] = np.zeros((len(root), n), np.uint64)
+        out[int(n)] = np.zeros((len(length), n), np.uint64)
         for longer in lengths[lengths >= n]:
             x = np.flatnonzero(length == longer)
-            folded[int(n)][x] = np.bitwise_xor.reduce(words[begin[x][:, None] + np.arange(longer)].reshape(len(x), -1, n), axis=1)
-    # the sets of the largest component come last and so are never compared with each other
-    count = np.bincount(root)
-    order = np.lexsort((root, count[root]))
-    begins = run_starts(root[order])
-    end = np.repeat([*begins[1:], len(order)], np.diff([*begins, len(order)]))
-    several = (block != block[0]).any()
-    out, cut = [], False
-    for at, x in enumerate(order[: begins[-1]]):
-        later = order[end[at] :]
-        if several:
-            later = later[block[later] != block[x]]
-        near = np.minimum(size[later], size[x]) * 100 >= np.maximum(size[later], size[x]) * PERCENT
-        later = later[near]
-        odd = np.zeros(len(later), np.int64)
-        common = np.minimum(length[later], length[x])
-        for n in np.unique(common):
-            of = common == n
-            odd[of] = np.bitwise_count(folded[int(n)][later[of]] ^ folded[int(n)][x]).sum(axis=1, dtype=np.int64)
-        left = (100 + PERCENT) * odd <= (100 - PERCENT) * (size[later] + size[x])
-        later, odd = later[left], odd[left]
-        if nearest is not None and len(later) > nearest:
-            later, cut = later[np.argpartition(odd, nearest)[:nearest]], True
-        out += [(x, y) for y in later]
-    return out, cut
+            out[int(n)][x] = np.bitwise_xor.reduce(words[begin[x][:, None] + np.arange(longer)].reshape(len(x), -1, n), axis=1)
+    return out
+
+
+def _nearest(a: np.ndarray, b: np.ndarray, odd: np.ndarray, nearest: int) -> np.ndarray:
+    """Whether a pair is among the ``nearest`` of one of its two."""
+    kept = np.zeros(len(a), bool)
+    for side, other in ((a, b), (b, a)):
+        order = np.lexsort((other, odd, side))
+        begins = run_starts(side[order])
+        kept[order] |= np.arange(len(a)) - np.repeat(begins, np.diff([*begins, len(a)])) < nearest
+    return kept
 
 
 def _compared(nearest: int | None):
-    """Of blocks of signatures, pairs a, b that the sketches leave, and whether a block has more."""
+    """Of sets with the buckets they are in, pairs a, b that the sketches leave, and whether there are more."""
 
     def run(table: pa.Table) -> pa.Table:
-        key, i, j, block, high, low, root_high, root_low, size = (table.column(n).to_numpy() for n in _BLOCKS[:-1])
+        high, low, root_high, root_low, size = (table.column(n).to_numpy() for n in ("high", "low", "root_high", "root_low", "n"))
         _, root = np.unique(np.stack([root_high, root_low], axis=1), axis=0, return_inverse=True)
+        keys, sets = flat(table, "buckets"), np.repeat(np.arange(table.num_rows), sizes_of(table, "buckets"))
+        order = np.lexsort((sets, keys))
+        keys, sets = keys[order], sets[order]
+        buckets = np.split(sets, run_starts(keys)[1:]) if len(keys) else []
         length = sizes_of(table, "words")
-        words, begin = flat(table, "words").view(np.uint64), np.cumsum(length) - length
-        order = np.lexsort((j, i, key))
-        new = np.concatenate([[True], (np.diff(key[order]) != 0) | (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0)])
-        begins = np.flatnonzero(new)
-        pairs, cut = set(), False
-        for members in np.split(order, begins[1:]):
-            _, local = np.unique(root.ravel()[members], return_inverse=True)
-            found, more = _near_in_block(local, size[members].astype(np.int64), block[members], words, begin[members], length[members], nearest)
-            cut |= more
-            for x, y in found:
-                a, b = (high[members[x]], low[members[x]]), (high[members[y]], low[members[y]])
-                pairs.add((max(a, b), min(a, b)))
-        ab = np.array(list(pairs), np.int64).reshape(-1, 4)
-        return pa.table([*(pa.array(ab[:, c]) for c in range(4)), pa.array([cut] * len(ab), pa.bool_())], ["a_high", "a_low", "b_high", "b_low", "cut"])
+        folded = _folded_words(flat(table, "words").view(np.uint64), length)
+        found = [_left(a, b, size.astype(np.int64), folded, length) for a, b in _several_roots(buckets, root.ravel())]
+        a, b, odd = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+        codes, first = np.unique(np.minimum(a, b) * table.num_rows + np.maximum(a, b), return_index=True)
+        a, b, odd = a[first], b[first], odd[first]
+        cut = False
+        if nearest is not None and len(a):
+            kept = _nearest(a, b, odd, nearest)
+            cut = not kept.all()
+            a, b = a[kept], b[kept]
+        # the greater set first
+        swap = (high[a] < high[b]) | ((high[a] == high[b]) & (low[a] < low[b]))
+        a, b = np.where(swap, b, a), np.where(swap, a, b)
+        return pa.table([pa.array(high[a]), pa.array(low[a]), pa.array(high[b]), pa.array(low[b]), pa.array(np.full(len(a), cut))], ["a_high", "a_low", "b_high", "b_low", "cut"])
 
     return run
 
 
 def _left_by_sketches(labelled: DataFrame, elements: DataFrame, nearest: int | None) -> DataFrame:
-    """a, b, cut: pairs to compare of signatures (key, set, root) with several roots."""
-    open_keys = labelled.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("members")).where("x <> y").select("key", "members")
-    left = stored(labelled.join(open_keys, "key").select("key", "set", "root", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "open")
-    parts = max(1, left.agg(F.sum("blocks")).first()[0] or 0) // HELD_SETS + 1
-    blocks = left.join(elements.select("set", "n", "words"), "set").withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
-    blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    blocks = blocks.select("key", "i", "j", "block", "set.high", "set.low", F.col("root.high").alias("root_high"), F.col("root.low").alias("root_low"), "n", "words")
-    blocks = blocks.withColumn("part", F.pmod(F.xxhash64("key", "i", "j"), F.lit(parts)))
+    """a, b, cut: pairs to compare, of signatures (key, set, by, root) with several roots.
+
+    Signatures with the same first set lie in one part, or in a few where they are many, so
+    that pairs of a family meet once or a few times, not for each of their signatures.
+    """
+    open_keys = labelled.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("members"), F.min("by").alias("first"))
+    open_keys = open_keys.where("x <> y").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
+    families = open_keys.groupBy("first").agg(F.sum(F.col("members") * F.col("blocks")).alias("family"))
+    salt = F.pmod(F.xxhash64("key"), F.ceil(F.col("family") / HELD_SETS)).cast("int")
+    dealt = stored(open_keys.join(families, "first").select("key", "blocks", "members", F.xxhash64("first", salt).alias("part")), "open")
+    parts = (dealt.agg(F.sum(F.col("members") * F.col("blocks"))).first()[0] or 0) // HELD_SETS + 1
+    rows = labelled.join(dealt, "key").withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    bucket = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
+    part = F.when(F.col("blocks") > 1, bucket).otherwise(F.col("part"))
+    of_sets = rows.groupBy(F.pmod(part, F.lit(parts)).alias("part"), "set").agg(F.first("root").alias("root"), F.collect_list(bucket).alias("buckets"))
+    blocks = of_sets.join(elements.select("set", "n", "words"), "set")
+    blocks = blocks.select("part", "set.high", "set.low", F.col("root.high").alias("root_high"), F.col("root.low").alias("root_low"), "n", "words", "buckets")
     found = blocks.groupBy("part").applyInArrow(_compared(nearest), "a_high bigint, a_low bigint, b_high bigint, b_low bigint, cut boolean")
     sides = [F.struct(F.col(f"{x}_high").alias("high"), F.col(f"{x}_low").alias("low")).alias(x) for x in "ab"]
     return found.select(*sides, "cut").groupBy("a", "b").agg(F.max("cut").alias("cut"))
@@ -513,9 +585,9 @@ def _connected(shared: DataFrame, elements: DataFrame) -> DataFrame:
     first = first.select("x", F.col("first.set").alias("y"))
     compared = stored(first.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "pairs")
     links = stored(_links(compared, elements), "links")
-    for nearest in (NEAREST, None):
+    for nearest in NEAREST:
         roots = components(links).withColumnsRenamed({"node": "set"})
-        labelled = shared.join(roots, "set", "left").select("key", "set", F.coalesce("root", "set").alias("root"))
+        labelled = shared.join(roots, "set", "left").select("key", "set", "by", F.coalesce("root", "set").alias("root"))
         pairs = stored(_left_by_sketches(labelled, elements, nearest), "pairs")
         cut = pairs.where("cut").limit(1).count()
         pairs = pairs.select("a", "b").join(compared, ["a", "b"], "left_anti")

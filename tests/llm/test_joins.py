@@ -56,7 +56,7 @@ def test_components(documents, dice):
 def test_families_larger_than_a_block(documents, dice, monkeypatch):
     """Blocks, sketches cut short and the limit on near sets of the first comparison change no result."""
     monkeypatch.setattr(jaccard, "BLOCK", 4)
-    monkeypatch.setattr(jaccard, "NEAREST", 1)
+    monkeypatch.setattr(jaccard, "NEAREST", (1, None))
     monkeypatch.setattr(jaccard, "BLOCK_WORDS", 1)
     base = [f"w{i}" for i in range(60)]
     rows = []
@@ -69,25 +69,36 @@ def test_families_larger_than_a_block(documents, dice, monkeypatch):
     assert by_id((r.doc_id, r.n_shingles, r.component_id) for r in found) == brute_components(rows)
 
 
-def test_near_in_block(dice):
-    """The same pairs as from every two sketches."""
+def test_pairs_that_sketches_leave(dice, monkeypatch):
+    """The same pairs as from every two sketches, from small buckets as from large ones."""
     rng = np.random.default_rng(4)
     base = rng.integers(0, 1 << 63, 400).astype(np.uint64)
     sets = [np.unique(np.concatenate([dice.choice([base, base[:300]])[int(rng.integers(0, 60)) :], rng.integers(0, 1 << 63, int(rng.integers(0, 60))).astype(np.uint64)])) for _ in range(60)]
     words, size = [jaccard.shortened(jaccard.sketch(x)) for x in sets], np.array([len(x) for x in sets])
-    root, block = rng.integers(0, 8, 60), rng.integers(0, 2, 60)
-    lengths = np.array([len(x) for x in words])
-    found, cut = jaccard._near_in_block(np.unique(root, return_inverse=True)[1], size, block, np.concatenate(words).view(np.uint64), np.cumsum([0, *lengths[:-1]]), lengths, None)
+    root = np.unique(rng.integers(0, 8, 60), return_inverse=True)[1]
+    buckets = [np.unique(rng.integers(0, 60, n)) for n in (2, 2, 3, 3, 5, 9, 20, 40, 60, 60)]
     wanted = set()
-    for i in range(60):
-        for j in range(i):
-            n = min(len(words[i]), len(words[j]))
-            x, y = (np.bitwise_xor.reduce(words[k].reshape(-1, n), axis=0).view(np.uint64) for k in (i, j))
-            odd = sum(int(w).bit_count() for w in x ^ y)
-            near = min(size[i], size[j]) * 100 >= 75 * max(size[i], size[j])
-            if root[i] != root[j] and block[i] != block[j] and near and 175 * odd <= 25 * (size[i] + size[j]):
-                wanted.add((j, i))
-    assert {(min(p), max(p)) for p in found} == wanted and wanted and not cut
+    for bucket in buckets:
+        for i in bucket.tolist():
+            for j in bucket.tolist():
+                n = min(len(words[i]), len(words[j]))
+                x, y = (np.bitwise_xor.reduce(words[k].reshape(-1, n), axis=0).view(np.uint64) for k in (i, j))
+                odd = sum(int(w).bit_count() for w in x ^ y)
+                near = min(size[i], size[j]) * 100 >= 75 * max(size[i], size[j])
+                if i < j and root[i] != root[j] and near and 175 * odd <= 25 * (size[i] + size[j]):
+                    wanted.add((i, j))
+    length = np.array([len(x) for x in words])
+    folded = jaccard._folded_words(np.concatenate(words).view(np.uint64), length)
+    for small, at_once in ((64, 2_000_000), (4, 100), (0, 64)):
+        monkeypatch.setattr(jaccard, "SMALL_BUCKET", small)
+        monkeypatch.setattr(jaccard, "PAIRS_AT_ONCE", at_once)
+        found = set()
+        for a, b in jaccard._several_roots(buckets, root):
+            a, b, _ = jaccard._left(a, b, size, folded, length)
+            found |= {(min(p), max(p)) for p in zip(a.tolist(), b.tolist())}
+        assert found == wanted and wanted
+    kept = jaccard._nearest(np.array([0, 0, 0, 1]), np.array([1, 2, 3, 3]), np.array([5, 1, 9, 2]), 1)
+    assert kept.tolist() == [True, True, False, True]
 
 
 def test_one_of_each(documents):
@@ -109,7 +120,8 @@ def test_similar_sets_share_signatures():
             b = np.unique(np.concatenate([a[gone:], rng.integers(0, 1 << 63, new).astype(np.uint64)]))
             if 100 * len(np.intersect1d(a, b)) < 75 * len(np.union1d(a, b)):
                 continue
-            of_a, of_b = dict(jaccard.all_signatures(a)), dict(jaccard.all_signatures(b))
+            keys, levels, numbers = jaccard.all_signatures([a, b])
+            of_a, of_b = ({x: keys[(levels == x) & (numbers == i)] for x in set(levels[numbers == i].tolist())} for i in (0, 1))
             few += jaccard.SINGLE.level in of_a
             assert any(len(np.intersect1d(of_a[x], of_b[x])) > spare[x] for x in of_a.keys() & of_b.keys()), (len(a), len(b))
     assert few
