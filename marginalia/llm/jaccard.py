@@ -47,11 +47,11 @@ WORDS = 5
 #: Sets are similar where 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: Bytes of text for each of the groups in which signatures meet.
-GROUP_BYTES = 6_000_000
-HELD_BYTES = 8_000_000
+GROUP_BYTES = 4_000_000
+HELD_BYTES = 4_000_000
 #: So many signatures are held while they meet; those of more than ``FREQUENT`` sets pass at once.
-HELD_SIGNATURES = 2_000_000
-SIGNED_AT_ONCE = 200_000
+HELD_SIGNATURES = 1_000_000
+SIGNED_AT_ONCE = 100_000
 FREQUENT = 4096
 #: Bytes of a set's name in signatures; names that two sets have are told apart before the comparison.
 NAME_BYTES = 5
@@ -64,7 +64,7 @@ HELD_SETS = 60_000
 NEAREST = (4, 32, None)
 #: Pairs of signatures with so many sets at most are told apart before they are compared.
 SMALL_BUCKET = 64
-PAIRS_AT_ONCE = 2_000_000
+PAIRS_AT_ONCE = 400_000
 #: Words of the sketches that go with each signature.
 BLOCK_WORDS = 16
 
@@ -255,14 +255,16 @@ def name_of(high: Column) -> Column:
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int | None, int, bytes]]]:
     held, size = [], 0
-    for batch in batches:
-        for doc, row, text in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "row_hash", "text"))):
-            data = text.encode()
-            held.append((doc, row, data))
-            size += len(data)
-            if size >= HELD_BYTES:
-                yield held
-                held, size = [], 0
+    for big in batches:
+        for at in range(0, big.num_rows, 256):
+            batch = big.slice(at, 256)
+            for doc, row, text in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "row_hash", "text"))):
+                data = text.encode()
+                held.append((doc, row, data))
+                size += len(data)
+                if size >= HELD_BYTES:
+                    yield held
+                    held, size = [], 0
     if held:
         yield held
 
@@ -379,8 +381,8 @@ def shortened(words: np.ndarray) -> np.ndarray:
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for big in batches:
-        for at in range(0, big.num_rows, 512):
-            batch = big.slice(at, 512)
+        for at in range(0, big.num_rows, 256):
+            batch = big.slice(at, 256)
             found = [shingles(x.encode()) for x in batch.column(2).to_pylist()]
             sketches = [sketch(x) for x in found]
             lists = (pa.array(x, pa.list_(pa.int64())) for x in ([shortened(x) for x in sketches], sketches, [x.view(np.int64) for x in found]))

@@ -12,6 +12,11 @@ the N best combinations of paths of its parts. A part's loss, by which its secon
 falls behind, comes from the forward pass and its mirror image; only the N - 1 parts that
 lose least can differ from the best in any of the N best, so only they are searched.
 Workers keep what they know of parts in bounded caches.
+
+A unigram model's pieces score their log probabilities. The pieces of a BPE model have no
+probabilities, only the ranks of their merges; they get those of Zipf's law, by which a
+piece is as likely as its rank is low. The best path is then that of a unigram model with
+such probabilities, not the sequence of merges that the library applies.
 """
 
 from __future__ import annotations
@@ -21,6 +26,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -34,17 +40,30 @@ N_BEST = 4
 CACHE_SIZE = 800_000
 #: An unknown character's score lies so much below the least score of a piece.
 UNKNOWN_PENALTY = 10.0
+#: Added to ranks in Zipf's law (Mandelbrot's form), so that the first few differ less.
+ZIPF_OFFSET = 2.7
 
 _models: dict[str, "Pieces"] = {}
 _INNER_SPACE = re.compile(r"[^ ] ")
 _MIXED = regex.compile(r"\p{L}[^\p{L} ]|[^\p{L} ]\p{L}")
 _SMALLEST = regex.compile(r" *(?:\p{L}+|[^\p{L} ]+)| +")
 
+_SCORE, _LOSS, _IDS = itemgetter(0), itemgetter(1), itemgetter(2)
+
 Path = tuple[float, tuple[int, ...]]
 #: Of a part: best score, loss of the second best path (infinite without one), its best ids as bytes.
 Known = tuple[float, float, bytes]
 
 
+def log_probabilities(scores: dict[str, tuple[float, int]]) -> dict[str, tuple[float, int]]:
+    """Scores of a unigram model as they are; those of a BPE model, whole numbers that fall by one, as log probabilities by Zipf's law."""
+    ranks = sorted({-score for score, _ in scores.values()})
+    if not all(float(r).is_integer() for r in ranks):
+        return scores
+    total = np.log(sum(1 / (r + ZIPF_OFFSET) for r in ranks))
+    return {piece: (float(-np.log(ZIPF_OFFSET - score) - total), i) for piece, (score, i) in scores.items()}
+
+
 class Pieces:
     """The pieces of a SentencePiece model, and the segmentation of texts into them."""
 
@@ -63,6 +82,7 @@ class Pieces:
                 piece = model.id_to_piece(i).replace("▁", " ")
                 self.scores[piece] = (model.get_score(i), i)
                 self.bytes_of[i] = piece.encode()
+        self.scores = log_probabilities(self.scores)
         if any(_INNER_SPACE.search(p) or "\n" in p or _MIXED.search(p) for p in self.scores):
             raise ValueError(f"{path}: a piece goes on past a space, holds a line feed or joins letters to other signs")
         #: Pieces as in ``scores``, and with None every beginning of one.
@@ -159,30 +179,33 @@ class Pieces:
 
     # -- whole texts ---------------------------------------------------------------
 
-    def encode(self, text: str, n: int) -> tuple[bytes, list[float], list[dict[tuple[int, int], tuple[int, ...]]], list[str]]:
-        """Best ids as bytes, the n best scores, for each of them the parts that differ from the best, and the chunks."""
+    def encode(self, text: str, n: int) -> tuple[list[bytes], list[float], list[dict[tuple[int, int], tuple[int, ...]]], list[str]]:
+        """Best ids of each chunk as bytes, the n best scores, for each of them the parts that differ from the best, and the chunks."""
         keys = _keys(text)
         chunks = self.chunks
         for cache in (chunks, self.parts, self.searched):
             if len(cache) > self.cache_size:
                 cache.clear()
-        for key in keys:
-            if key not in chunks:
-                chunks[key] = self._chunk(key)
-        found = [chunks[key] for key in keys]
-        best = sum([x[0] for x in found])
+        try:
+            found = list(map(chunks.__getitem__, keys))
+        except KeyError:
+            for key in keys:
+                if key not in chunks:
+                    chunks[key] = self._chunk(key)
+            found = list(map(chunks.__getitem__, keys))
+        best = sum(map(_SCORE, found))
         combined: list[tuple[float, dict]] = [(0.0, {})]
-        for _, at, i, part in self._near([x[1] for x in found], keys, n - 1):
+        for _, at, i, part in self._near(list(map(_LOSS, found)), keys, n - 1):
             paths = self._search(part, n)
             longer = [(loss + paths[0][0] - score, changed | ({(at, i): ids} if j else {})) for loss, changed in combined for j, (score, ids) in enumerate(paths)]
             combined = sorted(longer, key=lambda x: x[0])[:n]
-        return b"".join([x[2] for x in found]), [best - loss for loss, _ in combined], [changed for _, changed in combined], keys
+        return list(map(_IDS, found)), [best - loss for loss, _ in combined], [changed for _, changed in combined], keys
 
     def _near(self, losses: list[float], keys: list[str], n: int) -> list[tuple[float, int, int, str]]:
         """The n parts that lose least: (loss, chunk, part of the chunk, text)."""
         if n < 1:
             return []
-        limit = heapq.nsmallest(n, losses)[-1]
+        limit = sorted(losses)[:n][-1]
         # the n chunks up to the limit hold n parts, so no more than n that lose just as much as it can matter
         near = [at for at, loss in enumerate(losses) if loss < limit]
         if limit < float("inf"):
@@ -196,16 +219,23 @@ class Pieces:
                     parts.append((self.parts[part][1], at, i, part))
         return sorted(parts)[:n]
 
+    def packed(self, chunks: list[bytes], changed: dict[tuple[int, int], tuple[int, ...]], keys: list[str]) -> bytes:
+        """Ids of a segmentation as bytes: the best of each chunk but for the parts that are changed."""
+        if changed:
+            chunks = chunks.copy()
+            for at in {at for at, _ in changed}:
+                parts = enumerate(_SMALLEST.findall(_text(keys[at])))
+                own = [array("I", changed[at, i]).tobytes() if (at, i) in changed else (self.parts.get(part) or self._known(part))[2] for i, part in parts]
+                chunks[at] = b"".join(own)
+        return b"".join(chunks)
+
     def n_best(self, text: str, n: int) -> list[Path]:
         """The n best segmentations of a whole text."""
-        _, scores, changes, keys = self.encode(text, n)
-        parts = [((at, i), self.parts.get(part) or self._known(part)) for at, key in enumerate(keys) for i, part in enumerate(_SMALLEST.findall(_text(key)))]
-        own = [(place, tuple(np.frombuffer(known[2], "<u4").tolist())) for place, known in parts]
-        return [(score, tuple(x for place, ids in own for x in changed.get(place, ids))) for score, changed in zip(scores, changes)]
+        chunks, scores, changes, keys = self.encode(text, n)
+        return [(score, tuple(np.frombuffer(self.packed(chunks, changed, keys), "<u4").tolist())) for score, changed in zip(scores, changes)]
 
     def decode(self, ids) -> str:
-        table = self.bytes_of
-        return b"".join([table[i] for i in ids]).decode()[1:]
+        return b"".join(map(self.bytes_of.__getitem__, ids)).decode()[1:]
 
 
 def _keys(text: str) -> list[str]:
@@ -227,41 +257,45 @@ def loaded(path: str) -> Pieces:
     return _models[path]
 
 
+_ENCODED = "doc_id bigint, n_pieces bigint, score double, n_best_scores array<double>, ids_crc32 bigint, n_best_crc32 array<bigint>, round_trip boolean, ids array<int>"
+
+
 def _encoded(path: str, n: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = loaded(path)
         for big in batches:
             for begin in range(0, big.num_rows, 256):
                 batch = big.slice(begin, 256)
-                columns: tuple[list, ...] = ([], [], [], [], [], [])
+                columns: tuple[list, ...] = ([], [], [], [], [], [], [])
                 for text in batch.column(1).to_pylist():
-                    packed, scores, _, _ = model.encode(text, n)
-                    ids = np.frombuffer(packed, "<u4")
-                    row = (len(ids), scores[0], scores, zlib.crc32(packed), model.decode(ids.tolist()) == text, ids if with_ids else None)
+                    chunks, scores, changes, keys = model.encode(text, n)
+                    packed = [model.packed(chunks, changed, keys) for changed in changes]
+                    ids, crcs = np.frombuffer(packed[0], "<u4"), list(map(zlib.crc32, packed))
+                    row = (len(ids), scores[0], scores, crcs[0], crcs, model.decode(ids.tolist()) == text, ids if with_ids else None)
                     for column, value in zip(columns, row):
                         column.append(value)
-                types = (pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.int64(), pa.bool_(), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types))], ["doc_id", "n_pieces", "score", "n_best_scores", "ids_crc32", "round_trip", "ids"]
-                )
+                types = (pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.int64(), pa.list_(pa.int64()), pa.bool_(), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types))], [x.split()[0] for x in _ENCODED.split(", ")])
 
     return run
 
 
 def encoded(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str = "text", n_best: int = N_BEST, with_ids: bool = True) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_pieces, score, n_best_scores, ids_crc32, round_trip, ids.
+    """One row per row of ``docs``: doc_id, n_pieces, score, n_best_scores, ids_crc32, n_best_crc32, round_trip, ids.
 
     * ids is the best segmentation of a space and the text; n_best_scores holds the scores
       of the ``n_best`` best, fewer where the lattice has fewer paths. Characters without a
       piece of their own become byte pieces. ids_crc32 is over little-endian 32-bit ids,
-      round_trip whether decoding gives the text again.
+      n_best_crc32 over those of each of the ``n_best`` (``Pieces.n_best`` gives the ids
+      themselves), round_trip whether decoding gives the text again.
+    * Of segmentations with equal scores some come first, always the same ones. Very long
+      texts are encoded whole; what is held grows with a text's length and its chunks.
     * A null text counts as empty and has the pieces of a single space. Repeated rows and
       null ids give a row each; an empty table gives an empty result. Other columns are
       not read. ids is left out unless ``with_ids``.
     """
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), text_of(text).alias("text"))
-    schema = "doc_id bigint, n_pieces bigint, score double, n_best_scores array<double>, ids_crc32 bigint, round_trip boolean, ids array<int>"
-    out = rows.mapInArrow(_encoded(model_path, n_best, with_ids), schema)
+    out = rows.mapInArrow(_encoded(model_path, n_best, with_ids), _ENCODED)
     return out if with_ids else out.drop("ids")
 
 

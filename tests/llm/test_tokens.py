@@ -98,10 +98,20 @@ def test_n_best_against_all_segmentations(text):
     model = nbest.loaded(PIECE_BPE)
     wanted = sorted((s for s, _ in all_paths(model, " " + text)), reverse=True)[:6]
     found = model.n_best(text, 6)
-    assert [s for s, _ in found] == wanted
+    # sums of logarithms, in another order
+    assert [s for s, _ in found] == pytest.approx(wanted, abs=1e-9)
     assert len({i for _, i in found}) == len(found)
     assert all(model.decode(i) == text for _, i in found)
-    assert model.best_paths(" " + text, 6)[0][0] == wanted[0]
+    score_of = {i: s for s, i in all_paths(model, " " + text)}
+    assert [score_of[i] for _, i in found] == pytest.approx([s for s, _ in found], abs=1e-9)
+    assert model.best_paths(" " + text, 6)[0][0] == pytest.approx(wanted[0], abs=1e-9)
+
+
+def test_log_probabilities():
+    found = nbest.log_probabilities({"a": (-0.0, 1), "b": (-1.0, 2), "ab": (-2.0, 3)})
+    assert sum(np.exp(s) for s, _ in found.values()) == pytest.approx(1) and found["a"][0] > found["b"][0] > found["ab"][0]
+    unigram = {"a": (-1.5, 1), "b": (-2.25, 2)}
+    assert nbest.log_probabilities(unigram) is unigram
 
 
 @pytest.mark.parametrize("filler", ["{} " * 250, "{}." * 250 + " I "])
@@ -137,6 +147,13 @@ def test_pieces_are_those_of_the_library():
 def test_encoding_and_decoding(documents, rows):
     made = nbest.encoded(documents(rows), PIECE_BPE)
     found = made.collect()
+    model = nbest.loaded(PIECE_BPE)
+    texts = {}
+    for doc, text in rows:
+        texts.setdefault(doc, set()).add(text or "")
+    for r in found:
+        known = [[zlib.crc32(np.array(i, "<u4").tobytes()) for _, i in model.n_best(t, nbest.N_BEST)] for t in texts[r.doc_id]]
+        assert r.n_best_crc32 in known and r.ids_crc32 == r.n_best_crc32[0]
     assert all(r.round_trip and r.n_pieces == len(r.ids) and r.n_best_scores == sorted(r.n_best_scores, reverse=True) for r in found)
     back = nbest.decoded(made, PIECE_BPE).collect()
     assert by_id((r.doc_id, r.text) for r in back) == by_id((d, t or "") for d, t in rows)
