@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import small_batches, text_of
 
 #: Edits allowed for each code point of a normalised item.
 ERROR_RATE = 0.1
@@ -211,7 +211,7 @@ def _found(shared):
             _matchers[key] = Matcher(items)
         matcher = _matchers[key]
         types = (pa.int64(), pa.int64(), *[pa.int32()] * 4)
-        for batch in batches:
+        for batch in small_batches(batches):
             rows = [(doc, *m) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for m in matcher.matches(normalised(text))]
             columns = zip(*rows) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], ["doc_id", "item_id", "distance", "start", "length", "item_length"])
@@ -252,7 +252,7 @@ def benchmark_matches(
       that form of the document. Of several places the nearest counts, then the first.
     * The error budget is ``error_rate`` of the length of the normalised item with a space
       at both ends, rounded down; items whose budget is none match unchanged, as words.
-    * Null or empty texts and items match nothing. Items that repeat an id with another
+    * Very long texts are searched whole. Null or empty texts and items match nothing. Items that repeat an id with another
       text each count; rows that repeat a document repeat its matches. Empty tables give
       an empty result. Other columns are not read.
     """
@@ -287,7 +287,7 @@ def _clean(shared, own: str):
             _matchers.clear()
             _matchers[key] = Matcher(items)
         matcher = _matchers[key]
-        for batch in batches:
+        for batch in small_batches(batches):
             keep = [not matcher.matches(normalised(x)) for x in batch.column(own).to_pylist()]
             names = [n for n in batch.schema.names if n != own]
             yield batch.select(names).filter(pa.array(keep, pa.bool_()))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WHITE, new_path, shuffles_released, stored, text_of
+from .common import WHITE, new_path, released, shuffles_released, small_batches, stored, text_of, written
 
 MIN_DOCS = 10
 MIN_LENGTH = 1
@@ -36,7 +36,7 @@ def line_key(line: bytes) -> bytes:
 
 def _occurrences(min_length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             ids, rows, parts, texts = (batch.column(i).to_pylist() for i in range(4))
             out: tuple[list, ...] = ([], [], [], [], [])
             for doc, row, part, text in zip(ids, rows, parts, texts):
@@ -66,12 +66,22 @@ class LineRuns:
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[DataFrame]] = []
         self.settled: list[DataFrame] = []
+        self.tables: dict[int, tuple[DataFrame, str, str]] = {}
 
     def _run(self, df: DataFrame) -> DataFrame:
         name = f"line_run_{uuid.uuid4().hex}"
+        path = new_path(self.spark, name)
         with shuffles_released(self.spark):
-            df.write.bucketBy(self.buckets, "key").sortBy("key").option("path", new_path(self.spark, name)).saveAsTable(name)
-        return self.spark.table(name)
+            df.write.bucketBy(self.buckets, "key").sortBy("key").option("path", path).saveAsTable(name)
+        run = self.spark.table(name)
+        self.tables[id(run)] = (run, name, path)
+        return run
+
+    def _drop(self, run: DataFrame) -> None:
+        """A run that has been merged goes, table and files."""
+        _, name, path = self.tables.pop(id(run))
+        self.spark.sql(f"DROP TABLE {name}")
+        released(self.spark, [path])
 
     def add(self, batch: DataFrame) -> None:
         """batch: key and doc_id; each pair counts once."""
@@ -92,17 +102,25 @@ class LineRuns:
         merged = reduce(DataFrame.unionByName, runs).groupBy("key").agg(F.sum("n_docs").alias("n_docs"))
         merged = stored(merged, "line-merge")
         self.settled.append(self._run(merged.where(F.col("n_docs") >= self.min_docs).select("key")))
-        return self._run(merged.where(F.col("n_docs") < self.min_docs))
+        rest = self._run(merged.where(F.col("n_docs") < self.min_docs))
+        released(self.spark, [written.pop()])
+        for run in runs:
+            self._drop(run)
+        return rest
 
     def close(self) -> DataFrame:
-        """Compacts all levels and returns the frequent keys."""
+        """Compacts all levels and returns the frequent keys; the runs are gone then."""
         if runs := [run for level in self.levels for run in level]:
             self.levels = [[self._merged(runs)]]
-        return reduce(DataFrame.unionByName, self.settled)
+        frequent = stored(reduce(DataFrame.unionByName, self.settled), "frequent-lines")
+        for run, _, _ in list(self.tables.values()):
+            self._drop(run)
+        self.levels, self.settled = [], []
+        return frequent
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small_batches(batches):
         texts, drops = batch.column("_text").to_pylist(), batch.column("_drop").to_pylist()
         kept, n_lines, n_dropped = [], [], []
         for text, drop in zip(texts, drops):
@@ -134,7 +152,8 @@ def line_dedup(
     * Lines whose key (see ``line_key``) has ``min_length`` code points or more and occurs
       in ``min_docs`` documents or more are lost in every document; the others stay,
       joined by a line feed.
-    * A null or empty text is one empty line; an empty key is never dropped.
+    * A null or empty text is one empty line; an empty key is never dropped. Very long
+      texts are split whole, by the task that reads them.
     * Rows that repeat a doc_id are one document when documents are counted, and so are
       all rows with a null doc_id; each row loses its own lines.
     * If all lines go, kept_text is empty. An empty table gives an empty result.
@@ -145,7 +164,7 @@ def line_dedup(
         F.col(doc_id).cast("bigint").alias("doc_id"), text_of(text).alias("_text"), *(F.col(c).alias(f"_k{i}") for i, c in enumerate(keep))
     ).withColumn("row_hash", F.xxhash64("_text"))
     part = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1))), F.lit(batches)).cast("int")
-    seen = stored(rows.select("doc_id", "row_hash", part.alias("batch"), "_text").mapInArrow(_occurrences(min_length), _OCCURRENCES), "lines")
+    seen = stored(rows.select("doc_id", "row_hash", part.alias("batch"), "_text").mapInArrow(_occurrences(min_length), _OCCURRENCES), "lines", "batch")
     runs = LineRuns(spark, min_docs, fan_in)
     for at in range(batches):
         runs.add(seen.where(F.col("batch") == at).select("key", "doc_id"))

@@ -174,7 +174,10 @@ class Pieces:
     def _search(self, part: str, n: int) -> list[Path]:
         found = self.searched.get(part)
         if found is None or len(found) < n:
-            found = self.searched[part] = self.best_paths(part, n)
+            found = self.best_paths(part, n)
+            # of equally good paths the one that stands for the part comes first
+            own = tuple(np.frombuffer(self.parts[part][2], "<u4").tolist())
+            found = self.searched[part] = [(found[0][0], own), *(p for p in found if p[1] != own)]
         return found[:n]
 
     # -- whole texts ---------------------------------------------------------------

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_of
+from .common import small_batches, stored, text_of
 
 #: Bound of the labelled sample.
 TRAIN_ROWS = 6_000
@@ -98,7 +98,7 @@ def train(features: np.ndarray, good: np.ndarray) -> Classifier:
 
 
 def _form_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small_batches(batches):
         found = [form(x) for x in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float64()))], ["quality", "form"])
 
@@ -119,16 +119,13 @@ def learned(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, train_ro
 
 
 def _evidence(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model: Classifier = shared.value
-        for batch in batches:
-            texts = batch.column("_text").to_pylist()
-            names = batch.schema.names
-            features = np.array([form(x) for x in texts], float).reshape(len(texts), FEATURES)
-            columns = [batch.column(i) for i, n in enumerate(names) if n != "_text"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(model.evidence(features))], [*(n for n in names if n != "_text"), "_evidence"])
+        for text in texts:
+            found = [form(x) for at in range(0, len(text), 256) for x in text.slice(at, 256).to_pylist()]
+            yield pa.array(model.evidence(np.array(found, float).reshape(len(text), FEATURES)))
 
-    return run
+    return F.arrow_udf(run, "double", F.ArrowUDFType.SCALAR_ITER)
 
 
 def _log_odds(p: Column) -> Column:
@@ -176,7 +173,8 @@ def quality(
       the shrunk rate of its path without it.
     * ``labels`` has doc_id and quality (above 0: good); of repeated ids the least counts.
       The classifier learns from ``train_rows`` labelled documents at most.
-    * Null or empty texts, and texts without words, have the features zero. A null host or
+    * Null or empty texts, and texts without words, have the features zero; very long texts
+      are measured whole. A null host or
       path is a site of its own. Repeated rows each count. An empty table gives an empty
       result; without labels of both kinds all evidence is zero.
     """
@@ -186,16 +184,11 @@ def quality(
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), host.alias("host"), path.alias("path"), *named, text_of(text).alias("_text"))
     prior = float(np.log(rate / (1 - rate)))
 
-    def scored(frame: DataFrame) -> DataFrame:
-        schema = frame.drop("_text").withColumn("_evidence", F.lit(0.0)).schema
-        return frame.mapInArrow(_evidence(shared), schema).withColumn("p", 1 / (1 + F.exp(-F.col("_evidence") - prior)))
-
-    slim = scored(rows.select("doc_id", "host", "path", "_text"))
-    if not keep:  # without other columns the scores are small: texts are read once
-        slim = stored(slim, "evidence")
-    sites = site_rates(slim, rate).withColumnsRenamed({"host": "_host", "path": "_path"})
-    wide = scored(rows) if keep else slim
-    joined = wide.join(sites, F.col("host").eqNullSafe(F.col("_host")) & F.col("path").eqNullSafe(F.col("_path")))
+    # only the text goes to Python; each is read and scored once
+    scored = stored(rows.withColumn("_evidence", _evidence(shared)("_text")).drop("_text"), "evidence")
+    scored = scored.withColumn("p", 1 / (1 + F.exp(-F.col("_evidence") - prior)))
+    sites = site_rates(scored.select("host", "path", "p"), rate).withColumnsRenamed({"host": "_host", "path": "_path"})
+    joined = scored.join(sites, F.col("host").eqNullSafe(F.col("_host")) & F.col("path").eqNullSafe(F.col("_path")))
     others = (F.col("good") - F.col("p") + F.col("strength") * F.col("host_rate")) / (F.col("n") - 1 + F.col("strength"))
     site = F.least(F.greatest(others, F.lit(1e-6)), F.lit(1 - 1e-6))
     posterior = 1 / (1 + F.exp(-F.col("_evidence") - _log_odds(F.col("site_rate"))))

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import stored, text_of
 from .grouped import by_value, flat, list_batch, run_starts, sizes_of
-from .rolling import gram_hashes, triggers
+from .rolling import gram_hashes, mixed, triggers
 
 LENGTH = 50
 GRAM = 16
@@ -126,14 +126,15 @@ def _seen(groups: int):
             count = np.where(of_shared, np.repeat(counts, counts), 1)[sent]
             out = [{"part": p, "kind": 0} | _entries(sent.nonzero()[0][i], keys, which, at, ids, rows) | {"count": count[i]} for p, i in by_value((keys[sent] % np.uint64(groups)).astype(np.int64))]
             here = of_shared.nonzero()[0]
-            out += [{"part": p, "kind": 1} | _entries(here[i], keys, which, at, ids, rows) for p, i in by_value(_part_of(rows[which[here]], groups))]
+            out += [{"part": p, "kind": 1} | _entries(here[i], keys, which, at, ids, rows) for p, i in by_value(_part_of(ids[which[here]], rows[which[here]], groups))]
             yield list_batch(_SEEN, out)
 
     return run
 
 
-def _part_of(rows: np.ndarray, groups: int) -> np.ndarray:
-    return (rows.astype(np.uint64) % np.uint64(groups)).astype(np.int64)
+def _part_of(ids: np.ndarray, rows: np.ndarray, groups: int) -> np.ndarray:
+    """By id and text, so that copies of one text don't meet in one part."""
+    return (mixed((ids ^ rows).view(np.uint64)) % np.uint64(groups)).astype(np.int64)
 
 
 def _entries(chosen: np.ndarray, keys: np.ndarray, which: np.ndarray, at: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> dict:
@@ -149,7 +150,7 @@ def _whole(table: pa.Table, *names: str) -> tuple[np.ndarray, ...]:
 
 
 def _places(groups: int, ids: np.ndarray, rows: np.ndarray, at: np.ndarray, size: np.ndarray) -> list[dict]:
-    return [{"part": p, "kind": 1, "ids": ids[i], "rows": rows[i], "at": at[i], "size": size[i]} for p, i in by_value(_part_of(rows, groups))]
+    return [{"part": p, "kind": 1, "ids": ids[i], "rows": rows[i], "at": at[i], "size": size[i]} for p, i in by_value(_part_of(ids, rows, groups))]
 
 
 def _shared(groups: int):

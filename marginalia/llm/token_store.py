@@ -380,7 +380,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         crcs, ok = [], []
         for parts, root, n in zip(*(batch.column(x).to_pylist() for x in ("parts", "root", "n_tokens"))):
-            parts = sorted(parts, key=lambda x: x["at"])
+            parts = sorted(parts or (), key=lambda x: x["at"])
             crcs.append(joined_crc([(p["crc"], 4 * p["n_ids"]) for p in parts]))
             ok.append(all(p["sound"] for p in parts) and merkle_root([p["digest"] for p in parts]) == root and sum(p["n_ids"] for p in parts) == n)
         columns = [batch.column(x) for x in ("doc_id", "start", "n_tokens")]
@@ -396,5 +396,5 @@ def read_digests(spark: SparkSession, path: str, tokenizer_path: str) -> DataFra
     found = recipes(spark, path)
     opened = chunks(spark, path).mapInArrow(_opened(_width(tokenizer_path), False), "digest binary, n_ids bigint, sound boolean, crc bigint, ids binary").drop("ids")
     parts = _references(found).join(opened, "digest").groupBy("start").agg(F.collect_list(F.struct("at", "digest", "n_ids", "sound", "crc")).alias("parts"))
-    joined = found.select("doc_id", "start", F.col("n").alias("n_tokens"), "root").join(parts, "start")
+    joined = found.select("doc_id", "start", F.col("n").alias("n_tokens"), "root").join(parts, "start", "left")
     return joined.mapInArrow(_verified, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, verified boolean")
