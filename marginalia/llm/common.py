@@ -59,7 +59,7 @@ def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     with shuffles_released(spark):
-        df.write.partitionBy(*partition_by).parquet(path)
+        df.write.partitionBy(*partition_by).option("compression", "zstd").parquet(path)
     written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

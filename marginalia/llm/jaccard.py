@@ -47,7 +47,7 @@ WORDS = 5
 #: Sets are similar where 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: Bytes of text for each of the groups in which signatures meet.
-GROUP_BYTES = 4_000_000
+GROUP_BYTES = 6_000_000
 HELD_BYTES = 4_000_000
 #: So many signatures are held while they meet; those of more than ``FREQUENT`` sets pass at once.
 HELD_SIGNATURES = 1_000_000
@@ -60,8 +60,8 @@ _SLICE = 250_000
 BLOCK = 2048
 #: Places of sets in signatures that a task holds to compare.
 HELD_SETS = 60_000
-#: Of what the sketches leave, a set is first compared with so many, then with more, then with all.
-NEAREST = (4, 32, None)
+#: Of what the sketches leave, a set is first compared with so many, then with all.
+NEAREST = (4, None)
 #: Pairs of signatures with so many sets at most are told apart before they are compared.
 SMALL_BUCKET = 64
 PAIRS_AT_ONCE = 400_000
@@ -168,7 +168,7 @@ def bands(up_to: int = 1 << 31) -> tuple[list[int], list[Band]]:
             out.append(Band(len(out), k, 1, k + 3 if k else 1, k, 0))
         else:
             least = k // 2 + 1
-            spare = max(1, least // 10)
+            spare = max(1, least // 16)
             out.append(Band(len(out), k, (least + spare) * 5 // 4 + 1, 3, 1, spare))
         low = high + 1
     return bounds, out
