@@ -2,17 +2,21 @@
 
 Both sides are prepared once: folded texts and their bigrams. Candidates meet references
 by blocking keys that lose no reliable match: equal identifiers, equal beginnings of
-titles, and, for titles that are similar as a whole, the first bigrams in hash order, of
-which similar titles share at least one.
+titles, equal search terms, and, for titles that are similar as a whole, the first bigrams
+in hash order, of which similar titles share at least one.
 """
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.references import reference_fields
-from marginalia.functions.text import LEFT_OUT, LEFT_OUT_ALSO, bigrams, composed, dice_of_sets, distinct_texts, folded, or_empty
+from marginalia.functions.text import LEFT_OUT, LEFT_OUT_ALSO, bigrams, composed, composed_each, dice_of_sets, distinct_texts, folded, or_empty, query_variants
 
 # Thresholds and weights of the comparison.
 TITLE_SCORE, TITLE_EQUAL, TITLE_PREFIX = 0.82, 0.86, 12
@@ -48,6 +52,11 @@ def _title_keys(title: Column, grams: Column) -> Column:
     return F.concat(some, start)
 
 
+def _variant_keys(variants: Column) -> Column:
+    """variants: composed search terms of a title, each a way to be found by an equal term."""
+    return F.transform(F.filter(F.array_distinct(F.transform(variants, folded_native)), lambda v: v != ""), lambda v: F.concat(F.lit("v:"), v))
+
+
 def _keys(title: Column, grams: Column, doi: Column) -> Column:
     own = F.when(doi != "", F.array(F.concat(F.lit("d:"), doi))).otherwise(F.array().cast("array<string>"))
     return F.concat(own, _title_keys(title, grams))
@@ -61,7 +70,7 @@ def prepared_references(references: DataFrame, text: str = "text") -> DataFrame:
     own = {"title": F.coalesce("f.title", composed(F.col("reference"))), "author": F.col("f.author_area"), "journal": F.col("f.journal"), "doi": F.col("f.doi")}
     r = r.withColumns({f"f_{name}": folded_native(or_empty(value)) for name, value in own.items()})
     r = r.withColumn("f_grams", bigrams(F.col("f_title")))
-    return r.withColumn("f_keys", F.when(F.col("f_doi") != "", F.array(F.concat(F.lit("d:"), F.col("f_doi")))).when(_filled(F.col("f.title")), _title_keys(F.col("f_title"), F.col("f_grams"))))
+    return r.withColumn("f_keys", F.when(F.col("f_doi") != "", F.array(F.concat(F.lit("d:"), F.col("f_doi")))).when(_filled(F.col("f.title")), F.concat(_title_keys(F.col("f_title"), F.col("f_grams")), _variant_keys(query_variants(F.col("f.title"))))))
 
 
 def prepared_candidates(candidates: DataFrame) -> DataFrame:
@@ -70,7 +79,8 @@ def prepared_candidates(candidates: DataFrame) -> DataFrame:
     c = candidates.withColumns({"c_years": years, "c_title": folded(F.col("title")), "c_author": folded(F.col("authors")), "c_journal": folded(F.col("journal")), "c_doi": folded(F.col("doi"))})
     c = c.withColumn("c_grams", bigrams(F.col("c_title"))).withColumn("c_composed", composed(or_empty(F.col("authors"))))
     c = c.withColumn("c_parts", _author_parts(F.col("c_composed")))
-    return c.withColumn("c_keys", _keys(F.col("c_title"), F.col("c_grams"), F.col("c_doi")))
+    c = c.withColumn("c_variants", composed_each(query_variants(F.col("title"))))
+    return c.withColumn("c_keys", F.concat(_keys(F.col("c_title"), F.col("c_grams"), F.col("c_doi")), _variant_keys(F.col("c_variants")))).drop("c_variants")
 
 
 def candidate_pairs(references: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -81,23 +91,80 @@ def candidate_pairs(references: DataFrame, candidates: DataFrame) -> DataFrame:
     return pairs.join(references.drop("f_keys"), "ref_id").join(candidates.drop("c_keys"), "cand_id")
 
 
-def similar_to_items(rows: DataFrame, grams: str, items: DataFrame, block: int = 256) -> DataFrame:
-    """rows with each item (item_id, item, ig: its bigrams) that has a Dice score of ``TITLE_SCORE`` or more.
+#: Classes of sizes of bigram sets: each so many times larger than the one before.
+_CLASS = 1.2
+#: Hashed bigrams, and how many rows and items a task compares at a time.
+_BUCKETS, ROWS_AT_ONCE, ITEMS_AT_ONCE = 1024, 20_000, 2_000
+
+
+def _size_class(n: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) / math.log(_CLASS)).cast("int")
+
+
+def _gram_codes(text: str) -> np.ndarray:
+    """Distinct bigrams of a folded text as numbers; a single character is its own."""
+    points = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64)
+    if len(points) == 1:
+        return points
+    return np.unique(points[:-1] << np.uint64(32) | points[1:])
+
+
+def _gram_matrix(codes: list[np.ndarray]) -> np.ndarray:
+    out = np.zeros((len(codes), _BUCKETS), np.float32)
+    rows = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
+    values = np.concatenate(codes) if codes else np.zeros(0, np.uint64)
+    np.add.at(out, (rows, ((values * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(54)).astype(np.int64)), 1)
+    return out
 
-    For long texts, whose bigrams tell little: a set of items is asked against all rows, a
-    block of items at a time, so that what is broadcast has a bound. Sizes alone settle most.
+
+def _similar(rows: pa.Table, items: pa.Table) -> pa.Table:
+    """Pairs with a Dice score of ``TITLE_SCORE`` or more: products of hashed bigram counts bound what two have in common."""
+    item_codes = [_gram_codes(x) for x in items.column("_item").to_pylist()]
+    item_n, item_matrix = np.array([len(c) for c in item_codes]), _gram_matrix(item_codes).T
+    texts, found = rows.column("_text").to_pylist(), ([], [], [])
+    for at in range(0, len(texts), 512):
+        codes = [_gram_codes(x) for x in texts[at : at + 512]]
+        sizes = np.array([len(c) for c in codes])[:, None] + item_n[None, :]
+        for i, j in zip(*np.nonzero(2 * (_gram_matrix(codes) @ item_matrix) >= TITLE_SCORE * sizes)):
+            score = 2.0 * len(np.intersect1d(codes[i], item_codes[j], assume_unique=True)) / sizes[i, j]
+            if score >= TITLE_SCORE:
+                for column, value in zip(found, (at + i, j, score)):
+                    column.append(value)
+    left, right = (pa.array(x, pa.int64()) for x in found[:2])
+    names = [n for n in rows.column_names if not n.startswith("_")]
+    own = [n for n in items.column_names if not n.startswith("_")]
+    return pa.table([*(rows.column(n).take(left) for n in names), *(items.column(n).take(right) for n in own), pa.array(found[2], pa.float64())], [*names, *own, "dice"])
+
+
+def similar_to_items(rows: DataFrame, text: str, items: DataFrame, item: str) -> DataFrame:
+    """rows without ``text``, with each of the items without ``item`` whose folded text has a Dice score of ``TITLE_SCORE`` or more, and ``dice``.
+
+    For long texts, whose bigrams tell little. Similar sets have similar sizes, so rows and
+    items meet by classes of size; a class is cut into blocks of bounded numbers of rows and
+    of items, and each pair of blocks is one group. Texts without a character match nothing.
     """
-    out, held = None, []
-    for item in [*items.orderBy("item_id", "item").toLocalIterator(), None]:
-        if item is not None:
-            held.append(item)
-        if held and (item is None or len(held) == block):
-            part = F.broadcast(rows.sparkSession.createDataFrame(held, items.schema))
-            a, b = F.size(grams), F.size("ig")
-            near = (F.least(a, b) * 2 >= TITLE_SCORE * (a + b)) & (dice_of_sets(F.col(grams), F.col("ig")) >= TITLE_SCORE)
-            found = rows.join(part, near)
-            out, held = found if out is None else out.unionByName(found), []
-    return out if out is not None else rows.join(items, F.lit(False))
+    spark = rows.sparkSession
+    names, own = [c for c in rows.columns if c != text], [c for c in items.columns if c != item]
+    size = F.size(bigrams(F.col("_text")))
+    left = rows.withColumn("_text", folded(F.col(text))).where("_text <> ''").select(*names, "_text", _size_class(size).alias("_class"))
+    size = F.size(bigrams(F.col("_item")))
+    least, most = F.ceil(size * (TITLE_SCORE / (2 - TITLE_SCORE)) - 1e-6), F.floor(size * ((2 - TITLE_SCORE) / TITLE_SCORE) + 1e-6)
+    right = items.withColumn("_item", folded(F.col(item))).where("_item <> ''").select(*own, "_item", F.explode(F.sequence(_size_class(F.greatest(least, F.lit(1))), _size_class(most))).alias("_class"))
+
+    def blocks(frame: DataFrame, at_once: int, name: str) -> DataFrame:
+        return frame.groupBy("_class").agg(F.ceil(F.count(F.lit(1)) / at_once).cast("int").alias(name))
+
+    counts = blocks(left, ROWS_AT_ONCE, "_r").join(blocks(right, ITEMS_AT_ONCE, "_i"), "_class")
+
+    def of_classes() -> DataFrame:
+        """One row for each class of sizes; as columns of its own, since both sides have it."""
+        return F.broadcast(counts.select(*(F.col(c).alias(c) for c in counts.columns)))
+
+    left = left.join(of_classes(), "_class").withColumn("_rb", F.pmod(F.xxhash64(*names, "_text"), "_r").cast("int")).withColumn("_ib", F.explode(F.sequence(F.lit(0), F.col("_i") - 1)))
+    right = right.join(of_classes(), "_class").withColumn("_ib", F.pmod(F.xxhash64(*own, "_item"), "_i").cast("int")).withColumn("_rb", F.explode(F.sequence(F.lit(0), F.col("_r") - 1)))
+    schema = spark.createDataFrame([], rows.drop(text).schema).join(spark.createDataFrame([], items.drop(item).schema)).withColumn("dice", F.lit(0.0)).schema
+    key = "_class", "_rb", "_ib"
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_similar, schema)
 
 
 def author_score(reference: Column, candidate: Column, parts: Column) -> Column:
@@ -177,22 +244,45 @@ def compared(best: DataFrame) -> DataFrame:
     return best.withColumns({"checked_fields": F.transform(both, lambda r: r["field"]), "differences": different})
 
 
-def match_status(references: DataFrame, candidates: DataFrame, provider_failed: bool = False) -> DataFrame:
-    """One row per reference: ref_id, status, cand_id, confidence, checked_fields, differences.
+def match_status(references: DataFrame, candidates: DataFrame, provider_failed: bool = False, failures: DataFrame | None = None) -> DataFrame:
+    """One row per reference: ref_id, status, cand_id, confidence, checked_fields, differences, provider, provider_errors, book_like, links.
 
     Statuses: verified, mismatch, unconfirmed (the title differs and no identifier tells),
-    doi_unconfirmed, not_found, and lookup_incomplete where a provider failed.
+    doi_unconfirmed, not_found, and lookup_incomplete where a provider failed: all lookups
+    with ``provider_failed``, else those in ``failures`` (ref_id, provider). What the other
+    providers found counts all the same.
     """
     refs = prepared_references(references)
     best = compared(best_matches(candidate_pairs(refs, prepared_candidates(candidates))))
-    found = best.select("ref_id", "cand_id", "confidence", "checked_fields", "differences", (F.col("f_doi") == F.col("c_doi")).alias("_same_doi"))
-    out = refs.select("ref_id", (F.col("f_doi") != "").alias("_doi")).join(found, "ref_id", "left")
-    absent = F.lit("lookup_incomplete") if provider_failed else F.when(F.col("_doi"), "doi_unconfirmed").otherwise("not_found")
+    found = best.select("ref_id", "cand_id", "confidence", "checked_fields", "differences", "provider", "url", (F.col("f_doi") == F.col("c_doi")).alias("_same_doi"))
+    out = refs.select("ref_id", "reference", "f", (F.col("f_doi") != "").alias("_doi")).join(found, "ref_id", "left")
+    none = F.array().cast("array<string>")
+    if failures is None:
+        out = out.withColumn("provider_errors", F.array(*map(F.lit, PROVIDERS)) if provider_failed else none)
+    else:
+        names = failures.groupBy("ref_id").agg(F.array_sort(F.collect_set("provider")).alias("_failed"))
+        out = out.join(names, "ref_id", "left").withColumn("provider_errors", F.coalesce("_failed", none))
+    absent = F.when(F.size("provider_errors") > 0, "lookup_incomplete").when(F.col("_doi"), "doi_unconfirmed").otherwise("not_found")
     title_differs = F.exists("differences", lambda d: d["field"] == FIELD_NAMES["title"])
-    status = (
-        F.when(F.col("cand_id").isNull() | (F.col("confidence") < LEAST_CONFIDENCE), absent)
-        .when(title_differs & ~(F.col("_doi") & F.col("_same_doi")), "unconfirmed")
-        .when(F.size("differences") > 0, "mismatch")
-        .otherwise("verified")
-    )
-    return out.select("ref_id", status.alias("status"), "cand_id", "confidence", "checked_fields", "differences")
+    missing = F.col("cand_id").isNull() | (F.col("confidence") < LEAST_CONFIDENCE)
+    unconfirmed = title_differs & ~(F.col("_doi") & F.col("_same_doi"))
+    status = F.when(missing, absent).when(unconfirmed, "unconfirmed").when(F.size("differences") > 0, "mismatch").otherwise("verified")
+    term = F.url_encode(F.coalesce(F.nullif("f.title", F.lit("")), "reference"))
+    links = F.struct(
+        F.when(~missing, F.col("url")).alias("source"), F.concat(F.lit("https://doi.org/"), "f.doi").alias("doi"),
+        F.concat(F.lit("https://cir.nii.ac.jp/all?q="), term).alias("cinii"), F.concat(F.lit("https://scholar.google.com/scholar?q="), term).alias("scholar"),
+    )
+    differences = F.when(unconfirmed & ~missing, F.slice("differences", 1, 0)).otherwise(F.col("differences"))
+    return out.select("ref_id", status.alias("status"), "cand_id", "confidence", "checked_fields", differences.alias("differences"), "provider", "provider_errors", F.col("f.is_book").alias("book_like"), links.alias("links"))
+
+
+def as_json(matches: DataFrame) -> DataFrame:
+    """ref_id and what ``match_status`` found as one JSON text; what is unknown is left out."""
+    best = F.when(F.col("cand_id").isNotNull(), F.struct(F.col("cand_id").alias("id"), "provider", "confidence"))
+    none = F.array().cast("array<string>")
+    body = F.struct(
+        "status", F.col("provider_errors").alias("providerErrors"), F.col("book_like").alias("bookLike"), best.alias("bestMatch"),
+        F.coalesce("differences", F.array().cast("array<struct<field:string,provided:string,database:string>>")).alias("differences"),
+        F.coalesce("checked_fields", none).alias("checkedFields"), "links",
+    )
+    return matches.select("ref_id", F.to_json(body).alias("json"))

@@ -37,6 +37,17 @@ def ai_payloads(paragraphs: DataFrame, references: DataFrame, checks: tuple[str,
     return docs.select("doc_id", payload.alias("payload")).withColumn("n_chars", F.length("payload")).withColumn("fits", F.col("n_chars") <= MAX_PAYLOAD)
 
 
+_ENVELOPE = "struct<output:array<struct<content:array<struct<type:string,text:string>>>>,output_text:string>"
+
+
+def answer_text(response: Column) -> Column:
+    """The answer in a response's JSON: the first output text, else the response's own; empty without either."""
+    r = F.from_json(response, _ENVELOPE)
+    contents = F.flatten(F.transform(F.filter(r["output"], lambda o: o["content"].isNotNull()), lambda o: o["content"]))
+    texts = F.filter(contents, lambda c: (c["type"] == "output_text") & (c["text"] != ""))
+    return F.coalesce(F.get(texts, F.lit(0))["text"], r["output_text"], F.lit(""))
+
+
 def response_findings(responses: DataFrame, text: str = "text", default_category: str = "AI詳細チェック") -> DataFrame:
     """Findings in answers: JSON, perhaps in a code fence, with a list ``findings``.
 

@@ -72,12 +72,15 @@ class DocTables:
         return DocTables(paragraphs, references if references is not None else none, tables if tables is not None else none.select("doc_id", "text"))
 
 
+Rule = Callable[[DocTables], DataFrame]
+
+
 def _location() -> Column:
     place = F.concat(F.lit("本文 "), F.col("idx"), F.lit("段落"))
     return F.when(F.col("heading") == BODY, place).otherwise(F.concat(F.col("heading"), F.lit(" ＞ "), place))
 
 
-def _findings(rows: DataFrame, rule: str, check: str, severity: str, **columns: Column) -> DataFrame:
+def _findings(rows: DataFrame, rule: str, check: str, severity: str, /, **columns: Column) -> DataFrame:
     """Findings from rows; whole-document findings have no paragraph."""
     local = "idx" in rows.columns
     values = {
@@ -111,9 +114,7 @@ def _ranges(starts: Column, width: int = 1) -> Column:
 
 
 def no_headings(t: DocTables) -> DataFrame:
-    filled = F.col("text") != ""
-    counts = t.paragraphs.groupBy("doc_id").agg(F.count_if(filled).alias("n"), F.count_if(filled & F.col("is_heading")).alias("h"))
-    return _findings(counts.where("n >= 5 and h = 0"), "no_headings", "format", "important", detail=F.col("n").cast("string"))
+    return _document_findings(t, {"no_headings": 0}).drop("emit_order")
 
 
 def heading_jumps(t: DocTables) -> DataFrame:
@@ -233,48 +234,74 @@ def spelling_variants(t: DocTables) -> DataFrame:
 # -- logic and completion ----------------------------------------------------------------
 
 
-def _any(pattern: str) -> Column:
-    return F.bool_or(F.col("text").rlike(pattern))
-
-
-def no_purpose(t: DocTables) -> DataFrame:
-    return _findings(t.paragraphs.groupBy("doc_id").agg(_any(PURPOSE).alias("x")).where("not x"), "no_purpose", "logic", "important")
-
+def _flags(t: DocTables) -> DataFrame:
+    """One row per document with all that rules on whole documents ask, from one pass. Terms may also stand in tables."""
+    body = t.paragraphs.select("doc_id", "text", "is_heading", F.lit(True).alias("_body"))
+    texts = body.unionByName(t.tables.select("doc_id", "text", F.lit(False).alias("is_heading"), F.lit(False).alias("_body")))
+    own, filled = F.col("_body"), F.col("_body") & (F.col("text") != "")
+    heading = F.coalesce("is_heading", F.lit(False))
+
+    def has(pattern: str, where: Column | None = None) -> Column:
+        found = F.col("text").rlike(pattern)
+        return F.coalesce(F.bool_or(found if where is None else where & found), F.lit(False))
+
+    terms = {"survey": SURVEY, "review": REVIEW, "design": DESIGN, "result": RESULT, "discussion": DISCUSSION, "reflexive": REFLEXIVE}
+    return texts.groupBy("doc_id").agg(
+        F.count_if(own).alias("n_body"), F.count_if(filled).alias("n_filled"), F.count_if(filled & heading).alias("n_headings"),
+        F.count_if(filled & ~heading & F.col("text").rlike(BULLET)).alias("n_bullets"), has(PURPOSE, own).alias("purpose"), has(CONCLUSION, own).alias("conclusion"),
+        *(has(p).alias(n) for n, p in terms.items()),
+    )
+
+
+#: Rules that flags and counts of a document decide: check, severity, condition, detail. The terms of
+#: a design hold a bare letter r, as they always did: any Latin r satisfies them.
+DOCUMENT_RULES = {
+    "no_headings": ("format", "important", "n_filled >= 5 and n_headings = 0", "n_filled"),
+    "no_purpose": ("logic", "important", "n_body > 0 and not purpose", "null"),
+    "no_conclusion": ("logic", "warning", "n_body > 0 and not conclusion", "null"),
+    "no_prior_research": ("completion", "info", "survey and not review", "null"),
+    "no_design": ("completion", "info", "survey and not design", "null"),
+    "bullets": ("completion", "info", "n_bullets >= 3", "n_bullets"),
+    "no_discussion": ("completion", "info", "result and not discussion", "null"),
+}
 
-def no_conclusion(t: DocTables) -> DataFrame:
-    return _findings(t.paragraphs.groupBy("doc_id").agg(_any(CONCLUSION).alias("x")).where("not x"), "no_conclusion", "logic", "warning")
 
+def _document_findings(t: DocTables, chosen: dict[str, int]) -> DataFrame:
+    """Findings of the chosen document rules (name to emit_order) from one row per document."""
 
-def _terms(t: DocTables) -> DataFrame:
-    texts = t.paragraphs.select("doc_id", "text").unionByName(t.tables.select("doc_id", "text"))
-    names = {"survey": SURVEY, "review": REVIEW, "design": DESIGN, "result": RESULT, "discussion": DISCUSSION, "reflexive": REFLEXIVE}
-    return texts.groupBy("doc_id").agg(*(_any(p).alias(n) for n, p in names.items()))
+    def row(name: str) -> Column:
+        check, severity, condition, detail = DOCUMENT_RULES[name]
+        values = {"rule": F.lit(name), "check": F.lit(CATEGORIES[check]), "severity": F.lit(severity), "detail": F.expr(f"cast({detail} as string)"), "emit_order": F.lit(chosen[name])}
+        return F.when(F.expr(condition), F.struct(*(v.alias(n) for n, v in values.items())))
 
+    found = _flags(t).select("doc_id", F.explode(F.array_compact(F.array(*map(row, chosen)))).alias("f"))
+    same = {"rule": F.col("f.rule"), "category": F.col("f.check"), "severity": F.col("f.severity"), "detail": F.col("f.detail")}
+    findings = _findings(found, "", "format", "", **same, seq=F.col("f.emit_order").cast("bigint"))
+    order = F.lit(0)
+    for name, at in chosen.items():
+        order = F.when(F.col("rule") == name, at).otherwise(order)
+    return findings.withColumns({"emit_order": order, "seq": F.lit(0).cast("bigint")})
 
-def no_prior_research(t: DocTables) -> DataFrame:
-    return _findings(_terms(t).where("survey and not review"), "no_prior_research", "completion", "info")
 
+def _document_rule(name: str) -> Rule:
+    def rule(t: DocTables) -> DataFrame:
+        return _document_findings(t, {name: 0}).drop("emit_order")
 
-def no_design(t: DocTables) -> DataFrame:
-    """The terms hold a bare letter r, as they always did: any Latin r satisfies them."""
-    return _findings(_terms(t).where("survey and not design"), "no_design", "completion", "info")
+    rule.__name__ = name
+    return rule
 
 
-def bullets(t: DocTables) -> DataFrame:
-    counts = _prose(t).groupBy("doc_id").agg(F.count_if(F.col("text").rlike(BULLET)).alias("n"))
-    return _findings(counts.where("n >= 3"), "bullets", "completion", "info", detail=F.col("n").cast("string"))
+no_purpose, no_conclusion = _document_rule("no_purpose"), _document_rule("no_conclusion")
+no_prior_research, no_design = _document_rule("no_prior_research"), _document_rule("no_design")
+bullets, no_discussion = _document_rule("bullets"), _document_rule("no_discussion")
 
 
 def personal_experience(t: DocTables) -> DataFrame:
-    reflexive = _terms(t).where("reflexive").select("doc_id")
+    reflexive = _flags(t).where("reflexive").select("doc_id")
     found = _first(_prose(t).where(F.col("text").rlike(PERSONAL)), 1, "idx")
     return _findings(found.join(reflexive, "doc_id", "left_anti"), "personal_experience", "completion", "info")
 
 
-def no_discussion(t: DocTables) -> DataFrame:
-    return _findings(_terms(t).where("result and not discussion"), "no_discussion", "completion", "info")
-
-
 # -- figures -----------------------------------------------------------------------------
 
 
@@ -324,8 +351,6 @@ def personal_data(t: DocTables) -> DataFrame:
     return _findings(each, "personal_data", "ethics", "important", detail=detail, ranges=span, seq=F.col("idx").cast("bigint") * 1_000_000 + F.col("_at"))
 
 
-Rule = Callable[[DocTables], DataFrame]
-
 #: The checks, in the order in which they are offered, and their rules.
 CHECKS: dict[str, tuple[Rule, ...]] = {
     "format": (no_headings, heading_jumps),
@@ -347,7 +372,10 @@ def register(check: str, rule: Rule) -> None:
 def run_checks(t: DocTables, checks: list[str] | None = None) -> DataFrame:
     """Findings of the chosen checks; unknown names give none. finding_id is a hash, emit_order follows the choice."""
     chosen = [rule for name in (list(CHECKS) if checks is None else checks) for rule in CHECKS.get(name, ())]
-    parts = [rule(t).withColumn("emit_order", F.lit(i)) for i, rule in enumerate(chosen)]
+    of_documents = {rule.__name__: i for i, rule in enumerate(chosen) if rule.__name__ in DOCUMENT_RULES and rule is globals()[rule.__name__]}
+    parts = [rule(t).withColumn("emit_order", F.lit(i)) for i, rule in enumerate(chosen) if rule.__name__ not in of_documents]
+    if of_documents:
+        parts.append(_document_findings(t, of_documents))
     if not parts:
         return no_purpose(t).where("false").withColumns({"emit_order": F.lit(0), "finding_id": F.lit("")})
     key = F.sha2(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", "rule", "p_idx", "seq", "detail", "original"))), 256)

@@ -98,3 +98,19 @@ def guarded(requests: DataFrame, client: str, ts: str, order: str, client_limit:
     globally = rate_limited(passed, "_one", ts, order, global_limit, window_seconds).drop("_one")
     out = globally.withColumn("outcome", F.when(F.col("rejected"), "globally_limited").otherwise("passed")).drop("rejected")
     return out.unionByName(by_client.where("rejected").drop("rejected").withColumn("outcome", F.lit("client_limited")))
+
+
+def guard_chain(
+    requests: DataFrame, allowed: DataFrame, client: str, ts: str, order: str, client_limit: int, global_limit: int, window_seconds: float = 60, method: str = "method", origin: str = "origin", referer: str = "referer"
+) -> DataFrame:
+    """Adds ``outcome``: method_not_allowed, forbidden, client_limited, globally_limited or passed, in this order of tests.
+
+    Only POST is allowed. A request that fails one test takes no slot of a later one.
+    """
+    posts = F.coalesce(F.col(method) == "POST", F.lit(False))
+    good = admitted(requests.where(posts), allowed, origin, referer)
+    names = allowed.select(origin_of(F.col("origin")).alias("_allowed")).distinct()
+    stated = F.when(F.coalesce(origin, F.lit("")) != "", F.col(origin)).otherwise(F.col(referer))
+    foreign = requests.where(posts).join(names, origin_of(stated) == F.col("_allowed"), "left_anti").withColumn("outcome", F.lit("forbidden"))
+    other = requests.where(~posts).withColumn("outcome", F.lit("method_not_allowed"))
+    return guarded(good, client, ts, order, client_limit, global_limit, window_seconds).unionByName(foreign).unionByName(other)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marginalia.operators import rules
+from marginalia.operators import guidance, rules
 from marginalia.plans import corpus
 
 _LINES = """lines AS (
@@ -68,13 +68,67 @@ ORACLE_SQL: dict[str, str] = {
         ), j AS (
             SELECT doc_id, '{{"checks":["writing"],"sections":[{{"heading":"本文","paragraphs":[' || ps || ']}}],"references":[]}}' AS payload FROM p
         ) SELECT doc_id, length(payload) <= 120000 AS fits, md5(payload) AS payload_md5 FROM j""",
-    "dice_similarity": f"""WITH {_LINES}, a AS (SELECT doc_id, idx, {_FOLDED.format("text")} AS t FROM lines WHERE length(text) >= 40),
-        b AS (SELECT item_id, unnest(string_split(text, chr(10))) AS item FROM benchmark), i AS (SELECT DISTINCT item_id, item, {_FOLDED.format("item")} AS t FROM b WHERE length(item) >= 40),
-        ag AS (SELECT *, list_distinct(list_transform(range(1, length(t)), lambda k: substr(t, k, 2))) AS g FROM a),
-        ig AS (SELECT *, list_distinct(list_transform(range(1, length(t)), lambda k: substr(t, k, 2))) AS g FROM i),
+    "dice_similarity": f"""WITH {_LINES}, a AS (SELECT doc_id, idx, {_FOLDED.format("text")} AS t FROM lines),
+        b AS (SELECT item_id, unnest(string_split(text, chr(10))) AS item FROM benchmark), i AS (SELECT DISTINCT item_id, item, {_FOLDED.format("item")} AS t FROM b),
+        ag AS (SELECT *, CASE WHEN length(t) = 1 THEN [t] ELSE list_distinct(list_transform(range(1, length(t)), lambda k: substr(t, k, 2))) END AS g FROM a WHERE t <> ''),
+        ig AS (SELECT *, CASE WHEN length(t) = 1 THEN [t] ELSE list_distinct(list_transform(range(1, length(t)), lambda k: substr(t, k, 2))) END AS g FROM i WHERE t <> ''),
         s AS (SELECT ag.doc_id, ag.idx, ig.item_id, ig.item, 2.0 * len(list_intersect(ag.g, ig.g)) / (len(ag.g) + len(ig.g)) AS d FROM ag JOIN ig
               ON 2 * least(len(ag.g), len(ig.g)) >= 0.82 * (len(ag.g) + len(ig.g)))
         SELECT DISTINCT doc_id, idx::INT AS idx, item_id, md5(item) AS item_md5, round(d::DOUBLE, 4) AS dice FROM s WHERE d >= 0.82""",
+    "finding_texts": f"""WITH {_LINES}, {_HITS} SELECT doc_id, idx::INT AS p_idx, kind || 'の可能性' AS title, value AS original,
+        '匿名化、削除、または掲載同意の有無を確認してください。' AS suggestion, 'AIへ送信する場合、この値は自動的にマスクする対象です。' AS reason FROM hits""",
+    "lookup_findings": f"""WITH {corpus.values_sql("texts", "outcome, severity, title, suggestion, reason", list(guidance.LOOKUP_TEXTS))}, {corpus.values_sql("errors", "code, said", list(guidance.SOURCE_ERRORS.items()))},
+        d AS (SELECT *, list_extract(['verified','source_verified','source_partial','source_mismatch','source_unavailable','manual_source','lookup_incomplete','mismatch','doi_unconfirmed','not_found','unconfirmed'], (doc_id % 11 + 1)::INT) AS status,
+                list_extract([{", ".join(f"'{x}'" for x in (*guidance.SOURCE_ERRORS, "unheard_of"))}], (doc_id % 13 + 1)::INT) AS code FROM documents),
+        o AS (SELECT *, CASE WHEN status = 'manual_source' THEN CASE WHEN doc_id % 2 = 0 THEN 'manual_report' ELSE 'manual_web' END
+                WHEN status IN ('not_found', 'unconfirmed') THEN CASE WHEN doc_id % 17 = 0 THEN 'book' ELSE 'unsettled' END ELSE status END AS outcome FROM d WHERE status <> 'verified'),
+        v AS (SELECT o.*, CASE WHEN doc_id % 2 = 0 THEN '{guidance.REPORT_SOURCE}' ELSE '{guidance.WEB_SOURCE}' END AS source_name, coalesce(said, '{guidance.OTHER_ERROR}') AS error,
+                CASE WHEN doc_id % 7 < 3 AND doc_id % 5 = 0 THEN '{guidance.NO_YEAR}' WHEN doc_id % 3 = 0 THEN '{guidance.NO_DATE}' ELSE '{guidance.DATED}' END AS advice,
+                '{guidance.COMPARED}' || CASE WHEN doc_id % 4 = 0 THEN '備考一 備考二' ELSE '' END AS compared,
+                '発行年' || chr(10) || '記載：2020' || chr(10) || '照合先：なし' || chr(10) || chr(10) || '題名' || chr(10) || '記載：' || coalesce(nullif(lang, ''), 'なし') || chr(10) || '照合先：別題' AS differences
+            FROM o LEFT JOIN errors USING (code))
+        SELECT 'ref' || doc_id AS ref_id, outcome, severity, '参考文献 ' || doc_id AS location, replace(title, '{{source}}', source_name) AS title, source AS original,
+            replace(replace(suggestion, '{{advice}}', advice), '{{differences}}', differences) AS suggestion,
+            replace(replace(replace(replace(reason, '{{compared}}', compared), '{{error}}', error), '{{providers}}', 'Crossref・CiNii Research'), '{{provider}}', 'CiNii') AS reason
+        FROM v JOIN texts USING (outcome)""",
+    "unavailable_lookups": f"""WITH {_LINES} SELECT doc_id, 'info' AS severity, '参考文献一覧' AS location, count(*) || '件の参考文献を読み取りました。' AS original FROM lines GROUP BY doc_id""",
+    "highlight_spans": """WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, doc_id % 3 AS a1, doc_id % 3 + 2 AS b1, doc_id % 5 AS a2, doc_id % 5 + 4 AS b2, 4 AS a3, doc_id % 7 + 6 AS b3, 8 AS a4, doc_id % 50 * 40 AS b4 FROM documents),
+        u1 AS (SELECT *, b1 <= n AS k1, CASE WHEN b1 <= n THEN b1 ELSE 0 END AS c1 FROM d), u2 AS (SELECT *, a2 >= c1 AND b2 <= n AS k2, CASE WHEN a2 >= c1 AND b2 <= n THEN b2 ELSE c1 END AS c2 FROM u1),
+        u3 AS (SELECT *, a3 >= c2 AND b3 <= n AS k3, CASE WHEN a3 >= c2 AND b3 <= n THEN b3 ELSE c2 END AS c3 FROM u2), u4 AS (SELECT *, a4 >= c3 AND b4 <= n AS k4 FROM u3)
+        SELECT doc_id, concat_ws(',', CASE WHEN k1 THEN a1 || '-' || b1 END, CASE WHEN k2 THEN a2 || '-' || b2 END, CASE WHEN k3 THEN a3 || '-' || b3 END, CASE WHEN k4 THEN a4 || '-' || b4 END) AS spans FROM u4""",
+    "guard_chain": """WITH RECURSIVE e AS MATERIALIZED (SELECT event_id, user_id, ts, CASE WHEN event_id % 5 = 0 THEN 'method_not_allowed'
+                WHEN event_id % 7 = 0 OR (event_id % 7 = 1 AND event_id % 2 <> 0) THEN 'forbidden' END AS stopped FROM events),
+        o AS MATERIALIZED (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM e WHERE stopped IS NULL),
+        f AS (SELECT event_id, user_id, k, ts AS last, false AS rejected FROM o WHERE k = 1
+            UNION ALL SELECT o.event_id, o.user_id, o.k, CASE WHEN o.ts - f.last >= INTERVAL 1 HOUR THEN o.ts ELSE f.last END, o.ts - f.last < INTERVAL 1 HOUR FROM f JOIN o ON o.user_id = f.user_id AND o.k = f.k + 1)
+        SELECT event_id, CASE WHEN rejected THEN 'client_limited' ELSE 'passed' END AS outcome FROM f UNION ALL SELECT event_id, stopped FROM e WHERE stopped IS NOT NULL""",
+    "answer_envelopes": _expected("id, answer", [(1, "answer"), (2, "own"), (3, ""), (4, "")]),
+    "search_terms": _expected(
+        "cand_id, pos, term",
+        [
+            (1, 0, "山間地域の図書室における学習支援の試みと利用者への新たな「場づくり」"), (1, 1, "山間地域の図書室における学習支援の試みと利用者への新たな場づくり"), (1, 2, "山間地域の図書室における学習支援"),
+            (1, 3, "山間地域の図書室における学習支援の試みと利用者への新たな 場づくり"), (2, 0, "Article of record"), (3, 0, "A study of many things: with a subtitle"), (3, 1, "A study of many things"),
+            (4, 0, "A study of many things"), (5, 0, "Another matter"), (6, 0, "経営の考え方"),
+        ],
+    ),
+    "reference_fields": _expected(
+        "ref_id, doi, title, journal, is_book, reference_type, source_url",
+        [
+            *((r, None, "山間地域の図書室における学習支援の試みと利用者への新たな「場づくり」", "架空大学教養論叢", False, "article", None) for r in ("r01", "r02", "r03")),
+            ("r04", "10.1234/test", "Article of record", None, False, "article", "https://doi.org/10.1234/test"),
+            ("r05", None, "事業紹介", None, False, "web", "https://example.com/2016"), ("r06", None, "事業紹介", None, False, "article", None),
+            ("r07", None, "A study of many things", "Journal of Things", False, "article", None), ("r08", None, "Another vs. other matters", None, True, "book", None),
+            ("r09", None, "経営の考え方", None, True, "book", None), ("r10", None, "環境白書", None, False, "report", "https://example.org/report.pdf"),
+        ],
+    ),
+    "match_json": _expected(
+        "ref_id, status, errors, book_like, provider, doi_link",
+        [
+            ("r01", "mismatch", "[]", "false", "CiNii", None), ("r02", "lookup_incomplete", '["CiNii","Crossref"]', "false", None, None), ("r03", "lookup_incomplete", '["Crossref"]', "false", None, None),
+            ("r04", "verified", '["CiNii"]', "false", "Crossref", "https://doi.org/10.1234/test"), ("r05", "not_found", "[]", "false", None, None), ("r06", "not_found", "[]", "false", None, None),
+            ("r07", "verified", "[]", "false", "CiNii", None), ("r08", "not_found", "[]", "true", None, None), ("r09", "not_found", "[]", "true", None, None), ("r10", "not_found", "[]", "false", None, None),
+        ],
+    ),
     "sections_ffill": f"""WITH {corpus.corpus_sql()}, o AS (SELECT *, is_heading AND text <> '' AS opens FROM corpus)
         SELECT doc_id, idx, (sum(opens::INT) OVER w + 1)::INT AS section_no, coalesce(last_value(CASE WHEN opens THEN text END IGNORE NULLS) OVER w, '本文') AS heading
         FROM o WINDOW w AS (PARTITION BY doc_id ORDER BY idx ROWS UNBOUNDED PRECEDING)""",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions import pii, references, text
-from marginalia.operators import matching, payload, results, rules, source_compare, state, structure
+from marginalia.operators import guidance, matching, payload, results, rules, source_compare, state, structure
 from marginalia.plans import corpus
 from marginalia.sources import candidates as candidate_sources
 from marginalia.sources import pages as page_sources
@@ -78,8 +78,9 @@ def masked_documents(spark, sf_dir):
 @query
 def effective_lengths(spark, sf_dir):
     """Paragraphs of documents by the length that counts for long sentences."""
-    core = rules.effective(F.col("text"))
-    return _paragraphs(spark, sf_dir).select("doc_id", "idx", F.length(core).alias("n"), F.regexp_count(core, F.lit(rules.PAUSES)).alias("pauses")).where("n >= 180")
+    core = rules.effective(F.col("text"))  # never longer than the text
+    long = _paragraphs(spark, sf_dir).where("length(text) >= 180")
+    return long.select("doc_id", "idx", F.length(core).alias("n"), F.regexp_count(core, F.lit(rules.PAUSES)).alias("pauses")).where("n >= 180")
 
 
 def _long_lines(spark, sf_dir):
@@ -95,10 +96,8 @@ def capped_findings(spark, sf_dir):
 def _mixed(spark, sf_dir):
     hits = _hits(spark, sf_dir).select("doc_id", "rule", "category", "severity")
     terms = rules.DocTables.of(_paragraphs(spark, sf_dir).withColumn("heading", F.lit(structure.BODY)))
-    parts = [rules.no_headings(terms), rules.no_purpose(terms), rules.no_conclusion(terms), rules.no_references(terms)]
-    for part in parts:
-        hits = hits.unionByName(part.select("doc_id", "rule", "category", "severity"))
-    return hits
+    hits = hits.unionByName(rules._document_findings(terms, {"no_headings": 0, "no_purpose": 1, "no_conclusion": 2}).select("doc_id", "rule", "category", "severity"))
+    return hits.unionByName(rules.no_references(terms).select("doc_id", "rule", "category", "severity"))
 
 
 @query
@@ -123,13 +122,54 @@ def ai_payload(spark, sf_dir):
 @query
 def dice_similarity(spark, sf_dir):
     """Benchmark passages and the document lines that are similar to them as wholes."""
-    lines = _paragraphs(spark, sf_dir).where("length(text) >= 40").select("doc_id", "idx", "text")
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.split("text", "\n")).alias("item")).where("length(item) >= 40")
-    lines = lines.withColumn("t", text.folded(F.col("text"))).withColumn("tg", text.bigrams(F.col("t")))
-    items = items.withColumn("i", text.folded(F.col("item"))).withColumn("ig", text.bigrams(F.col("i")))
-    found = matching.similar_to_items(lines.select("doc_id", "idx", "tg"), "tg", items.select("item_id", "item", "ig"))
-    pairs = found.select("doc_id", "idx", "item_id", F.md5("item").alias("item_md5"), F.round(text.dice_of_sets(F.col("tg"), F.col("ig")), 4).alias("dice"))
-    return pairs.distinct()
+    lines = _paragraphs(spark, sf_dir).select("doc_id", "idx", "text")
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.split("text", "\n")).alias("item")).distinct().withColumn("item_md5", F.md5("item"))
+    found = matching.similar_to_items(lines, "text", items, "item")
+    return found.select("doc_id", "idx", "item_id", "item_md5", F.round("dice", 4).alias("dice")).distinct()
+
+
+@query
+def finding_texts(spark, sf_dir):
+    """What writers are told of personal data in their documents."""
+    found = guidance.with_texts(_hits(spark, sf_dir))
+    return found.select("doc_id", "p_idx", "title", "original", "suggestion", "reason")
+
+
+_STATUSES = ("verified", "source_verified", "source_partial", "source_mismatch", "source_unavailable", "manual_source", "lookup_incomplete", "mismatch", "doi_unconfirmed", "not_found", "unconfirmed")
+
+
+@query
+def lookup_findings(spark, sf_dir):
+    """A finding for each document, as if its number told what looking it up gave."""
+    n = F.col("doc_id")
+    errors = (*guidance.SOURCE_ERRORS, "unheard_of")
+    results_of = table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("ref"), n).alias("ref_id"), F.col("source").alias("text"), F.get(F.array(*map(F.lit, _STATUSES)), F.pmod(n, F.lit(len(_STATUSES))).cast("int")).alias("status"),
+        F.when(n % 2 == 0, "report").otherwise("web").alias("reference_type"), F.get(F.array(*map(F.lit, errors)), F.pmod(n, F.lit(13)).cast("int")).alias("source_error"),
+        F.when(n % 3 == 0, "missing").otherwise("provided").alias("date_state"), F.when(n % 5 != 0, "2020").alias("source_year"),
+        F.array(F.struct(F.lit("公開年").alias("field"), F.when(n % 7 < 3, "unknown").otherwise("match").alias("state"))).alias("comparisons"),
+        F.when(n % 4 == 0, F.array(F.lit("備考一"), F.lit("備考二"))).alias("notes"), F.lit("CiNii").alias("provider"), F.array(F.lit("Crossref"), F.lit("CiNii Research")).alias("provider_errors"),
+        F.array(F.struct(F.lit("発行年").alias("field"), F.lit("2020").alias("provided"), F.lit(None).cast("string").alias("database")), F.struct(F.lit("題名").alias("field"), F.col("lang").alias("provided"), F.lit("別題").alias("database"))).alias("differences"),
+        (n % 17 == 0).alias("book_like"),
+    )
+    return guidance.lookup_findings(results_of).select("ref_id", "outcome", "severity", "location", "title", "original", "suggestion", "reason")
+
+
+@query
+def unavailable_lookups(spark, sf_dir):
+    """Documents by the number of their lines, as if each were a reference that can't be looked up."""
+    return guidance.unavailable_finding(_paragraphs(spark, sf_dir)).select("doc_id", "severity", "location", "original")
+
+
+@query
+def highlight_spans(spark, sf_dir):
+    """Of four ranges that each document's number gives, those that can be shown in its text."""
+    n = F.col("doc_id")
+    given = ((n % 3, n % 3 + 2), (n % 5, n % 5 + 4), (F.lit(4), n % 7 + 6), (F.lit(8), n % 50 * 40))
+    ranges = F.array(*(F.struct(a.cast("int").alias("start"), b.cast("int").alias("end")) for a, b in given))
+    shown = guidance.highlighted(F.coalesce("text", F.lit("")), ranges)
+    spans = F.array_join(F.transform(shown, lambda r: F.concat_ws("-", r["start"].cast("string"), r["end"].cast("string"))), ",")
+    return table(spark, sf_dir, "documents").select("doc_id", spans.alias("spans"))
 
 
 # -- corpus: structure and rules ---------------------------------------------------------
@@ -274,9 +314,21 @@ def match_status(spark, sf_dir):
     return found.select("ref_id", "status", F.array_join(F.coalesce("checked_fields", F.array()), ",").alias("checked"), F.array_join(F.coalesce(F.transform("differences", lambda d: d["field"]), F.array()), ",").alias("different"))
 
 
+@query
+def match_json(spark, sf_dir):
+    """What lookups answer, read back from its JSON; one provider failed for three of the references."""
+    failures = spark.createDataFrame([("r02", "Crossref"), ("r02", "CiNii"), ("r03", "Crossref"), ("r04", "CiNii")], "ref_id string, provider string")
+    made = matching.as_json(matching.match_status(corpus.references(spark), corpus.candidates(spark), failures=failures))
+
+    def part(path: str):
+        return F.get_json_object("json", f"$.{path}")
+
+    return made.select("ref_id", part("status").alias("status"), part("providerErrors").alias("errors"), part("bookLike").alias("book_like"), part("bestMatch.provider").alias("provider"), part("links.doi").alias("doi_link"))
+
+
 @query
 def search_terms(spark, sf_dir):
-    return corpus.candidates(spark).select("cand_id", F.posexplode(text.query_variants(F.col("title"))).alias("at", "term"))
+    return corpus.candidates(spark).select("cand_id", F.posexplode(text.query_variants(F.col("title"))).alias("pos", "term"))
 
 
 _CINII = (
@@ -383,6 +435,30 @@ def guard_outcomes(spark, sf_dir):
     return found.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def guard_chain(spark, sf_dir):
+    """Events as requests, some of another method or origin; one passes for a client within an hour."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    given = events.withColumns({"method": F.when(F.col("event_id") % 5 == 0, "GET").otherwise("POST"), "origin": F.when(F.col("event_id") % 7 == 0, "https://other.example").when(F.col("event_id") % 7 != 1, "https://own.example")})
+    given = given.withColumn("referer", F.when(F.col("event_id") % 2 == 0, "https://OWN.example/page"))
+    allowed = spark.createDataFrame([("https://own.example",)], "origin string")
+    return state.guard_chain(given, allowed, "user_id", "ts", "event_id", 1, 1 << 40, 3600).select("event_id", "outcome")
+
+
+_ENVELOPES = [
+    (1, '{"output":[{"type":"reasoning"},{"content":[{"type":"refusal","text":"x"},{"type":"output_text","text":""},{"type":"output_text","text":"answer"},{"type":"output_text","text":"later"}]}]}'),
+    (2, '{"output":[],"output_text":"own"}'),
+    (3, '{"output":[{"content":[]}]}'),
+    (4, "no json"),
+]
+
+
+@query
+def answer_envelopes(spark, sf_dir):
+    given = spark.createDataFrame(_ENVELOPES, "id bigint, response string")
+    return given.select("id", payload.answer_text(F.col("response")).alias("answer"))
+
+
 _RESPONSES = [
     (1, '```json\n{"findings":[{"title":"a","suggestion":"b","severity":"warning"},{"title":" ","suggestion":"x"},"text",{"title":"c","suggestion":"d","severity":"fatal","category":"図表"}]}\n```'),
     (2, "no json"),
