@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from xml.sax.saxutils import escape, quoteattr
+
 from pyspark.sql import DataFrame, SparkSession
 
 from marginalia.schema import PARAGRAPHS
@@ -61,6 +65,33 @@ def paragraphs(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows(), PARAGRAPHS)
 
 
+_W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+
+
+def _word_file(paragraphs_of: list[tuple]) -> bytes:
+    """A Word file with these (style, text); tabs and line ends become the elements that stand for them."""
+
+    def run(text: str) -> str:
+        inner = escape(text).replace("\t", "</w:t><w:tab/><w:t>").replace("\n", "</w:t><w:br/><w:t>")
+        return f'<w:r><w:t xml:space="preserve">{inner}</w:t></w:r>'
+
+    body = "".join(f"<w:p>{f'<w:pPr><w:pStyle w:val={quoteattr(s[1])}/></w:pPr>' if s[1] else ''}{run(text)}</w:p>" for s, text in paragraphs_of)
+    styles = "".join(f"<w:style w:styleId={quoteattr(n)}><w:name w:val={quoteattr(n)}/></w:style>" for n in sorted({s[1] for s, _ in paragraphs_of if s[1]}))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        table = f"<w:tbl><w:tr><w:tc><w:p>{run('左')}</w:p></w:tc><w:tc><w:p>{run('右')}</w:p></w:tc></w:tr></w:tbl>"
+        z.writestr("word/document.xml", f"<w:document {_W}><w:body>{body}{table}<w:sectPr/></w:body></w:document>")
+        z.writestr("word/styles.xml", f"<w:styles {_W}>{styles}</w:styles>")
+        z.writestr("word/footnotes.xml", f'<w:footnotes {_W}><w:footnote w:type="separator" w:id="0"/><w:footnote w:id="3"><w:p>{run("注記")}</w:p></w:footnote></w:footnotes>')
+    return out.getvalue()
+
+
+def word_files(spark: SparkSession) -> DataFrame:
+    """The documents as Word files, each with a table and a footnote, and a file that is none."""
+    files = [(f"{d}.docx", bytearray(_word_file(ps))) for d, ps in _DOCUMENTS.items()]
+    return spark.createDataFrame([*files, ("broken.docx", bytearray(b"no zip"))], "path string, content binary")
+
+
 def references(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(REFERENCES, "ref_id string, text string")
 

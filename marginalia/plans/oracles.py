@@ -129,6 +129,9 @@ ORACLE_SQL: dict[str, str] = {
             ("r07", "verified", "[]", "false", "CiNii", None), ("r08", "not_found", "[]", "true", None, None), ("r09", "not_found", "[]", "true", None, None), ("r10", "not_found", "[]", "false", None, None),
         ],
     ),
+    "word_files": f"""WITH {corpus.corpus_sql()}, files AS (SELECT DISTINCT doc_id || '.docx' AS path FROM corpus)
+        SELECT doc_id || '.docx' AS path, 'paragraph' AS kind, idx, text, is_heading, heading_level FROM corpus
+        UNION ALL SELECT path, 'table', 1, '左 | 右', NULL, NULL FROM files UNION ALL SELECT path, 'footnote', 3, '注記', NULL, NULL FROM files UNION ALL SELECT 'broken.docx', 'error', NULL, NULL, NULL, NULL""",
     "sections_ffill": f"""WITH {corpus.corpus_sql()}, o AS (SELECT *, is_heading AND text <> '' AS opens FROM corpus)
         SELECT doc_id, idx, (sum(opens::INT) OVER w + 1)::INT AS section_no, coalesce(last_value(CASE WHEN opens THEN text END IGNORE NULLS) OVER w, '本文') AS heading
         FROM o WINDOW w AS (PARTITION BY doc_id ORDER BY idx ROWS UNBOUNDED PRECEDING)""",

@@ -11,6 +11,7 @@ from marginalia.functions import pii, references, text
 from marginalia.operators import guidance, matching, payload, results, rules, source_compare, state, structure
 from marginalia.plans import corpus
 from marginalia.sources import candidates as candidate_sources
+from marginalia.sources import docx
 from marginalia.sources import pages as page_sources
 from marginalia.sources import urls
 from marginalia.sources.documents import paragraphs_of
@@ -172,6 +173,19 @@ def highlight_spans(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", spans.alias("spans"))
 
 
+@query
+def word_files(spark, sf_dir):
+    """What the reader finds in Word files: paragraphs with headings, tables, footnotes, and files that can't be read."""
+    blocks = docx.parsed_blocks(corpus.word_files(spark))
+    names = blocks.select("path").distinct().select("path", F.xxhash64("path").alias("doc_id"))
+    none = F.lit(None)
+    paragraphs = docx.paragraphs(blocks).select("doc_id", F.lit("paragraph").alias("kind"), "idx", "text", "is_heading", "heading_level")
+    tables = docx.tables(blocks).select("doc_id", F.lit("table"), "idx", "text", none.cast("boolean"), none.cast("int"))
+    notes = docx.footnotes(blocks).select("doc_id", F.lit("footnote"), F.col("fn_id").cast("int"), "text", none.cast("boolean"), none.cast("int"))
+    broken = blocks.where("kind = 'error'").select(F.xxhash64("path"), F.lit("error"), none.cast("int"), none.cast("string"), none.cast("boolean"), none.cast("int"))
+    return paragraphs.union(tables).union(notes).union(broken).join(names, "doc_id").drop("doc_id")
+
+
 # -- corpus: structure and rules ---------------------------------------------------------
 
 

@@ -95,7 +95,12 @@ def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def read_blocks(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
     """Rows of all .docx files below ``path`` that are not larger than ``max_bytes``."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").option("recursiveFileLookup", "true").load(path)
-    return files.where(F.col("length") <= max_bytes).select("path", "content").mapInPandas(_parsed, _BLOCKS)
+    return parsed_blocks(files.where(F.col("length") <= max_bytes))
+
+
+def parsed_blocks(files: DataFrame) -> DataFrame:
+    """Rows of Word files that a table holds: path, content."""
+    return files.select("path", "content").mapInPandas(_parsed, _BLOCKS)
 
 
 def paragraphs(blocks: DataFrame) -> DataFrame:
