@@ -1,4 +1,6 @@
+import math
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -88,6 +90,61 @@ def test_sparse_sites_shrink_to_the_levels_above(spark):
     assert 0.1 < sites["tiny", "a"].host_rate < 0.5
 
 
+def brute_posteriors(rows, prior, threshold):
+    """rows: (host, path, evidence). Rates of sites and posteriors in plain Python, level by level."""
+    sigmoid, logit = (lambda x: 1 / (1 + math.exp(-x))), (lambda p: math.log(p / (1 - p)))
+    good = [sigmoid(e + logit(prior)) for _, _, e in rows]
+    paths, hosts = {}, {}
+    for (host, path, _), p in zip(rows, good):
+        for table, key in ((paths, (host, path)), (hosts, host)):
+            g, n = table.get(key, (0.0, 0))
+            table[key] = (g + p, n + 1)
+
+    def strength(rate, spread, noise):
+        return min(max(rate * (1 - rate) / max(spread - noise, 1e-6) - 1, 1.0), 1e6)
+
+    total = len(rows)
+    overall = min(max(sum(g for g, _ in hosts.values()) / total, 1e-3), 1 - 1e-3)
+    of_hosts = strength(overall, sum(n * (g / n - prior) ** 2 for g, n in hosts.values()) / total, sum(g / n * (1 - g / n) for g, n in hosts.values()) / total)
+    rate = {h: (g + of_hosts * overall) / (n + of_hosts) for h, (g, n) in hosts.items()}
+    of_paths = strength(overall, sum(n * (g / n - rate[h]) ** 2 for (h, _), (g, n) in paths.items()) / total, sum(g / n * (1 - g / n) for g, n in paths.values()) / total)
+    out = []
+    for (host, path, evidence), p in zip(rows, good):
+        g, n = paths[host, path]
+        site = min(max((g - p + of_paths * rate[host]) / (n - 1 + of_paths), 1e-6), 1 - 1e-6)
+        posterior = sigmoid(evidence + logit(site))
+        out.append((site, posterior, posterior >= threshold))
+    return out
+
+
+def test_posteriors_against_brute_force(spark, dice):
+    docs, labels = corpus(spark, dice)
+    found = quality.quality(docs, labels, F.col("source"), F.col("lang"), keep=("source", "lang")).collect()
+    least = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).collect()
+    prior = min(max(sum(r.q > 0 for r in least) / len(least), 1e-3), 1 - 1e-3)
+    wanted = brute_posteriors([(r.source, r.lang, r.evidence) for r in found], prior, quality.THRESHOLD)
+    assert [(r.site_rate, r.quality) for r in found] == [pytest.approx(w[:2], abs=1e-9) for w in wanted]
+    assert [r.kept for r in found] == [w[2] for w in wanted] and len({r.source for r in found}) > 1
+
+
+def test_predictions_against_plain_softmax(spark, dice):
+    """From the learned table alone: the mean of a text's subword rows, softmax, the best language."""
+    docs = labelled(spark, dice)
+    held_out = F.col("doc_id") % 5 == 0
+    rows = docs.where(~held_out & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(F.col("doc_id").alias("id"), "lang", "text")
+    model = langid.train(*langid.labelled_sample(rows, langid.TRAIN_ROWS))
+    ids = Counter(r.doc_id for r in docs.collect())
+    texts = {r.doc_id: r.text for r in docs.collect() if ids[r.doc_id] == 1}
+    found = [r for r in langid.language_id(docs, held_out).collect() if texts.get(r.doc_id) and langid.has_letter(texts[r.doc_id])]
+    for r in found[:60]:
+        counts = langid.subword_counts(texts[r.doc_id]).astype(float)
+        logits = [float(sum(c * w for c, w in zip(counts[counts > 0] / counts.sum(), model.table[counts > 0, k]))) + float(model.bias[k]) for k in range(len(model.languages))]
+        odds = [math.exp((x - max(logits)) / model.temperature) for x in logits]
+        best = max(range(len(odds)), key=odds.__getitem__)
+        assert r.lang_pred == model.languages[best] and r.score == pytest.approx(odds[best] / sum(odds), abs=1e-3)
+    assert len(found) > 60
+
+
 def levenshtein_inside(pattern, text):
     """Least distance of the pattern to any part of the text."""
     row = [0] * (len(text) + 1)
