@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 PARAGRAPHS = "doc_id bigint, p_id string, idx int, text string, style_id string, style_name string, is_heading boolean, heading_level int"
-DOC_TABLES = "doc_id bigint, table_id string, idx int, rows array<array<string>>, text string"
-FOOTNOTES = "doc_id bigint, fn_id string, text string"
-CANDIDATE = "provider string, doi string, title string, authors string, journal string, year string, year_candidates array<string>, url string"
 RANGES = "array<struct<start:int,end:int>>"
 
 #: Columns of findings. seq orders the findings of a rule within a document.

@@ -79,3 +79,35 @@ def test_chosen_checks(spark):
 
 def test_empty_documents(spark):
     assert rules.run_checks(rules.DocTables.of(spark.createDataFrame([], PARAGRAPHS))).count() == 0
+
+
+FILLER = "地域の店舗を訪れた人の話を聞き"
+
+
+def sentence(n, pauses=0, connectives=0, more=""):
+    """A sentence of ``n`` characters with so many pauses and connectives."""
+    body = "、" * pauses + "しかし" * connectives + more
+    return body + (FILLER * 20)[: n - len(body) - 1] + "。"
+
+
+@pytest.mark.parametrize(
+    ("given", "wanted"),
+    [
+        (sentence(180), 1), (sentence(179), 0), (sentence(145, pauses=4), 1), (sentence(144, pauses=4), 0), (sentence(145, pauses=3), 0),
+        (sentence(135, pauses=3, connectives=2), 1), (sentence(135, pauses=3, connectives=1), 0), (sentence(134, pauses=3, connectives=2), 0),
+        (sentence(190, more="CFI=0.95、AIC=120、p<0.05、"), 0), (sentence(190, more="尺度(Brakus, 2008)と(Smith, 2010)"), 0),
+        (sentence(150) + "「" + "引" * 60 + "」", 0), (sentence(100) + sentence(100), 0),
+    ],
+)
+def test_long_sentences(spark, given, wanted):
+    assert rules.long_sentences(tables(spark, given)).count() == wanted
+
+
+def test_document_rules_one_by_one_and_together(spark):
+    given = tables(spark, "アンケートの結果", "・一", "・二", "・三", "本文")
+    together = rules.run_checks(given, ["format", "logic", "completion"])
+    alone = [rule(given) for name in ("format", "logic", "completion") for rule in rules.CHECKS[name]]
+    assert sorted((r.rule, r.detail) for r in together.collect()) == sorted((r.rule, r.detail) for f in alone for r in f.collect())
+    assert {r.rule for r in together.collect()} == {"no_headings", "no_purpose", "no_conclusion", "no_prior_research", "no_design", "bullets", "no_discussion"}
+    order = [r.emit_order for r in results.ordered(together).collect() if r.severity == "info"]
+    assert order == sorted(order)
