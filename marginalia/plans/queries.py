@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import pii, references, text
@@ -97,7 +97,7 @@ def capped_findings(spark, sf_dir):
 def _mixed(spark, sf_dir):
     hits = _hits(spark, sf_dir).select("doc_id", "rule", "category", "severity")
     terms = rules.DocTables.of(_paragraphs(spark, sf_dir).withColumn("heading", F.lit(structure.BODY)))
-    hits = hits.unionByName(rules._document_findings(terms, {"no_headings": 0, "no_purpose": 1, "no_conclusion": 2}).select("doc_id", "rule", "category", "severity"))
+    hits = hits.unionByName(rules.document_findings(terms, {"no_headings": 0, "no_purpose": 1, "no_conclusion": 2}).select("doc_id", "rule", "category", "severity"))
     return hits.unionByName(rules.no_references(terms).select("doc_id", "rule", "category", "severity"))
 
 
@@ -297,8 +297,20 @@ def personal_data_corpus(spark, sf_dir):
 
 @query
 def all_findings(spark, sf_dir):
+    """All rules over the documents and, for those that plain Latin texts never meet, the small corpus."""
+    given = _paragraphs(spark, sf_dir).unionByName(corpus.paragraphs(spark).withColumn("doc_id", -F.col("doc_id")))
+    placed = structure.with_sections(structure.with_parts(given))
+    tables = rules.DocTables.of(placed.where("part = 'body'"), structure.references(placed))
+    return rules.run_checks(tables).groupBy("category", "severity", "rule").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def most_severe(spark, sf_dir):
+    """The findings of the small corpus in the order in which they are shown."""
     found = results.ordered(rules.run_checks(_in_corpus(spark)))
-    return found.groupBy("category", "severity", "rule").agg(F.count(F.lit(1)).alias("n"))
+    order = found.select("doc_id", "rule", "severity", F.monotonically_increasing_id().alias("_at"))
+    rank = F.row_number().over(Window.orderBy("_at"))  # some dozens of rows
+    return order.select(rank.alias("pos"), "severity").where("severity <> 'info'")
 
 
 # -- references, candidates, pages -------------------------------------------------------
