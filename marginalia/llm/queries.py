@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, jaccard, langid, line_dedup, nbest, quality, suffix_dedup, token_counts, token_store
+from . import decontaminate, exact_dedup, jaccard, langid, line_dedup, near_vectors, nbest, periodic_runs, quality, suffix_dedup, token_counts, token_store, whitening
 from .common import new_path, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -62,6 +62,18 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), plant=True, with_texts=False).drop("runs", "collapsed")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece_nbest": op1_sentencepiece_nbest,
     "op2_language_id": op2_language_id,
@@ -73,6 +85,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_near_vectors": op11_near_vectors,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -150,5 +165,23 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
                sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
-        FROM d LEFT JOIN t USING (row_no)""",
+        FROM d LEFT JOIN t USING (row_no)""",    "op11_near_vectors": """
+        WITH RECURSIVE t AS MATERIALIZED (
+            SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+        ), u AS MATERIALIZED (
+            SELECT r, label, v, sqrt(list_inner_product(v, v)) AS norm FROM t
+            WHERE label IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(v, lambda x: x <> 0)) > 0
+        ), e AS MATERIALIZED (
+            SELECT a.r AS x, b.r AS y FROM u a JOIN u b ON a.label = b.label AND a.r <> b.r AND len(a.v) = len(b.v)
+            WHERE list_inner_product(a.v, b.v) / (a.norm * b.norm) >= 0.98
+        ), n AS (
+            SELECT x AS r, count(*) AS n FROM e GROUP BY x
+        ), reach AS (
+            SELECT r, r AS q FROM t UNION SELECT reach.r, e.y FROM reach JOIN e ON reach.q = e.x
+        ), c AS (
+            SELECT reach.r, min(t.vec_id) AS component_id FROM reach JOIN t ON t.r = reach.q GROUP BY reach.r
+        )
+        SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+        FROM t JOIN c USING (r) LEFT JOIN n USING (r)""",
 }
