@@ -1,29 +1,26 @@
 """Reconciliation of references with bibliographic candidates.
 
-Both sides are prepared once: folded texts and their bigrams. Candidates meet references
-by blocking keys that lose no reliable match: equal identifiers, equal beginnings of
-titles, equal search terms, and, for titles that are similar as a whole, the first bigrams
-in hash order, of which similar titles share at least one.
+Both sides are prepared once: folded texts and their bigrams. Candidates meet references by
+what a reliable match asks for, and by nothing that frequent phrases make common: equal
+identifiers, titles whose bigrams are similar (``set_join``), and titles that begin others.
 """
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.references import reference_fields
-from marginalia.functions.text import LEFT_OUT, LEFT_OUT_ALSO, bigrams, composed, composed_each, dice_of_sets, distinct_texts, folded, or_empty, query_variants
+from marginalia.functions.text import LEFT_OUT, LEFT_OUT_ALSO, bigrams, composed, dice_of_sets, distinct_texts, folded, or_empty
+from marginalia.operators import set_join
+from marginalia.storage import kept
 
 # Thresholds and weights of the comparison.
 TITLE_SCORE, TITLE_EQUAL, TITLE_PREFIX = 0.82, 0.86, 12
 AUTHOR_SCORE, JOURNAL_SCORE, JOURNAL_LENGTH = 0.48, 0.72, 3
 CONFIDENCE, LEAST_CONFIDENCE = 0.58, 0.43
 WEIGHTS = {"title": 0.5, "year": 0.25, "author": 0.15, "doi": 0.1}
-PROVIDERS = ("Crossref", "CiNii")
+PROVIDERS = ("Crossref", "CiNii Research")
 FIELD_NAMES = {"title": "題名", "author": "著者", "year": "発行年", "journal": "掲載誌", "doi": "DOI"}
 MAX_REFERENCE = 1000
 
@@ -42,35 +39,14 @@ def folded_native(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), f"[{LEFT_OUT}{LEFT_OUT_ALSO}]", "")
 
 
-def _title_keys(title: Column, grams: Column) -> Column:
-    """Of sets with a Dice score of s or more, both have one of their first n - ceil(s / (2 - s) * n) + 1 in common."""
-    ranked = F.transform(F.array_sort(F.transform(grams, lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g")))), lambda x: x["g"])
-    n = F.size(grams)
-    kept = n - F.ceil(n * (TITLE_SCORE / (2 - TITLE_SCORE)) - 1e-9).cast("int") + 1
-    some = F.transform(F.slice(ranked, F.lit(1), F.greatest(kept, F.lit(0))), lambda g: F.concat(F.lit("b:"), g))
-    start = F.when(F.length(title) >= TITLE_PREFIX, F.array(F.concat(F.lit("p:"), F.left(title, F.lit(TITLE_PREFIX))))).otherwise(F.array().cast("array<string>"))
-    return F.concat(some, start)
-
-
-def _variant_keys(variants: Column) -> Column:
-    """variants: composed search terms of a title, each a way to be found by an equal term."""
-    return F.transform(F.filter(F.array_distinct(F.transform(variants, folded_native)), lambda v: v != ""), lambda v: F.concat(F.lit("v:"), v))
-
-
-def _keys(title: Column, grams: Column, doi: Column) -> Column:
-    own = F.when(doi != "", F.array(F.concat(F.lit("d:"), doi))).otherwise(F.array().cast("array<string>"))
-    return F.concat(own, _title_keys(title, grams))
-
-
 def prepared_references(references: DataFrame, text: str = "text") -> DataFrame:
-    """Adds the fields f, folded forms and blocking keys. Only the first 1000 code points of a reference count."""
+    """Adds the fields f and folded forms. Only the first 1000 code points of a reference count."""
     r = references.withColumn("reference", F.left(F.trim(text), F.lit(MAX_REFERENCE))).where("reference <> ''")
     r = r.withColumn("f", reference_fields(F.col("reference")))
     # the fields are parts of a composed text
     own = {"title": F.coalesce("f.title", composed(F.col("reference"))), "author": F.col("f.author_area"), "journal": F.col("f.journal"), "doi": F.col("f.doi")}
     r = r.withColumns({f"f_{name}": folded_native(or_empty(value)) for name, value in own.items()})
-    r = r.withColumn("f_grams", bigrams(F.col("f_title")))
-    return r.withColumn("f_keys", F.when(F.col("f_doi") != "", F.array(F.concat(F.lit("d:"), F.col("f_doi")))).when(_filled(F.col("f.title")), F.concat(_title_keys(F.col("f_title"), F.col("f_grams")), _variant_keys(query_variants(F.col("f.title"))))))
+    return r.withColumn("f_grams", bigrams(F.col("f_title")))
 
 
 def prepared_candidates(candidates: DataFrame) -> DataFrame:
@@ -78,93 +54,32 @@ def prepared_candidates(candidates: DataFrame) -> DataFrame:
     years = F.when(F.size("year_candidates") > 0, F.col("year_candidates")).otherwise(distinct_texts(F.array("year")))
     c = candidates.withColumns({"c_years": years, "c_title": folded(F.col("title")), "c_author": folded(F.col("authors")), "c_journal": folded(F.col("journal")), "c_doi": folded(F.col("doi"))})
     c = c.withColumn("c_grams", bigrams(F.col("c_title"))).withColumn("c_composed", composed(or_empty(F.col("authors"))))
-    c = c.withColumn("c_parts", _author_parts(F.col("c_composed")))
-    c = c.withColumn("c_variants", composed_each(query_variants(F.col("title"))))
-    return c.withColumn("c_keys", F.concat(_keys(F.col("c_title"), F.col("c_grams"), F.col("c_doi")), _variant_keys(F.col("c_variants")))).drop("c_variants")
-
-
-def candidate_pairs(references: DataFrame, candidates: DataFrame) -> DataFrame:
-    """References with each candidate that shares a blocking key, once."""
-    left = references.select("ref_id", F.explode("f_keys").alias("key"))
-    right = candidates.select("cand_id", F.explode("c_keys").alias("key"))
-    pairs = left.join(right, "key").select("ref_id", "cand_id").distinct()
-    return pairs.join(references.drop("f_keys"), "ref_id").join(candidates.drop("c_keys"), "cand_id")
-
-
-#: Classes of sizes of bigram sets: each so many times larger than the one before.
-_CLASS = 1.2
-#: Hashed bigrams, and how many rows and items a task compares at a time.
-_BUCKETS, ROWS_AT_ONCE, ITEMS_AT_ONCE = 1024, 20_000, 2_000
-
-
-def _size_class(n: Column) -> Column:
-    return F.floor(F.log(n.cast("double")) / math.log(_CLASS)).cast("int")
-
-
-def _gram_codes(text: str) -> np.ndarray:
-    """Distinct bigrams of a folded text as numbers; a single character is its own."""
-    points = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64)
-    if len(points) == 1:
-        return points
-    return np.unique(points[:-1] << np.uint64(32) | points[1:])
-
-
-def _gram_matrix(codes: list[np.ndarray]) -> np.ndarray:
-    out = np.zeros((len(codes), _BUCKETS), np.float32)
-    rows = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
-    values = np.concatenate(codes) if codes else np.zeros(0, np.uint64)
-    np.add.at(out, (rows, ((values * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(54)).astype(np.int64)), 1)
-    return out
-
-
-def _similar(rows: pa.Table, items: pa.Table) -> pa.Table:
-    """Pairs with a Dice score of ``TITLE_SCORE`` or more: products of hashed bigram counts bound what two have in common."""
-    item_codes = [_gram_codes(x) for x in items.column("_item").to_pylist()]
-    item_n, item_matrix = np.array([len(c) for c in item_codes]), _gram_matrix(item_codes).T
-    texts, found = rows.column("_text").to_pylist(), ([], [], [])
-    for at in range(0, len(texts), 512):
-        codes = [_gram_codes(x) for x in texts[at : at + 512]]
-        sizes = np.array([len(c) for c in codes])[:, None] + item_n[None, :]
-        for i, j in zip(*np.nonzero(2 * (_gram_matrix(codes) @ item_matrix) >= TITLE_SCORE * sizes)):
-            score = 2.0 * len(np.intersect1d(codes[i], item_codes[j], assume_unique=True)) / sizes[i, j]
-            if score >= TITLE_SCORE:
-                for column, value in zip(found, (at + i, j, score)):
-                    column.append(value)
-    left, right = (pa.array(x, pa.int64()) for x in found[:2])
-    names = [n for n in rows.column_names if not n.startswith("_")]
-    own = [n for n in items.column_names if not n.startswith("_")]
-    return pa.table([*(rows.column(n).take(left) for n in names), *(items.column(n).take(right) for n in own), pa.array(found[2], pa.float64())], [*names, *own, "dice"])
+    return c.withColumn("c_parts", _author_parts(F.col("c_composed")))
 
 
 def similar_to_items(rows: DataFrame, text: str, items: DataFrame, item: str) -> DataFrame:
-    """rows without ``text``, with each of the items without ``item`` whose folded text has a Dice score of ``TITLE_SCORE`` or more, and ``dice``.
-
-    For long texts, whose bigrams tell little. Similar sets have similar sizes, so rows and
-    items meet by classes of size; a class is cut into blocks of bounded numbers of rows and
-    of items, and each pair of blocks is one group. Texts without a character match nothing.
-    """
-    spark = rows.sparkSession
-    names, own = [c for c in rows.columns if c != text], [c for c in items.columns if c != item]
-    size = F.size(bigrams(F.col("_text")))
-    left = rows.withColumn("_text", folded(F.col(text))).where("_text <> ''").select(*names, "_text", _size_class(size).alias("_class"))
-    size = F.size(bigrams(F.col("_item")))
-    least, most = F.ceil(size * (TITLE_SCORE / (2 - TITLE_SCORE)) - 1e-6), F.floor(size * ((2 - TITLE_SCORE) / TITLE_SCORE) + 1e-6)
-    right = items.withColumn("_item", folded(F.col(item))).where("_item <> ''").select(*own, "_item", F.explode(F.sequence(_size_class(F.greatest(least, F.lit(1))), _size_class(most))).alias("_class"))
+    """rows without ``text``, with each of the items without ``item`` whose folded text has a Dice score of ``TITLE_SCORE`` or more, and ``dice``."""
+    return set_join.similar_texts(rows, text, items, item, TITLE_SCORE)
 
-    def blocks(frame: DataFrame, at_once: int, name: str) -> DataFrame:
-        return frame.groupBy("_class").agg(F.ceil(F.count(F.lit(1)) / at_once).cast("int").alias(name))
 
-    counts = blocks(left, ROWS_AT_ONCE, "_r").join(blocks(right, ITEMS_AT_ONCE, "_i"), "_class")
+def similar_titles(left: DataFrame, right: DataFrame) -> DataFrame:
+    """l_id, r_id of folded titles (id, text) that are similar as wholes, or of which the shorter, of twelve code points at least, begins the longer."""
+    sides = [set_join.with_key(side.withColumnRenamed("id", f"{name}_id"), "text") for side, name in ((left, "l"), (right, "r"))]
+    pairs = set_join.similar_sets(*(set_join.gram_sets(side, "titles") for side in sides), TITLE_SCORE)
+    named = [side.withColumnsRenamed({"high": f"{name}_high", "low": f"{name}_low"}).drop("text") for side, name in zip(sides, "lr")]
+    similar = pairs.join(named[0], ["l_high", "l_low"]).join(named[1], ["r_high", "r_low"]).select("l_id", "r_id")
+    one_way = set_join.begins(left, right, TITLE_PREFIX).select(F.col("s_id").alias("l_id"), F.col("l_id").alias("r_id"))
+    other_way = set_join.begins(right, left, TITLE_PREFIX).select("l_id", F.col("s_id").alias("r_id"))
+    return similar.unionByName(one_way).unionByName(other_way)
 
-    def of_classes() -> DataFrame:
-        """One row for each class of sizes; as columns of its own, since both sides have it."""
-        return F.broadcast(counts.select(*(F.col(c).alias(c) for c in counts.columns)))
 
-    left = left.join(of_classes(), "_class").withColumn("_rb", F.pmod(F.xxhash64(*names, "_text"), "_r").cast("int")).withColumn("_ib", F.explode(F.sequence(F.lit(0), F.col("_i") - 1)))
-    right = right.join(of_classes(), "_class").withColumn("_ib", F.pmod(F.xxhash64(*own, "_item"), "_i").cast("int")).withColumn("_rb", F.explode(F.sequence(F.lit(0), F.col("_r") - 1)))
-    schema = spark.createDataFrame([], rows.drop(text).schema).join(spark.createDataFrame([], items.drop(item).schema)).withColumn("dice", F.lit(0.0)).schema
-    key = "_class", "_rb", "_ib"
-    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_similar, schema)
+def candidate_pairs(references: DataFrame, candidates: DataFrame) -> DataFrame:
+    """References with each candidate that could be a reliable match, once: equal identifiers, or, for a reference without one, titles that match."""
+    same = references.where("f_doi <> ''").join(candidates, F.col("f_doi") == F.col("c_doi")).select("ref_id", "cand_id")
+    titled = references.where((F.col("f_doi") == "") & _filled(F.col("f.title"))).select(F.col("ref_id").alias("id"), F.col("f_title").alias("text"))
+    titles = similar_titles(titled, candidates.select(F.col("cand_id").alias("id"), F.col("c_title").alias("text")))
+    pairs = same.unionByName(titles.select(F.col("l_id").alias("ref_id"), F.col("r_id").alias("cand_id"))).distinct()
+    return pairs.join(references, "ref_id").join(candidates, "cand_id")
 
 
 def author_score(reference: Column, candidate: Column, parts: Column) -> Column:
@@ -218,10 +133,16 @@ def is_reliable() -> Column:
 
 
 def best_matches(pairs: DataFrame) -> DataFrame:
-    """For each reference the reliable candidate with the highest confidence; of equals the first provider's, then the least id."""
-    provider = F.coalesce(F.array_position(F.array(*map(F.lit, PROVIDERS)), F.col("provider")), F.lit(len(PROVIDERS) + 1))
-    rank = F.row_number().over(Window.partitionBy("ref_id").orderBy(F.desc("confidence"), provider, "cand_id"))
-    return scored(pairs).where(is_reliable()).withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    """For each reference the reliable candidate with the highest confidence; of equals the first provider's, then the least id.
+
+    ``providers`` names those of all its candidates, in order of their best confidence.
+    """
+    at = F.coalesce(F.array_position(F.array(*map(F.lit, PROVIDERS)), F.col("provider")), F.lit(len(PROVIDERS) + 1))
+    found = scored(pairs)
+    order = F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("c"), at.alias("at"), "provider")).over(Window.partitionBy("ref_id")))
+    named = found.withColumn("providers", F.array_distinct(F.transform(order, lambda x: x["provider"])))
+    rank = F.row_number().over(Window.partitionBy("ref_id").orderBy(F.desc("confidence"), at, "cand_id"))
+    return named.where(is_reliable()).withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
 def compared(best: DataFrame) -> DataFrame:
@@ -244,17 +165,29 @@ def compared(best: DataFrame) -> DataFrame:
     return best.withColumns({"checked_fields": F.transform(both, lambda r: r["field"]), "differences": different})
 
 
+def encoded(text: Column, left: str = "!~'()") -> Column:
+    """Percent-encoding of an address's part, but for letters, digits, -_.* and the signs in ``left``."""
+    out = F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
+    for sign in left:
+        out = F.replace(out, F.lit(f"%{ord(sign):02X}"), F.lit(sign))
+    return out
+
+
 def match_status(references: DataFrame, candidates: DataFrame, provider_failed: bool = False, failures: DataFrame | None = None) -> DataFrame:
-    """One row per reference: ref_id, status, cand_id, confidence, checked_fields, differences, provider, provider_errors, book_like, links.
+    """One row per reference: ref_id, status, cand_id, confidence, checked_fields, differences, provider, provider_errors, providers, book_like, best, links.
 
     Statuses: verified, mismatch, unconfirmed (the title differs and no identifier tells),
     doi_unconfirmed, not_found, and lookup_incomplete where a provider failed: all lookups
     with ``provider_failed``, else those in ``failures`` (ref_id, provider). What the other
-    providers found counts all the same.
+    providers found counts all the same. A best match of less than ``LEAST_CONFIDENCE`` is
+    none: nothing of it is told.
     """
-    refs = prepared_references(references)
-    best = compared(best_matches(candidate_pairs(refs, prepared_candidates(candidates))))
-    found = best.select("ref_id", "cand_id", "confidence", "checked_fields", "differences", "provider", "url", (F.col("f_doi") == F.col("c_doi")).alias("_same_doi"))
+    refs = kept(prepared_references(references), "references")  # several joins read both sides
+    best = compared(best_matches(candidate_pairs(refs, kept(prepared_candidates(candidates), "candidates"))))
+    record = F.struct("provider", "title", "authors", "journal", "year", "doi", "url", "confidence")
+    found = best.where(F.col("confidence") >= LEAST_CONFIDENCE).select(
+        "ref_id", "cand_id", "confidence", "checked_fields", "differences", "provider", "providers", "url", record.alias("best"), (F.col("f_doi") == F.col("c_doi")).alias("_same_doi")
+    )
     out = refs.select("ref_id", "reference", "f", (F.col("f_doi") != "").alias("_doi")).join(found, "ref_id", "left")
     none = F.array().cast("array<string>")
     if failures is None:
@@ -264,25 +197,38 @@ def match_status(references: DataFrame, candidates: DataFrame, provider_failed:
         out = out.join(names, "ref_id", "left").withColumn("provider_errors", F.coalesce("_failed", none))
     absent = F.when(F.size("provider_errors") > 0, "lookup_incomplete").when(F.col("_doi"), "doi_unconfirmed").otherwise("not_found")
     title_differs = F.exists("differences", lambda d: d["field"] == FIELD_NAMES["title"])
-    missing = F.col("cand_id").isNull() | (F.col("confidence") < LEAST_CONFIDENCE)
+    missing = F.col("cand_id").isNull()
     unconfirmed = title_differs & ~(F.col("_doi") & F.col("_same_doi"))
     status = F.when(missing, absent).when(unconfirmed, "unconfirmed").when(F.size("differences") > 0, "mismatch").otherwise("verified")
-    term = F.url_encode(F.coalesce(F.nullif("f.title", F.lit("")), "reference"))
+    term = encoded(F.coalesce(F.nullif("f.title", F.lit("")), "reference"))
     links = F.struct(
-        F.when(~missing, F.col("url")).alias("source"), F.concat(F.lit("https://doi.org/"), "f.doi").alias("doi"),
+        F.col("url").alias("source"), F.concat(F.lit("https://doi.org/"), encoded(F.nullif("f.doi", F.lit("")), "!~'();,/?:@&=+$#")).alias("doi"),
         F.concat(F.lit("https://cir.nii.ac.jp/all?q="), term).alias("cinii"), F.concat(F.lit("https://scholar.google.com/scholar?q="), term).alias("scholar"),
     )
-    differences = F.when(unconfirmed & ~missing, F.slice("differences", 1, 0)).otherwise(F.col("differences"))
-    return out.select("ref_id", status.alias("status"), "cand_id", "confidence", "checked_fields", differences.alias("differences"), "provider", "provider_errors", F.col("f.is_book").alias("book_like"), links.alias("links"))
+    differences = F.when(unconfirmed, F.slice("differences", 1, 0)).otherwise(F.col("differences"))
+    providers = F.coalesce("providers", F.array(*map(F.lit, PROVIDERS)))
+    return out.select(
+        "ref_id", status.alias("status"), "cand_id", "confidence", "checked_fields", differences.alias("differences"), "provider", "provider_errors", providers.alias("providers"),
+        F.col("f.is_book").alias("book_like"), "best", links.alias("links"),
+    )
 
 
 def as_json(matches: DataFrame) -> DataFrame:
-    """ref_id and what ``match_status`` found as one JSON text; what is unknown is left out."""
-    best = F.when(F.col("cand_id").isNotNull(), F.struct(F.col("cand_id").alias("id"), "provider", "confidence"))
+    """ref_id and what ``match_status`` found as one JSON text.
+
+    Without a best match the answer names the providers that failed, and its best match is
+    null; with one it has the link to it, and whether the reference looks like a book only
+    where the match is unconfirmed.
+    """
     none = F.array().cast("array<string>")
-    body = F.struct(
-        "status", F.col("provider_errors").alias("providerErrors"), F.col("book_like").alias("bookLike"), best.alias("bestMatch"),
-        F.coalesce("differences", F.array().cast("array<struct<field:string,provided:string,database:string>>")).alias("differences"),
-        F.coalesce("checked_fields", none).alias("checkedFields"), "links",
-    )
-    return matches.select("ref_id", F.to_json(body).alias("json"))
+    common = {"differences": F.coalesce("differences", F.array().cast("array<struct<field:string,provided:string,database:string>>")), "checkedFields": F.coalesce("checked_fields", none), "providers": F.col("providers")}
+    manual = F.struct("links.doi", "links.cinii", "links.scholar")
+
+    def text(**columns: Column) -> Column:
+        return F.to_json(F.struct(*(c.alias(n) for n, c in columns.items())), {"ignoreNullFields": "false"})
+
+    status, book = F.col("status"), F.col("book_like")
+    missing = text(status=status, providerErrors=F.col("provider_errors"), bookLike=book, bestMatch=F.col("best"), **common, links=manual)
+    unconfirmed = text(status=status, bookLike=book, bestMatch=F.col("best"), **common, links=F.col("links"))
+    told = text(status=status, bestMatch=F.col("best"), **common, links=F.col("links"))
+    return matches.select("ref_id", F.when(F.col("cand_id").isNull(), missing).when(status == "unconfirmed", unconfirmed).otherwise(told).alias("json"))

@@ -48,12 +48,12 @@ REFERENCES: list[tuple[str, str]] = [
 
 #: cand_id, provider, doi, title, authors, journal, year, year_candidates, url
 CANDIDATES: list[tuple] = [
-    (1, "CiNii", None, "山間地域の図書室における学習支援の試みと利用者への新たな「場づくり」", "林 亜紀, 西岡 透", "架空大學教養論叢 = The Imaginary University", "2020", ["2020"], None),
+    (1, "CiNii Research", None, "山間地域の図書室における学習支援の試みと利用者への新たな「場づくり」", "林 亜紀, 西岡 透", "架空大學教養論叢 = The Imaginary University", "2020", ["2020"], None),
     (2, "Crossref", "10.1234/TEST", "Article of record", "Author Ann", "Records", "2020", ["2020", "2021"], None),
     (3, "Crossref", None, "A study of many things: with a subtitle", "Smith John", "Journal of Things", "2019", ["2019"], None),
-    (4, "CiNii", None, "A study of many things", "Smith John", "Journal of Things", "2019", ["2019"], None),
+    (4, "CiNii Research", None, "A study of many things", "Smith John", "Journal of Things", "2019", ["2019"], None),
     (5, "Crossref", None, "Another matter", "Roe", "Other", "2001", ["2001"], None),
-    (6, "CiNii", None, "経営の考え方", "佐藤 一郎", None, "2017", ["2017"], None),
+    (6, "CiNii Research", None, "経営の考え方", "佐藤 一郎", None, "2017", ["2017"], None),
 ]
 
 

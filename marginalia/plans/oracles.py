@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from marginalia.operators import guidance, rules
-from marginalia.plans import corpus
+from marginalia.plans import corpus, matching_sql
 
 _LINES = """lines AS (
     SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS text, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS idx FROM documents
@@ -121,14 +121,6 @@ ORACLE_SQL: dict[str, str] = {
             ("r09", None, "経営の考え方", None, True, "book", None), ("r10", None, "環境白書", None, False, "report", "https://example.org/report.pdf"),
         ],
     ),
-    "match_json": _expected(
-        "ref_id, status, errors, book_like, provider, doi_link",
-        [
-            ("r01", "mismatch", "[]", "false", "CiNii", None), ("r02", "lookup_incomplete", '["CiNii","Crossref"]', "false", None, None), ("r03", "lookup_incomplete", '["Crossref"]', "false", None, None),
-            ("r04", "verified", '["CiNii"]', "false", "Crossref", "https://doi.org/10.1234/test"), ("r05", "not_found", "[]", "false", None, None), ("r06", "not_found", "[]", "false", None, None),
-            ("r07", "verified", "[]", "false", "CiNii", None), ("r08", "not_found", "[]", "true", None, None), ("r09", "not_found", "[]", "true", None, None), ("r10", "not_found", "[]", "false", None, None),
-        ],
-    ),
     "word_files": f"""WITH {corpus.corpus_sql()}, files AS (SELECT DISTINCT doc_id || '.docx' AS path FROM corpus)
         SELECT doc_id || '.docx' AS path, 'paragraph' AS kind, idx, text, is_heading, heading_level FROM corpus
         UNION ALL SELECT path, 'table', 1, '左 | 右', NULL, NULL FROM files UNION ALL SELECT path, 'footnote', 3, '注記', NULL, NULL FROM files UNION ALL SELECT 'broken.docx', 'error', NULL, NULL, NULL, NULL""",
@@ -233,13 +225,6 @@ ORACLE_SQL: dict[str, str] = {
     "reference_dates": rf"""WITH {corpus.values_sql("refs", "ref_id, text", corpus.REFERENCES)}, p AS (SELECT ref_id, regexp_extract(nfc_normalize(replace(replace(text, '（', '('), '）', ')')), '^(.*?)([「『“\x22]|https?://|$)', 1) AS p FROM refs),
         d AS (SELECT ref_id, lower(regexp_extract(p, '\(\s*((18|19|20)[0-9]{{2}}[a-z]?|n\s*\.\s*d\s*\.)[^)]{{0,35}}\)', 1)) AS d FROM p)
         SELECT ref_id, CASE WHEN d LIKE 'n%' OR d = '' THEN NULL ELSE substr(d, 1, 4) END AS year, CASE WHEN d = '' THEN 'missing' WHEN d LIKE 'n%' THEN 'nd' ELSE 'provided' END AS date_state FROM d""",
-    "match_status": _expected(
-        "ref_id, status, checked, different",
-        [
-            ("r01", "mismatch", "題名,著者,発行年,掲載誌", "掲載誌"), ("r02", "not_found", "", ""), ("r03", "not_found", "", ""), ("r04", "verified", "題名,著者,発行年,DOI", ""), ("r05", "not_found", "", ""),
-            ("r06", "not_found", "", ""), ("r07", "verified", "題名,著者,発行年,掲載誌", ""), ("r08", "not_found", "", ""), ("r09", "not_found", "", ""), ("r10", "not_found", "", ""),
-        ],
-    ),
     "best_match": _expected("ref_id, cand_id, confidence", [("r01", 1, 0.88), ("r04", 2, 1.0), ("r07", 4, 0.95)]),
     "page_titles": r"""SELECT page_id, replace(replace(replace(regexp_replace(trim(regexp_replace(
             coalesce(nullif(regexp_extract(html, '<h1[^>]*>(.*?)</h1>', 1), ''), regexp_extract(html, '<title>(.*?)</title>', 1)), '<[^>]+>', '', 'g')), '\s+', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title, NULL::VARCHAR AS year FROM pages""",
@@ -273,3 +258,4 @@ ORACLE_SQL: dict[str, str] = {
     "pdf_metadata": _expected("doc_id, publishers, year, notes", [(1, "株式会社例示研究所", "2013", ""), (2, "", None, "no_text")]),
     "ai_findings_sanitized": _expected("id, pos, category, severity, title, suggestion", [(1, 0, "AI詳細チェック", "warning", "a", "b"), (1, 3, "図表", "info", "c", "d")]),
 }
+ORACLE_SQL |= matching_sql.ORACLE_SQL

@@ -334,22 +334,56 @@ def best_match(spark, sf_dir):
     return best.select("ref_id", "cand_id", "confidence")
 
 
+def _cited_lines(spark, sf_dir):
+    """References that cite lines of documents as titles, long lines in pieces, and two for each benchmark item: one with another title and year, one with its own."""
+    lines = _paragraphs(spark, sf_dir).where("text <> ''").select("doc_id", "idx", F.posexplode(F.regexp_extract_all("text", F.lit("(?s).{1,400}"), F.lit(0))).alias("piece", "title"))
+    author = F.when(F.col("doc_id") % 3 == 0, "Tanaka K").otherwise("Smith J")
+    cited = F.concat(author, F.lit("（"), 2000 + F.col("doc_id") % 2, F.lit("）「"), "title", F.lit("」『Annals』"))
+    of_lines = lines.select(F.concat_ws("/", F.lit("line"), "doc_id", "idx", "piece").alias("ref_id"), cited.alias("text"))
+    items = table(spark, sf_dir, "benchmark").withColumn("title", F.get(F.split("text", "\n"), F.lit(0)))
+    link = F.concat(F.lit("」 https://doi.org/10.1234/item"), "item_id")
+    wrong = items.select(F.concat_ws("/", F.lit("wrong"), "item_id"), F.concat(F.lit("Smith J（1999）「Unrelated words entirely"), link))
+    right = items.select(F.concat_ws("/", F.lit("right"), "item_id"), F.concat(F.lit("Smith J（"), 2000 + F.col("item_id") % 2, F.lit("）「"), "title", link))
+    return of_lines.union(wrong).union(right)
+
+
+def _benchmark_records(spark, sf_dir):
+    """The lines of benchmark items as bibliographic records; an item's first line has its identifier."""
+    lines = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split("text", "\n")).alias("pos", "title"))
+    n = F.col("item_id")
+    return lines.select(
+        (n * 1000 + F.col("pos")).alias("cand_id"), F.when(F.col("pos") % 2 == 0, "CiNii Research").otherwise("Crossref").alias("provider"), F.when(F.col("pos") == 0, F.concat(F.lit("10.1234/item"), n)).alias("doi"),
+        "title", F.lit("John Smith").alias("authors"), F.lit(None).cast("string").alias("journal"), (2000 + n % 2).cast("string").alias("year"),
+        F.array().cast("array<string>").alias("year_candidates"), F.concat(F.lit("https://records.example/"), n).alias("url"),
+    )
+
+
+def _reconciled(spark, sf_dir, failures=None):
+    given = _cited_lines(spark, sf_dir).unionByName(corpus.references(spark))
+    return matching.match_status(given, _benchmark_records(spark, sf_dir).unionByName(corpus.candidates(spark)), failures=failures)
+
+
 @query
 def match_status(spark, sf_dir):
-    found = matching.match_status(corpus.references(spark), corpus.candidates(spark))
-    return found.select("ref_id", "status", F.array_join(F.coalesce("checked_fields", F.array()), ",").alias("checked"), F.array_join(F.coalesce(F.transform("differences", lambda d: d["field"]), F.array()), ",").alias("different"))
+    """Lines of documents reconciled with benchmark passages, and the references of the small corpus."""
+    found = _reconciled(spark, sf_dir)
+    return found.select("ref_id", "status", "cand_id", "confidence", F.array_join(F.coalesce("checked_fields", F.array()), ",").alias("checked"), F.array_join(F.coalesce(F.transform("differences", lambda d: d["field"]), F.array()), ",").alias("different"))
 
 
 @query
 def match_json(spark, sf_dir):
-    """What lookups answer, read back from its JSON; one provider failed for three of the references."""
-    failures = spark.createDataFrame([("r02", "Crossref"), ("r02", "CiNii"), ("r03", "Crossref"), ("r04", "CiNii")], "ref_id string, provider string")
-    made = matching.as_json(matching.match_status(corpus.references(spark), corpus.candidates(spark), failures=failures))
+    """What lookups of references to benchmark items answer, read back from the JSON; some providers failed."""
+    failures = spark.createDataFrame([("r02", "Crossref"), ("r02", "CiNii Research"), ("r03", "Crossref"), ("r04", "CiNii Research")], "ref_id string, provider string")
+    failed = table(spark, sf_dir, "benchmark").where("item_id % 5 = 0").select(F.concat_ws("/", F.lit("wrong"), "item_id").alias("ref_id"), F.lit("Crossref").alias("provider"))
+    made = matching.as_json(_reconciled(spark, sf_dir, failures.unionByName(failed)).where("ref_id not like 'line/%'"))
 
     def part(path: str):
         return F.get_json_object("json", f"$.{path}")
 
-    return made.select("ref_id", part("status").alias("status"), part("providerErrors").alias("errors"), part("bookLike").alias("book_like"), part("bestMatch.provider").alias("provider"), part("links.doi").alias("doi_link"))
+    return made.select(
+        "ref_id", part("status").alias("status"), part("providerErrors").alias("errors"), part("bookLike").alias("book_like"), part("bestMatch.provider").alias("provider"), part("bestMatch.title").alias("title"),
+        part("differences").alias("differences"), part("checkedFields").alias("checked"), part("providers").alias("providers"), part("links.source").alias("source_link"), part("links.doi").alias("doi_link"), F.md5(part("links.cinii")).alias("search_md5"),
+    )
 
 
 @query

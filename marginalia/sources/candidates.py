@@ -55,7 +55,7 @@ def cinii_candidates(records: DataFrame, json: str = "json") -> DataFrame:
     year = F.nullif(year, F.lit(""))
     return v.select(
         *records.columns,
-        F.lit("CiNii").alias("provider"),
+        F.lit("CiNii Research").alias("provider"),
         doi.alias("doi"),
         F.try_variant_get("v", "$.title", "string").alias("title"),
         F.array_join(ordered, ", ").alias("authors"),

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import folded
-from marginalia.operators import guidance, matching, payload, rules, state
+from marginalia.operators import guidance, matching, set_join, payload, rules, state
 from marginalia.plans import corpus, queries
 
 
@@ -46,7 +46,7 @@ def test_highlighted(spark, ranges, wanted):
 
 
 def test_failures_of_single_providers(spark):
-    failures = spark.createDataFrame([("r02", "Crossref"), ("r04", "CiNii")], "ref_id string, provider string")
+    failures = spark.createDataFrame([("r02", "Crossref"), ("r04", "CiNii Research")], "ref_id string, provider string")
     found = {r.ref_id: r for r in matching.match_status(corpus.references(spark), corpus.candidates(spark), failures=failures).collect()}
     assert found["r02"].status == "lookup_incomplete" and found["r02"].provider_errors == ["Crossref"]
     assert found["r04"].status == "verified" and found["r03"].status == "not_found" and found["r09"].book_like
@@ -93,8 +93,7 @@ def test_answers(spark):
 
 
 def test_similar_items_against_all_pairs(spark, monkeypatch):
-    monkeypatch.setattr(matching, "ROWS_AT_ONCE", 5)
-    monkeypatch.setattr(matching, "ITEMS_AT_ONCE", 2)
+    monkeypatch.setattr(set_join, "BLOCK", 5)
     base = "the quick brown fox jumps over the lazy dog while nobody is looking at the hills"
     texts = [base, base[5:], base[:40], base.upper(), "a", "A", "", None, "b", base.replace("fox", "cat"), "ab", "aba", "日本語の題名です", "日本語の題名でした"]
     rows = spark.createDataFrame(list(enumerate(texts)), "id bigint, t string")

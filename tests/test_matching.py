@@ -8,7 +8,7 @@ from marginalia.operators import matching, source_compare
 from marginalia.sources import pages
 
 TITLE = "山間地域の図書室における学習支援の試みと利用者への新たな「場づくり」"
-RECORD = (1, "CiNii", None, TITLE, "林 亜紀, 西岡 透", "架空大学教養論叢", "2020", ["2020"], None)
+RECORD = (1, "CiNii Research", None, TITLE, "林 亜紀, 西岡 透", "架空大学教養論叢", "2020", ["2020"], None)
 DOI = (2, "Crossref", "10.1234/TEST", "Article", "Author", "Records", "2020", ["2020"], None)
 CANDIDATES = "cand_id bigint, provider string, doi string, title string, authors string, journal string, year string, year_candidates array<string>, url string"
 
