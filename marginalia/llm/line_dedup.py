@@ -25,6 +25,8 @@ MIN_DOCS = 10
 MIN_LENGTH = 1
 BATCHES = 4
 FAN_IN = 2
+#: Up to so many frequent keys, of 16 bytes each, go to every task.
+BROADCAST_KEYS = 200_000
 
 _OCCURRENCES = "doc_id bigint, row_hash bigint, batch int, key binary, positions array<int>"
 
@@ -87,7 +89,7 @@ class LineRuns:
         """batch: key and doc_id; each pair counts once."""
         for settled in self.settled:
             batch = batch.join(settled, "key", "left_anti")
-        counts = batch.groupBy("key").agg(F.count_distinct(F.coalesce("doc_id", F.lit(-1))).alias("n_docs"))
+        counts = batch.groupBy("key").agg(F.count_distinct(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0))).alias("n_docs"))
         self._push(0, self._run(counts))
 
     def _push(self, level: int, run: DataFrame) -> None:
@@ -169,6 +171,8 @@ def line_dedup(
     for at in range(batches):
         runs.add(seen.where(F.col("batch") == at).select("key", "doc_id"))
     frequent = runs.close()
+    if frequent.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        frequent = F.broadcast(frequent)  # all other lines go where they are read
     drops = (
         seen.join(frequent, "key")
         .groupBy(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash"))

@@ -132,7 +132,7 @@ ORACLE_SQL: dict[str, str] = {
             SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
                                 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l
         ), f AS (
-            SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT coalesce(doc_id, -1)) >= 10
+            SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT coalesce(doc_id::VARCHAR, 'none')) >= 10
         ), m AS (
             SELECT k.*, f.key IS NOT NULL AS gone FROM k LEFT JOIN f USING (key)
         )

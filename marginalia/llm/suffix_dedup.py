@@ -196,7 +196,7 @@ def _by_row(table: pa.Table) -> pa.Table:
     else:
         begins = np.zeros(0, np.int64)
     offsets = pa.array(np.concatenate([begins, [len(ids)]]).astype(np.int32))
-    names = pa.array(ids[begins], pa.int64(), mask=ids[begins] == _NULL_ID)
+    names = pa.array(ids[begins], pa.int64(), mask=(ids[begins] == _NULL_ID) & (rows[begins] & 1 == 1))
     lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32), pa.int32())) for x in (at, size)]
     return pa.table([names, pa.array(rows[begins], pa.int64()), *lists], ["doc_id", "row_hash", "at", "size"])
 
@@ -379,13 +379,16 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     * A byte of a text in UTF-8 is removed if a 50-byte string that covers it also starts
       in a document with a smaller doc_id; strings are judged on the input, overlaps
       count, and no string crosses documents. kept may cut characters in two.
-    * A null text counts as empty. A null doc_id comes after all others. Rows that repeat
+    * A null text counts as empty. A null doc_id comes after all others, but for the
+      largest id there is: to that it loses nothing, nor that to it. Rows that repeat
       a doc_id are one document: they lose nothing to each other.
     * Texts of less than 50 bytes stay. An empty table gives an empty result. Other
       columns are not read.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), text_of(text).alias("text")).withColumn("row_hash", F.xxhash64("text"))
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), text_of(text).alias("text"))
+    # the last bit tells null from the id that stands for it
+    rows = rows.withColumn("row_hash", F.xxhash64("text").bitwiseAND(F.lit(-2)).bitwiseOR(F.col("doc_id").isNull().cast("bigint")))
     total = rows.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
     groups = int(total // GROUP_BYTES) + int(spark.conf.get("spark.sql.shuffle.partitions"))
     seen = rows.mapInArrow(_seen(groups), _SEEN)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bytelevel import WORD_AND_SIGNS, written
-from .common import shuffles_released, text_of
+from .common import shuffles_released, stored, text_of
 
 WINDOW = 16
 MEAN_CHUNK = 1024
@@ -174,6 +174,7 @@ def _route(doc: int | None, root: bytes) -> int:
     return int.from_bytes(blake2b(f"{doc}".encode() + root, digest_size=8).digest(), "little", signed=True)
 
 
+_MANIFEST = "part int, n_docs bigint, n_ids bigint, root binary"
 _OBJECTS = "kind string, route bigint, digest binary, n bigint, payload binary, doc_id bigint, recipe binary, root binary"
 _COLUMNS = ("kind", "route", "digest", "n", "payload", "doc_id", "recipe", "root")
 _TYPES = (pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary())
@@ -283,7 +284,7 @@ def write_store(
         placed = placed.select("part", "doc_id", (F.col("before") + F.col("upto") - F.col("n")).alias("start"), "n", "recipe", "root")
         placed.repartitionByRange(n, "part", "start").sortWithinPartitions("part", "start").write.parquet(f"{path}/recipes")
         spark.read.parquet(f"{path}/recipes").select("part", "root", "n", "start").repartition(n, "part").sortWithinPartitions("part", "start").drop("start").mapInArrow(
-            _partition_roots, "part int, n_docs bigint, n_ids bigint, root binary"
+            _partition_roots, _MANIFEST
         ).write.parquet(f"{path}/manifest")
 
 
@@ -303,9 +304,9 @@ def recipes(spark: SparkSession, path: str) -> DataFrame:
 
 def _references(found: DataFrame) -> DataFrame:
     """start, at, digest: one row for each chunk of each recipe."""
-    size = F.length("recipe") / _DIGEST
-    digest = F.expr(f"substring(recipe, at * {_DIGEST} + 1, {_DIGEST})")
-    return found.select("start", "recipe", F.explode(F.sequence(F.lit(0), size.cast("int") - 1)).alias("at")).select("start", "at", digest.alias("digest"))
+    number = F.ceil(F.length("recipe") / _DIGEST).cast("int")
+    digests = F.transform(F.sequence(F.lit(0), number - 1), lambda i: F.substring("recipe", i * _DIGEST + 1, F.lit(_DIGEST)))
+    return found.where(number > 0).select("start", F.posexplode(digests).alias("at", "digest"))
 
 
 def _opened(width: int, with_ids: bool):
@@ -387,14 +388,34 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*columns, pa.array(crcs, pa.int64()), pa.array(ok, pa.bool_())], ["doc_id", "start", "n_tokens", "ids_crc32", "verified"])
 
 
+def partition_checks(spark: SparkSession, path: str) -> DataFrame:
+    """part, missing, altered: for each partition of the recipes, how many the manifest has more than there are, and whether they are others.
+
+    ``altered`` holds where there are as many recipes as the manifest says or more, and
+    their Merkle root or number of ids isn't the manifest's.
+    """
+    found = recipes(spark, path).select("part", "root", "n", "start").repartition("part").sortWithinPartitions("part", "start").drop("start")
+    found = found.mapInArrow(_partition_roots, _MANIFEST).select("part", *(F.col(c).alias(f"_{c}") for c in ("n_docs", "n_ids", "root")))
+    stated = spark.read.schema(_MANIFEST).parquet(f"{path}/manifest")
+    there, wanted = F.coalesce("_n_docs", F.lit(0)), F.coalesce("n_docs", F.lit(0))
+    same = F.col("root").eqNullSafe(F.col("_root")) & F.col("n_ids").eqNullSafe(F.col("_n_ids"))
+    return stated.join(found, "part", "full").select("part", F.greatest(wanted - there, F.lit(0)).alias("missing"), ((there >= wanted) & ~same).alias("altered"))
+
+
 def read_digests(spark: SparkSession, path: str, tokenizer_path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32, verified: every stored chunk is read once and checked.
 
-    ``verified`` holds if the digests of the chunks as read give the recipe's Merkle root.
-    Only checksums move to the recipes, the ids stay where they lie.
+    ``verified`` holds if the digests of the chunks as read give the recipe's Merkle root,
+    and the recipes of its partition the manifest's. Each recipe that the manifest counts
+    and that isn't there gives a row of nulls, not verified. Only checksums move to the
+    recipes, the ids stay where they lie.
     """
-    found = recipes(spark, path)
+    checks = stored(partition_checks(spark, path), "partition-checks")  # one row for each partition of the recipes
+    found = recipes(spark, path).join(F.broadcast(checks.where("altered").select("part", "altered")), "part", "left")
     opened = chunks(spark, path).mapInArrow(_opened(_width(tokenizer_path), False), "digest binary, n_ids bigint, sound boolean, crc bigint, ids binary").drop("ids")
     parts = _references(found).join(opened, "digest").groupBy("start").agg(F.collect_list(F.struct("at", "digest", "n_ids", "sound", "crc")).alias("parts"))
-    joined = found.select("doc_id", "start", F.col("n").alias("n_tokens"), "root").join(parts, "start", "left")
-    return joined.mapInArrow(_verified, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, verified boolean")
+    joined = found.select("doc_id", "start", F.col("n").alias("n_tokens"), F.when(F.col("altered").isNull(), F.col("root")).alias("root")).join(parts, "start", "left")
+    told = joined.mapInArrow(_verified, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, verified boolean")
+    lost = checks.where("missing > 0").select(F.explode(F.sequence(F.lit(1), "missing")))
+    none = [F.lit(None).cast("bigint").alias(c) for c in ("doc_id", "start", "n_tokens", "ids_crc32")]
+    return told.unionByName(lost.select(*none, F.lit(False).alias("verified")))

@@ -77,3 +77,17 @@ def test_line_dedup(documents, dice):
 def test_line_dedup_keeps_columns(documents):
     found = line_dedup.line_dedup(documents([(1, "a")]), keep=("part", "kept")).first()
     assert (found.part, found.kept, found.kept_text) == ("x", "x", "a")
+
+
+def test_lines_of_rows_without_an_id_and_of_id_minus_one(documents):
+    """They are two documents, so a line in eight others and both is in ten."""
+    rows = [(i, f"shared\nown {i}") for i in [*range(1, 9), -1, None]]
+    found = line_dedup.line_dedup(documents(rows)).collect()
+    assert by_id((r.doc_id, r.n_dropped, r.kept_text) for r in found) == by_id((d, 1, f"own {d}") for d, _ in rows)
+
+
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_frequent_keys_by_broadcast_or_shuffle(documents, monkeypatch, most):
+    monkeypatch.setattr(line_dedup, "BROADCAST_KEYS", most)
+    rows = [(i, f"a\n{i}\nB \n{'x' * 70_000 if i == 3 else ''}") for i in range(12)]
+    assert by_id((r.doc_id, r.n_lines, r.n_dropped) for r in line_dedup.line_dedup(documents(rows)).collect()) == by_id((i, 4, 2) for i, _ in rows)

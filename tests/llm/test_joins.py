@@ -227,3 +227,11 @@ def test_suffix_classes():
     strings = [data[i : i + 50] for i in order]
     assert strings == sorted(strings)
     assert [a == b for a, b in zip(strings, strings[1:])] == (np.diff(classes) == 0).tolist()
+
+
+def test_the_largest_id_and_rows_without_one(documents):
+    """The largest id isn't taken for a missing one; both lose what a smaller id has."""
+    passage = "passage of more than fifty bytes that several documents have in common with others"
+    rows = [(1, passage), (2**63 - 1, passage), (None, f"{passage} and more of it")]
+    found = {r.doc_id: r.n_removed for r in suffix_dedup.suffix_dedup(documents(rows)).collect()}
+    assert found == {1: 0, 2**63 - 1: len(passage), None: len(passage)}

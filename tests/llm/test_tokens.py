@@ -2,6 +2,8 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -162,3 +164,58 @@ def test_encoding_and_decoding(documents, rows):
 
 def test_tokenizer_paths_are_parameters():
     assert WORD_BPE == public_tokenizers.path("word_bpe_49k.json")
+
+
+def parquet_files(path, name):
+    return sorted(p for p in (path / "store" / name).rglob("*.parquet"))
+
+
+@pytest.fixture
+def store(spark, documents, tmp_path):
+    token_store.write_store(documents([(i, f"text number {i} of " + "many words " * (i % 9)) for i in range(60)]), f"file://{tmp_path}/store", BYTE_BPE, mean_chunk=8, max_chunk=30)
+    return tmp_path
+
+
+def digests(spark, store):
+    return token_store.read_digests(spark, f"file://{store}/store", BYTE_BPE).collect()
+
+
+def test_lost_recipes_are_reported(spark, store):
+    lost = max(parquet_files(store, "recipes"), key=lambda p: p.stat().st_size)
+    n = spark.read.parquet(f"file://{lost}").count()
+    lost.rename(store / "lost")
+    found = digests(spark, store)
+    assert len(found) == 60 and sum(not r.verified for r in found) == n > 0
+    assert all(r.doc_id is None and r.n_tokens is None for r in found if not r.verified)
+
+
+def test_a_shortened_recipe_is_reported(spark, store):
+    """One whose own root fits what is left of it, so that only the manifest can tell."""
+    file = max(parquet_files(store, "recipes"), key=lambda p: p.stat().st_size)
+    table = pq.read_table(file)
+    rows = table.to_pylist()
+    at = next(i for i, r in enumerate(rows) if len(r["recipe"]) > token_store._DIGEST)
+    cut = rows[at]["recipe"][: token_store._DIGEST]
+    chunk = spark.createDataFrame([(bytearray(cut),)], "digest binary").join(token_store.chunks(spark, f"file://{store}/store"), "digest").first()
+    rows[at] |= {"recipe": cut, "root": token_store.merkle_root([cut]), "n": chunk.n}
+    (file.parent / f".{file.name}.crc").unlink(missing_ok=True)
+    pq.write_table(pa.Table.from_pylist(rows, table.schema), file)
+    found = {r.doc_id: r.verified for r in digests(spark, store)}
+    assert len(found) == 60 and not found[rows[at]["doc_id"]]
+    assert {d for d, ok in found.items() if not ok} == {r["doc_id"] for r in rows if r["part"] == rows[at]["part"]}
+
+
+def test_lost_and_changed_chunks_are_reported(spark, store):
+    before = token_store.chunks(spark, f"file://{store}/store").collect()
+    file = max(parquet_files(store, "objects/kind=chunk"), key=lambda p: p.stat().st_size)
+    rows = pq.read_table(file).to_pylist()
+    needed = {r.doc_id: {r.recipe[i : i + token_store._DIGEST] for i in range(0, len(r.recipe), token_store._DIGEST)} for r in token_store.recipes(spark, f"file://{store}/store").collect()}
+    other = next(r for r in before if r.digest != rows[0]["digest"] and r.n == rows[0]["n"])
+    gone = rows[0]["digest"]
+    rows[0]["payload"] = bytes(other.payload)
+    (file.parent / f".{file.name}.crc").unlink(missing_ok=True)
+    pq.write_table(pa.Table.from_pylist(rows, pq.read_schema(file)), file)
+    assert {r.doc_id for r in digests(spark, store) if not r.verified} == {d for d, x in needed.items() if gone in x} != set()
+    file.rename(store / "lost")
+    lost = {r["digest"] for r in rows}
+    assert {r.doc_id for r in digests(spark, store) if not r.verified} == {d for d, x in needed.items() if x & lost}
