@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.schema import SEVERITIES
+from marginalia.storage import kept
 
 
 def severity_rank(severity: Column) -> Column:
@@ -20,6 +21,22 @@ def ordered(findings: DataFrame) -> DataFrame:
     return findings.orderBy(severity_rank(F.col("severity")), "emit_order", "doc_id", "seq")
 
 
+def positions(findings: DataFrame) -> DataFrame:
+    """Findings with ``pos``: their places, from 1, in the order in which they are shown; finding_id tells equals apart.
+
+    Rows are dealt by ranges of that order and numbered within their ranges; what lies in
+    the ranges before is one number for each of them. No task holds more than a range.
+    """
+    order = [severity_rank(F.col("severity")), F.col("emit_order"), F.col("doc_id"), F.col("seq"), F.col("finding_id")]
+    ranged = findings.repartitionByRange(*order).sortWithinPartitions(*order)
+    numbered = kept(ranged.withColumns({"_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}), "ranges")
+    sizes = numbered.groupBy("_range").agg(F.count(F.lit(1)).alias("n"))
+    everything = F.array_sort(F.collect_list(F.struct("_range", "n")))
+    of_ranges = sizes.agg(everything.alias("all")).select(F.explode("all").alias("r"), "all")  # as many rows as there are ranges
+    before = of_ranges.select(F.col("r._range").alias("_range"), F.aggregate(F.filter("all", lambda x: x["_range"] < F.col("r._range")), F.lit(0).cast("bigint"), lambda n, x: n + x["n"]).alias("_before"))
+    return numbered.join(F.broadcast(before), "_range").withColumn("pos", F.col("_before") + F.col("_at") + 1).drop("_range", "_at", "_before")
+
+
 def shown(findings: DataFrame, category: str | None = None, important_only: bool = False) -> DataFrame:
     if category is not None:
         findings = findings.where(F.col("category") == category)

@@ -4,12 +4,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import folded
-from marginalia.operators import guidance, matching, set_join, payload, rules, state
+from marginalia.operators import guidance, matching, payload, rules, set_join, state, structure
 from marginalia.plans import corpus, queries
 
 
 def test_every_rule_has_texts(spark):
-    found = guidance.with_texts(rules.run_checks(queries._in_corpus(spark))).collect()
+    found = guidance.with_texts(rules.run_checks(rules.DocTables.of_parts(structure.with_sections(structure.with_parts(corpus.paragraphs(spark)))))).collect()
     assert {r.rule for r in found} <= {x[0] for x in guidance.RULE_TEXTS}
     assert all(r.title and r.original and r.suggestion and r.reason for r in found if r.rule != "missing_number")
     assert not [r for r in found if "{" in f"{r.title}{r.suggestion}{r.reason}"]

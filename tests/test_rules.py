@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from marginalia.operators import results, rules, structure
 from marginalia.plans import corpus
@@ -111,3 +112,42 @@ def test_document_rules_one_by_one_and_together(spark):
     assert {r.rule for r in together.collect()} == {"no_headings", "no_purpose", "no_conclusion", "no_prior_research", "no_design", "bullets", "no_discussion"}
     order = [r.emit_order for r in results.ordered(together).collect() if r.severity == "info"]
     assert order == sorted(order)
+
+
+def test_compiled_rules_read_few_tables_and_give_what_single_ones_give(spark):
+    """Three scans and four exchanges for all rules; tables add their terms and numbers."""
+    placed = structure.with_sections(structure.with_parts(corpus.paragraphs(spark)))
+    more = spark.createDataFrame([(1, "図9 調査"), (77, "アンケート"), (77, None)], "doc_id bigint, text string")
+    for t in (rules.DocTables.of_parts(placed), rules.DocTables.of(placed.where("part = 'body'"), structure.references(placed)), rules.DocTables.of_parts(placed, more)):
+        found = rules.run_checks(t)
+        together = sorted(str(r) for r in found.drop("finding_id", "emit_order").collect())
+        chosen = [rule for of_check in rules.CHECKS.values() for rule in of_check]
+        assert together == sorted(str(r) for rule in chosen for r in rule(t).collect())
+    plan = rules.run_checks(rules.DocTables.of_parts(placed))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 4 and plan.count("Scan ExistingRDD") + plan.count("LocalTableScan") <= 3
+
+
+def test_numbers_of_figures_over_lines(spark):
+    """A number on the line after its sign counts, one beyond another line doesn't, and tables follow the last paragraph."""
+    assert [f.detail for f in rules.missing_numbers(tables(spark, "図", "1 と図3", "図", "ほか", "9")).collect()] == ["図2"]
+    table = spark.createDataFrame([(1, "3 である")], "doc_id bigint, text string")
+    with_table = rules.DocTables(tables(spark, "図1", "続く図").rows, table)
+    assert [f.detail for f in rules.missing_numbers(with_table).collect()] == ["図2"]
+
+
+def test_rules_of_ones_own(spark, monkeypatch):
+    monkeypatch.setattr(rules, "CHECKS", dict(rules.CHECKS))
+    monkeypatch.setattr(rules, "CATEGORIES", dict(rules.CATEGORIES))
+    rules.register("house", rules.Rule("no_tabs", "house", "info", lambda: rules._one(F.col("text").contains("\t")), first=1))
+    rules.register("house", lambda t: rules.no_purpose(t))
+    found = rules.run_checks(tables(spark, "a\tb", "c\td", "e"), ["house"]).orderBy("emit_order").collect()
+    assert [(f.rule, f.p_idx, f.emit_order) for f in found] == [("no_tabs", 1, 0), ("no_purpose", None, 1)]
+
+
+def test_places_in_the_order_in_which_findings_are_shown(spark):
+    found = rules.run_checks(rules.DocTables.of_parts(structure.with_sections(structure.with_parts(corpus.paragraphs(spark)))))
+    placed = results.positions(found).orderBy("pos").collect()
+    wanted = results.ordered(found).collect()
+    assert [r.pos for r in placed] == list(range(1, len(wanted) + 1))
+    assert [(r.severity, r.emit_order, r.doc_id, r.seq) for r in placed] == [(r.severity, r.emit_order, r.doc_id, r.seq) for r in wanted]
+    assert results.positions(found.where("false")).count() == 0
