@@ -14,6 +14,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.operators.chained import CappedCache, ClientLimit, WindowLimit, chained
+from marginalia.storage import kept
+
 
 def _limited(limit: int, window_us: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,15 +90,29 @@ def client_of(forwarded: str, address: str) -> Column:
     return F.coalesce(F.nullif(F.trim(forwarded), F.lit("")), F.nullif(F.trim(address), F.lit("")), F.lit("unknown"))
 
 
+def globally_limited(requests: DataFrame, ts: str, order: str, limit: int, window_seconds: float = 60) -> DataFrame:
+    """Adds ``rejected`` by one limit for all requests together; see ``chained`` for how that is done in parallel."""
+    return chained(requests, WindowLimit(limit, int(window_seconds * 1e6)), ts, order, "rejected")
+
+
+def capped_cache_hits(lookups: DataFrame, key: str, ts: str, order: str, cap: int = 500, ttl_seconds: float = 600, failed: str | None = None) -> DataFrame:
+    """As ``cache_hits``, for one cache of ``cap`` entries: beyond that the entry first inserted goes. A key set again keeps its place."""
+    return chained(lookups, CappedCache(int(ttl_seconds * 1e6), cap), ts, order, "hit", key, failed)
+
+
+def rate_limited_with_reset(requests: DataFrame, key: str, ts: str, order: str, limit: int, window_seconds: float = 60, cap: int = 10_000) -> DataFrame:
+    """As ``rate_limited``, but all clients are forgotten as soon as more than ``cap`` are known."""
+    return chained(requests, ClientLimit(limit, int(window_seconds * 1e6), cap), ts, order, "rejected", key)
+
+
 def guarded(requests: DataFrame, client: str, ts: str, order: str, client_limit: int, global_limit: int, window_seconds: float = 60) -> DataFrame:
     """Adds ``outcome``: client_limited, globally_limited or passed.
 
-    The global limit is one queue in order of time, and so one task; it takes only what its
-    clients' limits let pass, which has used up their slots all the same.
+    The global limit takes only what its clients' limits let pass, which has used up their
+    slots all the same.
     """
-    by_client = rate_limited(requests, client, ts, order, client_limit, window_seconds)
-    passed = by_client.where("not rejected").drop("rejected").withColumn("_one", F.lit("all"))
-    globally = rate_limited(passed, "_one", ts, order, global_limit, window_seconds).drop("_one")
+    by_client = kept(rate_limited(requests, client, ts, order, client_limit, window_seconds), "by-client")
+    globally = globally_limited(by_client.where("not rejected").drop("rejected"), ts, order, global_limit, window_seconds)
     out = globally.withColumn("outcome", F.when(F.col("rejected"), "globally_limited").otherwise("passed")).drop("rejected")
     return out.unionByName(by_client.where("rejected").drop("rejected").withColumn("outcome", F.lit("client_limited")))
 
@@ -107,10 +124,10 @@ def guard_chain(
 
     Only POST is allowed. A request that fails one test takes no slot of a later one.
     """
-    posts = F.coalesce(F.col(method) == "POST", F.lit(False))
-    good = admitted(requests.where(posts), allowed, origin, referer)
-    names = allowed.select(origin_of(F.col("origin")).alias("_allowed")).distinct()
+    names = allowed.select(origin_of(F.col("origin")).alias("_allowed")).where("_allowed is not null").distinct()
     stated = F.when(F.coalesce(origin, F.lit("")) != "", F.col(origin)).otherwise(F.col(referer))
-    foreign = requests.where(posts).join(names, origin_of(stated) == F.col("_allowed"), "left_anti").withColumn("outcome", F.lit("forbidden"))
-    other = requests.where(~posts).withColumn("outcome", F.lit("method_not_allowed"))
-    return guarded(good, client, ts, order, client_limit, global_limit, window_seconds).unionByName(foreign).unionByName(other)
+    tested = requests.join(names, origin_of(stated) == F.col("_allowed"), "left")
+    stopped = F.when(~F.coalesce(F.col(method) == "POST", F.lit(False)), "method_not_allowed").when(F.col("_allowed").isNull(), "forbidden")
+    tested = kept(tested.withColumn("outcome", stopped).drop("_allowed"), "tested")
+    good = guarded(tested.where("outcome is null").drop("outcome"), client, ts, order, client_limit, global_limit, window_seconds)
+    return good.unionByName(tested.where("outcome is not null"))

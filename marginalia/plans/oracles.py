@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from marginalia.operators import guidance, rules
-from marginalia.plans import corpus, matching_sql
+from marginalia.plans import corpus, matching_sql, state_sql
 
 _LINES = """lines AS (
     SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS text, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS idx FROM documents
@@ -105,12 +105,6 @@ ORACLE_SQL: dict[str, str] = {
         u1 AS (SELECT *, b1 <= n AS k1, CASE WHEN b1 <= n THEN b1 ELSE 0 END AS c1 FROM d), u2 AS (SELECT *, a2 >= c1 AND b2 <= n AS k2, CASE WHEN a2 >= c1 AND b2 <= n THEN b2 ELSE c1 END AS c2 FROM u1),
         u3 AS (SELECT *, a3 >= c2 AND b3 <= n AS k3, CASE WHEN a3 >= c2 AND b3 <= n THEN b3 ELSE c2 END AS c3 FROM u2), u4 AS (SELECT *, a4 >= c3 AND b4 <= n AS k4 FROM u3)
         SELECT doc_id, concat_ws(',', CASE WHEN k1 THEN a1 || '-' || b1 END, CASE WHEN k2 THEN a2 || '-' || b2 END, CASE WHEN k3 THEN a3 || '-' || b3 END, CASE WHEN k4 THEN a4 || '-' || b4 END) AS spans FROM u4""",
-    "guard_chain": """WITH RECURSIVE e AS MATERIALIZED (SELECT event_id, user_id, ts, CASE WHEN event_id % 5 = 0 THEN 'method_not_allowed'
-                WHEN event_id % 7 = 0 OR (event_id % 7 = 1 AND event_id % 2 <> 0) THEN 'forbidden' END AS stopped FROM events),
-        o AS MATERIALIZED (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM e WHERE stopped IS NULL),
-        f AS (SELECT event_id, user_id, k, ts AS last, false AS rejected FROM o WHERE k = 1
-            UNION ALL SELECT o.event_id, o.user_id, o.k, CASE WHEN o.ts - f.last >= INTERVAL 1 HOUR THEN o.ts ELSE f.last END, o.ts - f.last < INTERVAL 1 HOUR FROM f JOIN o ON o.user_id = f.user_id AND o.k = f.k + 1)
-        SELECT event_id, CASE WHEN rejected THEN 'client_limited' ELSE 'passed' END AS outcome FROM f UNION ALL SELECT event_id, stopped FROM e WHERE stopped IS NOT NULL""",
     "answer_envelopes": _expected("id, answer", [(1, "answer"), (2, "own"), (3, ""), (4, "")]),
     "search_terms": _expected(
         "cand_id, pos, term",
@@ -281,7 +275,7 @@ ORACLE_SQL: dict[str, str] = {
     "pdf_metadata": _expected("doc_id, publishers, year, notes", [(1, "株式会社例示研究所", "2013", ""), (2, "", None, "no_text")]),
     "ai_findings_sanitized": _expected("id, pos, category, severity, title, suggestion", [(1, 0, "AI詳細チェック", "warning", "a", "b"), (1, 3, "図表", "info", "c", "d")]),
 }
-ORACLE_SQL |= matching_sql.ORACLE_SQL
+ORACLE_SQL |= matching_sql.ORACLE_SQL | state_sql.ORACLE_SQL
 
 # Which category the findings of each rule belong to.
 _CATEGORY = {

@@ -494,18 +494,34 @@ def cache_hits(spark, sf_dir):
 
 @query
 def guard_outcomes(spark, sf_dir):
-    found = state.guarded(table(spark, sf_dir, "events").select("event_id", "user_id", "ts"), "user_id", "ts", "event_id", 2, 25, 3600)
-    return found.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+    """Two for a client and fifteen for all within an hour."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    return state.guarded(events, "user_id", "ts", "event_id", 2, 15, 3600).select("event_id", "outcome")
+
+
+@query
+def capped_cache(spark, sf_dir):
+    """A cache of 60 entries, of which 200 keys are asked; every eleventh lookup fails."""
+    key = F.concat_ws("|", "event_type", F.col("user_id") % 40)
+    lookups = table(spark, sf_dir, "events").select("event_id", key.alias("key"), "ts", (F.col("event_id") % 11 == 0).alias("failed"))
+    return state.capped_cache_hits(lookups, "key", "ts", "event_id", 60, 36_000, "failed").select("event_id", "key", "hit")
+
+
+@query
+def clients_reset(spark, sf_dir):
+    """One request in four hours for a client, all of whom are forgotten once more than 30 are known."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    return state.rate_limited_with_reset(events, "user_id", "ts", "event_id", 1, 14_400, 30).select("event_id", "user_id", "rejected")
 
 
 @query
 def guard_chain(spark, sf_dir):
-    """Events as requests, some of another method or origin; one passes for a client within an hour."""
+    """Events as requests, some of another method or origin; one passes for a client within an hour, nine for all."""
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
     given = events.withColumns({"method": F.when(F.col("event_id") % 5 == 0, "GET").otherwise("POST"), "origin": F.when(F.col("event_id") % 7 == 0, "https://other.example").when(F.col("event_id") % 7 != 1, "https://own.example")})
     given = given.withColumn("referer", F.when(F.col("event_id") % 2 == 0, "https://OWN.example/page"))
     allowed = spark.createDataFrame([("https://own.example",)], "origin string")
-    return state.guard_chain(given, allowed, "user_id", "ts", "event_id", 1, 1 << 40, 3600).select("event_id", "outcome")
+    return state.guard_chain(given, allowed, "user_id", "ts", "event_id", 1, 9, 3600).select("event_id", "outcome")
 
 
 _ENVELOPES = [
