@@ -15,6 +15,7 @@ from marginalia.sources import docx
 from marginalia.sources import pages as page_sources
 from marginalia.sources import urls
 from marginalia.sources.documents import paragraphs_of
+from marginalia.streaming import progress
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -524,6 +525,18 @@ def guard_chain(spark, sf_dir):
     return state.guard_chain(given, allowed, "user_id", "ts", "event_id", 1, 9, 3600).select("event_id", "outcome")
 
 
+@query
+def lookup_progress(spark, sf_dir):
+    """Events as lookups: some answers come after their time, some never, some twice."""
+    n, asked = F.col("event_id"), F.col("ts").alias("asked")
+    events = table(spark, sf_dir, "events")
+    requests = events.select(n.alias("ref_id"), asked)
+    first = events.where("event_id % 7 <> 0").select(n.alias("ref_id"), (F.col("ts") + F.make_dt_interval(secs=n % 50)).alias("answered"), F.lit("verified").alias("status"))
+    second = events.where("event_id % 3 = 0").select(n.alias("ref_id"), (F.col("ts") + F.make_dt_interval(secs=n % 40 + 5)).alias("answered"), F.lit("mismatch").alias("status"))
+    found = progress.progress(requests, first.unionByName(second))
+    return found.select("ref_id", "status", F.unix_micros(F.col("completed_at").cast("timestamp")).alias("completed_us"))
+
+
 _ENVELOPES = [
     (1, '{"output":[{"type":"reasoning"},{"content":[{"type":"refusal","text":"x"},{"type":"output_text","text":""},{"type":"output_text","text":"answer"},{"type":"output_text","text":"later"}]}]}'),
     (2, '{"output":[],"output_text":"own"}'),

@@ -45,4 +45,8 @@ ORACLE_SQL = {
                 LATERAL (SELECT CASE WHEN h.p > 0 THEN c.users ELSE list_append(c.users, o.user_id) END AS users,
                     CASE WHEN h.p > 0 THEN list_concat(list_append(c.last[:h.p - 1], o.t), c.last[h.p + 1:]) ELSE list_append(c.last, o.t) END AS last) s)
         SELECT event_id, user_id, rejected FROM c WHERE k > 0""",
+    "lookup_progress": """WITH a AS (SELECT event_id, epoch_us(ts) AS asked, event_id % 50 AS s, 'verified' AS status FROM events WHERE event_id % 7 <> 0
+            UNION ALL SELECT event_id, epoch_us(ts), event_id % 40 + 5, 'mismatch' FROM events WHERE event_id % 3 = 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY s, status) AS k FROM a WHERE s < 30)
+        SELECT e.event_id AS ref_id, coalesce(r.status, 'lookup_incomplete') AS status, epoch_us(e.ts) + coalesce(r.s, 30) * 1000000 AS completed_us FROM events e LEFT JOIN r ON r.event_id = e.event_id AND k = 1""",
 }
