@@ -37,16 +37,8 @@ _OWN_JSON = [
     *((r, "not_found", "[]", str(r in ("r08", "r09")).lower(), *_NO_MATCH, _BOTH, None, None, _TITLES[r]) for r in ("r05", "r06", "r08", "r09", "r10")),
 ]
 
-ORACLE_SQL = {
-    "match_json": f"""WITH i AS (SELECT item_id, string_split(text, chr(10))[1] AS title FROM benchmark),
-        {corpus.values_sql("own", "ref_id, status, errors, book_like, provider, title, differences, checked, providers, source_link, doi_link, search_md5", _OWN_JSON)}
-        SELECT 'wrong/' || item_id AS ref_id, CASE WHEN item_id % 5 = 0 THEN 'lookup_incomplete' ELSE 'doi_unconfirmed' END AS status, CASE WHEN item_id % 5 = 0 THEN '["Crossref"]' ELSE '[]' END AS errors, 'false' AS book_like,
-            NULL AS provider, NULL AS title, '[]' AS differences, '[]' AS checked, '{_BOTH}' AS providers, NULL AS source_link, 'https://doi.org/10.1234/item' || item_id AS doi_link,
-            md5('{_SEARCH}Unrelated%20words%20entirely') AS search_md5 FROM i
-        UNION ALL SELECT 'right/' || item_id, 'verified', NULL, NULL, 'CiNii Research', title, '[]', '["題名","著者","発行年","DOI"]', '["CiNii Research"]', 'https://records.example/' || item_id, 'https://doi.org/10.1234/item' || item_id,
-            md5('{_SEARCH}' || {_component("title")}) FROM i
-        UNION ALL SELECT * REPLACE (md5('{_SEARCH}' || {_component("search_md5")}) AS search_md5) FROM own""",
-    "match_status": f"""WITH {LINES}, pieces AS (
+#: References that cite lines (refs), with the candidates that match reliably (r), the best first.
+_MATCHED = f"""WITH {LINES}, pieces AS (
             SELECT doc_id, idx, text, unnest(range(0, (length(text) + 399) // 400)) AS piece FROM lines WHERE text <> ''
         ), refs AS (
             SELECT 'line/' || doc_id || '/' || idx || '/' || piece AS ref_id, NULL AS doi, 2000 + doc_id % 2 AS year, CASE WHEN doc_id % 3 = 0 THEN 0.0 ELSE 8.0 / 13 END::DOUBLE AS author,
@@ -65,11 +57,25 @@ ORACLE_SQL = {
         m AS (SELECT *, d >= 0.86 OR (least(length(a), length(b)) >= 12 AND (starts_with(a, b) OR starts_with(b, a))) AS titles,
                 floor((d * 0.5::DOUBLE + y * 0.25::DOUBLE + author * 0.15::DOUBLE + (CASE WHEN has_doi THEN 1.0 ELSE 0.5 END)::DOUBLE * 0.1::DOUBLE) * 100 + 0.5) / 100 AS confidence FROM p),
         r AS (SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY confidence DESC, 1 - rk, cand_id) AS k FROM m
-            WHERE has_doi OR ((d >= 0.82 OR titles) AND author >= 0.48 AND y <> 0 AND confidence >= 0.58)),
+            WHERE has_doi OR ((d >= 0.82 OR titles) AND author >= 0.48 AND y <> 0 AND confidence >= 0.58)),"""
+
+ORACLE_SQL = {
+    "match_json": f"""WITH i AS (SELECT item_id, string_split(text, chr(10))[1] AS title FROM benchmark),
+        {corpus.values_sql("own", "ref_id, status, errors, book_like, provider, title, differences, checked, providers, source_link, doi_link, search_md5", _OWN_JSON)}
+        SELECT 'wrong/' || item_id AS ref_id, CASE WHEN item_id % 5 = 0 THEN 'lookup_incomplete' ELSE 'doi_unconfirmed' END AS status, CASE WHEN item_id % 5 = 0 THEN '["Crossref"]' ELSE '[]' END AS errors, 'false' AS book_like,
+            NULL AS provider, NULL AS title, '[]' AS differences, '[]' AS checked, '{_BOTH}' AS providers, NULL AS source_link, 'https://doi.org/10.1234/item' || item_id AS doi_link,
+            md5('{_SEARCH}Unrelated%20words%20entirely') AS search_md5 FROM i
+        UNION ALL SELECT 'right/' || item_id, 'verified', NULL, NULL, 'CiNii Research', title, '[]', '["題名","著者","発行年","DOI"]', '["CiNii Research"]', 'https://records.example/' || item_id, 'https://doi.org/10.1234/item' || item_id,
+            md5('{_SEARCH}' || {_component("title")}) FROM i
+        UNION ALL SELECT * REPLACE (md5('{_SEARCH}' || {_component("search_md5")}) AS search_md5) FROM own""",
+    "match_status": f"""{_MATCHED}
         f AS (SELECT ref_id, has_doi, y, titles, cand_id, confidence FROM r WHERE k = 1 AND confidence >= 0.43),
         {corpus.values_sql("own", "ref_id, status, cand_id, confidence, checked, different", _OWN_STATUS)}
         SELECT ref_id, CASE WHEN cand_id IS NULL THEN CASE WHEN doi IS NULL THEN 'not_found' ELSE 'doi_unconfirmed' END WHEN NOT titles AND NOT has_doi THEN 'unconfirmed' WHEN NOT titles OR y = 0 THEN 'mismatch' ELSE 'verified' END AS status,
             cand_id, confidence, CASE WHEN cand_id IS NULL THEN '' ELSE '題名,著者,発行年' || CASE WHEN has_doi THEN ',DOI' ELSE '' END END AS checked,
             CASE WHEN NOT titles AND has_doi THEN '題名' ELSE '' END || CASE WHEN y = 0 THEN ',発行年' ELSE '' END AS different FROM refs LEFT JOIN f USING (ref_id)
         UNION ALL SELECT ref_id, status, cand_id, confidence::DOUBLE, checked, different FROM own""",
+    "best_match": f"""{_MATCHED}
+        {corpus.values_sql("own", "ref_id, cand_id, confidence", [("r01", 1, 0.88), ("r04", 2, 1.0), ("r07", 4, 0.95)])}
+        SELECT ref_id, cand_id, confidence FROM r WHERE k = 1 UNION ALL SELECT ref_id, cand_id, confidence::DOUBLE FROM own""",
 }

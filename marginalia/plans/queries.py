@@ -15,6 +15,7 @@ from marginalia.sources import docx
 from marginalia.sources import pages as page_sources
 from marginalia.sources import urls
 from marginalia.sources.documents import paragraphs_of
+from marginalia.storage import kept
 from marginalia.streaming import progress
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -322,20 +323,23 @@ def most_severe(spark, sf_dir):
 
 @query
 def reference_dates(spark, sf_dir):
-    return corpus.references(spark).select("ref_id", references.reference_date(F.col("text")).alias("d")).select("ref_id", "d.year", "d.date_state")
+    given = _cited_lines(spark, sf_dir).unionByName(corpus.references(spark))
+    return given.select("ref_id", references.reference_date(F.col("text")).alias("d")).select("ref_id", "d.year", "d.date_state")
 
 
 @query
 def reference_fields(spark, sf_dir):
-    found = corpus.references(spark).select("ref_id", references.reference_fields(F.col("text")).alias("f"))
+    given = _cited_lines(spark, sf_dir).where("ref_id not like 'right/%'").unionByName(corpus.references(spark))
+    found = given.select("ref_id", references.reference_fields(F.col("text")).alias("f"))
     return found.select("ref_id", "f.doi", "f.title", "f.journal", "f.is_book", "f.reference_type", "f.source_url")
 
 
 @query
 def best_match(spark, sf_dir):
-    refs = matching.prepared_references(corpus.references(spark))
-    best = matching.best_matches(matching.candidate_pairs(refs, matching.prepared_candidates(corpus.candidates(spark))))
-    return best.select("ref_id", "cand_id", "confidence")
+    """Reliable candidates, however low their confidence."""
+    refs = kept(matching.prepared_references(_cited_lines(spark, sf_dir).unionByName(corpus.references(spark))), "references")
+    records = kept(matching.prepared_candidates(_benchmark_records(spark, sf_dir).unionByName(corpus.candidates(spark))), "candidates")
+    return matching.best_matches(matching.candidate_pairs(refs, records)).select("ref_id", "cand_id", "confidence")
 
 
 def _cited_lines(spark, sf_dir):
@@ -392,29 +396,44 @@ def match_json(spark, sf_dir):
 
 @query
 def search_terms(spark, sf_dir):
-    return corpus.candidates(spark).select("cand_id", F.posexplode(text.query_variants(F.col("title"))).alias("pos", "term"))
+    """Terms for lines of benchmark items with a subtitle, a note in brackets or a quote, and for the small corpus."""
+    n = F.col("item_id")
+    lines = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    title = F.concat("line", F.when(n % 3 == 0, "：副題").when(n % 3 == 1, " （補足の注） ").otherwise("「引用」"))
+    given = lines.select((-1 - n * 1000 - F.col("pos")).alias("cand_id"), title.alias("title")).unionByName(corpus.candidates(spark).select("cand_id", "title"))
+    return given.select("cand_id", F.posexplode(text.query_variants(F.col("title"))).alias("pos", "term"))
 
 
-_CINII = (
-    '{"@id":"https://cir.nii.ac.jp/crid/1","title":"場づくり","dc:creator":["HAYASHI Aki","林 亜紀"],"prism:publicationName":"教養論叢","prism:publicationDate":"2020-12",'
-    '"dc:identifier":[{"@type":"cir:NAID","@value":"1"},{"@type":"cir:DOI","@value":"10.5/x"}],"link":{"@id":"https://cir.nii.ac.jp/1"}}'
-)
-_CINII_ONE = '{"@id":"https://cir.nii.ac.jp/crid/2","title":"単独","dc:creator":"山田 太郎","prism:publicationDate":"","dc:identifier":{"@type":"DOI","@value":"10.6/y"}}'
-_CROSSREF = (
-    '{"DOI":"10.1/a","title":["Psychology &amp; Marketing"],"subtitle":["A view"],"author":[{"family":"Smith","given":"Jo"},{"family":"Ltd"}],'
-    '"container-title":["J &#233; T"],"issued":{"date-parts":[[2021,3]]},"published-print":{"date-parts":[[2022]]}}'
-)
+def _items(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.get(F.split("text", "\n"), F.lit(0)).alias("line"))
 
 
 @query
 def cinii_candidates(spark, sf_dir):
-    found = candidate_sources.cinii_candidates(spark.createDataFrame([(1, _CINII), (2, _CINII_ONE)], "id bigint, json string"))
-    return found.select("id", "doi", "title", "authors", "journal", "year", "url")
+    """Records whose creators and identifiers are lists, single values or absent."""
+    n, link = F.col("id"), F.concat(F.lit("https://records.example/"), "id")
+    many = F.array(F.struct(F.lit("cir:NAID").alias("@type"), F.lit("1").alias("@value")), F.struct(F.lit("cir:DOI").alias("@type"), F.concat(F.lit("10.5/"), n).alias("@value")))
+    shared = [link.alias("@id"), F.col("line").alias("title"), F.lit("教養論叢").alias("prism:publicationName"), F.concat(2000 + n % 20, F.lit("-12")).alias("prism:publicationDate")]
+    listed = F.struct(*shared, F.array(F.lit("HAYASHI Aki"), F.lit("林 亜紀")).alias("dc:creator"), many.alias("dc:identifier"), F.struct(F.concat(link, F.lit("/page")).alias("@id")).alias("link"))
+    single = F.struct(*shared[:3], F.lit("").alias("prism:publicationDate"), F.lit("山田 太郎").alias("dc:creator"), F.struct(F.lit("DOI").alias("@type"), F.concat(F.lit("10.6/"), n).alias("@value")).alias("dc:identifier"))
+    made = _items(spark, sf_dir).select("id", F.when(n % 3 == 0, F.to_json(listed)).when(n % 3 == 1, F.to_json(single)).otherwise(F.to_json(F.struct(*shared))).alias("json"))
+    return candidate_sources.cinii_candidates(made).select("id", "doi", "title", "authors", "journal", "year", "url")
 
 
 @query
 def crossref_candidates(spark, sf_dir):
-    found = candidate_sources.crossref_candidates(spark.createDataFrame([(1, _CROSSREF)], "id bigint, json string"))
+    """Works with and without a subtitle, dates of print and an address."""
+    n = F.col("id")
+
+    def date(year):
+        return F.struct(F.array(F.array(year.cast("int"), F.lit(3))).alias("date-parts"))
+
+    work = F.struct(
+        F.concat(F.lit("10.1/"), n).alias("DOI"), F.array(F.concat("line", F.lit(" &amp; more"))).alias("title"), F.when(n % 2 == 0, F.array(F.lit("A &lt;view&gt;"))).alias("subtitle"),
+        F.array(F.struct(F.lit("Smith").alias("family"), F.lit("Jo").alias("given")), F.struct(F.concat(F.lit("Org "), n).alias("family"), F.lit(None).cast("string").alias("given"))).alias("author"),
+        F.array(F.lit("J &#233; T")).alias("container-title"), date(2000 + n % 20).alias("issued"), F.when(n % 3 == 0, date(2001 + n % 20)).alias("published-print"), F.when(n % 5 == 0, F.concat(F.lit("https://records.example/"), n)).alias("URL"),
+    )
+    found = candidate_sources.crossref_candidates(_items(spark, sf_dir).select("id", F.to_json(work).alias("json")))
     return found.select("id", "doi", "title", "authors", "journal", "year", F.array_join("year_candidates", ",").alias("years"), "url")
 
 
@@ -435,8 +454,13 @@ _ADDRESSES = ["0.0.0.0", "10.0.0.1", "100.64.0.1", "127.0.0.1", "169.254.169.254
 
 @query
 def public_addresses(spark, sf_dir):
-    given = spark.createDataFrame([(x,) for x in _ADDRESSES], "address string")
-    return given.select("address", references.public_address("address").alias("is_public"))
+    """Addresses that the numbers of events give, in both families, and some special ones."""
+    n = F.col("event_id")
+    first = F.element_at(F.array(*map(F.lit, (0, 8, 10, 93, 100, 127, 169, 172, 192, 198, 224, 240))), (n % 12 + 1).cast("int"))
+    v4 = F.concat_ws(".", first, F.floor(n / 12) % 256, n * 31 % 256, n % 200 + 1)
+    address = F.when(n % 7 == 0, F.concat(F.lit("::ffff:"), v4)).when(n % 7 == 1, F.concat(F.lit("fd00::"), F.lower(F.hex(n % 65536)))).when(n % 7 == 2, F.concat(F.lit("2606:4700::"), F.lower(F.hex(n % 65536)))).otherwise(v4)
+    given = table(spark, sf_dir, "events").select("event_id", address.alias("address")).unionByName(spark.createDataFrame([(-1 - i, x) for i, x in enumerate(_ADDRESSES)], "event_id bigint, address string"))
+    return given.select("event_id", "address", references.public_address("address").alias("is_public"))
 
 
 _PAGES = [
@@ -537,28 +561,30 @@ def lookup_progress(spark, sf_dir):
     return found.select("ref_id", "status", F.unix_micros(F.col("completed_at").cast("timestamp")).alias("completed_us"))
 
 
-_ENVELOPES = [
-    (1, '{"output":[{"type":"reasoning"},{"content":[{"type":"refusal","text":"x"},{"type":"output_text","text":""},{"type":"output_text","text":"answer"},{"type":"output_text","text":"later"}]}]}'),
-    (2, '{"output":[],"output_text":"own"}'),
-    (3, '{"output":[{"content":[]}]}'),
-    (4, "no json"),
-]
-
-
 @query
 def answer_envelopes(spark, sf_dir):
-    given = spark.createDataFrame(_ENVELOPES, "id bigint, response string")
-    return given.select("id", payload.answer_text(F.col("response")).alias("answer"))
+    """The texts of documents as answers, in four kinds of responses."""
+    n, said = F.col("doc_id") % 4, F.coalesce("text", F.lit(""))
 
+    def part(kind, value):
+        return F.struct(F.lit(kind).alias("type"), value.alias("text"))
 
-_RESPONSES = [
-    (1, '```json\n{"findings":[{"title":"a","suggestion":"b","severity":"warning"},{"title":" ","suggestion":"x"},"text",{"title":"c","suggestion":"d","severity":"fatal","category":"図表"}]}\n```'),
-    (2, "no json"),
-    (3, '{"findings":"none"}'),
-]
+    several = F.struct(F.array(F.struct(F.lit(None).cast("array<struct<type:string,text:string>>").alias("content")), F.struct(F.array(part("refusal", F.lit("x")), part("output_text", F.lit("")), part("output_text", said), part("output_text", F.lit("later"))).alias("content"))).alias("output"))
+    own = F.struct(F.array().cast("array<string>").alias("output"), said.alias("output_text"))
+    response = F.when(n == 0, F.to_json(several)).when(n == 1, F.to_json(own)).when(n == 2, F.lit('{"output":[{"content":[]}]}')).otherwise(F.concat(F.lit("no json "), said))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(payload.answer_text(response)).alias("answer_md5"))
 
 
 @query
 def ai_findings_sanitized(spark, sf_dir):
-    found = payload.response_findings(spark.createDataFrame(_RESPONSES, "id bigint, text string"))
-    return found.select("id", F.col("at").alias("pos"), "category", "severity", "title", "suggestion")
+    """Answers that quote documents: findings in a fence, broken ones among them, a list that is none, and no JSON."""
+    n, said = F.col("doc_id") % 3, F.coalesce("text", F.lit(""))
+
+    def entry(**values):
+        return F.to_json(F.struct(*(v.alias(k) for k, v in values.items())))
+
+    severity = F.when(F.col("doc_id") % 2 == 0, "warning").otherwise("fatal")
+    listed = F.concat_ws(",", entry(title=F.lit("a"), suggestion=said, severity=severity), F.lit('{"title":" ","suggestion":"x"}'), F.lit('"text"'), entry(title=F.lit(" c "), suggestion=F.lit("d"), category=F.lit("図表"), original=said))
+    answer = F.when(n == 0, F.concat(F.lit('```json\n{"findings":['), listed, F.lit("]}\n```"))).when(n == 1, F.lit('{"findings":"none"}')).otherwise(F.concat(F.lit("no json "), said))
+    found = payload.response_findings(table(spark, sf_dir, "documents").select("doc_id", answer.alias("answer")), "answer")
+    return found.select("doc_id", F.col("at").alias("pos"), "category", "severity", "title", F.md5("suggestion").alias("suggestion_md5"), F.md5("original").alias("original_md5"))
