@@ -22,6 +22,9 @@ _ADDRESSES = ("0.0.0.0", "10.0.0.1", "100.64.0.1", "127.0.0.1", "169.254.169.254
 _SPECIAL = [(-1 - i, x, x in ("8.8.8.8", "2606:4700::1111")) for i, x in enumerate(_ADDRESSES)]
 _JAPANESE = r"[\p{Han}\p{Hiragana}\p{Katakana}ー々]"
 
+_OVERLAP_FOLDED = r"regexp_replace(lower(left(trim(regexp_replace({}, '[\s\x{{00a0}}\x{{3000}}\x{{feff}}\x{{200b}}]+', ' ', 'g')), 500)), '[\s\x{{3000}}\x22''“”「」『』（）()\[\]{{}}.,，。、:：;；・\-–—]', '', 'g')"
+_PAIRS_AND_TAIL = "list_distinct(list_transform(range(1, length({0}) + 1), lambda k: substr({0}, k, 2)))"
+
 ORACLE_SQL = {
     "search_terms": rf"""WITH {corpus.values_sql("own", "cand_id, title", [(c[0], c[3]) for c in corpus.CANDIDATES])},
         b AS (SELECT item_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM benchmark),
@@ -53,4 +56,9 @@ ORACLE_SQL = {
         SELECT ref_id, NULL AS doi, CASE WHEN length(title) < 3 THEN 'Annals' ELSE title END AS title, CASE WHEN length(title) >= 3 THEN 'Annals' END AS journal, length(title) < 3 AS is_book,
             CASE WHEN length(title) < 3 THEN 'book' ELSE 'article' END AS reference_type, NULL AS source_url FROM cited
         UNION ALL SELECT 'wrong/' || item_id, '10.1234/item' || item_id, 'Unrelated words entirely', NULL, false, 'article', 'https://doi.org/10.1234/item' || item_id FROM benchmark UNION ALL SELECT * FROM own""",
+    "overlap_scores": f"""WITH {LINES}, p AS (SELECT doc_id, idx, text, lag(text) OVER (PARTITION BY doc_id ORDER BY idx) AS before FROM lines),
+        t AS (SELECT doc_id, idx, {_OVERLAP_FOLDED.format("text")} AS a, {_OVERLAP_FOLDED.format("before")} AS b FROM p WHERE before IS NOT NULL),
+        g AS (SELECT doc_id, idx, a, b, {_PAIRS_AND_TAIL.format("a")} AS x, {_PAIRS_AND_TAIL.format("b")} AS y FROM t)
+        SELECT doc_id, idx::INT AS idx, CASE WHEN a = '' OR b = '' THEN 0.0 ELSE round(2.0::DOUBLE * len(list_intersect(x, y)) / (len(x) + len(y)), 6) END AS overlap FROM g""",
+    "client_identities": """SELECT event_id, CASE WHEN event_id % 4 = 0 THEN '10.0.0.' || event_id % 250 WHEN event_id % 3 <> 0 THEN '192.0.2.' || event_id % 250 ELSE 'unknown' END AS client FROM events""",
 }

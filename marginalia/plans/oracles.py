@@ -70,6 +70,9 @@ ORACLE_SQL: dict[str, str] = {
     "top_categories": f"""WITH {_LINES}, {_HITS}, {_MIXED}
         SELECT category, count(*) FILTER (severity = 'important') AS n_important, count(*) AS n FROM mixed WHERE severity <> 'info' GROUP BY category
         ORDER BY n_important DESC, n DESC, category LIMIT 3""",
+    "shown_findings": f"""WITH {_LINES}, {_HITS}, {_MIXED}, c AS (SELECT 'category' AS filter, * FROM mixed WHERE category = '構成・論理展開' UNION ALL SELECT 'important', * FROM mixed WHERE severity = 'important'
+            UNION ALL SELECT 'both', * FROM mixed WHERE category = '構成・論理展開' AND severity = 'important')
+        SELECT filter, doc_id, category, severity, count(*) AS n FROM c GROUP BY ALL""",
     "ai_payload": f"""WITH {_LINES}, m AS (
             SELECT doc_id, idx, regexp_replace(regexp_replace(text, '{_EMAIL}', '[メールアドレス]', 'g'), '{_PHONE}', '[電話番号]', 'g') AS text FROM lines WHERE text <> ''
         ), p AS (

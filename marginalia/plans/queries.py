@@ -121,6 +121,16 @@ def top_categories(spark, sf_dir):
     return results.top_categories(_mixed(spark, sf_dir))
 
 
+@query
+def shown_findings(spark, sf_dir):
+    """What the filters of a list of findings leave: a category, and what is important in any."""
+    found = _mixed(spark, sf_dir)
+    chosen = results.shown(found, category="構成・論理展開").withColumn("filter", F.lit("category"))
+    important = results.shown(found, important_only=True).withColumn("filter", F.lit("important"))
+    both = results.shown(found, "構成・論理展開", True).withColumn("filter", F.lit("both"))
+    return chosen.unionByName(important).unionByName(both).groupBy("filter", "doc_id", "category", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def ai_payload(spark, sf_dir):
     """Sizes of the payloads: sections of paragraphs, personal data masked."""
@@ -139,6 +149,15 @@ def dice_similarity(spark, sf_dir):
     return found.select("doc_id", "idx", "item_id", "item_md5", F.round("dice", 4).alias("dice")).distinct()
 
 
+@query
+def overlap_scores(spark, sf_dir):
+    """How far neighbouring lines of a document overlap, the last character of each counting alone."""
+    lines = _paragraphs(spark, sf_dir).select("doc_id", "idx", "text")
+    before = F.lag("text").over(Window.partitionBy("doc_id").orderBy("idx"))
+    pairs = lines.withColumn("before", before).where("before is not null")
+    return pairs.select("doc_id", "idx", F.round(text.overlap(F.col("text"), F.col("before")), 6).alias("overlap"))
+
+
 @query
 def finding_texts(spark, sf_dir):
     """What writers are told of personal data in their documents."""
@@ -511,6 +530,15 @@ def rate_limited(spark, sf_dir):
     return found.select("event_id", "user_id", "rejected")
 
 
+@query
+def client_identities(spark, sf_dir):
+    """Events as requests: the client is what a proxy names, else the connection's address."""
+    n = F.col("event_id")
+    forwarded = F.when(n % 4 == 0, F.concat(F.lit(" 10.0.0."), n % 250, F.lit(" "))).when(n % 4 == 1, F.lit("  "))
+    requests = table(spark, sf_dir, "events").select("event_id", forwarded.alias("forwarded"), F.when(n % 3 != 0, F.concat(F.lit("192.0.2."), n % 250)).otherwise("").alias("address"))
+    return requests.select("event_id", state.client_of("forwarded", "address").alias("client"))
+
+
 @query
 def cache_hits(spark, sf_dir):
     lookups = table(spark, sf_dir, "events").select("event_id", F.concat_ws("|", "user_id", "event_type").alias("key"), "ts")
