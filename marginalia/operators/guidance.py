@@ -49,6 +49,8 @@ LOOKUP_TEXTS = (
     ("lookup_incomplete", "info", "書誌データベースの照合を一部または全部実行できませんでした", "時間をおいて再実行するか、原典や検索リンクで確認してください。", "{providers}への照会が完了していません。文献が見つからないという判定ではありません。"),
     ("mismatch", "warning", "書誌情報に差異があります", "{differences}", "{provider}の候補と照合しました。記載順は判定せず、値が異なる項目だけを表示しています。データベース側が別の版・別の文献の可能性もあるため、「原典候補」リンクの内容も確認してください。"),
     ("doi_unconfirmed", "warning", "DOIを確認できませんでした", "DOIの文字列に入力ミスがないか確認し、DOIリンクまたは原典ページを開いてください。", "記載されたDOIと完全一致する文献をCrossrefまたはCiNii Researchで確認できませんでした。データベース側の一時的な問題もあるため、誤りとは断定しません。"),
+    ("forbidden", "info", "この入口からの書誌照合は許可されていません", "照合サービスの許可設定を管理者に確認してください。ほかのチェックの結果はそのまま利用できます。", "照合の要求が許可されなかったため、文献の有無は判定していません。"),
+    ("unreachable", "info", "書誌データベースへ接続できませんでした", "時間をおいて再実行するか、CiNii Researchで手動確認してください。", "通信が完了しなかったため、文献の有無は判定していません。"),
     ("book", "info", "書籍の書誌情報を確定できませんでした", "書籍はCiNiiの横断検索でも書誌情報を確定できない場合があります。出版社ページや図書館の蔵書検索で確認してください。", "文献が存在しない、または記載が誤っているという判定ではありません。書籍と判定した文献は照合結果を警告として表示しません。"),
     ("unsettled", "info", "自動照合で一致候補を確定できませんでした", "表記の誤りがないか確認し、CiNii ResearchまたはGoogle Scholarの検索結果を手動で確認してください。検索語を短くすると見つかる場合があります。", "CrossrefとCiNii Researchの候補からは十分に確実な一致を選べませんでした。文献が存在しないという判定ではありません。"),
 )
@@ -73,8 +75,8 @@ REPORT_SOURCE, WEB_SOURCE = "報告書・PDF", "Web資料"
 PROVIDED, LOOKED_UP, NOTHING = "記載", "照合先", "なし"
 UNAVAILABLE = (
     "参考文献一覧", "この公開環境では書誌照合を利用できません", "{0}件の参考文献を読み取りました。",
-    "書誌照合APIが見つからないため、照合を中止しました。Vercel公開版で再実行するか、CiNii ResearchやGoogle Scholarで手動確認してください。",
-    "GitHub Pagesなどの静的ホスティングには書誌照合APIがありません。基本チェックの結果には影響しません。",
+    "照合サービスが見つからないため、照合を中止しました。照合サービスのある環境で再実行するか、CiNii ResearchやGoogle Scholarで手動確認してください。",
+    "照合サービスのない環境では書誌照合を利用できません。基本チェックの結果には影響しません。",
 )
 
 LOOKUP_RESULT = (

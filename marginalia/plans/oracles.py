@@ -90,8 +90,8 @@ ORACLE_SQL: dict[str, str] = {
     "finding_texts": f"""WITH {_LINES}, {_HITS} SELECT doc_id, idx::INT AS p_idx, kind || 'の可能性' AS title, value AS original,
         '匿名化、削除、または掲載同意の有無を確認してください。' AS suggestion, 'AIへ送信する場合、この値は自動的にマスクする対象です。' AS reason FROM hits""",
     "lookup_findings": f"""WITH {corpus.values_sql("texts", "outcome, severity, title, suggestion, reason", list(guidance.LOOKUP_TEXTS))}, {corpus.values_sql("errors", "code, said", list(guidance.SOURCE_ERRORS.items()))},
-        d AS (SELECT *, list_extract(['verified','source_verified','source_partial','source_mismatch','source_unavailable','manual_source','lookup_incomplete','mismatch','doi_unconfirmed','not_found','unconfirmed'], (doc_id % 11 + 1)::INT) AS status,
-                list_extract([{", ".join(f"'{x}'" for x in (*guidance.SOURCE_ERRORS, "unheard_of"))}], (doc_id % 13 + 1)::INT) AS code FROM documents),
+        d AS (SELECT *, list_extract(['verified','source_verified','source_partial','source_mismatch','source_unavailable','manual_source','lookup_incomplete','mismatch','doi_unconfirmed','not_found','unconfirmed','forbidden','unreachable'], (doc_id % 13 + 1)::INT) AS status,
+                list_extract([{", ".join(f"'{x}'" for x in (*guidance.SOURCE_ERRORS, "unheard_of"))}], (doc_id // 13 % 13 + 1)::INT) AS code FROM documents),
         o AS (SELECT *, CASE WHEN status = 'manual_source' THEN CASE WHEN doc_id % 2 = 0 THEN 'manual_report' ELSE 'manual_web' END
                 WHEN status IN ('not_found', 'unconfirmed') THEN CASE WHEN doc_id % 17 = 0 THEN 'book' ELSE 'unsettled' END ELSE status END AS outcome FROM d WHERE status <> 'verified'),
         v AS (SELECT o.*, CASE WHEN doc_id % 2 = 0 THEN '{guidance.REPORT_SOURCE}' ELSE '{guidance.WEB_SOURCE}' END AS source_name, coalesce(said, '{guidance.OTHER_ERROR}') AS error,

@@ -165,7 +165,7 @@ def finding_texts(spark, sf_dir):
     return found.select("doc_id", "p_idx", "title", "original", "suggestion", "reason")
 
 
-_STATUSES = ("verified", "source_verified", "source_partial", "source_mismatch", "source_unavailable", "manual_source", "lookup_incomplete", "mismatch", "doi_unconfirmed", "not_found", "unconfirmed")
+_STATUSES = ("verified", "source_verified", "source_partial", "source_mismatch", "source_unavailable", "manual_source", "lookup_incomplete", "mismatch", "doi_unconfirmed", "not_found", "unconfirmed", "forbidden", "unreachable")
 
 
 @query
@@ -175,7 +175,7 @@ def lookup_findings(spark, sf_dir):
     errors = (*guidance.SOURCE_ERRORS, "unheard_of")
     results_of = table(spark, sf_dir, "documents").select(
         F.concat(F.lit("ref"), n).alias("ref_id"), F.col("source").alias("text"), F.get(F.array(*map(F.lit, _STATUSES)), F.pmod(n, F.lit(len(_STATUSES))).cast("int")).alias("status"),
-        F.when(n % 2 == 0, "report").otherwise("web").alias("reference_type"), F.get(F.array(*map(F.lit, errors)), F.pmod(n, F.lit(13)).cast("int")).alias("source_error"),
+        F.when(n % 2 == 0, "report").otherwise("web").alias("reference_type"), F.get(F.array(*map(F.lit, errors)), F.pmod(F.floor(n / 13), F.lit(13)).cast("int")).alias("source_error"),
         F.when(n % 3 == 0, "missing").otherwise("provided").alias("date_state"), F.when(n % 5 != 0, "2020").alias("source_year"),
         F.array(F.struct(F.lit("公開年").alias("field"), F.when(n % 7 < 3, "unknown").otherwise("match").alias("state"))).alias("comparisons"),
         F.when(n % 4 == 0, F.array(F.lit("備考一"), F.lit("備考二"))).alias("notes"), F.lit("CiNii").alias("provider"), F.array(F.lit("Crossref"), F.lit("CiNii Research")).alias("provider_errors"),
