@@ -23,3 +23,11 @@ def written(pre_token: str) -> str:
     if pre_token.isascii() and pre_token.isprintable():
         return pre_token.replace(" ", _SPACE)
     return pre_token.encode().decode("latin-1").translate(_WRITTEN)
+
+
+_LETTERS = {c: "".join(chr(_WRITTEN[b]) for b in chr(c).encode()) for c in (32, *range(0xC0, 0x100))}
+
+
+def written_part(part: str) -> str:
+    """As ``written``, of what ``WORD_AND_SIGNS`` finds."""
+    return part.replace(" ", _SPACE) if part.isascii() else part.translate(_LETTERS)

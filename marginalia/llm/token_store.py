@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bytelevel import WORD_AND_SIGNS, written
+from .bytelevel import WORD_AND_SIGNS, written_part
 from .common import shuffles_released, stored, text_of
 
 WINDOW = 16
@@ -76,22 +76,26 @@ class _Encoder:
     def _learn(self, pieces: list[str]) -> None:
         """Letters and the signs after them are pre-tokens of their own, so words are merged once, whatever follows them."""
         code = "H" if self.width == 2 else "I"
-        known, cache, merged = self.words, self.cache, self.tokenizer.model.tokenize
+        known, cache, merged, fits = self.words, self.cache, self.tokenizer.model.tokenize, WORD_AND_SIGNS.fullmatch
         others, asked_others = [], []
+
+        def ids(part: str) -> bytes:
+            out = known.get(part)
+            if out is None:
+                out = known[part] = array(code, [x.id for x in merged(written_part(part))]).tobytes()
+            return out
+
         for piece in pieces:
-            begin, asked = ("\n", piece[1:]) if piece[:1] == "\n" else ("", piece[1:] if piece[:1] == "\r" else " " + piece)
-            found = WORD_AND_SIGNS.fullmatch(asked)
+            first = piece[:1]
+            line, asked = first == "\n", piece[1:] if first in ("\n", "\r") else " " + piece
+            found = fits(asked)
             if found is None:
                 others.append(piece)
-                asked_others.append(begin + asked)
+                asked_others.append("\n" + asked if line else asked)
                 continue
-            out = self.line_feed if begin else b""
-            for part in found.groups():
-                if part and part not in known:
-                    known[part] = array(code, [x.id for x in merged(written(part))]).tobytes()
-                if part:
-                    out += known[part]
-            cache[piece] = out
+            word, signs = found.groups()
+            out = ids(word) + ids(signs) if signs else ids(word)
+            cache[piece] = self.line_feed + out if line else out
         cache.update(zip(others, self._plain(asked_others)))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
@@ -379,11 +383,22 @@ def joined_crc(parts: list[tuple[int, int]]) -> int:
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        lists = batch.column("parts")
+        number = lists.value_lengths().fill_null(0).to_numpy()
+        parts, ends = lists.flatten(), np.cumsum(number)
+        digests = parts.field("digest").to_pylist()
+        crc, sound, n_ids, at = (parts.field(n).to_numpy(zero_copy_only=False) for n in ("crc", "sound", "n_ids", "at"))
+        order = np.lexsort((at, np.repeat(np.arange(len(number)), number)))
+        crc, sound, n_ids = crc[order].tolist(), sound[order], n_ids[order]
+        sums = np.concatenate([[0], np.cumsum(n_ids)])
+        whole = np.concatenate([[0], np.cumsum(sound)])
+        begins = ends - number
+        good = (whole[ends] - whole[begins] == number) & (sums[ends] - sums[begins] == batch.column("n_tokens").to_numpy())
+        order, sizes = order.tolist(), n_ids.tolist()
         crcs, ok = [], []
-        for parts, root, n in zip(*(batch.column(x).to_pylist() for x in ("parts", "root", "n_tokens"))):
-            parts = sorted(parts or (), key=lambda x: x["at"])
-            crcs.append(joined_crc([(p["crc"], 4 * p["n_ids"]) for p in parts]))
-            ok.append(all(p["sound"] for p in parts) and merkle_root([p["digest"] for p in parts]) == root and sum(p["n_ids"] for p in parts) == n)
+        for i, j, fine, root in zip(begins.tolist(), ends.tolist(), good.tolist(), batch.column("root").to_pylist()):
+            crcs.append(crc[i] if j - i == 1 else joined_crc([(crc[k], 4 * sizes[k]) for k in range(i, j)]))
+            ok.append(fine and merkle_root([digests[order[k]] for k in range(i, j)]) == root)
         columns = [batch.column(x) for x in ("doc_id", "start", "n_tokens")]
         yield pa.RecordBatch.from_arrays([*columns, pa.array(crcs, pa.int64()), pa.array(ok, pa.bool_())], ["doc_id", "start", "n_tokens", "ids_crc32", "verified"])
 
