@@ -17,6 +17,8 @@ from marginalia.llm import decontaminate, jaccard, line_dedup, nbest, quality
 from marginalia.llm.common import released, stored, table, written
 from marginalia.llm.queries import PIECE_BPE
 
+#: Parts of words that a worker of the last stage keeps: it also runs the other stages of the next corpus.
+CACHE_SIZE = 200_000
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -58,7 +60,7 @@ def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Of segmentations with equal scores the same ones come first each time; an empty text has the piece of a single space.
     """
-    return nbest.encoded(docs, PIECE_BPE)
+    return nbest.encoded(docs, PIECE_BPE, cache_size=CACHE_SIZE)
 
 
 STAGES = [
