@@ -28,3 +28,9 @@ def test_page_titles_with_references_cut_short_and_others(both):
     titles = ["a &amp; b", "ver&amp;&amp", "token = &quot;77", "x &lt;b&gt; &lt", "&amp;quot; &#39; &", "plain"]
     found, wanted = both("page_titles", pages=([(i, "https://example.com/a", page.format(t)) for i, t in enumerate(titles)], "page_id bigint, url string, html string"))
     assert found == wanted and [r[1] for r in found][:3] == ["a & b", "ver&&amp", "token = &quot;77"]
+
+
+def test_pii_hits_whose_value_comes_again_in_the_line(both):
+    lines = "first a.1@mail.example.com then a.1@mail.example.com\nxa.1@mail.example.com or a.1@mail.example.com\n090-1234-5678 and 090-1234-5678"
+    found, wanted = both("pii_hits", documents=([(1, lines), (2, None)], "doc_id bigint, text string"))
+    assert found == wanted and len(found) == 6
