@@ -5,15 +5,19 @@ the empty state, as if nothing came before; where nothing lies within reach befo
 is already right. The other chunks are then folded again from the state in which the chunk
 before ended, beside the fold that they had: as soon as the two states are equal, what
 follows stays as it was, and so does the chunk's last state. Chunks whose first state has
-changed go on in the next round, all in parallel, until none is left. States that soon
-forget (a window of time, the last entries of a cache) need a round or two; one that never
-forgets needs as many rounds as there are chunks, each over one chunk.
+changed go on in the next round, all in parallel. States that soon forget (a window of time,
+the last entries of a cache) need a round or two. After ``SPECULATED`` such rounds a chunk
+waits until the chunk before it can't change any more, so that no chunk is folded more than
+``SPECULATED`` + 2 times: a state that never forgets needs as many rounds as there are
+chunks, each over one chunk, and rounds read nothing but their own chunks.
 """
 
 from __future__ import annotations
 
 import pickle
+import uuid
 from collections import deque
+from collections.abc import Iterable
 from dataclasses import dataclass
 from typing import Any, Protocol
 
@@ -21,11 +25,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from marginalia.storage import kept
+from marginalia.storage import shared_folder
 
-#: Rows of a chunk, and after how many rows two folds are compared at first.
-CHUNK, COMPARED = 200_000, 64
+#: Rows of a chunk, after how many rows two folds are compared at first, and rounds in which chunks are folded after others that may still change.
+CHUNK, COMPARED, SPECULATED = 200_000, 64, 2
+#: The number under which chunks lie before they are folded.
+PLACED = 1 << 30
 
 
 class Fold(Protocol):
@@ -190,48 +197,59 @@ def chained(rows: DataFrame, fold: Fold, ts: str, order: str, outcome: str, key:
     given = rows.withColumns({"_now": now, "_key": F.coalesce(F.col(key).cast("string"), F.lit("unknown")) if key else F.lit("")})
     parts = max(1, -(-given.count() // (chunk_rows or CHUNK)))
     placed = given.repartitionByRange(parts, "_now", order).withColumn("_chunk", F.spark_partition_id())
-    placed = kept(placed.withColumns({"_outcome": F.lit(None).cast("boolean"), "_last": F.lit(None).cast("binary")}), "chunks")
+    placed = placed.withColumns({"_outcome": F.lit(None).cast("boolean"), "_last": F.lit(None).cast("binary")})
+    schema = StructType([StructField(f.name, f.dataType) for f in placed.schema])
+    folder = f"{shared_folder(spark)}/chained-{uuid.uuid4().hex[:12]}"
+    stored = StructType([*(f for f in schema if f.name != "_chunk"), schema["_chunk"], StructField("_round", IntegerType())])
+
+    def write(rows: DataFrame, number: int) -> None:
+        rows.write.option("compression", "zstd").partitionBy("_chunk").parquet(f"{folder}/_round={number}")
+
+    def read(wanted: Iterable[tuple[int, int]]) -> DataFrame:
+        """Only the given rounds' chunks (round, chunk), whatever else lies there."""
+        paths = sorted({f"{folder}/_round={number}/_chunk={chunk}" for number, chunk in wanted})
+        return spark.read.schema(stored).option("basePath", folder).parquet(*paths)
+
+    write(placed, PLACED)
     # one row for each chunk
-    bounds = sorted(tuple(r) for r in placed.groupBy("_chunk").agg(F.min("_now"), F.max("_now")).collect())
+    at_first = spark.read.schema(stored).option("basePath", folder).parquet(f"{folder}/_round={PLACED}")
+    bounds = sorted(tuple(r) for r in at_first.groupBy("_chunk").agg(F.min("_now"), F.max("_now")).collect())
     order_of = [c for c, _, _ in bounds]
+    if not order_of:
+        return rows.withColumn(outcome, F.lit(None).cast("boolean"))
     next_first = {c: first for (c, _, _), (_, first, _) in zip(bounds, bounds[1:])}
     linked = {c: before for (before, _, last), (c, first, _) in zip(bounds, bounds[1:]) if fold.reach() is None or first - last < fold.reach()}
     run = _folded(fold, next_first, order, failed)
-    schema = placed.schema
-
-    def folded(source: DataFrame, states: DataFrame, number: int) -> DataFrame:
-        return kept(source.groupBy("_chunk").cogroup(states.groupBy("_chunk")).applyInArrow(run, schema), f"round-{number}")
 
-    def ends(found: DataFrame) -> dict[int, int]:
-        return {r["_chunk"]: r.h for r in found.where("_last IS NOT NULL").select("_chunk", F.xxhash64("_last").alias("h")).collect()}
+    def folded(source: DataFrame, states: DataFrame, number: int, chunks: list[int]) -> dict[int, int]:
+        """Writes a round and gives its chunks' last states by their hashes."""
+        write(source.select(schema.names).groupBy("_chunk").cogroup(states.groupBy("_chunk")).applyInArrow(run, schema), number)
+        ends = read((number, c) for c in chunks).where("_last IS NOT NULL")
+        return {r["_chunk"]: r.h for r in ends.select("_chunk", F.xxhash64("_last").alias("h")).collect()}
 
-    nothing = spark.createDataFrame([(c, None, None) for c in order_of], "_chunk int, _new binary, _old binary") if order_of else None
-    if nothing is None:
-        return rows.withColumn(outcome, F.lit(None).cast("boolean"))
-    rounds = [folded(placed, nothing, 0)]
-    latest, last = dict.fromkeys(order_of, 0), ends(rounds[0])
+    nothing = spark.createDataFrame([(c, None, None) for c in order_of], "_chunk int, _new binary, _old binary")
+    last = folded(at_first, nothing, 0, order_of)
+    latest, number = dict.fromkeys(order_of, 0), 0
     empty = spark.createDataFrame([(bytearray(pickle.dumps(fold.normal(fold.empty(), 0))),)], "x binary").select(F.xxhash64("x")).first()[0]
     assumed: dict[int, tuple[int, int] | None] = dict.fromkeys(order_of)  # chunk before and round of the state with which a chunk was folded
     seen = dict.fromkeys(order_of, empty)
     while pending := [c for c, before in linked.items() if last[before] != seen[c]]:
-        all_rounds = [frame.withColumn("_round", F.lit(i)) for i, frame in enumerate(rounds)]
-        every = all_rounds[0]
-        for frame in all_rounds[1:]:
-            every = every.unionByName(frame)
-        wanted = [(c, latest[c], linked[c], latest[linked[c]], *(assumed[c] or (-1, -1))) for c in pending]
-        asked = spark.createDataFrame(wanted, "_chunk int, _round int, _b int, _r int, _ob int, _or int")
-        states = every.where("_last IS NOT NULL").select(F.col("_chunk").alias("c"), F.col("_round").alias("r"), "_last")
+        number += 1
+        if number > SPECULATED:  # a chunk after one that may still change waits for it
+            changing = set(pending)
+            for c, before in linked.items():  # in order
+                if before in changing:
+                    changing.add(c)
+            pending = [c for c in pending if linked[c] not in changing]
+        wanted = [(c, linked[c], latest[linked[c]], *(assumed[c] or (-1, -1))) for c in pending]
+        asked = spark.createDataFrame(wanted, "_chunk int, _b int, _r int, _ob int, _or int")
+        ends = [(r, c) for _, b, b_round, old, old_round in wanted for r, c in ((b_round, b), (old_round, old)) if c >= 0]
+        states = read(ends).where("_last IS NOT NULL").select(F.col("_chunk").alias("c"), F.col("_round").alias("r"), "_last")
         pairs = asked.join(states, (F.col("_b") == F.col("c")) & (F.col("_r") == F.col("r"))).select("_chunk", F.col("_last").alias("_new"), "_ob", "_or")
         pairs = pairs.join(states, (F.col("_ob") == F.col("c")) & (F.col("_or") == F.col("r")), "left").select("_chunk", "_new", F.col("_last").alias("_old"))
-        source = every.where("_last IS NULL").join(F.broadcast(asked.select("_chunk", "_round")), ["_chunk", "_round"]).select(placed.columns)
+        source = read((latest[c], c) for c in pending).where("_last IS NULL")
         for c in pending:
             assumed[c], seen[c] = (linked[c], latest[linked[c]]), last[linked[c]]
-        rounds.append(folded(source, pairs, len(rounds)))
-        last |= ends(rounds[-1])
-        latest |= dict.fromkeys(pending, len(rounds) - 1)
-    final = spark.createDataFrame(list(latest.items()), "_chunk int, _round int")
-    out = [frame.where("_last IS NULL").withColumn("_round", F.lit(i)) for i, frame in enumerate(rounds)]
-    every = out[0]
-    for frame in out[1:]:
-        every = every.unionByName(frame)
-    return every.join(F.broadcast(final), ["_chunk", "_round"]).select(*names, F.col("_outcome").alias(outcome))
+        last |= folded(source, pairs, number, pending)
+        latest |= dict.fromkeys(pending, number)
+    return read((r, c) for c, r in latest.items()).where("_last IS NULL").select(*names, F.col("_outcome").alias(outcome))

@@ -87,3 +87,34 @@ def test_a_guard_chain_limits_all_clients_together(spark):
                 passed.append(ts)
                 wanted[i] = "passed"
     assert found == wanted and len(set(wanted.values())) == 5
+
+
+def test_a_state_that_never_forgets_folds_no_chunk_more_often_than_others(spark, monkeypatch, tmp_path):
+    """As many rounds as chunks, but each over a chunk or two: before, all later chunks were folded again in each."""
+
+    class EverySeventh:
+        """Its state never forgets: two that differ once differ for ever."""
+
+        def empty(self):
+            return [0]
+
+        def step(self, state, now, key, failed):
+            state[0] = (state[0] + 1) % 7
+            return state[0] == 0
+
+        def normal(self, state, now):
+            return list(state)
+
+        def restored(self, normal):
+            return list(normal)
+
+        def reach(self):
+            return None
+
+    monkeypatch.setattr(chained, "shared_folder", lambda _: f"file://{tmp_path}")
+    rows = [(i, "a", START + timedelta(seconds=i), False) for i in range(100)]
+    found = chained.chained(frame(spark, rows), EverySeventh(), "ts", "id", "out", chunk_rows=10)
+    assert {r.id: r.out for r in found.collect()} == {i: i % 7 == 6 for i in range(100)}
+    chunks = len(list(tmp_path.glob(f"chained-*/_round={chained.PLACED}/_chunk=*")))
+    folds = len(list(tmp_path.glob("chained-*/_round=*/_chunk=*"))) - chunks
+    assert chunks >= 8 and folds <= (chained.SPECULATED + 2) * chunks
