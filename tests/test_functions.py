@@ -136,3 +136,12 @@ def test_overlap_lays_characters_out_once():
     assert list(text.overlaps_of(pd.Series(lines[:-1]), pd.Series(lines[1:]))) == pytest.approx(wanted)
     assert time.process_time() - began < 5
     assert list(text.overlaps_of(pd.Series(["", None]), pd.Series([None, ""]))) == [0.0, 0.0]
+
+
+def test_folded_forms_are_those_of_the_patterns(spark):
+    given = ["Ａ ｂ「ｃ」–—d’e‘　​F", "  a   b\x1c\n", "x" * 499 + " yz", "İΟΔΟΣ; ①", "", None]
+    rows = spark.createDataFrame([(x,) for x in given], "t string")
+    c = F.coalesce("t", F.lit(""))
+    wanted = F.regexp_replace(F.lower(text.composed(c)), f"[{text.LEFT_OUT}{text.LEFT_OUT_ALSO}]", ""), F.regexp_replace(F.lower(text.composed(text.clean(c))), f"[{text.LEFT_OUT}]", "")
+    for r in rows.select(text.folded(F.col("t")).alias("a"), text.folded_source(F.col("t")).alias("b"), wanted[0].alias("x"), wanted[1].alias("y")).collect():
+        assert (r.a, r.b) == (r.x, r.y)
