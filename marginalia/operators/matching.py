@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.references import reference_fields
-from marginalia.functions.text import LEFT_OUT, LEFT_OUT_ALSO, bigrams, composed, dice_of_sets, distinct_texts, folded, or_empty
+from marginalia.functions.text import LEFT_OUT, LEFT_OUT_ALSO, bigrams, composed, dice_of_sets, distinct_texts, folded, or_empty, with_once
 from marginalia.operators import set_join
 from marginalia.storage import kept
 
@@ -42,18 +42,17 @@ def folded_native(text: Column) -> Column:
 def prepared_references(references: DataFrame, text: str = "text") -> DataFrame:
     """Adds the fields f and folded forms. Only the first 1000 code points of a reference count."""
     r = references.withColumn("reference", F.left(F.trim(text), F.lit(MAX_REFERENCE))).where("reference <> ''")
-    r = r.withColumn("f", reference_fields(F.col("reference")))
+    r = with_once(r, "f", reference_fields(F.col("reference")))
     # the fields are parts of a composed text
     own = {"title": F.coalesce("f.title", composed(F.col("reference"))), "author": F.col("f.author_area"), "journal": F.col("f.journal"), "doi": F.col("f.doi")}
-    r = r.withColumns({f"f_{name}": folded_native(or_empty(value)) for name, value in own.items()})
-    return r.withColumn("f_grams", bigrams(F.col("f_title")))
+    return r.withColumns({f"f_{name}": folded_native(or_empty(value)) for name, value in own.items()})
 
 
 def prepared_candidates(candidates: DataFrame) -> DataFrame:
     """candidates: cand_id, provider, doi, title, authors, journal, year, year_candidates, url."""
     years = F.when(F.size("year_candidates") > 0, F.col("year_candidates")).otherwise(distinct_texts(F.array("year")))
     c = candidates.withColumns({"c_years": years, "c_title": folded(F.col("title")), "c_author": folded(F.col("authors")), "c_journal": folded(F.col("journal")), "c_doi": folded(F.col("doi"))})
-    c = c.withColumn("c_grams", bigrams(F.col("c_title"))).withColumn("c_composed", composed(or_empty(F.col("authors"))))
+    c = c.withColumn("c_composed", composed(or_empty(F.col("authors"))))
     return c.withColumn("c_parts", _author_parts(F.col("c_composed")))
 
 
@@ -63,14 +62,20 @@ def similar_to_items(rows: DataFrame, text: str, items: DataFrame, item: str) ->
 
 
 def similar_titles(left: DataFrame, right: DataFrame) -> DataFrame:
-    """l_id, r_id of folded titles (id, text) that are similar as wholes, or of which the shorter, of twelve code points at least, begins the longer."""
+    """l_id, r_id of folded titles (id, text) that are similar as wholes, or of which the shorter, of twelve code points at least, begins the longer.
+
+    Titles that rows share are compared once; rows meet by the names of their titles.
+    """
     sides = [set_join.with_key(side.withColumnRenamed("id", f"{name}_id"), "text") for side, name in ((left, "l"), (right, "r"))]
-    pairs = set_join.similar_sets(*(set_join.gram_sets(side, "titles") for side in sides), TITLE_SCORE)
+    titles = [kept(side.where("text <> ''").select("high", "low", "text").dropDuplicates(["high", "low"]), "titles") for side in sides]
+    similar = set_join.similar_sets(*(set_join.gram_sets(side, "sets") for side in titles), TITLE_SCORE).select("l_high", "l_low", "r_high", "r_low")
+    keyed = [side.select(F.struct("high", "low").alias("id"), "text") for side in titles]
+    for shorter, longer in ((0, 1), (1, 0)):
+        found = set_join.begins(keyed[shorter], keyed[longer], TITLE_PREFIX)
+        ends = [F.col(f"{('s_id', 'l_id')[side != shorter]}.{part}").alias(f"{'lr'[side]}_{part}") for side in (0, 1) for part in ("high", "low")]
+        similar = similar.unionByName(found.select(*ends))
     named = [side.withColumnsRenamed({"high": f"{name}_high", "low": f"{name}_low"}).drop("text") for side, name in zip(sides, "lr")]
-    similar = pairs.join(named[0], ["l_high", "l_low"]).join(named[1], ["r_high", "r_low"]).select("l_id", "r_id")
-    one_way = set_join.begins(left, right, TITLE_PREFIX).select(F.col("s_id").alias("l_id"), F.col("l_id").alias("r_id"))
-    other_way = set_join.begins(right, left, TITLE_PREFIX).select("l_id", F.col("s_id").alias("r_id"))
-    return similar.unionByName(one_way).unionByName(other_way)
+    return kept(similar.distinct(), "pairs").join(named[0], ["l_high", "l_low"]).join(named[1], ["r_high", "r_low"]).select("l_id", "r_id")
 
 
 def candidate_pairs(references: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -100,7 +105,7 @@ def scored(pairs: DataFrame) -> DataFrame:
     year_known = _filled(F.col("f.year")) & (F.size("c_years") > 0)
     out = pairs.withColumns(
         {
-            "title_score": dice_of_sets(F.col("f_grams"), F.col("c_grams")),
+            "title_score": dice_of_sets(bigrams(F.col("f_title")), bigrams(F.col("c_title"))),
             "year_score": F.when(year_known, F.array_contains("c_years", F.col("f.year")).cast("double")).otherwise(0.5),
             "author_score": author_score(F.col("f_author"), F.col("c_author"), F.col("c_parts")),
             "doi_score": F.when(F.col("f_doi") != "", (F.col("f_doi") == F.col("c_doi")).cast("double")).otherwise(0.5),

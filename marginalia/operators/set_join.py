@@ -300,16 +300,22 @@ def similar_texts(left: DataFrame, text: str, right: DataFrame, item: str, score
     return l_rows.join(pairs, ["l_high", "l_low"]).join(r_rows.select(*other, "r_high", "r_low"), ["r_high", "r_low"]).select(*own, *other, "dice")
 
 
+def _cuts(shorter: DataFrame, longer: DataFrame, least: int) -> DataFrame:
+    """l_id, cut: beginnings of the longer texts, as long as those shorter ones that share their first ``least`` code points."""
+    start = F.left("text", F.lit(least)).alias("start")
+    lengths = shorter.groupBy(start).agg(F.collect_set(F.length("text")).alias("lengths"))  # as many as the longest title has characters, at most
+    cuts = longer.select("id", "text", start).join(lengths, "start").select("id", "text", F.explode(F.filter("lengths", lambda n: n <= F.length("text"))).alias("n"))
+    return cuts.select(F.col("id").alias("l_id"), F.left("text", F.col("n")).alias("cut"))
+
+
 def begins(shorter: DataFrame, longer: DataFrame, least: int) -> DataFrame:
     """s_id, l_id: texts (id, text) of ``least`` code points or more with those that begin with them.
 
-    Every beginning of a longer text is looked up among the whole shorter ones, so only
-    pairs that are wanted meet, however many texts begin alike.
+    Beginnings of a longer text are looked up among the whole shorter ones, so only pairs
+    that are wanted meet, however many texts begin alike; no beginning is made that no
+    shorter text can be.
     """
     shorter, longer = shorter.where(F.length("text") >= least), longer.where(F.length("text") >= least)
     whole = shorter.select(F.col("id").alias("s_id"), F.xxhash64("text").alias("h"), F.xxhash64(F.lit("low"), "text").alias("l"))
-    lengths = [r.n for r in shorter.select(F.length("text").alias("n")).distinct().collect()]  # as many as the longest title has characters, at most
-    numbers = F.filter(F.array(*map(F.lit, sorted(lengths))).cast("array<int>"), lambda n: n <= F.length("text"))
-    starts = longer.select(F.col("id").alias("l_id"), "text", F.explode(numbers).alias("n")).withColumn("start", F.left("text", F.col("n")))
-    keyed = starts.select("l_id", F.xxhash64("start").alias("h"), F.xxhash64(F.lit("low"), "start").alias("l"))
+    keyed = _cuts(shorter, longer, least).select("l_id", F.xxhash64("cut").alias("h"), F.xxhash64(F.lit("low"), "cut").alias("l"))
     return whole.join(keyed, ["h", "l"]).select("s_id", "l_id")

@@ -28,6 +28,12 @@ def test_golden_references(spark, author, year, wanted):
         assert {"著者", "発行年"} <= set(found.checked_fields) and found.differences == []
 
 
+def test_fields_are_computed_once(spark):
+    """However many columns read them, the plan has the patterns of a reference's fields once."""
+    refs = matching.prepared_references(spark.createDataFrame([("r1", "林（2020）「題名」")], "ref_id string, text string").repartition(2))
+    assert refs._jdf.queryExecution().optimizedPlan().toString().count("ホームページ") == 1
+
+
 def test_identifiers_decide_alone(spark):
     assert status(spark, "Author (2020) Article. https://doi.org/10.1234/test").status == "verified"
     assert status(spark, "Author (2020) Article. https://doi.org/10.1234/other").status == "doi_unconfirmed"

@@ -76,6 +76,21 @@ def test_titles_that_begin_others(spark):
     assert found == sorted((i, j) for i, a in enumerate(texts) for j, b in enumerate(texts) if len(a) >= 12 and b.startswith(a))
 
 
+def test_only_beginnings_that_a_text_can_have_are_made(spark):
+    """200 texts with other beginnings and 30 lengths: the one that shares its beginning is cut at two lengths."""
+    shorter = spark.createDataFrame([(i, f"{i:02}" * 6 + "x" * i) for i in range(30)] + [(30, "07" * 6)], "id bigint, text string")
+    longer = spark.createDataFrame([(i, "another beginning " + "y" * i) for i in range(200)] + [(200, "07" * 6 + "x" * 9)], "id bigint, text string")
+    assert sorted(tuple(r) for r in set_join._cuts(shorter, longer, 12).collect()) == [(200, "07" * 6), (200, "07" * 6 + "x" * 7)]
+    assert sorted(tuple(r) for r in set_join.begins(shorter, longer, 12).collect()) == [(7, 200), (30, 200)]
+
+
+def test_rows_with_one_title_all_link(spark):
+    left = spark.createDataFrame([(1, "titleofmanyrows"), (2, "titleofmanyrows"), (3, ""), (4, "titleofmanyrowsandmoreofit")], "id bigint, text string")
+    right = spark.createDataFrame([(10, "titleofmanyrows"), (11, "titleofmanyrows"), (12, "")], "id bigint, text string")
+    found = {tuple(r) for r in matching.similar_titles(left, right).collect()}
+    assert found == {(i, j) for i in (1, 2, 4) for j in (10, 11)}
+
+
 def test_an_answer_below_the_least_confidence_tells_nothing_of_its_candidate(spark):
     record = [(7, "Crossref", "10.1234/a", "全く別の題名である論文の記録", "別人", "別の雑誌", "1950", ["1950"], "https://records.example/7")]
     candidates = spark.createDataFrame(record, "cand_id bigint, provider string, doi string, title string, authors string, journal string, year string, year_candidates array<string>, url string")
