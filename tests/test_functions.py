@@ -77,6 +77,13 @@ def test_nested_quotes_are_balanced(spark):
     assert found["journal"] == "教養論叢"
 
 
+def test_clues_that_are_not_asked_for_are_not_sought(spark):
+    clues = one(spark, references._clues(F.lit("林（2020）「題名である」『論叢』, 74, 109-117."), F.lit(None).cast("string")))
+    assert (clues.quoted, clues.named, clues.parts, clues.numbered, clues.web_cue, clues.report_cue) == ("題名である", "論叢", None, None, None, None)
+    clues = one(spark, references._clues(F.lit("Smith, J. (2019). A study of things. Journal of Things, 4(2), 10-20."), F.lit(None).cast("string")))
+    assert clues.parts[0] == "A study of things" and clues.numbered
+
+
 @pytest.mark.parametrize("address", ["0.0.0.0", "10.0.0.1", "100.64.0.1", "127.0.0.1", "169.254.169.254", "192.168.0.1", "224.0.0.1", "240.0.0.1", "::1", "fc00::1", "fe80::1", "::ffff:10.0.0.1", "", "x"])
 def test_addresses_that_are_not_public(address):
     assert not references.is_public_address(address)
