@@ -45,7 +45,7 @@ def with_parts(paragraphs: DataFrame) -> DataFrame:
     whole = Window.partitionBy("doc_id")
     start = F.min(F.when(is_reference_heading(F.col("text")), F.col("idx"))).over(whole)
     marked = paragraphs.withColumn("_start", start)
-    end = F.min(F.when(is_reference_end(F.col("text"), F.col("is_heading")) & (F.col("idx") > F.col("_start")), F.col("idx"))).over(whole)
+    end = F.min(F.when(F.col("idx") > F.col("_start"), F.when(is_reference_end(F.col("text"), F.col("is_heading")), F.col("idx")))).over(whole)  # only lines after the start are matched
     marked = marked.withColumn("_end", end)
     inside = (F.col("idx") > F.col("_start")) & (F.col("_end").isNull() | (F.col("idx") < F.col("_end")))
     part = F.when(F.col("idx") == F.col("_start"), "heading").when(inside, "reference").otherwise("body")
