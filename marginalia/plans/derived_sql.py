@@ -22,7 +22,7 @@ _ADDRESSES = ("0.0.0.0", "10.0.0.1", "100.64.0.1", "127.0.0.1", "169.254.169.254
 _SPECIAL = [(-1 - i, x, x in ("8.8.8.8", "2606:4700::1111")) for i, x in enumerate(_ADDRESSES)]
 _JAPANESE = r"[\p{Han}\p{Hiragana}\p{Katakana}ー々]"
 
-_OVERLAP_FOLDED = r"regexp_replace(lower(left(trim(regexp_replace({}, '[\s\x{{00a0}}\x{{3000}}\x{{feff}}\x{{200b}}]+', ' ', 'g')), 500)), '[\s\x{{3000}}\x22''“”「」『』（）()\[\]{{}}.,，。、:：;；・\-–—]', '', 'g')"
+_OVERLAP_FOLDED = r"regexp_replace(lower(trim(regexp_replace({}, '[\s\x{{00a0}}\x{{3000}}\x{{feff}}\x{{200b}}]+', ' ', 'g'))), '[\s\x{{3000}}\x22''“”「」『』（）()\[\]{{}}.,，。、:：;；・\-–—]', '', 'g')"
 _PAIRS_AND_TAIL = "list_distinct(list_transform(range(1, length({0}) + 1), lambda k: substr({0}, k, 2)))"
 
 ORACLE_SQL = {

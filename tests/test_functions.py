@@ -152,3 +152,10 @@ def test_folded_forms_are_those_of_the_patterns(spark):
     wanted = F.regexp_replace(F.lower(text.composed(c)), f"[{text.LEFT_OUT}{text.LEFT_OUT_ALSO}]", ""), F.regexp_replace(F.lower(text.composed(text.clean(c))), f"[{text.LEFT_OUT}]", "")
     for r in rows.select(text.folded(F.col("t")).alias("a"), text.folded_source(F.col("t")).alias("b"), wanted[0].alias("x"), wanted[1].alias("y")).collect():
         assert (r.a, r.b) == (r.x, r.y)
+
+
+def test_overlap_of_texts_that_hold_more_than_is_laid_out_at_once(monkeypatch):
+    monkeypatch.setattr(text, "_CHARACTERS", 10)
+    lines = pd.Series(["abcd", "", "x" * 30, "abce", "x" * 30 + "y", None, "abcd"])
+    assert list(text.overlaps_of(lines, lines.shift(-1))) == pytest.approx([0, 0, 0, 0, 0, 0, 0])
+    assert list(text.overlaps_of(lines, lines[::-1].reset_index(drop=True))) == pytest.approx([1, 0, 0.4, 1, 0.4, 0, 1])

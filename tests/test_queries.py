@@ -34,3 +34,10 @@ def test_pii_hits_whose_value_comes_again_in_the_line(both):
     lines = "first a.1@mail.example.com then a.1@mail.example.com\nxa.1@mail.example.com or a.1@mail.example.com\n090-1234-5678 and 090-1234-5678"
     found, wanted = both("pii_hits", documents=([(1, lines), (2, None)], "doc_id bigint, text string"))
     assert found == wanted and len(found) == 6
+
+
+def test_overlap_scores_of_lines_that_differ_late(both):
+    same = "a plain beginning " * 40
+    documents = [(1, f"{same}left end\n{same}other tail, 市場"), (2, "x" * 499 + " yz\n" + "x" * 700), (3, None)]
+    found, wanted = both("overlap_scores", documents=(documents, "doc_id bigint, text string"))
+    assert found == wanted and len(found) == 2 and all(0 < r[2] < 1 for r in found)
