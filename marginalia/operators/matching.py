@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.references import reference_fields
-from marginalia.functions.text import LEFT_OUT, LEFT_OUT_ALSO, bigrams, composed, dice_of_sets, distinct_texts, folded, or_empty, with_once
+from marginalia.functions.text import LATIN_SIGNS, OTHER_SIGNS, bigrams, composed, dice_of_sets, distinct_texts, folded, let, or_empty, with_once
 from marginalia.operators import set_join
 from marginalia.storage import kept
 
@@ -23,6 +23,8 @@ WEIGHTS = {"title": 0.5, "year": 0.25, "author": 0.15, "doi": 0.1}
 PROVIDERS = ("Crossref", "CiNii Research")
 FIELD_NAMES = {"title": "題名", "author": "著者", "year": "発行年", "journal": "掲載誌", "doi": "DOI"}
 MAX_REFERENCE = 1000
+#: Parts in which references are taken apart, for each core.
+_PARTS = 3
 
 
 def _filled(c: Column) -> Column:
@@ -36,15 +38,18 @@ def _author_parts(authors: Column) -> Column:
 
 def folded_native(text: Column) -> Column:
     """``folded`` for texts that are composed already; a Python function can't run inside an array."""
-    return F.regexp_replace(F.lower(text), f"[{LEFT_OUT}{LEFT_OUT_ALSO}]", "")
+    latin = F.regexp_replace(F.lower(text), LATIN_SIGNS, "")
+    return let(latin, lambda x: F.when(x.rlike(f"[{OTHER_SIGNS[0]}-{OTHER_SIGNS[-1]}]"), F.translate(x, OTHER_SIGNS, "")).otherwise(x))
 
 
 def prepared_references(references: DataFrame, text: str = "text") -> DataFrame:
-    """Adds the fields f and folded forms. Only the first 1000 code points of a reference count."""
-    r = references.withColumn("reference", F.left(F.trim(text), F.lit(MAX_REFERENCE))).where("reference <> ''")
+    """Adds the fields f and folded forms; ``reference`` takes the text's place. Only the first 1000 code points of a reference count."""
+    r = references.withColumn("reference", F.left(F.trim(text), F.lit(MAX_REFERENCE))).where("reference <> ''").drop(text)
+    # a table may be a single file, or its rows in few of its parts
+    r = r.repartition(_PARTS * references.sparkSession.sparkContext.defaultParallelism, "ref_id")
     r = with_once(r, "f", reference_fields(F.col("reference")))
     # the fields are parts of a composed text
-    own = {"title": F.coalesce("f.title", composed(F.col("reference"))), "author": F.col("f.author_area"), "journal": F.col("f.journal"), "doi": F.col("f.doi")}
+    own = {"title": F.coalesce("f.title", composed(F.when(F.col("f.title").isNull(), F.col("reference")))), "author": F.col("f.author_area"), "journal": F.col("f.journal"), "doi": F.col("f.doi")}
     return r.withColumns({f"f_{name}": folded_native(or_empty(value)) for name, value in own.items()})
 
 
@@ -67,8 +72,12 @@ def similar_titles(left: DataFrame, right: DataFrame) -> DataFrame:
     Titles that rows share are compared once; rows meet by the names of their titles.
     """
     sides = [set_join.with_key(side.withColumnRenamed("id", f"{name}_id"), "text") for side, name in ((left, "l"), (right, "r"))]
-    titles = [kept(side.where("text <> ''").select("high", "low", "text").dropDuplicates(["high", "low"]), "titles") for side in sides]
-    similar = set_join.similar_sets(*(set_join.gram_sets(side, "sets") for side in titles), TITLE_SCORE).select("l_high", "l_low", "r_high", "r_low")
+    few = kept(sides[1].where("text <> ''").select("high", "low", "text").dropDuplicates(["high", "low"]), "titles")
+    sets = set_join.gram_sets(few, "sets")
+    if set_join.fits_index(sets):
+        return _similar_to_few(left, few, sets).join(sides[1].select("r_id", F.col("high").alias("r_high"), F.col("low").alias("r_low")), ["r_high", "r_low"]).select("l_id", "r_id")
+    titles = [kept(sides[0].where("text <> ''").select("high", "low", "text").dropDuplicates(["high", "low"]), "titles"), few]
+    similar = set_join.similar_sets(set_join.gram_sets(titles[0], "sets"), sets, TITLE_SCORE).select("l_high", "l_low", "r_high", "r_low")
     keyed = [side.select(F.struct("high", "low").alias("id"), "text") for side in titles]
     for shorter, longer in ((0, 1), (1, 0)):
         found = set_join.begins(keyed[shorter], keyed[longer], TITLE_PREFIX)
@@ -78,12 +87,24 @@ def similar_titles(left: DataFrame, right: DataFrame) -> DataFrame:
     return kept(similar.distinct(), "pairs").join(named[0], ["l_high", "l_low"]).join(named[1], ["r_high", "r_low"]).select("l_id", "r_id")
 
 
+def _similar_to_few(left: DataFrame, few: DataFrame, sets: DataFrame) -> DataFrame:
+    """l_id, r_high, r_low: as ``similar_titles`` where the right titles fit into every task; the left ones stay where they are."""
+    similar = set_join.similar_to_index(left, sets, TITLE_SCORE).select(F.col("id").alias("l_id"), "r_high", "r_low")
+    start = F.left("text", F.lit(TITLE_PREFIX)).alias("start")
+    starts = few.where(F.length("text") >= TITLE_PREFIX).select(start).distinct()
+    alike = left.where(F.length("text") >= TITLE_PREFIX).select("id", "text", start).join(F.broadcast(starts), "start", "left_semi")  # one for each right title, at most
+    begun, keyed = kept(alike.select("id", "text"), "alike"), few.select(F.struct("high", "low").alias("id"), "text")
+    found = set_join.begins(begun, keyed, TITLE_PREFIX).select(F.col("s_id").alias("l_id"), F.col("l_id.high").alias("r_high"), F.col("l_id.low").alias("r_low"))
+    begin_it = set_join.begins(keyed, begun, TITLE_PREFIX).select("l_id", F.col("s_id.high").alias("r_high"), F.col("s_id.low").alias("r_low"))
+    return kept(similar.unionByName(found).unionByName(begin_it).distinct(), "pairs")
+
+
 def candidate_pairs(references: DataFrame, candidates: DataFrame) -> DataFrame:
     """References with each candidate that could be a reliable match, once: equal identifiers, or, for a reference without one, titles that match."""
     same = references.where("f_doi <> ''").join(candidates, F.col("f_doi") == F.col("c_doi")).select("ref_id", "cand_id")
     titled = references.where((F.col("f_doi") == "") & _filled(F.col("f.title"))).select(F.col("ref_id").alias("id"), F.col("f_title").alias("text"))
     titles = similar_titles(titled, candidates.select(F.col("cand_id").alias("id"), F.col("c_title").alias("text")))
-    pairs = same.unionByName(titles.select(F.col("l_id").alias("ref_id"), F.col("r_id").alias("cand_id"))).distinct()
+    pairs = kept(same.unionByName(titles.select(F.col("l_id").alias("ref_id"), F.col("r_id").alias("cand_id"))).distinct(), "pairs")  # few pairs let the references lie
     return pairs.join(references, "ref_id").join(candidates, "cand_id")
 
 
@@ -190,9 +211,10 @@ def match_status(references: DataFrame, candidates: DataFrame, provider_failed:
     refs = kept(prepared_references(references), "references")  # several joins read both sides
     best = compared(best_matches(candidate_pairs(refs, kept(prepared_candidates(candidates), "candidates"))))
     record = F.struct("provider", "title", "authors", "journal", "year", "doi", "url", "confidence")
-    found = best.where(F.col("confidence") >= LEAST_CONFIDENCE).select(
+    told = best.where(F.col("confidence") >= LEAST_CONFIDENCE).select(
         "ref_id", "cand_id", "confidence", "checked_fields", "differences", "provider", "providers", "url", record.alias("best"), (F.col("f_doi") == F.col("c_doi")).alias("_same_doi")
     )
+    found = kept(told, "found")
     out = refs.select("ref_id", "reference", "f", (F.col("f_doi") != "").alias("_doi")).join(found, "ref_id", "left")
     none = F.array().cast("array<string>")
     if failures is None:

@@ -7,7 +7,8 @@ size, so sets meet by these alone. What meets is compared by size, then by the p
 common bigram in both (what can still follow it bounds the overlap), then by counts of the
 bigrams between fixed pivots (the suffix filter, all pivots at once), and last by the sets.
 
-A side that is small enough goes to every task as one index. Otherwise sets travel by
+A side that is small enough goes to every task as one index; where it is smaller still, all
+overlaps with a block of sets are one matrix product, which takes less time. Otherwise sets travel by
 their first bigrams, and a pair is compared only where its first common one is. A bigram
 whose sets are many all the same is dealt in blocks, two of which meet in a group.
 """
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.functions.text import folded
+from marginalia.functions.text import distinct_sorted, folded
 from marginalia.storage import kept
 
 #: Entries of the dictionary at most, and bigrams of the side that goes to every task.
@@ -30,6 +31,8 @@ DICTIONARY, INDEX_GRAMS = 1 << 16, 4_000_000
 #: Meetings looked at together, sets of a block, sets of a group.
 AT_ONCE, BLOCK, GROUP = 1_000_000, 2_000, 20_000
 PIVOTS = 64
+#: Right sets times their bigrams up to which all overlaps are counted, and cells of a block's matrix.
+PRODUCT, CELLS = 1 << 23, 1 << 22
 _LONE = 1 << 42
 _MASK = (1 << 62) - 1
 
@@ -43,6 +46,19 @@ def grams_of(texts: list[str]) -> list[np.ndarray]:
     return out
 
 
+def grams_of_block(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``grams_of``, laid out together: bigrams, the texts that have them, and how many each text has."""
+    size = np.array([len(x) for x in texts], np.int64)
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").astype(np.int64)
+    of = np.repeat(np.arange(len(texts)), size)
+    last = np.append(of[1:] != of[:-1], True)[: len(of)]
+    grams = points << 21 | np.append(points[1:], 0)[: len(points)]
+    grams[last] = points[last] | _LONE
+    coded = distinct_sorted((of << 43 | grams)[~last | (size[of] == 1)])
+    of = coded >> 43
+    return coded & ((1 << 43) - 1), of, np.bincount(of, minlength=len(texts))
+
+
 class Order:
     """Ranks of bigrams: those outside the dictionary by a hash, below zero, then the dictionary's, the rarest first."""
 
@@ -197,6 +213,38 @@ def _by_index(right_keys: tuple[np.ndarray, np.ndarray], right_sets: list[np.nda
     return run
 
 
+def _by_product(right_keys: tuple[np.ndarray, np.ndarray], right_sets: list[np.ndarray], score: float):
+    """Names of a task's texts with those of the right sets, of which all overlaps are counted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = np.array([len(s) for s in right_sets], np.int64)
+        flat = np.concatenate([np.zeros(0, np.int64), *right_sets])
+        universe, place = np.unique(flat, return_inverse=True)
+        right = np.zeros((len(universe), len(number)), np.float32)
+        right[place, np.repeat(np.arange(len(number)), number)] = 1
+        step = max(1, min(BLOCK, CELLS // max(1, len(universe), len(number))))
+        for batch in batches:
+            for at in range(0, batch.num_rows if len(universe) else 0, step):
+                piece = batch.slice(at, step)
+                texts = piece.column("text").dictionary_encode()
+                grams, of, size = grams_of_block(texts.dictionary.to_pylist())
+                where = np.minimum(np.searchsorted(universe, grams), len(universe) - 1)
+                known = universe[where] == grams
+                left = np.zeros((len(size), len(universe)), np.float32)
+                left[of[known], where[known]] = 1
+                i, j = np.nonzero(left @ right >= (size[:, None] + number) * (score / 2) - 1e-9)
+                i, j = i[size[i] > 0], j[size[i] > 0]
+                rows, row_text = np.arange(piece.num_rows), texts.indices.to_numpy()
+                order = np.argsort(row_text, kind="stable")
+                begin, end = np.searchsorted(row_text[order], i), np.searchsorted(row_text[order], i, side="right")
+                times = end - begin
+                met = rows[order][np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(begin, times)]
+                columns = [piece.column("id").take(pa.array(met)), *(pa.array(np.repeat(k[j], times)) for k in right_keys)]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "r_high", "r_low"])
+
+    return run
+
+
 def _listed(frequent: list[int], score: float):
     """Sets once for each bigram by which they meet: rank, place, ranks."""
 
@@ -258,6 +306,27 @@ def with_key(rows: DataFrame, text: str, high: str = "high", low: str = "low") -
     return rows.withColumns({high: F.xxhash64(text), low: F.xxhash64(F.lit("low"), text)})
 
 
+def fits_index(right: DataFrame, index_grams: int = INDEX_GRAMS) -> bool:
+    return (right.agg(F.sum(F.size("grams").cast("bigint"))).first()[0] or 0) <= index_grams
+
+
+def similar_to_index(left: DataFrame, right: DataFrame, score: float, product: int = PRODUCT) -> DataFrame:
+    """id, r_high, r_low: texts (id, text) with the sets (high, low, grams) that have a Dice score of ``score`` or more with theirs.
+
+    The right side goes to all tasks. Where it has more sets and bigrams than ``product``
+    allows, equal texts meet it once and by their first bigrams.
+    """
+    left = left.where("text <> ''")
+    index = right.toArrow()
+    keys, sets = tuple(index.column(n).to_numpy() for n in ("high", "low")), _column(index, "grams")
+    if len(sets) * len(np.unique(np.concatenate([np.zeros(0, np.int64), *sets]))) <= product:
+        id_type = left.schema["id"].dataType.simpleString()
+        return left.select("id", "text").mapInArrow(_by_product(keys, sets, score), f"id {id_type}, r_high bigint, r_low bigint")
+    keyed = kept(with_key(left.select("id", "text"), "text"), "titles")
+    pairs = similar_sets(gram_sets(keyed, "sets"), right, score).withColumnsRenamed({"l_high": "high", "l_low": "low"})
+    return keyed.select("id", "high", "low").join(pairs, ["high", "low"]).select("id", "r_high", "r_low")
+
+
 def similar_sets(left: DataFrame, right: DataFrame, score: float, index_grams: int = INDEX_GRAMS) -> DataFrame:
     """l_high, l_low, r_high, r_low, dice: pairs of sets (high, low, grams) with a Dice score of ``score`` or more.
 
@@ -266,8 +335,7 @@ def similar_sets(left: DataFrame, right: DataFrame, score: float, index_grams: i
     """
     counts = left.select("grams").unionByName(right.select("grams")).mapInArrow(_counted, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
     frequent = [r.gram for r in counts.where("n > 1").orderBy(F.desc("n"), "gram").limit(DICTIONARY).collect()]
-    total = right.agg(F.sum(F.size("grams").cast("bigint"))).first()[0] or 0
-    if total <= index_grams:
+    if fits_index(right, index_grams):
         index = right.toArrow()
         keys = tuple(index.column(n).to_numpy() for n in ("high", "low"))
         return left.mapInArrow(_by_index(keys, _column(index, "grams"), frequent, score), _PAIRS)

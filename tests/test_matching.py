@@ -3,7 +3,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from marginalia.functions.references import reference_fields
+from marginalia.functions.references import balanced, reference_fields
+from marginalia.functions.text import LEFT_OUT, LEFT_OUT_ALSO
 from marginalia.operators import matching, source_compare
 from marginalia.sources import pages
 
@@ -94,3 +95,36 @@ def test_sources(spark, year, wanted):
     metadata = page(spark, '<title>事業紹介 | 例示会社</title><article><h1>事業紹介</h1><time datetime="2021-01-01"></time></article>')
     given = spark.createDataFrame([(f"例示会社HP（{year}）「事業紹介」 https://example.com/a (2026年確認)", metadata)], f"r string, metadata {pages.METADATA}")
     assert source_compare.compared_sources(given.withColumn("f", reference_fields(F.col("r")))).first().status == wanted
+
+
+def test_references_of_one_part_are_taken_apart_in_many(spark):
+    refs = matching.prepared_references(spark.createDataFrame([(f"r{i}", f"林（2020）「題名{i}」") for i in range(50)], "ref_id string, text string").coalesce(1))
+    assert refs.select(F.spark_partition_id().alias("p")).distinct().count() > 4
+
+
+def test_signs_that_are_left_out_natively(spark):
+    given = ["a b–c—d", "“x” ‘y’", "（1）：；,.", "ı ß [q] {w}", "市場・調査。", ""]
+    rows = spark.createDataFrame([(x,) for x in given], "t string")
+    found = rows.select(matching.folded_native(F.col("t")).alias("a"), F.regexp_replace(F.lower("t"), f"[{LEFT_OUT}{LEFT_OUT_ALSO}]", "").alias("b")).collect()
+    assert [r.a for r in found] == [r.b for r in found] and found[0].a == "abcd"
+
+
+@pytest.mark.parametrize("text", ["「a」b「c」", "x「abc「d」e」f", "「abc「d」", "「ab」 「cde」", "no「end", "「abc", "」「abc」", "『abc』"])
+def test_quotes_with_and_without_others_inside(spark, text):
+    depth, start, wanted = 0, text.find("「"), None
+    for i in range(start, len(text)) if start >= 0 else ():
+        depth += (text[i] == "「") - (text[i] == "」")
+        if depth == 0:
+            wanted = text[start + 1 : i]
+            break
+    found = spark.createDataFrame([(text,)], "t string").select(balanced(F.col("t"), "「", "」").alias("q")).first().q
+    assert found == (wanted if wanted is not None and len(wanted) >= 3 else None)
+
+
+def test_titles_that_begin_others_and_records_that_repeat(spark):
+    """Few records: the titles that cite them meet them where they lie, both ways, once for each record."""
+    long = "a long title of a study of very many things"
+    left = spark.createDataFrame([("whole", long), ("start", long[:14]), ("more", long + " and what came of them in later years and other places"), ("short", long[:5]), ("other", "something else"), ("none", "")], "id string, text string")
+    right = spark.createDataFrame([(1, long), (2, long), (3, long[:13]), (4, None)], "id bigint, text string")
+    found = sorted(map(tuple, matching.similar_titles(left, right).collect()))
+    assert found == [(x, n) for x in ("more", "start", "whole") for n in (1, 2, 3)]

@@ -106,3 +106,26 @@ def test_an_answer_below_the_least_confidence_tells_nothing_of_its_candidate(spa
 def test_links_are_encoded_as_parts_of_addresses(spark):
     rows = spark.createDataFrame([("a b(c)!*'~é&/?",)], "t string").select(matching.encoded(F.col("t")).alias("part"), matching.encoded(F.col("t"), "!~'();,/?:@&=+$#").alias("whole")).first()
     assert rows.part == "a%20b(c)!*'~%C3%A9%26%2F%3F" and rows.whole == "a%20b(c)!*'~%C3%A9&/?"
+
+
+@pytest.mark.parametrize(("product", "cells"), [(1 << 40, 1 << 22), (1 << 40, 3_000), (0, 1 << 22)])
+def test_texts_that_meet_an_index_where_they_lie(spark, monkeypatch, product, cells):
+    """All overlaps at once, by blocks of a few texts, or by first bigrams; rows that repeat a text come as often as they do."""
+    monkeypatch.setattr(set_join, "CELLS", cells)
+    rng = random.Random(4)
+    base = ["".join(rng.choice(WORDS) for _ in range(rng.randint(1, 14))) for _ in range(30)]
+    left = [(f"l{i}", varied(rng, rng.choice(base))) for i in range(150)] + [("same", base[0]), ("again", base[0]), ("none", ""), ("null", None), ("one", "é"), ("late", "a\U00020b9f")]
+    right = [(i, varied(rng, rng.choice(base))) for i in range(60)] + [(900, "é"), (901, base[0]), (902, "a\U00020b9f")]
+    items = set_join.with_key(spark.createDataFrame(right, "b bigint, text string"), "text")
+    rows = spark.createDataFrame(left, "id string, text string").repartition(3)
+    found = set_join.similar_to_index(rows, set_join.gram_sets(items, "sets"), 0.82, product)
+    if product:
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString().replace("Exchange RoundRobin", "")
+    names = {(r.high, r.low): r.text for r in items.collect()}
+    want = sorted({(i, b) for i, a in left for _, b in right if dice(grams(a), grams(b)) >= 0.82})
+    assert sorted((r.id, names[r.r_high, r.r_low]) for r in found.collect()) == want
+
+
+def test_an_index_without_sets(spark):
+    rows, none = spark.createDataFrame([("a", "text")], "id string, text string"), spark.createDataFrame([], "high bigint, low bigint, grams array<bigint>")
+    assert set_join.similar_to_index(rows, none, 0.82).collect() == []
