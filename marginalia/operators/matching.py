@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.functions.references import reference_fields
-from marginalia.functions.text import LATIN_SIGNS, OTHER_SIGNS, bigrams, composed, dice_of_sets, distinct_texts, folded, let, or_empty, with_once
+from marginalia.functions.references import fields_of_composed
+from marginalia.functions.text import LATIN_SIGNS, OTHER_SIGNS, bigrams, composed, dice_of_sets, distinct_texts, folded, or_empty, with_once
 from marginalia.operators import set_join
 from marginalia.storage import kept
 
@@ -38,8 +38,9 @@ def _author_parts(authors: Column) -> Column:
 
 def folded_native(text: Column) -> Column:
     """``folded`` for texts that are composed already; a Python function can't run inside an array."""
-    latin = F.regexp_replace(F.lower(text), LATIN_SIGNS, "")
-    return let(latin, lambda x: F.when(x.rlike(f"[{OTHER_SIGNS[0]}-{OTHER_SIGNS[-1]}]"), F.translate(x, OTHER_SIGNS, "")).otherwise(x))
+    latin = F.regexp_replace(F.replace(F.lower(text), F.lit(" "), F.lit("")), LATIN_SIGNS, "")
+    others = (F.octet_length(text) > F.length(text)) & text.rlike(f"[{OTHER_SIGNS[0]}-{OTHER_SIGNS[-1]}]")
+    return F.when(others, F.translate(latin, OTHER_SIGNS, "")).otherwise(latin)
 
 
 def prepared_references(references: DataFrame, text: str = "text") -> DataFrame:
@@ -47,10 +48,11 @@ def prepared_references(references: DataFrame, text: str = "text") -> DataFrame:
     r = references.withColumn("reference", F.left(F.trim(text), F.lit(MAX_REFERENCE))).where("reference <> ''").drop(text)
     # a table may be a single file, or its rows in few of its parts
     r = r.repartition(_PARTS * references.sparkSession.sparkContext.defaultParallelism, "ref_id")
-    r = with_once(r, "f", reference_fields(F.col("reference")))
+    r = with_once(r, "_composed", composed(F.col("reference")))
+    r = with_once(r, "f", fields_of_composed(F.col("_composed"), F.col("reference")))
     # the fields are parts of a composed text
-    own = {"title": F.coalesce("f.title", composed(F.when(F.col("f.title").isNull(), F.col("reference")))), "author": F.col("f.author_area"), "journal": F.col("f.journal"), "doi": F.col("f.doi")}
-    return r.withColumns({f"f_{name}": folded_native(or_empty(value)) for name, value in own.items()})
+    own = {"title": F.coalesce("f.title", "_composed"), "author": F.col("f.author_area"), "journal": F.col("f.journal"), "doi": F.col("f.doi")}
+    return r.withColumns({f"f_{name}": folded_native(or_empty(value)) for name, value in own.items()}).drop("_composed")
 
 
 def prepared_candidates(candidates: DataFrame) -> DataFrame:
@@ -208,14 +210,15 @@ def match_status(references: DataFrame, candidates: DataFrame, provider_failed:
     providers found counts all the same. A best match of less than ``LEAST_CONFIDENCE`` is
     none: nothing of it is told.
     """
-    refs = kept(prepared_references(references), "references")  # several joins read both sides
+    term = F.coalesce(F.nullif("f.title", F.lit("")), "reference")  # of the reference nothing else is told
+    refs = kept(prepared_references(references).withColumn("_term", term).drop("reference"), "references")  # several joins read both sides
     best = compared(best_matches(candidate_pairs(refs, kept(prepared_candidates(candidates), "candidates"))))
     record = F.struct("provider", "title", "authors", "journal", "year", "doi", "url", "confidence")
     told = best.where(F.col("confidence") >= LEAST_CONFIDENCE).select(
         "ref_id", "cand_id", "confidence", "checked_fields", "differences", "provider", "providers", "url", record.alias("best"), (F.col("f_doi") == F.col("c_doi")).alias("_same_doi")
     )
     found = kept(told, "found")
-    out = refs.select("ref_id", "reference", "f", (F.col("f_doi") != "").alias("_doi")).join(found, "ref_id", "left")
+    out = refs.select("ref_id", "_term", "f", (F.col("f_doi") != "").alias("_doi")).join(found, "ref_id", "left")
     none = F.array().cast("array<string>")
     if failures is None:
         out = out.withColumn("provider_errors", F.array(*map(F.lit, PROVIDERS)) if provider_failed else none)
@@ -227,7 +230,7 @@ def match_status(references: DataFrame, candidates: DataFrame, provider_failed:
     missing = F.col("cand_id").isNull()
     unconfirmed = title_differs & ~(F.col("_doi") & F.col("_same_doi"))
     status = F.when(missing, absent).when(unconfirmed, "unconfirmed").when(F.size("differences") > 0, "mismatch").otherwise("verified")
-    term = encoded(F.coalesce(F.nullif("f.title", F.lit("")), "reference"))
+    term = encoded(F.col("_term"))
     links = F.struct(
         F.col("url").alias("source"), F.concat(F.lit("https://doi.org/"), encoded(F.nullif("f.doi", F.lit("")), "!~'();,/?:@&=+$#")).alias("doi"),
         F.concat(F.lit("https://cir.nii.ac.jp/all?q="), term).alias("cinii"), F.concat(F.lit("https://scholar.google.com/scholar?q="), term).alias("scholar"),

@@ -222,6 +222,7 @@ def _by_product(right_keys: tuple[np.ndarray, np.ndarray], right_sets: list[np.n
         universe, place = np.unique(flat, return_inverse=True)
         right = np.zeros((len(universe), len(number)), np.float32)
         right[place, np.repeat(np.arange(len(number)), number)] = 1
+        about = (number * (score / 2) - 0.5).astype(np.float32)  # singles may err by less; what passes is judged in doubles
         step = max(1, min(BLOCK, CELLS // max(1, len(universe), len(number))))
         for batch in batches:
             for at in range(0, batch.num_rows if len(universe) else 0, step):
@@ -232,8 +233,10 @@ def _by_product(right_keys: tuple[np.ndarray, np.ndarray], right_sets: list[np.n
                 known = universe[where] == grams
                 left = np.zeros((len(size), len(universe)), np.float32)
                 left[of[known], where[known]] = 1
-                i, j = np.nonzero(left @ right >= (size[:, None] + number) * (score / 2) - 1e-9)
-                i, j = i[size[i] > 0], j[size[i] > 0]
+                common = left @ right
+                i, j = np.nonzero(common >= (size.astype(np.float32) * np.float32(score / 2))[:, None] + about)
+                similar = (size[i] > 0) & (common[i, j] >= (size[i] + number[j]) * (score / 2) - 1e-9)
+                i, j = i[similar], j[similar]
                 rows, row_text = np.arange(piece.num_rows), texts.indices.to_numpy()
                 order = np.argsort(row_text, kind="stable")
                 begin, end = np.searchsorted(row_text[order], i), np.searchsorted(row_text[order], i, side="right")

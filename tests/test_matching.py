@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from marginalia.functions.references import balanced, reference_fields
+from marginalia.functions.references import _clues, balanced, reference_fields
 from marginalia.functions.text import LEFT_OUT, LEFT_OUT_ALSO
 from marginalia.operators import matching, source_compare
 from marginalia.sources import pages
@@ -128,3 +128,16 @@ def test_titles_that_begin_others_and_records_that_repeat(spark):
     right = spark.createDataFrame([(1, long), (2, long), (3, long[:13]), (4, None)], "id bigint, text string")
     found = sorted(map(tuple, matching.similar_titles(left, right).collect()))
     assert found == [(x, n) for x in ("more", "start", "whole") for n in (1, 2, 3)]
+
+
+def test_references_stay_where_few_matches_meet_them(spark):
+    refs = spark.createDataFrame([("r1", f"林・西岡（2020）「{TITLE}」『架空大学教養論叢』, 74, 109-117."), ("r2", "だれか（2020）「知られない題名の論文」")], "ref_id string, text string")
+    found = matching.match_status(refs, spark.createDataFrame([RECORD, DOI], CANDIDATES))
+    assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.ref_id, r.status) for r in found.collect()) == [("r1", "verified"), ("r2", "not_found")]
+
+
+def test_other_quotes_are_sought_where_none_is_found(spark):
+    given = ["林（2020）「題名である」『教養論叢』", "林（2020）『経営の考え方』", 'Li (2020) "A long title"']
+    rows = spark.createDataFrame([(x,) for x in given], "t string").select(_clues(F.col("t"), F.lit(None).cast("string")).alias("c")).collect()
+    assert [(r.c.quoted, r.c.book, r.c.in_quotes) for r in rows] == [("題名である", None, None), (None, "経営の考え方", None), (None, None, "A long title")]
