@@ -223,7 +223,7 @@ def match_status(references: DataFrame, candidates: DataFrame, provider_failed:
     if failures is None:
         out = out.withColumn("provider_errors", F.array(*map(F.lit, PROVIDERS)) if provider_failed else none)
     else:
-        names = failures.groupBy("ref_id").agg(F.array_sort(F.collect_set("provider")).alias("_failed"))
+        names = kept(failures.groupBy("ref_id").agg(F.array_sort(F.collect_set("provider")).alias("_failed")), "failures")
         out = out.join(names, "ref_id", "left").withColumn("provider_errors", F.coalesce("_failed", none))
     absent = F.when(F.size("provider_errors") > 0, "lookup_incomplete").when(F.col("_doi"), "doi_unconfirmed").otherwise("not_found")
     title_differs = F.exists("differences", lambda d: d["field"] == FIELD_NAMES["title"])

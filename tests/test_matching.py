@@ -141,3 +141,11 @@ def test_other_quotes_are_sought_where_none_is_found(spark):
     given = ["林（2020）「題名である」『教養論叢』", "林（2020）『経営の考え方』", 'Li (2020) "A long title"']
     rows = spark.createDataFrame([(x,) for x in given], "t string").select(_clues(F.col("t"), F.lit(None).cast("string")).alias("c")).collect()
     assert [(r.c.quoted, r.c.book, r.c.in_quotes) for r in rows] == [("題名である", None, None), (None, "経営の考え方", None), (None, None, "A long title")]
+
+
+def test_references_stay_where_failures_are_named(spark):
+    refs = spark.createDataFrame([("r1", f"林・西岡（2020）「{TITLE}」"), ("r2", "だれか（2020）「知られない題名の論文」")], "ref_id string, text string")
+    failures = spark.createDataFrame([("r2", "Crossref")], "ref_id string, provider string")
+    found = matching.match_status(refs, spark.createDataFrame([RECORD, DOI], CANDIDATES), failures=failures)
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.ref_id, r.status) for r in matching.as_json(found).select("ref_id", F.get_json_object("json", "$.status").alias("status")).collect()) == [("r1", "verified"), ("r2", "lookup_incomplete")]
